@@ -3,10 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gazetta.llm import langid, quality
+from gazetta.llm.common import held_out
 from gazetta.llm.near_dup import near_duplicates
-from gazetta.session import table
+from gazetta.llm.packing import pack
+from gazetta.session import stash, table
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stash(quality.document_statistics(table(spark, sf_dir, "documents")))
+    labelled = quality.label_statistics(stats.where(~held_out()), table(spark, sf_dir, "labels"))
+    scored = quality.score_statistics(stats, quality.fit_quality(labelled))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    found = langid.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

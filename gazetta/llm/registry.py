@@ -11,7 +11,10 @@ from gazetta.llm import contracts, sql
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_fourier_quality": contracts.quality_scores,
     "op6_superminhash_near_dedup": contracts.near_dedup,
+    "op9_residual_packing": contracts.packed,
+    "op10_byte_gru_language": contracts.languages,
 }
 
 SQL: dict[str, str] = {
