@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm import langid, quality
+from gazetta.llm import html_extract, langid, pii, quality, secrets
 from gazetta.llm.common import held_out
+from gazetta.llm.decontaminate import contaminated
+from gazetta.llm.licenses import scan_licenses
 from gazetta.llm.near_dup import near_duplicates
 from gazetta.llm.packing import pack
+from gazetta.llm.topk import top_k
 from gazetta.session import stash, table
 
 
+def _counted(field: str, value: int | str) -> Column:
+    """Base spans with this value."""
+    return F.size(F.filter("base", lambda x: x[field] == value)).cast("long")
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stash(quality.document_statistics(table(spark, sf_dir, "documents")))
     labelled = quality.label_statistics(stats.where(~held_out()), table(spark, sf_dir, "labels"))
@@ -19,10 +27,55 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract_pii(table(spark, sf_dir, "documents"))
+    counts = [_counted("order", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), owner_col="source")
+    counts = [_counted("kind", k).alias(f"n_{k}") for k in secrets.BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
+def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"), "n_lines")
+
+
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract_text(pages, html_extract.fit_labeller(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

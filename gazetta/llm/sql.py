@@ -24,3 +24,39 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.component_i
   s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN r ON list_sort(s.sh) = r.sh LEFT JOIN k ON r.rep = k.node
 """
+
+#: Vectors as whole numbers, all scores of the queries, the best five.
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.w, r.w), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 5
+"""
+
+
+def _licenses() -> str:
+    from gazetta.llm.licenses import KNOWN, SPELLINGS
+
+    def digest(x: str) -> str:
+        x = rf"regexp_replace(lower({x}), '(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$', '', 'g')"
+        for old, new in SPELLINGS:
+            x = f"replace({x}, '{old}', '{new}')"
+        x = f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+        return f"CASE WHEN {x} <> '' THEN sha256({x}) END"
+
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    return f"""
+WITH known AS (SELECT {digest("body")} AS digest, min(license) AS license FROM (VALUES {known}) t(license, body) GROUP BY 1
+), d AS (SELECT row_number() OVER () AS r, doc_id, text, {digest("text")} AS digest FROM documents
+), l AS (SELECT r, {digest("line")} AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE line <> ''
+), f AS (SELECT r, array_to_string(list_sort(list_distinct(list(license))), ',') AS line_licenses, count(*) AS n_lines FROM l JOIN known USING (digest) GROUP BY r)
+SELECT d.doc_id, d.digest, known.license, coalesce(f.line_licenses, '') AS line_licenses, coalesce(f.n_lines, 0) AS n_lines
+FROM d LEFT JOIN known USING (digest) LEFT JOIN f USING (r)
+"""
+
+
+LICENSES = _licenses()
