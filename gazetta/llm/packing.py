@@ -152,4 +152,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, nea
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), "members")  # before the explode: one number a bin
+    return numbered.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
