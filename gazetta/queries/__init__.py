@@ -1,4 +1,6 @@
 """Registered queries over the given tables, and SQL to compare them with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from gazetta.queries import aggregates, graph, joins, scans, scalars, windows
+from gazetta.queries.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "aggregates", "graph", "joins", "scalars", "scans", "windows"]
