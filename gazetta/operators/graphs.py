@@ -21,26 +21,29 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     n = max(4, math.ceil(rows.count() / block))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = rows.select("id", "v", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("j"))
-    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    blocks = F.sequence(F.lit(0), F.lit(n - 1))
+    # Block i meets every block j >= i; a row goes to the left side of some pairs and to the right side of others.
+    sides = F.transform(blocks, lambda b: F.struct(F.least("k", b).alias("i"), F.greatest("k", b).alias("j")))
+    dealt = rows.select("id", "v", "k", F.explode(sides).alias("x")).select("id", "v", "k", "x.i", "x.j")
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        i, j = found["i"].iloc[0], found["j"].iloc[0]
+        x, y = found[found["k"] == i], found[found["k"] == j]
+        out = [pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})]
         for size in set(x["v"].map(len)) & set(y["v"].map(len)):
             a, b = x[x["v"].map(len) == size], y[y["v"].map(len) == size]
             p, q = np.stack(a["v"]), np.stack(b["v"])
-            np_, nq = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1)
-            sim = np.round(p @ q.T / np.maximum(np.outer(np_, nq), 1e-300), 9)
+            norms = np.outer(np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1))
+            similarity = np.where(norms > 0, np.round(p @ q.T / np.where(norms > 0, norms, 1), 9), 0.0)
             ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            at, bt = np.nonzero(sim >= threshold)
-            # A block meets itself once, so there a pair turns up both ways round.
-            same = x["i"].iloc[0] == x["j"].iloc[0]
-            good = (ia[at] < ib[bt]) if same else (ia[at] != ib[bt])
+            at, bt = np.nonzero(similarity >= threshold)
+            # Where a block meets itself a pair turns up both ways round.
+            good = (ia[at] < ib[bt]) if i == j else (ia[at] != ib[bt])
             at, bt = at[good], bt[good]
-            out.append(pd.DataFrame({"a": np.minimum(ia[at], ib[bt]), "b": np.maximum(ia[at], ib[bt]), "similarity": sim[at, bt]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+            out.append(pd.DataFrame({"a": np.minimum(ia[at], ib[bt]), "b": np.maximum(ia[at], ib[bt]), "similarity": similarity[at, bt]}))
+        return pd.concat(out)
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long, similarity double")
+    return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
 def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 6, seed: int = 1) -> DataFrame:

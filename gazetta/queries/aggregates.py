@@ -1 +1,194 @@
-"""aggregates rows."""
+"""D rows: summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gazetta import models
+from gazetta.models import as_of, with_models
+from gazetta.operators import aggregates, filters, joins
+from gazetta.queries.registry import query
+from gazetta.session import table
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir))
+
+
+@query(
+    "d01_cluster_summary",
+    with_models("""
+, m AS (SELECT CAST(floor(id / 7) AS BIGINT) AS cluster, id, published_at, lower(title || ' ' || substr(body, 1, 300)) AS t FROM art),
+p AS (SELECT *, len(list_filter(['bitcoin', 'btc', 'eth', 'price', 'rally', 'surge', 'crash', 'ath'], lambda w: contains(t, w))) > 0 AS price FROM m),
+e AS (SELECT CAST(floor(vec_id / 7) AS BIGINT) AS cluster, min(CAST(embedding[1] AS DOUBLE)) + 1 AS low FROM embeddings WHERE vec_id % 7 < 3 GROUP BY 1),
+s AS (SELECT cluster, count(*) AS members, CASE WHEN count(published_at) >= 2 THEN round((epoch_us(max(published_at)) - epoch_us(min(published_at))) / 3.6e9, 6) ELSE 0 END AS span_hours,
+  bool_or(price) AS price, arg_max(id, (published_at, id)) AS latest, arg_min(id, (published_at, id)) AS earliest FROM p GROUP BY cluster HAVING count(*) >= 2),
+k AS (SELECT s.*, round(coalesce(low, 1.0), 6) AS min_similarity, CASE WHEN span_hours <= 0.45 AND price THEN 'price_event' ELSE 'analysis' END AS kind FROM s LEFT JOIN e USING (cluster))
+SELECT cluster, members, span_hours, min_similarity, kind, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id, kind = 'analysis' AND min_similarity < 0.9 AS review FROM k"""),
+)
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = models.articles(spark, sf_dir).withColumn("cluster", F.floor(F.col("id") / 7).cast("long"))
+    v = table(spark, sf_dir, "embeddings").where("vec_id % 7 < 3")
+    edges = v.select(F.floor(F.col("vec_id") / 7).cast("long").alias("cluster"), (F.col("embedding")[0].cast("double") + 1).alias("similarity"))
+    out = aggregates.cluster_summary(members, edges, price_hours=0.45)
+    return out.withColumn("min_similarity", F.round("min_similarity", 6))
+
+
+@query(
+    "d05_cost_rollup",
+    with_models("SELECT task, agent, CAST(level AS INTEGER) AS level, round(CAST(cost AS DOUBLE), 6) AS cost, n AS runs FROM (SELECT task, agent, grouping(task, agent) AS level, sum(cost) AS cost, count(*) AS n FROM (SELECT coalesce(task, 'other') AS task, coalesce(agent, 'unknown') AS agent, coalesce(cost, 0) AS cost FROM runs) GROUP BY ROLLUP (task, agent))"),
+)
+def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.cost_rollup(models.runs(spark, sf_dir))
+
+
+@query(
+    "d05_day_cost",
+    with_models("SELECT CAST(created_at AS DATE) AS day, round(CAST(sum(coalesce(cost, 0)) AS DOUBLE), 6) AS cost, round(round(CAST(sum(coalesce(cost, 0)) AS DOUBLE), 6) / 7000 * 100, 2) AS percent, sum(coalesce(cost, 0)) > 7000 AS over FROM runs GROUP BY 1"),
+)
+def day_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.day_cost(models.runs(spark, sf_dir), 7000.0)
+
+
+@query("d06_distribution", with_models("SELECT coalesce(category, 'unlabelled') AS category, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM art LEFT JOIN src USING (source_id) GROUP BY 1"))
+def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.distribution(_known(spark, sf_dir), "category")
+
+
+LEAN = "CASE WHEN contains(lower(bias), 'left') THEN 'left' WHEN contains(lower(bias), 'right') THEN 'right' WHEN contains(lower(bias), 'cent') OR contains(lower(bias), 'middle') THEN 'center' END"
+
+
+@query(
+    "d07_bias_spread",
+    with_models(f", n AS (SELECT coalesce({LEAN}, 'unknown') AS lean, count(*) AS n FROM art LEFT JOIN src USING (source_id) WHERE category = 'EUROPE' GROUP BY 1) SELECT s.lean, coalesce(n, 0) AS n FROM (VALUES ('left'), ('center'), ('right'), ('unknown')) s(lean) LEFT JOIN n USING (lean)"),
+)
+def bias_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.bias_spread(_known(spark, sf_dir).where("category = 'EUROPE'"))
+
+
+@query(
+    "d08_source_balance",
+    with_models(f"""
+, m AS (SELECT CAST(floor(id / 4) AS BIGINT) AS theme, source_id, id, {LEAN} AS lean FROM art LEFT JOIN src USING (source_id)),
+v AS (SELECT theme, source_id, arg_min_null(lean, id) AS lean FROM m GROUP BY ALL),
+c AS (SELECT theme, count(*) AS sources, count(*) FILTER (lean = 'left') AS n_left, count(*) FILTER (lean = 'center') AS n_center, count(*) FILTER (lean = 'right') AS n_right FROM v GROUP BY theme),
+p AS (SELECT *, n_left + n_center + n_right AS placed, n_left + n_center + n_right >= 3 AND NOT (n_left > 0 AND n_right > 0) AS ok FROM c)
+SELECT theme, sources, n_left, n_center, n_right,
+  CASE WHEN ok AND n_left >= placed * 0.75 THEN 'left ' || n_left || '/' || placed WHEN ok AND n_right >= placed * 0.75 THEN 'right ' || n_right || '/' || placed END AS skew,
+  CASE WHEN n_left > 0 AND n_right = 0 AND n_center = 0 THEN 'left' WHEN n_right > 0 AND n_left = 0 AND n_center = 0 THEN 'right' END AS coverage FROM p"""),
+)
+def source_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.source_balance(_known(spark, sf_dir).withColumn("theme", F.floor(F.col("id") / 4).cast("long")), ["theme"])
+
+
+@query(
+    "d11_majority",
+    with_models(", n AS (SELECT CAST(floor(id / 12) AS BIGINT) AS story, category, count(*) AS n, min(id) AS met FROM art JOIN src USING (source_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY n DESC, met) AS k FROM n) SELECT story, category FROM r WHERE k = 1"),
+)
+def majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.majority(_known(spark, sf_dir).withColumn("story", F.floor(F.col("id") / 12).cast("long")), "story", "category", "id")
+
+
+@query(
+    "d12_window_audit",
+    with_models(", a AS (SELECT source_id, (epoch_us(TIMESTAMP '2024-01-03 21:00:00') - epoch_us(published_at)) / 3.6e9 AS age FROM art) SELECT source_id, count(*) AS n, round(max(age), 3) AS oldest, round(min(age), 3) AS newest, count(*) FILTER (age <= 6) AS fresh FROM a GROUP BY 1"),
+)
+def window_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.window_audit(models.articles(spark, sf_dir), as_of(), 6, ["source_id"])
+
+
+@query(
+    "d13_run_health",
+    with_models("""
+, s AS (SELECT CAST(created_at AS DATE) AS day, agent, count(*) FILTER (status <> 'success') AS bad, count(*) AS n FROM runs GROUP BY ALL)
+SELECT day, 'step' AS rule, CASE WHEN bad > 70 THEN 'alert' ELSE 'info' END AS severity, agent AS subject FROM s WHERE bad > 60
+UNION ALL SELECT day, 'pipeline', 'alert', NULL FROM s GROUP BY day HAVING sum(n) < 300"""),
+)
+def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = models.runs(spark, sf_dir).groupBy(F.to_date("created_at").alias("day"), "agent").agg(F.count_if(F.col("status") != "success").alias("bad"), F.count("*").alias("n"))
+    steps = s.where("bad > 60").select("day", F.lit("step").alias("rule"), F.when(F.col("bad") > 70, "alert").otherwise("info").alias("severity"), F.col("agent").alias("subject"))
+    idle = s.groupBy("day").agg(F.sum("n").alias("n")).where("n < 300").select("day", F.lit("pipeline").alias("rule"), F.lit("alert").alias("severity"), F.lit(None).cast("string").alias("subject"))
+    return steps.unionByName(idle)
+
+
+@query(
+    "d14_token_cost",
+    "WITH p(model, price_in, price_out) AS (VALUES ('click', 0.10, 0.40), ('purchase', 1.0, 5.0)) SELECT event_type AS model, round(sum(coalesce(value * 100 / 1e6 * CAST(price_in AS DOUBLE) + value * 10 / 1e6 * CAST(price_out AS DOUBLE), 0)), 6) AS cost, count(*) AS calls FROM events LEFT JOIN p ON model = event_type GROUP BY 1",
+)
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("value") * 100).alias("tokens_in"), (F.col("value") * 10).alias("tokens_out"))
+    prices = spark.createDataFrame([("click", 0.10, 0.40), ("purchase", 1.0, 5.0)], "model string, price_in double, price_out double")
+    return aggregates.token_cost(usage, prices)
+
+
+@query(
+    "d15_centroid",
+    "WITH p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM p GROUP BY ALL) SELECT label, list(round(m, 6) ORDER BY d) AS centroid FROM m GROUP BY label",
+)
+def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregates.centroid(table(spark, sf_dir, "embeddings"), "label")
+    return out.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+@query("d17_sources_by_category", with_models("SELECT category, count(*) FILTER (source_no % 2 = 0) AS active, count(*) AS total FROM src GROUP BY 1"))
+def sources_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.sources(spark, sf_dir).groupBy("category").agg(F.count_if(F.col("source_no") % 2 == 0).alias("active"), F.count("*").alias("total"))
+
+
+@query(
+    "d18_funnel",
+    with_models("""
+, f AS (SELECT category, count(*) AS fetched, count(*) FILTER (published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR) AS kept, count(article_id) AS scored, count(*) FILTER (relevance >= 6 OR actionability >= 2) AS qualifying
+  FROM art LEFT JOIN src USING (source_id) LEFT JOIN scored ON article_id = id GROUP BY category)
+SELECT category, stage, n FROM (SELECT category, unnest(['fetched', 'kept', 'scored', 'qualifying']) AS stage, unnest([fetched, kept, scored, qualifying]) AS n FROM f)"""),
+)
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = models.scores(spark, sf_dir).select(F.col("article_id").alias("id"), F.lit(True).alias("scored"))
+    rows = _known(spark, sf_dir).join(done, "id", "left")
+    counts = rows.groupBy("category").agg(
+        F.count("*").alias("fetched"),
+        F.count_if(filters.in_window(F.col("published_at"), as_of(), F.lit(24))).alias("kept"),
+        F.count("scored").alias("scored"),
+        F.count_if(filters.entry_gate(F.col("relevance"), F.col("actionability"), 6)).alias("qualifying"),
+    )
+    return counts.unpivot("category", ["fetched", "kept", "scored", "qualifying"], "stage", "n")
+
+
+@query("d19_step_status", with_models("SELECT task, agent, count(*) AS runs, count(*) FILTER (status <> 'success') AS errors, CASE WHEN count(*) FILTER (status <> 'success') > 0 THEN 'partial' ELSE 'success' END AS status FROM runs GROUP BY task, agent"))
+def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.step_status(models.runs(spark, sf_dir), ["task", "agent"])
+
+
+@query(
+    "d20_ordered_ids",
+    "WITH f AS (SELECT user_id, event_type, min(event_id) AS met FROM events GROUP BY ALL) SELECT user_id, list(event_type ORDER BY met) AS ids FROM f GROUP BY user_id",
+)
+def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.ordered_ids(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query(
+    "d21_story_groups",
+    with_models("""
+, m AS (SELECT id, category AS brief, CASE WHEN id % 5 > 0 THEN id % 40 END AS cluster_id, title, relevance AS theme FROM art JOIN src USING (source_id))
+SELECT brief, coalesce(cluster_id, id + 1000000) AS story, CAST(count(*) AS BIGINT) AS members, arg_min(substr(title, 1, 80), id) AS label, list(id ORDER BY id) AS ids, min(theme) AS first_theme, max(cluster_id) IS NULL AS single FROM m GROUP BY 1, 2"""),
+)
+def story_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _known(spark, sf_dir).where("category is not null").withColumn("cluster_id", F.when(F.col("id") % 5 > 0, F.col("id") % 40))
+    return rows.groupBy(F.col("category").alias("brief"), F.coalesce("cluster_id", F.col("id") + 1000000).alias("story")).agg(
+        F.count("*").alias("members"),
+        F.min_by(F.substring("title", 1, 80), "id").alias("label"),
+        F.array_sort(F.collect_list("id")).alias("ids"),
+        F.min("relevance").alias("first_theme"),
+        F.max("cluster_id").isNull().alias("single"),
+    )
+
+
+@query(
+    "d22_thin_day",
+    with_models(", q AS (SELECT CAST(published_at AS DATE) AS day, source_id, count(*) FILTER (relevance >= 9) AS qualifying FROM art GROUP BY ALL) SELECT day, source_id, qualifying, CASE WHEN qualifying >= 3 THEN 'normal' WHEN qualifying >= 1 THEN 'quiet' ELSE 'skip: quiet_day_no_articles' END AS status, CASE WHEN qualifying >= 3 THEN 3 WHEN qualifying >= 1 THEN 1 ELSE 0 END AS min_themes FROM q"),
+)
+def thin_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = models.articles(spark, sf_dir).groupBy(F.to_date("published_at").alias("day"), "source_id").agg(F.count_if(F.col("relevance") >= 9).alias("qualifying"))
+    return aggregates.thin_day(rows)

@@ -1 +1,119 @@
-"""graph rows."""
+"""C05, H and I rows: similarity, components, greedy selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gazetta import models
+from gazetta.functions.quantity import jaccard
+from gazetta.models import with_models
+from gazetta.operators import aggregates, filters, graphs, greedy, joins, windows
+from gazetta.queries.registry import query
+from gazetta.session import stash, table
+
+PAIRS = """
+WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.4)"""
+
+
+@query("c05_similar_pairs", PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM e")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("h02_lsh_pairs")
+def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.lsh_pairs(table(spark, sf_dir, "embeddings"), 0.4)
+
+
+COMPONENTS = PAIRS + """,
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, far) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.far = s.a),
+c AS (SELECT id, min(far) AS cluster FROM r GROUP BY id)"""
+
+
+@query("h03_components", COMPONENTS + " SELECT id, cluster FROM c")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.connected_components(graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per member of a cluster: cluster, id, action, kind."""
+    pairs = stash(graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4))
+    parts = graphs.connected_components(pairs)
+    members = models.articles(spark, sf_dir).select("id", "published_at", "title", "body").join(parts, "id")
+    edges = pairs.join(parts, F.col("a") == F.col("id")).select("cluster", "similarity")
+    summary = aggregates.cluster_summary(members, edges)
+    rows = members.select("id", "cluster").join(summary, "cluster")
+    action = F.when(F.col("review"), "review").when(F.col("id") == F.col("primary_id"), "keep").otherwise("drop")
+    return rows.select("primary_id", "id", "kind", action.alias("action"), "members")
+
+
+@query(
+    "h04_resolve_duplicates",
+    COMPONENTS
+    + """, ev AS (SELECT doc_id AS id, ts, lower(split_part(text, chr(10), 1) || ' ' || substr(text, 1, 300)) AS t FROM documents JOIN events ON event_id = doc_id),
+m AS (SELECT cluster, ev.* FROM c JOIN ev USING (id)),
+low AS (SELECT cluster, min(similarity) AS low FROM e JOIN c ON a = id GROUP BY cluster),
+z AS (SELECT cluster, count(*) AS members, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS span, bool_or(len(list_filter(['bitcoin', 'btc', 'eth', 'price', 'rally', 'surge', 'crash', 'ath'], lambda w: contains(t, w))) > 0) AS price,
+  arg_max(id, (ts, id)) AS latest, arg_min(id, (ts, id)) AS earliest FROM m GROUP BY cluster HAVING count(*) >= 2),
+k AS (SELECT z.*, CASE WHEN round(span, 6) <= 12 AND price THEN 'price_event' ELSE 'analysis' END AS kind, low < 0.9 AS weak FROM z JOIN low USING (cluster)),
+f AS (SELECT *, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id FROM k)
+SELECT primary_id, id, kind, CASE WHEN kind = 'analysis' AND weak THEN 'review' WHEN id = primary_id THEN 'keep' ELSE 'drop' END AS action, members FROM m JOIN f USING (cluster)""",
+)
+def resolve_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+@query(
+    "a08_soft_delete",
+    None,
+)
+def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _resolved(spark, sf_dir).select("id", F.col("primary_id").alias("cluster_id"), (F.col("action") == "drop").alias("lost"))
+    rows = models.articles(spark, sf_dir).select("id", "source_id").join(plan, "id", "left")
+    lost = F.coalesce("lost", F.lit(False))
+    return rows.select("id", "source_id", "cluster_id", lost.alias("deleted"), F.when(lost, F.col("cluster_id")).alias("duplicate_of"))
+
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks are a total order; a window over one brief's articles gives them."""
+    from pyspark.sql import Window
+
+    a = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null")
+    order = Window.partitionBy("category").orderBy(F.desc(filters.composite(F.col("relevance"), F.col("actionability"))), F.desc("published_at"), "id")
+    return a.select("id", "category", "topics", "relevance", "actionability", "source_id", F.row_number().over(order).alias("rank"))
+
+
+@query("i01_topic_themes")
+def topic_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy themes in every category on its own: topics carry their category, so overlaps stay inside."""
+    rows = _ranked(spark, sf_dir).withColumn("topics", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)))
+    return greedy.topic_themes(rows.select("id", "rank", "topics"), 6)
+
+
+@query("i02_thin_highlights")
+def thin_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ranked(spark, sf_dir).where("relevance >= 5")
+    pairs = joins.topic_overlap(rows, scope="category").where("shared >= 3")
+    t = rows.select("id", "topics")
+    both = pairs.join(t.select(F.col("id").alias("a"), F.col("topics").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("topics").alias("y")), "b")
+    return greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
+
+
+@query("i03_brief_selection")
+def brief_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes and their articles for each category: ledger, gate, greedy themes, size, rank."""
+    from pyspark.sql import Window
+
+    rows = joins.undelivered(_ranked(spark, sf_dir), models.deliveries(spark, sf_dir), "acct1")
+    rows = stash(rows.where(filters.entry_gate(F.col("relevance"), F.col("actionability"), 6)))
+    scoped = rows.select("id", "rank", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)).alias("topics"))
+    themed = rows.join(greedy.topic_themes(scoped, 6), "id")
+    score = F.sum(filters.composite(F.col("relevance"), F.col("actionability")))
+    clusters = themed.groupBy("category", "seed").agg(F.count("*").alias("size"), score.alias("score"), F.min("rank").alias("first"))
+    order = Window.partitionBy("category").orderBy(F.desc("score"), "first")
+    top = clusters.withColumn("cluster_rank", F.row_number().over(order)).withColumn("bundle", F.col("category"))
+    top = windows.eligible(top, "category", 2).where("cluster_rank <= 14")
+    return themed.join(top.select("category", "seed", "cluster_rank", "size"), ["category", "seed"]).select("category", "cluster_rank", "size", "id")
