@@ -102,6 +102,8 @@ def _regions(packed: bytes):
                 found_h.append(h[at])
                 found_at.append(at)
             h, at = np.concatenate(found_h), np.concatenate(found_at)
+            if not len(at):
+                continue
             order = np.argsort(at, kind="stable")
             h, at = h[order], at[order]
             doc = np.searchsorted(ends, at, side="right")
@@ -117,9 +119,8 @@ def _regions(packed: bytes):
                 out["tokens"].append(flat[low:high].view(np.int64))
                 out["seed"].append(h[i:j].view(np.int64))
                 out["at"].append(at[i:j] - low)
-            if out["doc_id"]:
-                kinds = {"doc_id": pa.int64(), "start": pa.int64()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.list_(pa.int64()))) for k, v in out.items()})
+            kinds = {"doc_id": pa.int64(), "start": pa.int64()}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.list_(pa.int64()))) for k, v in out.items()})
 
     return run
 
