@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,28 +30,60 @@ MEMBER = "struct<doc_id: long, piece: int, start: long, length: long, ids_crc32:
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 
 
-class TokenCache(dict):
-    """ASCII-space-free chunk to the bytes of its ids.
+class Tokens:
+    """Ids of texts, remembered by chunk.
 
     The tokenizer's rules never look across ASCII white space, so the ids of
-    a text are those of its chunks in order.
+    a text are those of its chunks in order. Nor do they look across the
+    place where a Latin letter meets ASCII marks other than an apostrophe, so a
+    chunk like that is a stem and its marks; stems are lower-cased, as the
+    tokenizer does. Both memories are bounded.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.limit, self.tokenizer = limit, Tokenizer.from_file(path)
+    MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~]+\Z")
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        got = self[chunk] = np.array(ids, "<u4").tobytes()
-        return got
+    def __init__(self, path: str, chunks: int = 500_000, stems: int = 400_000):
+        from tokenizers import Tokenizer
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.most_chunks, self.most_stems = chunks, stems
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
+        found = self.MARKS.search(chunk)
+        if found and b"<|" not in chunk:
+            stem = chunk[: found.start()]
+            last = stem.decode()[-1:]
+            if last < "\u0130" and last.isalpha():
+                return stem.lower(), found[0]
+        return chunk if b"<|" in chunk else chunk.lower(), b""
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [t.split() for t in texts]
+        if len(self.chunks) > self.most_chunks:
+            self.chunks.clear()
+        if len(self.stems) > self.most_stems:
+            self.stems.clear()
+        fresh = {c: self._parts(c) for c in set().union(*split) - self.chunks.keys()}
+        unknown = list({p for parts in fresh.values() for p in parts if p} - self.stems.keys())
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in unknown], add_special_tokens=False)
+        self.stems.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(unknown, found, strict=True))
+        known = self.stems
+        self.chunks.update((c, known[a] + (known[b] if b else b"")) for c, (a, b) in fresh.items())
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+#: One memory for all tasks of a worker process.
+_TOKENS: dict[str, Tokens] = {}
+
+
+def _tokens(path: str) -> Tokens:
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -92,12 +125,13 @@ BINS = f"used long, final boolean, members array<{MEMBER}>"
 
 def _first(path: str, size: int, full: int, end_id: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenCache(path)
+        tokens = _tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         items: list[tuple[int, list[dict]]] = []
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                ids = cache.ids(text or b"") + end
+        for batch in slices(batches, 512):
+            found = tokens.texts([t or b"" for t in as_bytes(batch.column("text"))])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     items.append((len(part) // 4, [{"doc_id": doc_id, "piece": piece, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}]))
