@@ -13,6 +13,7 @@ A null text is an empty one. Rows are kept as they come, repeated ones too.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -101,62 +102,61 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 SPAN = pa.struct([("start", pa.int64()), ("order", pa.int32()), ("end", pa.int64())])
-SEEN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("order", pa.int32()), ("word", pa.int64()), ("instance", pa.int64())])
-SCHEMA = "doc_id {}, base array<struct<start: long, order: int, end: long>>, seen array<struct<start: long, end: long, order: int, word: long, instance: long>>, word long, n long"
-
-
-def _scanned(most_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        def digest(s: str) -> int:
-            return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-
-        counts: Counter[str] = Counter()
-
-        def words(kind: pa.DataType) -> pa.RecordBatch:
-            n = len(counts)
-            totals: Counter[int] = Counter()
-            for w, c in counts.items():
-                totals[digest(w.lower())] += c
-            n = len(totals)
-            counts.clear()
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, kind), "base": pa.nulls(n, pa.list_(SPAN)), "seen": pa.nulls(n, pa.list_(SEEN)), "word": pa.array(totals.keys(), pa.int64()), "n": pa.array(totals.values(), pa.int64())})
-
-        kind = None
-        for batch in slices(batches):
-            kind = batch.column(0).type
-            base, seen = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                found = base_spans(text)
-                counts.update(text.split())
-                base.append([{"start": a, "order": k, "end": b} for a, k, b in found])
-                marks = [(a, b, k) for a, k, b in found] + [(a, b, -1) for a, b in candidates(text, found)]
-                seen.append([{"start": a, "end": b, "order": k, "word": digest(w), "instance": digest(text[a:b].lower())} for a, b, k in marks if (w := _left(text, a))])
-            n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(base, pa.list_(SPAN)), "seen": pa.array(seen, pa.list_(SEEN)), "word": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64())})
-            if len(counts) > most_words:
-                yield words(kind)
-        if counts:
-            yield words(kind)
-
-    return run
-
-
-def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_seeds: int = 3, accept: float = 0.6, most_words: int = 200_000) -> DataFrame:
+SEEN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("order", pa.int32()), ("word", pa.string()), ("instance", pa.int64())])
+SCHEMA = "doc_id {}, base array<struct<start: long, order: int, end: long>>, seen array<struct<start: long, end: long, order: int, word: string, instance: long>>"
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    def digest(s: str) -> int:
+        return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
+
+    for batch in slices(batches):
+        base, seen = [], []
+        for text in batch.column(1).to_pylist():
+            text = text or ""
+            found = base_spans(text)
+            base.append([{"start": a, "order": k, "end": b} for a, k, b in found])
+            marks = [(a, b, k) for a, k, b in found] + [(a, b, -1) for a, b in candidates(text, found)]
+            seen.append([{"start": a, "end": b, "order": k, "word": w, "instance": digest(text[a:b].lower())} for a, b, k in marks if (w := _left(text, a))])
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(base, pa.list_(SPAN)), "seen": pa.array(seen, pa.list_(SEEN))})
+
+
+def _word_counts(text: DataFrame, words: DataFrame, block: int) -> DataFrame:
+    """(word, times): how often each of ``words`` occurs in the corpus. A pass over the texts takes ``block`` words."""
+    n = max(1, math.ceil(words.count() / block))
+    out = None
+    for i in range(n):
+        wanted = frozenset(r.word for r in words.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i).select("word").collect())
+
+        def run(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] = wanted) -> Iterator[pa.RecordBatch]:
+            counts: Counter[str] = Counter()
+            for batch in slices(batches):
+                for t in batch.column("text").to_pylist():
+                    if t:
+                        counts.update(filter(wanted.__contains__, t.lower().split()))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+        part = text.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("times"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_seeds: int = 3, accept: float = 0.6, block: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added, arrays of (start, order, end); order is a place in ``KINDS``.
 
-    ``most_words`` bounds a task's word counts before they are passed on.
+    ``block`` bounds the pattern words that a task counts in one pass over the texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanned(most_words), SCHEMA.format(kind))
-    scanned = stash(scanned.withColumn("row", F.monotonically_increasing_id()))
-    rows = scanned.where("base is not null").select("row", "doc_id", "base", "seen")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stash(text.mapInArrow(_scanned, SCHEMA.format(kind)).withColumn("row", F.monotonically_increasing_id()))
     marks = stash(rows.select("row", F.explode("seen").alias("m")).select("row", "m.*"))
     seeds = marks.where("order >= 0")
     support = seeds.groupBy("word", "order").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    frequency = scanned.where("word is not null").join(support.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("times"))
+    # Only patterns that also precede a candidate can discover anything.
+    support = stash(support.join(marks.where("order < 0").select("word").distinct(), "word", "left_semi"))
+    frequency = _word_counts(text, support.select("word").distinct(), block)
     # Occurrences of an instance right of a pattern, for patterns with enough seeds.
     edges = stash(marks.groupBy("word", "instance", F.col("order").alias("own")).agg(F.count("*").alias("n")).join(support, "word").join(frequency, "word"))
     scores = seeds.select("instance", "order").distinct().withColumn("score", F.lit(1.0))
@@ -168,7 +168,7 @@ def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = scores.where(F.col("score") >= accept).groupBy("instance").agg(F.max_by("order", F.struct("score", -F.col("order"))).alias("order"))
     found = marks.where("order < 0").drop("order").join(best, "instance").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "order", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
-    return rows.drop("seen").join(found, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def span_text(spans: Column) -> Column:
