@@ -51,12 +51,14 @@ def _accumulated(queries: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarra
 
 def _best(k: int, step: int = 128):
     def run(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or rows.empty:  # an empty side has no columns
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         rows = rows.sort_values("vec_id", kind="stable")
         ids, vectors = rows["vec_id"].to_numpy(np.int64), [np.asarray(v) for v in rows["w"]]
         out = []
         for at in range(0, len(q), step):
             part = q.iloc[at : at + step]
-            scores = _accumulated([np.asarray(v) for v in part["w"]], vectors) if len(ids) else np.zeros((len(part), 0), np.int64)
+            scores = _accumulated([np.asarray(v) for v in part["w"]], vectors)
             for query, line in zip(part["query_id"], scores, strict=True):
                 free = np.flatnonzero(ids != query)
                 if len(free) > k:
