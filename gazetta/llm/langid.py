@@ -143,7 +143,7 @@ class LanguageModel:
     network: Network | None
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 2_000, max_runs: int = 30_000, steps: int = 700, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit_languages(docs: DataFrame, max_docs: int = 2_000, max_runs: int = 30_000, steps: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on ``max_docs`` documents with a language, and their ``max_runs`` most frequent runs of letters, at most."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = bounded_sample(known, F.col("id"), max_docs)
