@@ -29,7 +29,8 @@ KNOWN = (
 )
 #: Spellings that count as the same.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("https", "http"))
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that names a holder: the word with a sign or a year, or a sign alone.
+COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

@@ -42,7 +42,7 @@ def _licenses() -> str:
     from gazetta.llm.licenses import KNOWN, SPELLINGS
 
     def digest(x: str) -> str:
-        x = rf"regexp_replace(lower({x}), '(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$', '', 'g')"
+        x = rf"regexp_replace(lower({x}), '(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{{4}})|\(c\)|©)[^\n]*$', '', 'g')"
         for old, new in SPELLINGS:
             x = f"replace({x}, '{old}', '{new}')"
         x = f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
