@@ -60,14 +60,15 @@ def script_ratio(text: Column, ranges: str) -> Column:
 
 
 def humanise(n: Column) -> Column:
-    """66000 as 66K; one decimal place, trimmed."""
+    """66000 as 66K; tenths rounded half up, a zero tenth left out."""
     size = F.abs(n)
 
     def unit(by: float, mark: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.1f", n / by), r"\.0$", ""), F.lit(mark))
+        tenths = F.floor(size / F.lit(by) * 10 + 0.5).cast("long")
+        rest = F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit("."), (tenths % 10).cast("string")))
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), rest, F.lit(mark))
 
-    whole = F.regexp_replace(F.format_string("%.1f", n), r"\.0$", "")
-    return F.when(size >= 1e12, unit(1e12, "T")).when(size >= 1e9, unit(1e9, "B")).when(size >= 1e6, unit(1e6, "M")).when(size >= 1e3, unit(1e3, "K")).otherwise(whole)
+    return F.when(size >= 1e12, unit(1e12, "T")).when(size >= 1e9, unit(1e9, "B")).when(size >= 1e6, unit(1e6, "M")).when(size >= 1e3, unit(1e3, "K")).otherwise(unit(1.0, ""))
 
 
 def phone(text: Column) -> Column:

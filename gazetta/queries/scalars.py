@@ -1 +1,183 @@
-"""scalars rows."""
+"""G and K rows: column logic and text audits over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gazetta import models
+from gazetta.functions import balance, briefs, quantity, text
+from gazetta.models import with_models
+from gazetta.queries.registry import query
+from gazetta.session import table
+
+
+@query("g01_bias", with_models("SELECT source_id, CASE WHEN contains(lower(bias), 'left') THEN 'left' WHEN contains(lower(bias), 'right') THEN 'right' WHEN contains(lower(bias), 'cent') OR contains(lower(bias), 'middle') THEN 'center' END AS lean FROM src"))
+def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.sources(spark, sf_dir).select("source_id", balance.normalise_bias(F.col("bias")).alias("lean"))
+
+
+@query("g02_quantity")
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # No SQL: the pattern looks ahead, which the other dialect can't.
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", quantity.amount(F.col("text")).alias("amount"), quantity.unit(F.col("text")).alias("unit")).where("amount is not null")
+
+
+TENTHS = "CAST(floor(o_totalprice / {by} * 10 + 0.5) AS BIGINT)"
+
+
+def _shown(by: str, mark: str) -> str:
+    t = TENTHS.format(by=by)
+    return f"({t} // 10) || CASE WHEN {t} % 10 = 0 THEN '' ELSE '.' || ({t} % 10) END || '{mark}'"
+
+
+@query("g04_humanise", f"SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN {_shown('1e6', 'M')} WHEN o_totalprice >= 1e3 THEN {_shown('1e3', 'K')} ELSE {_shown('1e0', '')} END AS shown FROM orders")
+def humanise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.humanise(F.col("o_totalprice")).alias("shown"))
+
+
+SLUG = "coalesce(nullif(substr(array_to_string(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')[1:4], '-'), 1, 40), ''), 'drop')"
+
+
+@query(
+    "g05_slugs",
+    f"WITH s AS (SELECT doc_id, source, {SLUG} AS slug FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS n FROM s) SELECT doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS slug FROM n",
+)
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", text.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
+    n = F.row_number().over(Window.partitionBy("source", "slug").orderBy("doc_id"))
+    return rows.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")).alias("slug"))
+
+
+@query(
+    "g06_labels",
+    r"""
+WITH f AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN length(t) <= 48 THEN t WHEN contains(substr(t, 1, 48), ' ') THEN regexp_replace(substr(t, 1, 48), ' [^ ]*$', '') ELSE substr(t, 1, 48) END AS t FROM f)
+SELECT doc_id, coalesce(nullif(regexp_replace(t, '[ ,.;:\-]+$', ''), ''), 'story') AS label FROM c""",
+)
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_label(F.split_part("text", F.lit("\n"), F.lit(1))).alias("label"))
+
+
+@query(
+    "g09_material_moves",
+    "WITH p AS (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old FROM events) SELECT event_id FROM p WHERE old IS NOT NULL AND (abs(value - old) >= 40 OR (old <> 0 AND abs(value - old) / abs(old) >= 0.5))",
+)
+def material_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.lag("value").over(w).alias("old")).where("old is not null")
+    return rows.where(quantity.material(F.col("old"), F.col("value"), 0.5, 40)).select("event_id")
+
+
+@query("g12_week_key", "SELECT event_id, CAST(date_trunc('week', ts + INTERVAL '9' HOUR - INTERVAL '6' HOUR) AS DATE) AS week FROM events")
+def week_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", quantity.week_key(F.col("ts").cast("timestamp"), "Asia/Tokyo").alias("week"))
+
+
+@query("g13_day_start", "SELECT event_id, epoch_us(date_trunc('day', ts + INTERVAL '9' HOUR) - INTERVAL '9' HOUR) // 1000000 AS day_start FROM events")
+def day_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(quantity.day_start(F.col("ts").cast("timestamp"), "Asia/Tokyo")).alias("day_start"))
+
+
+@query(
+    "g17_char_budget",
+    with_models(", b AS (SELECT source_id, count(*) AS themes, count(*) FILTER (relevance >= 5) AS highlights FROM art GROUP BY 1) SELECT source_id, (1600 + 500) * themes + 250 * highlights AS cap, least(12000, greatest(2000, ((1600 + 500) * themes + 250 * highlights) // 3 + 500)) AS tokens FROM b"),
+)
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = models.articles(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("themes"), F.count_if(F.col("relevance") >= 5).alias("highlights"))
+    cap = (1600 + 500) * F.col("themes") + 250 * F.col("highlights")
+    return b.select("source_id", cap.alias("cap"), F.least(F.lit(12000), F.greatest(F.lit(2000), F.floor(cap / 3) + 500)).alias("tokens"))
+
+
+@query(
+    "g18_script_ratio",
+    r"SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '[\x{00C0}-\x{00FF}]')) / len(regexp_extract_all(text, '\p{L}')) ELSE 0 END, 9) AS ratio FROM documents",
+)
+def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.script_ratio(F.col("text"), "[\\x{00C0}-\\x{00FF}]"), 9).alias("ratio"))
+
+
+@query(
+    "g20_contacts",
+    r"WITH x AS (SELECT doc_id, regexp_replace(regexp_extract(text, '\+[0-9][0-9 ().-]{6,}[0-9]'), '[^0-9+]', '', 'g') AS p FROM documents) SELECT doc_id, p AS phone FROM x WHERE length(p) >= 9",
+)
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.phone(F.col("text")).alias("phone")).where("phone is not null")
+
+
+@query("g21_url_hash", "SELECT page_id, md5(url) AS hash FROM pages")
+def url_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.col("url").cast("binary")).alias("hash"))
+
+
+BRIEFS = """
+WITH b AS (SELECT conv_id AS id, string_agg(CASE WHEN role = 'user' THEN '## ' || replace(substr(text, 1, 30), chr(10), ' ') || CASE WHEN conv_id % 5 = 0 THEN ' Highlights' ELSE '' END ELSE text || CASE WHEN turn % 4 = 1 THEN ' [s](https://example.com/' || turn || ')' ELSE '' END END, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY 1)"""
+
+
+def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as briefs: a user's turn is a heading, an answer its body."""
+    c = table(spark, sf_dir, "conversations")
+    head = F.concat(F.lit("## "), F.translate(F.substring("text", 1, 30), "\n", " "), F.when(F.col("conv_id") % 5 == 0, " Highlights").otherwise(""))
+    body = F.concat("text", F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" [s](https://example.com/"), F.col("turn").cast("string"), F.lit(")"))).otherwise(""))
+    part = F.struct("turn", F.when(F.col("role") == "user", head).otherwise(body).alias("t"))
+    return c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("content"))
+
+
+SECTIONS = BRIEFS + """,
+p AS (SELECT id, unnest(string_split(chr(10) || content, chr(10) || '## ')[2:]) AS part, generate_subscripts(string_split(chr(10) || content, chr(10) || '## ')[2:], 1) AS position FROM b),
+s AS (SELECT id, position, trim(split_part(part, chr(10), 1)) AS heading, CASE WHEN contains(part, chr(10)) THEN substr(part, strpos(part, chr(10)) + 1) ELSE '' END AS body FROM p)"""
+
+
+@query("k01_sections", SECTIONS + " SELECT id, CAST(position AS INTEGER) AS position, heading, md5(body) AS body_md5, NOT contains(lower(heading), 'highlights') AND NOT contains(lower(heading), 'investigations') AS is_theme FROM s")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = briefs.sections(_briefs(spark, sf_dir), "id", "content")
+    return out.select("id", "position", "heading", F.md5(F.col("body").cast("binary")).alias("body_md5"), "is_theme")
+
+
+@query(
+    "k02_critic",
+    SECTIONS
+    + """, t AS (SELECT *, NOT contains(lower(heading), 'highlights') AND NOT contains(lower(heading), 'investigations') AS theme FROM s), n AS (SELECT id, count(*) FILTER (theme) AS themes FROM t GROUP BY 1), o AS (SELECT b.*, coalesce(themes, 0) AS themes FROM b LEFT JOIN n USING (id) WHERE trim(content) <> '')
+SELECT id, 'no_themes' AS rule, 'critical' AS severity, NULL AS subject FROM o WHERE themes = 0
+UNION ALL SELECT id, 'few_themes', 'warning', NULL FROM o WHERE themes BETWEEN 1 AND 2
+UNION ALL SELECT id, 'no_citations', 'critical', NULL FROM o WHERE NOT contains(content, '](')
+UNION ALL SELECT id, 'char_over_cap', 'warning', NULL FROM o WHERE length(content) > 3000
+UNION ALL SELECT id, 'empty_section', 'warning', heading FROM t WHERE trim(body) = ''
+UNION ALL SELECT id, 'theme_no_citation', 'warning', heading FROM t WHERE theme AND trim(body) <> '' AND NOT contains(body, '](')
+UNION ALL SELECT id, 'empty_brief', 'critical', NULL FROM b WHERE trim(content) = ''""",
+)
+def critic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return briefs.critic(_briefs(spark, sf_dir), "id", "content", 3000)
+
+
+@query("k06_bare_urls", BRIEFS + " SELECT id, CAST(len(regexp_extract_all(content || ' http://x https://y', 'https?://')) - len(regexp_extract_all(content, '\\]\\(https?://')) AS INTEGER) AS bare FROM b")
+def bare_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _briefs(spark, sf_dir).select("id", F.concat("content", F.lit(" http://x https://y")).alias("content"))
+    return rows.select("id", text.bare_urls(F.col("content")).alias("bare"))
+
+
+@query("k08_over_cap", BRIEFS + " SELECT id, CASE WHEN length(content) > 2000 * 1.15 THEN length(content) - 2000 END AS over, round(length(content) * 100.0 / 2000, 2) AS percent FROM b")
+def over_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("content").cast("long")
+    return _briefs(spark, sf_dir).select("id", briefs.over_cap(n, 2000, 1.15).alias("over"), F.round(n * 100.0 / 2000, 2).alias("percent"))
+
+
+@query(
+    "k10_plain_chat",
+    BRIEFS + r" SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(content, '(?m)^#{1,6} +(.*)$', '*\1*', 'g'), '\*\*([^*\n]+)\*\*', '*\1*', 'g'), '\[([^\]\n]*)\]\((https?://[^)\s]+)\)', '\1 (\2)', 'g')) AS chat_md5, md5(regexp_replace(content, '\[([^\]\n]*)\]\((https?://[^)\s]+)\)', '\1', 'g')) AS bare_md5 FROM b",
+)
+def plain_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _briefs(spark, sf_dir).select("id", F.md5(briefs.plain_chat(F.col("content")).cast("binary")).alias("chat_md5"), F.md5(briefs.without_links(F.col("content")).cast("binary")).alias("bare_md5"))
+
+
+@query("k11_chunks")
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(briefs.chunk_lines(F.col("text"), 1500)).alias("chunk", "part"))
+    return rows.select("doc_id", "chunk", F.length("part").alias("chars"), F.md5(F.col("part").cast("binary")).alias("part_md5"))
+
+
+@query("k15_key_shapes", r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:api_?key|token|password)\s*[:=]\s*\S{12,}')")
+def key_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|(?i:api_?key|token|password)\s*[:=]\s*\S{12,}")).select("doc_id")

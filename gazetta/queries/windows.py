@@ -104,7 +104,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BACKOFF = """
 , q AS (SELECT id, category, relevance, actionability, CASE WHEN actionability >= 2 THEN 0 WHEN relevance >= 1 THEN greatest(0, 9 - relevance) END AS need
-  FROM art JOIN src USING (source_id) WHERE id % 3 <> 0 AND actionability < 2 AND published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR),
+  FROM art JOIN src USING (source_id) WHERE actionability < 2 AND published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR),
 h AS (SELECT category, need, sum(count(*)) OVER (PARTITION BY category ORDER BY need) AS c FROM q WHERE need <= 4 GROUP BY category, need),
 f AS (SELECT category, coalesce(min(need) FILTER (c >= 30), 4) AS relax FROM h GROUP BY category)
 SELECT q.category, id, relevance, CAST(relax AS INTEGER) AS relax FROM q JOIN f USING (category) WHERE need <= relax"""
@@ -112,7 +112,7 @@ SELECT q.category, id, relevance, CAST(relax AS INTEGER) AS relax FROM q JOIN f
 
 @query("e08_relevance_backoff", with_models(BACKOFF))
 def relevance_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _known(spark, sf_dir).where("category is not null and id % 3 <> 0 and actionability < 2")
+    rows = _known(spark, sf_dir).where("category is not null and actionability < 2")
     rows = rows.where(filters.in_window(F.col("published_at"), as_of(), F.lit(24)))
     return windows.relevance_backoff(rows, "category", 9, 5, 30).select("category", "id", "relevance", "relax")
 
