@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Scale words and their factors.
 SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
-NUMBER = r"(?i)([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousand|million|billion|trillion|mn|bn|k|m|b|t)?(?![a-z])"
+#: A number, and a scale word that is not the start of another word.
+NUMBER = r"(?i)([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(thousand|million|billion|trillion|mn|bn|k|m|b|t)(?![a-z]))?+"
 
 
 def amount(text: Column) -> Column:

@@ -83,3 +83,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = step.select("id", "cluster")
         if not step.where("cluster < old").limit(1).count():
             return labels
+
+
+def text_copies(docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a < b, shared, either) of texts whose word shingles overlap by ``percent`` of their union, exactly.
+
+    Equal sets count once, by their smallest id. A pair at the threshold must
+    share one of each text's rarest shingles, so only those are joined.
+    """
+    words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - shingle + 1))
+    made = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " "))))
+    sets = docs.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0").select("id", F.array_sort(made).alias("s"))
+    sets = stash(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n")))
+    parts = sets.select("id", "n", F.explode("s").alias("g"))
+    counts = parts.groupBy("g").agg(F.count("*").alias("df"))
+    rare = parts.join(counts.where("df > 1"), "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"), F.count("*").alias("common"))
+    # Shingles that nobody shares are the rarest of all; they use up the prefix first.
+    width = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1 - (F.col("n") - F.col("common"))
+    dealt = rare.where(width > 0).select("id", "n", F.explode(F.slice("r", 1, width.cast("int"))).alias("x")).select("id", "n", "x.g")
+    a, b = dealt.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), dealt.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    out = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
+    return out.where(F.col("shared") * 100 >= F.col("either") * percent)
