@@ -16,6 +16,7 @@ import bisect
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,49 +32,45 @@ ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.in
 
 
 class Tokens:
-    """Ids of texts, remembered by chunk.
+    """Ids of texts, remembered by word.
 
-    The tokenizer's rules never look across ASCII white space, so the ids of
-    a text are those of its chunks in order. Nor do they look across the
-    place where a Latin letter meets ASCII marks other than an apostrophe, so a
-    chunk like that is a stem and its marks; stems are lower-cased, as the
-    tokenizer does. Both memories are bounded.
+    For texts of ASCII and Latin letters the tokenizer's own rule for words is
+    applied here, to the lower-cased text, and every distinct word is encoded
+    once. Texts with other characters, or with the text of a special token,
+    are encoded whole. Two generations of words are kept: frequent ones move
+    on to the next, so memory is bounded and rarely cold.
     """
 
-    MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~]+\Z")
+    #: The tokenizer's rule, for the characters that OTHER lets pass.
+    WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u012f]+")
+    OTHER = re.compile(r"[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]|<\|")
 
-    def __init__(self, path: str, chunks: int = 500_000, stems: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        self.most_chunks, self.most_stems = chunks, stems
-
-    def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
-        found = self.MARKS.search(chunk)
-        if found and b"<|" not in chunk:
-            stem = chunk[: found.start()]
-            last = stem.decode()[-1:]
-            if last < "\u0130" and last.isalpha():
-                return stem.lower(), found[0]
-        return chunk if b"<|" in chunk else chunk.lower(), b""
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most = most
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self.chunks) > self.most_chunks:
-            self.chunks.clear()
-        if len(self.stems) > self.most_stems:
-            self.stems.clear()
-        fresh = {c: self._parts(c) for c in set().union(*split) - self.chunks.keys()}
-        unknown = list({p for parts in fresh.values() for p in parts if p} - self.stems.keys())
-        found = self.tokenizer.encode_batch_fast([u.decode() for u in unknown], add_special_tokens=False)
-        self.stems.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(unknown, found, strict=True))
-        known = self.stems
-        self.chunks.update((c, known[a] + (known[b] if b else b"")) for c, (a, b) in fresh.items())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.words) > self.most:
+            self.older, self.words = self.words, {}
+        said = [t.decode() for t in texts]
+        whole = {i: ids for i, t in enumerate(said) if self.OTHER.search(t) for ids in self._encoded([t])}
+        split = [[] if i in whole else self.WORD.findall(t.lower()) for i, t in enumerate(said)]
+        words, older = self.words, self.older
+        fresh = set().union(*split).difference(words)
+        known = fresh.intersection(older)
+        words.update((w, older[w]) for w in known)
+        fresh = list(fresh - known)
+        words.update(zip(fresh, self._encoded(fresh), strict=True))
+        get = words.__getitem__
+        return [whole[i] if i in whole else b"".join(map(get, w)) for i, w in enumerate(split)]
 
 
 #: One memory for all tasks of a worker process.
@@ -128,7 +125,7 @@ def _first(path: str, size: int, full: int, end_id: int, together: int):
         tokens = _tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         items: list[tuple[int, list[dict]]] = []
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             found = tokens.texts([t or b"" for t in as_bytes(batch.column("text"))])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids += end
