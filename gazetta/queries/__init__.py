@@ -1,6 +1,6 @@
 """Registered queries over the given tables, and SQL to compare them with."""
 
-from gazetta.queries import aggregates, graph, inference, joins, more, scalars, scans, streams, windows
+from gazetta.queries import aggregates, audits, graph, inference, joins, more, scalars, scans, streams, windows
 from gazetta.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "graph", "inference", "joins", "more", "scalars", "scans", "streams", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "audits", "graph", "inference", "joins", "more", "scalars", "scans", "streams", "windows"]

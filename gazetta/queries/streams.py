@@ -56,7 +56,7 @@ def sliding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SESSIONS = """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM events),
+WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, CAST(epoch_us(min(ts)) // 1000000 AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, s.n"""
 
