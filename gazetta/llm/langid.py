@@ -47,7 +47,7 @@ def encode(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Network:
     """Byte embedding, a gated recurrent layer in each direction, a softmax at every position."""
 
-    def __init__(self, classes: int, hidden: int = 24, embed: int = 12, seed: int = 3):
+    def __init__(self, classes: int, hidden: int = 16, embed: int = 8, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"e": rng.normal(0, 0.3, (256, embed)), "v": rng.normal(0, 0.2, (2 * hidden, classes)), "c": np.zeros(classes)}
@@ -55,7 +55,7 @@ class Network:
             self.p |= {"w" + d: rng.normal(0, 1 / np.sqrt(embed), (embed, 3 * hidden)), "u" + d: rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)), "d" + d: np.zeros(3 * hidden)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _layer(self, d: str, x: np.ndarray, mask: np.ndarray, order: range) -> tuple[np.ndarray, list]:
+    def _layer(self, d: str, x: np.ndarray, mask: np.ndarray, order: range, keep: bool) -> tuple[np.ndarray, list]:
         p, k = self.p, self.h
         state, out, tape = np.zeros((len(x), k), np.float32), np.zeros((*mask.shape, k), np.float32), []
         pre = x @ p["w" + d] + p["d" + d]
@@ -66,17 +66,18 @@ class Network:
             n = np.tanh(pre[:, t, 2 * k :] + (r * state) @ p["u" + d][:, 2 * k :])
             m = mask[:, t, None]
             new = np.where(m, z * state + (1 - z) * n, state)
-            tape.append((t, state, z, r, n, m))
+            if keep:
+                tape.append((t, state, z, r, n, m))
             state = out[:, t] = new
         return out, tape
 
-    def forward(self, b: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def forward(self, b: np.ndarray, lengths: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
         width = int(lengths.max(initial=1))
         b = b[:, :width]
         mask = np.arange(width) < lengths[:, None]
         x = self.p["e"][b]
-        f, tf = self._layer("f", x, mask, range(width))
-        g, tg = self._layer("b", x, mask, range(width - 1, -1, -1))
+        f, tf = self._layer("f", x, mask, range(width), keep)
+        g, tg = self._layer("b", x, mask, range(width - 1, -1, -1), keep)
         h = np.concatenate([f, g], axis=2)
         s = h @ self.p["v"] + self.p["c"]
         s -= s.max(axis=2, keepdims=True)
@@ -124,14 +125,14 @@ class Network:
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)).astype(np.float32)
 
-    def summed(self, runs: list[str], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def summed(self, runs: list[str], block: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """For each run the sum of its positions' probabilities, and its positions."""
         total, count = np.zeros((len(runs), len(self.p["c"]))), np.zeros(len(runs), np.int64)
         b, lengths, owner = encode(runs)
         order = np.argsort(lengths, kind="stable")
         for at in range(0, len(order), block):
             rows = order[at : at + block]
-            y, (_, _, mask, *_) = self.forward(b[rows], lengths[rows])
+            y, (_, _, mask, *_) = self.forward(b[rows], lengths[rows], False)
             np.add.at(total, owner[rows], (y * mask[:, :, None]).sum(1))
         np.add.at(count, owner, lengths)
         return total, count
@@ -166,30 +167,60 @@ def fit_languages(docs: DataFrame, max_docs: int = 2_000, max_runs: int = 30_000
 
 
 class Labels(dict):
-    """Run of letters to a row of ``total``; new runs wait for ``settle``."""
+    """Run of letters to a row of ``total`` and ``count``; new runs wait for ``settle``.
 
-    def __init__(self, model: LanguageModel):
+    Two generations of about ``limit`` runs are remembered: frequent ones move on to the next.
+    """
+
+    def __init__(self, model: LanguageModel, limit: int):
         super().__init__()
-        self.model, self.waiting = model, []
+        self.model, self.limit, self.waiting = model, limit, []
         self.total, self.count = np.zeros((0, len(model.languages))), np.zeros(0, np.int64)
+        self.older: tuple[dict, np.ndarray, np.ndarray] = ({}, self.total, self.count)
 
     def __missing__(self, run: str) -> int:
         got = self[run] = len(self)
         self.waiting.append(run)
         return got
 
+    def rotate(self) -> None:
+        if len(self) > self.limit:
+            self.older = (dict(self), self.total, self.count)
+            self.clear()
+            self.total, self.count = self.total[:0], self.count[:0]
+
     def settle(self) -> None:
-        if self.waiting:
-            total, count = self.model.network.summed(self.waiting)
-            self.total, self.count = np.vstack([self.total, total]), np.concatenate([self.count, count])
-            self.waiting = []
+        if not self.waiting:
+            return
+        rows, old_total, old_count = self.older
+        at = np.array([rows.get(r, -1) for r in self.waiting])
+        total, count = np.zeros((len(at), self.total.shape[1])), np.zeros(len(at), np.int64)
+        known = at >= 0
+        total[known], count[known] = old_total[at[known]], old_count[at[known]]
+        total[~known], count[~known] = self.model.network.summed([r for r, k in zip(self.waiting, known, strict=True) if not k])
+        self.total, self.count = np.vstack([self.total, total]), np.concatenate([self.count, count])
+        self.waiting = []
+
+
+#: The labels of the last model, for all tasks of a worker process.
+_LABELS: dict[bytes, Labels] = {}
+
+
+def _labels(model: LanguageModel, limit: int) -> Labels:
+    import hashlib
+
+    key = hashlib.sha256(repr(model.languages).encode() + b"".join(v.tobytes() for v in model.network.p.values())).digest()
+    if key not in _LABELS:
+        _LABELS.clear()
+        _LABELS[key] = Labels(model, limit)
+    return _LABELS[key]
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", limit: int = 300_000) -> DataFrame:
     """(id, lang_pred, score). A text without a letter, or null, is ``und`` with score 0.
 
     With one learned language every other text gets it with score 1; with
-    none, every text is ``und``. ``limit`` bounds the runs that a task remembers.
+    none, every text is ``und``. ``limit`` bounds the runs that a worker remembers.
     """
     languages = model.languages
 
@@ -197,15 +228,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         import regex
 
         letters = regex.compile(r"\p{L}+")
-        labels = Labels(model)
+        labels = _labels(model, limit) if model.network else None
         for batch in slices(batches, 512):
-            if len(labels) > limit:
-                labels = Labels(model)
             found = [letters.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
             pred, score = [UNKNOWN] * len(found), [0.0] * len(found)
             if languages and model.network is None:
                 pred, score = [languages[0] if w else UNKNOWN for w in found], [float(bool(w)) for w in found]
             elif languages:
+                labels.rotate()
                 at = [np.fromiter(map(labels.__getitem__, w), np.int64, len(w)) for w in found]
                 labels.settle()
                 for i, rows in enumerate(at):
