@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_ownership_secrets": sql.SECRETS,
     "op4_license_digests": sql.LICENSES,
     "op6_superminhash_near_dedup": sql.NEAR_DEDUP,
     "op8_exact_top_k": sql.TOP_K,

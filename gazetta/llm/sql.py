@@ -60,3 +60,33 @@ FROM d LEFT JOIN known USING (digest) LEFT JOIN f USING (r)
 
 
 LICENSES = _licenses()
+
+#: Matches marked in the text, places from running lengths, owners per value.
+SECRETS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS repo, source AS owner, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS t FROM documents
+), m AS (
+  SELECT r, repo, owner, 'assign' AS kind, 1 AS o, 12 AS least, regexp_replace(t, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') AS x FROM d
+  UNION ALL SELECT r, repo, owner, 'access', 2, 18, regexp_replace(t, '(AKIA[A-Z0-9]+)', chr(1) || chr(2) || '\1' || chr(3), 'g') FROM d
+  UNION ALL SELECT r, repo, owner, 'hex', 3, 16, regexp_replace(t, '([0-9a-f]{16,})', chr(1) || chr(2) || '\1' || chr(3), 'g') FROM d
+  UNION ALL SELECT r, repo, owner, 'token', 4, 24, regexp_replace(t, '([A-Za-z0-9_-]{24,})', chr(1) || chr(2) || '\1' || chr(3), 'g') FROM d
+), p AS (
+  SELECT r, repo, owner, kind, o, least, unnest(string_split(x, chr(1))) AS part, generate_subscripts(string_split(x, chr(1)), 1) AS i FROM m WHERE contains(x, chr(1))
+), q AS (
+  SELECT *, CASE WHEN i > 1 THEN split_part(part, chr(2), 1) ELSE '' END AS head, CASE WHEN i > 1 THEN split_part(split_part(part, chr(2), 2), chr(3), 1) END AS value,
+    coalesce(sum(length(part) - CASE WHEN i > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p
+), s AS (
+  SELECT r, repo, owner, kind, o, CAST(start AS BIGINT) AS start, CAST(start + length(head) + length(value) AS BIGINT) AS stop, value FROM q
+  WHERE i > 1 AND length(value) >= least AND (kind <> 'token' OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))
+), w AS (SELECT value, count(DISTINCT owner) + CAST(bool_or(owner IS NULL) AS INTEGER) AS owners, count(DISTINCT (owner, repo)) AS repos FROM s GROUP BY value
+), f AS (SELECT s.*, owners = 1 AND repos <= 3 AS live, owners >= 3 AS copied FROM s JOIN w USING (value)
+), k AS (
+  SELECT * FROM f WHERE kind <> 'token' OR (live AND NOT EXISTS (SELECT 1 FROM f b WHERE b.r = f.r AND b.kind <> 'token' AND b.start < f.stop AND f.start < b.stop))
+), g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (kind <> 'token') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied FROM k GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (r)
+"""
