@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ``rows`` rows, to bound what a task holds at once."""
+    """Batches cut to ``rows`` rows, to bound what a task holds at once.
+
+    Workers are kept for later tasks, so free memory is handed back at the end.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -54,7 +62,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word to a 64-bit hash, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -40,7 +40,9 @@ class Tokens(WordIds):
 
         if len(self) >= self.limit:
             self.clear()
-        token = "".join(c for c in chunk.decode("utf-8", "replace").lower() if c.isalnum())
+        token = chunk.strip(b".,;:!?\"'()%$#*&").lower()
+        if not token.isalnum():  # not ASCII, or marks inside
+            token = "".join(c for c in token.decode("utf-8", "replace").lower() if c.isalnum()).encode()
         got = self[chunk] = xxhash.xxh3_64_intdigest(token) | 1 if token else 0
         return got
 

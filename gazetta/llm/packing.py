@@ -45,7 +45,7 @@ class Tokens:
     WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u012f]+")
     OTHER = re.compile(r"[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]|<\|")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
