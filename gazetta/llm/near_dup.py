@@ -6,11 +6,13 @@ documents are linked if 100 * intersection >= percent * union.
 
 Copies with equal sets are one node from the start. Nodes get a SuperMinHash
 signature, whose bands deal them into buckets. Buckets are worked off by hubs,
-not by pairs: in each round a growing share of a bucket's nodes are hubs, and
-every node that is not yet in a hub's component is compared with that hub on
-the full sets. A bucket is done once its nodes are one component or all of
-them have been hubs, so no link that shares a bucket is lost. Verified links
-are joined to components by minimum labels with pointer jumping.
+not by pairs: every node is compared with its bucket's most central node on
+the full sets. Nodes of buckets that are not one component then are dealt
+anew by their rarest shingles, one of which every linked pair shares, and
+those buckets are worked off by a growing share of hubs until each is one
+component or all of its nodes have been hubs. So no link between nodes that
+share a band is lost. Verified links are joined to components by minimum
+labels with pointer jumping.
 
 Null or empty texts, and texts without words, have no set and no links.
 Rows with a null doc_id take part in links, but are never a component's id.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetta.llm.common import WordIds, as_bytes, keyed, mix64, slices
@@ -188,6 +190,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary, linked boolean"))
 
 
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    """Sizes that a linked pair can have."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 512):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(np.concatenate(sets))], names=["node", "shingle"])
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    return rows.join(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "bucket", "left_semi")
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least number of shared shingles of a linked pair of these sizes."""
+    return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent)).cast("long")
+
+
+def _prefixes(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, n, rank, k) over open nodes: a bucket for each of a node's rarest shingles.
+
+    Shingles are ranked by how many open nodes hold them. A linked pair shares
+    one whose rank on either side is within n - overlap + 1, so buckets by
+    those shingles meet every linked pair. k is the size of the bucket.
+    """
+    parts = sets.join(open_nodes, "node", "left_semi").mapInArrow(_shingles, "node binary, shingle long")
+    held = parts.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = parts.join(held, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("r"))
+    ranked = open_nodes.join(ranked, "node").withColumn("own", F.col("n") - F.size("r"))  # shingles of this node alone rank first
+    width = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("long") + 1 - F.col("own")
+    dealt = ranked.where(width > 0).select("node", "n", "own", F.posexplode(F.slice("r", F.lit(1), width.cast("int"))).alias("at", "x"))
+    dealt = stash(dealt.select(F.col("x.shingle").alias("bucket"), "node", "n", (F.col("own") + F.col("at") + 1).alias("rank")))
+    return stash(dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1"), "bucket"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Members of prefix buckets that may still have an unknown link: their rank suits the smallest partner that the bucket holds."""
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * F.lit(percent) / 100).cast("long"))
+    rows = members.where(F.col("rank") <= F.col("n") - _overlap(F.col("n"), least, percent) + 1)
+    return stash(_mixed(_labelled(rows, labels)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -201,41 +255,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # A node is a distinct set; its bands depend on the set alone.
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     dealt = nodes.select("node", "doc_key", "n", F.explode("bands").alias("bucket"))
-    full = dealt.groupBy("bucket").agg(F.count("*").alias("k"), F.min("node").alias("first")).where("k > 1")
-    members = stash(dealt.join(full, "bucket").select("bucket", "k", "first", "node", "n", "doc_key"))
+    full = dealt.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    members = stash(dealt.join(full, "bucket").select("bucket", "k", "node", "n", "doc_key"))
+    n_members = members.count()
     chosen = members.select("doc_key").distinct()
     sets = stash(keyed(text.where("text is not null"), stash(chosen), "doc_key", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    links, failed, labels, share = None, None, None, 1
+    # The first hub of a bucket is the node with the fullest buckets: copies resemble their source more than each other.
+    degree = members.groupBy("node").agg(F.sum("k").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
+    pairs = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), percent))
+    pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    tried = _verified(pairs, sets, percent)
+    failed, labels = tried.where("not linked").select("a", "b"), None
+    if tried.where("linked").limit(1).count():
+        labels = _merged(None, tried.where("linked").select("a", "b"))
+    nodes_left = stash(_mixed(_labelled(members.select("bucket", "node", "n"), labels)).select("node", "n").distinct())
+    prefixes, share, done = _prefixes(nodes_left, sets, percent), 4, 0
     while True:
-        live = members
-        if labels is not None:
-            live = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-            live = live.join(mixed, "bucket")
-        else:
-            live = live.withColumn("label", F.col("node"))
+        live = _open(prefixes, labels, percent)
+        left = live.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
+        left = left.agg(F.sum("pairs")).first()[0]
+        if not left or live.where(F.col("k") > done).limit(1).count() == 0:
+            break  # no bucket is mixed, or all nodes of those that are have been hubs
+        last = left <= 4 * n_members  # no more than in proportion to the input
         draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        hubs = live.where("node = first") if share == 1 else live.where((draw * F.col("k") < share) & (draw * F.col("k") >= (share // 4 if share > 4 else 0)))
-        hubs = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-        pairs = live.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
+        hubs = live if last else live.where(draw * F.col("k") < share)
+        hubs = hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "label", "rank")])
+        shared = _overlap(F.col("n"), F.col("hub_n"), percent)
+        suits = (F.col("rank") <= F.col("n") - shared + 1) & (F.col("hub_rank") <= F.col("hub_n") - shared + 1)
+        pairs = live.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & _alike(F.col("n"), F.col("hub_n"), percent) & suits)
+        pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct().join(failed, ["a", "b"], "left_anti")
         tried = _verified(pairs, sets, percent)
-        fresh = tried.where("linked").select("a", "b")
-        if fresh.limit(1).count():
-            labels = _merged(labels, fresh)
-        bad = tried.where("not linked").select("a", "b")
-        failed = bad if failed is None else failed.unionByName(bad)
-        # All nodes of a bucket have been hubs once the share reaches its size.
-        left = members.where(F.col("k") > share)
-        if labels is not None:
-            left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            left = left.withColumn("label", F.col("node"))
-        if left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").limit(1).count() == 0:
+        if tried.where("linked").limit(1).count():
+            labels = _merged(labels, tried.where("linked").select("a", "b"))
+        if last:
             break
-        share *= 4
+        failed = failed.unionByName(tried.where("not linked").select("a", "b"))
+        done, share = share, share * 4
     named = nodes.select("node", "least_id")
     if labels is None:
         classes = named.select("node", F.col("least_id").alias("component_id"))
