@@ -7,7 +7,6 @@ return the columns of ``documents``; the last returns packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gazetta.llm import quality
 from gazetta.llm.common import held_out
@@ -48,10 +47,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret values are replaced; n_chars follows where a text has changed."""
-    done = redact_secrets(docs.withColumn("_old", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_old"))
-    return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_old")
+    """Secret values are replaced, by their owners over all rows; n_chars follows where a text has changed."""
+    return redact_secrets(docs, owner_col="source", length_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

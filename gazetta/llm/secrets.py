@@ -34,15 +34,16 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(f"{START}$1{VALUE}$2{END}"))
 
 
-def secret_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None) -> DataFrame:
+def secret_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, repo, owner, kind, start, end, value_hash), and one row without a kind for a document that has none.
 
+    ``row_col`` numbers the rows; without one they are numbered here.
     start and end are code points. A match is marked in the text, which is
     then split at the marks; running sums of the parts' lengths give places.
     """
     clean = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), START + VALUE + END, "\u0004\u0004\u0004")
     base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(repo_col or id_col).cast("string").alias("repo"),
         (F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")).alias("owner"),
@@ -86,9 +87,12 @@ def ownership(matches: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None, example_owners: int = 3, live_repos: int = 3) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, base and added (arrays of start, order, kind, end, live), n_live, n_copied."""
-    matches = stash(secret_matches(docs, id_col, text_col, repo_col, owner_col))
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None, example_owners: int = 3, live_repos: int = 3, row_col: str | None = None, over_copied: bool = False) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, base and added (arrays of start, order, kind, end, live, copied), n_live, n_copied.
+
+    With ``over_copied`` a live candidate is added also where it overlaps copied base spans only.
+    """
+    matches = stash(secret_matches(docs, id_col, text_col, repo_col, owner_col, row_col))
     known = ownership(matches)
     hits = matches.where("kind is not null").join(known, "value_hash", "left")
     order = F.array_position(F.array(*[F.lit(k) for k in (*BASE, CANDIDATE)]), F.col("kind")).cast("int")
@@ -99,7 +103,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint,live:boolean,copied:boolean>>")
     out = rows.join(per_row, "row", "left").withColumn("spans", F.coalesce("spans", empty))
     out = out.withColumn("base", F.filter("spans", lambda x: x["kind"] != CANDIDATE))
-    extra = F.filter("spans", lambda x: (x["kind"] == CANDIDATE) & x["live"] & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    bars = F.filter("base", lambda b: ~b["copied"]) if over_copied else F.col("base")
+    extra = F.filter("spans", lambda x: (x["kind"] == CANDIDATE) & x["live"] & ~F.exists(bars, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     out = out.withColumn("added", extra)
     both = F.concat("base", "added")
     return out.select("row", "doc_id", "base", "added", F.size(F.filter(both, lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter(both, lambda x: x["copied"])).cast("long").alias("n_copied"))
@@ -109,19 +114,35 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the value of every base match replaced by ``mark``; other texts are unchanged, null ones too."""
-    text = F.col(text_col)
-    # Assignments first: their values may hold the other kinds.
-    clean = F.translate(text, START + VALUE + END, "\u0004\u0004\u0004")
-    marked = _marked(clean, PATTERNS[0][1])
-    parts = F.split(marked, START)
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", id_col: str = "doc_id", repo_col: str | None = None, owner_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """``docs`` with the values of its secrets replaced by ``mark``: base and added spans, but for copied examples.
 
-    def shown(p: Column) -> Column:
-        got = F.substring_index(F.substring_index(p, VALUE, -1), END, 1)
-        rest = F.substring_index(p, END, -1)
-        return F.when(~F.contains(p, F.lit(VALUE)), p).otherwise(F.concat(F.substring_index(p, VALUE, 1), F.when(F.length(got) >= 12, F.lit(mark)).otherwise(got), rest))
+    Other texts are unchanged, null ones too. ``length_col`` gets the new
+    length where a text has changed. Overlapping values have one mark.
+    """
+    # Rows are numbered once and written, so that spans come back to the rows in which they were found.
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = scan_secrets(rows, id_col, text_col, repo_col, owner_col, row_col="_row", over_copied=True)
+    spans = F.array_sort(F.filter(F.concat("base", "added"), lambda x: ~x["copied"]))
+    hidden = found.select(F.col("row").alias("_row"), F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["kind"].alias("kind"))).alias("_spans")).where("size(_spans) > 0")
+    text = F.col(text_col).cast("string")
+    clean = F.translate(text, START + VALUE + END, "\u0004\u0004\u0004")
 
-    assigned = F.when(F.contains(marked, F.lit(START)), F.array_join(F.transform(parts, shown), "")).otherwise(text)
-    done = F.regexp_replace(F.regexp_replace(assigned, r"AKIA[A-Z0-9]{14,}", mark.replace("$", r"\$")), r"[0-9a-f]{16,}", mark.replace("$", r"\$"))
-    return docs.withColumn(text_col, done)
+    def value(x: Column) -> Column:
+        """Of an assignment, the part after its prefix."""
+        prefix = F.regexp_extract(F.substring(clean, x["start"] + 1, x["end"] - x["start"]), PATTERNS[0][1], 1)
+        return F.struct((x["start"] + F.when(x["kind"] == "assign", F.length(prefix)).otherwise(0)).alias("start"), x["end"].alias("end"))
+
+    def step(done: Column, x: Column) -> Column:
+        new = x["start"] >= done["at"]
+        parts = F.when(new, F.concat(done["parts"], F.array(F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit(mark)))).otherwise(done["parts"])
+        return F.struct(parts.alias("parts"), F.greatest(done["at"], x["end"]).alias("at"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+    values = F.array_sort(F.transform("_spans", value))
+    shown = F.aggregate(values, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    changed = F.col("_spans").isNotNull()
+    out = rows.join(hidden, "_row", "left").withColumn(text_col, F.when(changed, shown).otherwise(F.col(text_col)))
+    if length_col:
+        out = out.withColumn(length_col, F.when(changed, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
