@@ -34,8 +34,11 @@ from gazetta.llm.common import bounded_sample, slices
 #: Fixed values of HTML: elements that start a block, whose content is no markup, or that have no end tag.
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset("script style template noscript iframe object svg math textarea title xmp noembed noframes".split())
+RAW = HIDDEN - frozenset("template object svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[A-Za-z][^>]*>|[^<]+|<", re.S)
+END_TAGS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+SCRIPT = re.compile(r"<!(?=--)|-->|</?script(?=[\s/>])", re.I)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -58,10 +61,33 @@ SIDE_WORDS = frozenset("nav menu navbar navigation breadcrumb breadcrumbs header
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
 
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where raw content from ``at`` on ends with its end tag; the page's end if it has none.
+
+    A script inside a comment inside a script has an end tag of its own.
+    """
+    first, depth = -1, 0  # 1: in a comment, 2: in a script inside it
+    for m in (SCRIPT if name == "script" else END_TAGS[name]).finditer(page, at):
+        t = m[0]
+        if t == "<!":
+            depth = depth or 1
+        elif t == "-->":
+            depth = 0
+        elif t[1] != "/":
+            depth = 2 if depth else 0
+        else:
+            first = m.start() if first < 0 else first
+            if depth < 2:
+                first = m.start()
+                break
+            depth = 1
+    return (page.find(">", first) + 1 or len(page)) if first >= 0 else len(page)
+
+
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of the text in links) of every block that has text, in page order."""
     out, stack, text, linked, in_link = [], [], [], 0, 0
-    hidden = ""
+    hidden, depth = "", 0
 
     def flush() -> None:
         nonlocal linked
@@ -71,54 +97,62 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        t = m[0]
-        if t[0] != "<" or t == "<":
-            if not hidden:
-                t = html.unescape(t)
-                text.append(t)
-                linked += len(t) if in_link else 0
-            continue
-        if t.startswith("<![CDATA[") and not hidden:
-            text.append(t[9:].removesuffix("]]>"))
-            continue
-        named = NAME.match(t)
-        if not named:
-            continue
-        name, closing = named[1].lower(), t[1] == "/"
-        if hidden:
-            if closing and name == hidden:
-                hidden = ""
-            continue
-        if name in HIDDEN and not closing:
-            if name in BLOCKS:
+    at = 0
+    while at < len(page):
+        start, at = at, len(page)
+        for m in TOKEN.finditer(page, start):
+            t = m[0]
+            if t[0] != "<" or t == "<":
+                if not hidden:
+                    t = html.unescape(t)
+                    text.append(t)
+                    linked += len(t) if in_link else 0
+                continue
+            if t.startswith("<![CDATA[") and not hidden:
+                text.append(t[9:].removesuffix("]]>"))
+                continue
+            named = NAME.match(t)
+            if not named:
+                continue
+            name, closing = named[1].lower(), t[1] == "/"
+            if name in RAW and not closing:
+                if name in BLOCKS and not hidden:
+                    flush()
+                if not t.endswith("/>"):
+                    at = raw_end(page, name, m.end())
+                    break
+                continue
+            if hidden:
+                if name == hidden and not t.endswith("/>"):
+                    depth += -1 if closing else 1
+                    hidden = hidden if depth else ""
+                continue
+            if name in HIDDEN and not closing:
+                if not t.endswith("/>"):
+                    hidden, depth = name, 1
+                continue
+            if name == "a":
+                in_link = 0 if closing else 1
+            elif name == "br":
+                text.append(" ")
+            elif name in BLOCKS:
                 flush()
-            if not t.endswith("/>"):
-                hidden = name
-            continue
-        if name == "a":
-            in_link = 0 if closing else 1
-        elif name == "br":
-            text.append(" ")
-        elif name in BLOCKS:
-            flush()
-            bare = [x.partition(".")[0] for x in stack]
-            if closing:
-                if name in bare:
-                    del stack[len(bare) - 1 - bare[::-1].index(name) :]
-                in_link = 0
-            else:
-                for alike in ({"p"}, {"li"} if name == "li" else set(), {"dt", "dd"} if name in ("dt", "dd") else set(), {"option"} if name == "option" else set(), {"td", "th"} if name in ("td", "th", "tr") else set(), {"tr"} if name == "tr" else set()):
-                    if bare and bare[-1] in alike:
-                        stack.pop()
-                        bare.pop()
-                if name == "body" and "head" in bare:
-                    del stack[bare.index("head") :]
-                if name not in VOID:
-                    marks = [w for a in ATTRIBUTE.finditer(t) for w in (a[2] or a[3] or a[4] or "").lower().split()]
-                    stack.append(".".join([name, *marks]))
-    if not hidden:
-        flush()
+                bare = [x.partition(".")[0] for x in stack]
+                if closing:
+                    if name in bare:
+                        del stack[len(bare) - 1 - bare[::-1].index(name) :]
+                    in_link = 0
+                else:
+                    for alike in ({"p"}, {"li"} if name == "li" else set(), {"dt", "dd"} if name in ("dt", "dd") else set(), {"option"} if name == "option" else set(), {"td", "th"} if name in ("td", "th", "tr") else set(), {"tr"} if name == "tr" else set()):
+                        if bare and bare[-1] in alike:
+                            stack.pop()
+                            bare.pop()
+                    if name == "body" and "head" in bare:
+                        del stack[bare.index("head") :]
+                    if name not in VOID:
+                        marks = [w for a in ATTRIBUTE.finditer(t) for w in (a[2] or a[3] or a[4] or "").lower().split()]
+                        stack.append(".".join([name, *marks]))
+    flush()
     return out
 
 
