@@ -46,23 +46,42 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
-def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 6, seed: int = 1) -> DataFrame:
-    """Pairs found by random hyperplanes and verified exactly; candidates grow with the data, not its square."""
-    rng = np.random.default_rng(seed)
-    first = vectors.select(F.size(vector).alias("n")).first()
-    planes = rng.normal(size=(tables * bits, first["n"] if first else 1))
+def lsh_shape(n: int, threshold: float, recall: float = 0.99) -> tuple[int, int]:
+    """(bits, tables) for ``n`` rows: buckets of some 8 rows, and as many tables as a pair at the threshold needs."""
+    bits = max(4, math.ceil(math.log2(max(n, 1) / 8))) if n else 4
+    p = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p)) if p > 0 else 1
 
-    @F.pandas_udf("array<long>")
+
+def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.99, seed: int = 1, block: int = 2048) -> DataFrame:
+    """Pairs found by random hyperplanes and verified exactly, with ``recall`` at the threshold; all pairs where hashing can't save work.
+
+    Bits and tables follow from the rows and the threshold. Where the tables'
+    rows would meet as many rows as the exact join multiplies, the exact join
+    in blocks runs instead, and no pair is lost.
+    """
+    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    n = rows.count()
+    bits, tables = lsh_shape(n, threshold, recall)
+    # A row meets 8 rows or so in each table, the exact join half of all rows, by matrix products.
+    if bits > 60 or 16 * tables >= n:
+        return similar_pairs(vectors, threshold, id_col, vector, block)
+    width = rows.agg(F.max(F.size("v")).alias("n")).first()["n"]
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+
+    @F.pandas_udf("array<struct<t:int,b:long>>")
     def keys(v: pd.Series) -> pd.Series:
-        signs = (np.stack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)))
+        out = []
+        for x in v:
+            signs = (planes[:, : len(x)] @ np.asarray(x, float) > 0).reshape(tables, bits)
+            out.append([{"t": t, "b": int(b)} for t, b in enumerate((signs * (1 << np.arange(bits, dtype=np.int64))).sum(1))])
+        return pd.Series(out)
 
     from gazetta.functions.quantity import cosine
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    dealt = rows.select("id", F.explode(keys("v")).alias("k"))
-    a, b = dealt.select(F.col("id").alias("a"), "k"), dealt.select(F.col("id").alias("b"), "k")
-    pairs = a.join(b, "k").where("a < b").select("a", "b").distinct()
+    dealt = rows.select("id", F.size("v").alias("n"), F.explode(keys("v")).alias("k"))
+    a, b = dealt.select(F.col("id").alias("a"), "n", "k"), dealt.select(F.col("id").alias("b"), "n", "k")
+    pairs = a.join(b, ["n", "k"]).where("a < b").select("a", "b").distinct()
     both = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
     return both.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
 
