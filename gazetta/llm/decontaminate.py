@@ -9,8 +9,9 @@ decides.
 
 Tokens are white-space chunks without characters other than letters and
 digits, lower-cased; chunks without any are no tokens. Null or empty texts
-have no overlap; items shorter than every mask have no seeds and are never
-found. Rows that share a doc_id, or items that share an item_id, count together.
+have no overlap. Items of up to five tokens have masks without gaps, so that
+they are found verbatim or by as many equal tokens in a row as ``least`` and
+``share`` ask for at their defaults. Rows that share a doc_id, or items that share an item_id, count together.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from gazetta.llm.common import WordIds, as_bytes, keyed, mix64, slices
 from gazetta.session import stash
 
-#: 1: the token at this place is hashed.
-MASKS = ("11011011", "1101000111", "111010011")
+#: 1: the token at this place is hashed. At the default least and share, every pattern of equal tokens that
+#: ``overlap`` accepts holds one of MASKS, or of SHORT for items under 15 tokens, or of TINY (by length) under 6.
+MASKS = ("1110101001", "110100110001", "110110000101", "11010001011", "1111011", "11110011")
+SHORT = ("110111", "11111")
+TINY = ((), ("1",), ("11",), ("111",), ("111",), ("1111",))
 BITS = 24
 #: Tokens kept on either side of a hit, and the widest gap within a region of hits.
 PAD = 32
@@ -63,6 +67,11 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix64(h)
 
 
+def masks(n: int) -> tuple[str, ...]:
+    """For an item of ``n`` tokens."""
+    return TINY[n] if n < len(TINY) else MASKS + SHORT if n < 15 else MASKS
+
+
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -71,8 +80,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     read = Tokens()
     for batch in slices(batches):
         tokens = [read.text(t) for t in as_bytes(batch.column("text"))]
-        h = [np.concatenate([seeds(t, m) for m in MASKS]).view(np.int64) for t in tokens]
-        at = [np.concatenate([np.arange(max(0, len(t) - len(m) + 1)) for m in MASKS]) for t in tokens]
+        h = [np.concatenate([np.empty(0, np.uint64), *[seeds(t, m) for m in masks(len(t))]]).view(np.int64) for t in tokens]
+        at = [np.concatenate([np.empty(0, np.int64), *[np.arange(max(0, len(t) - len(m) + 1)) for m in masks(len(t))]]) for t in tokens]
         yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "tokens": pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())), "seed": pa.array(h, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int64()))})
 
 
@@ -84,7 +93,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
 
 
-def _regions(packed: bytes):
+def _regions(packed: bytes, used: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         read = Tokens()
@@ -93,8 +102,8 @@ def _regions(packed: bytes):
             texts = [read.text(t) for t in as_bytes(batch.column("text"))]
             flat = np.concatenate([*texts, np.zeros(PAD, np.uint64)])
             ends = np.cumsum([len(t) for t in texts])
-            found_h, found_at = [], []
-            for m in MASKS:
+            found_h, found_at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for m in used:
                 h = seeds(flat, m)
                 a, b = _places(h)
                 at = np.flatnonzero(bits[a])
@@ -168,8 +177,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     bits = np.zeros((1 << BITS) // 8, np.uint8)
     for row in known.select("seed").coalesce(4).mapInArrow(_bitmaps, "bits binary").collect():
         bits |= np.frombuffer(row.bits, np.uint8)
+    sizes = items.select(F.least(F.size("tokens"), F.lit(15)).alias("n")).distinct().collect()  # 15 at most
+    used = sorted({m for r in sizes for m in masks(r.n)})
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = source.mapInArrow(_regions(bits.tobytes()), "doc_id long, start long, tokens array<long>, seed array<long>, at array<long>")
+    found = source.mapInArrow(_regions(bits.tobytes(), used), "doc_id long, start long, tokens array<long>, seed array<long>, at array<long>")
     regions = stash(found.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("region", F.col("x.seed").alias("seed"), F.col("x.at").alias("at"))
     lines = hits.join(known, "seed").select("region", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
