@@ -53,7 +53,7 @@ def lsh_shape(n: int, threshold: float, recall: float = 0.99) -> tuple[int, int]
     return bits, 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p)) if p > 0 else 1
 
 
-def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.99, seed: int = 1, block: int = 2048) -> DataFrame:
+def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.99, seed: int = 1, cost: int = 1600, block: int = 2048) -> DataFrame:
     """Pairs found by random hyperplanes and verified exactly, with ``recall`` at the threshold; all pairs where hashing can't save work.
 
     Bits and tables follow from the rows and the threshold. Where the tables'
@@ -63,8 +63,8 @@ def lsh_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vect
     rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     n = rows.count()
     bits, tables = lsh_shape(n, threshold, recall)
-    # A row meets 8 rows or so in each table, the exact join half of all rows, by matrix products.
-    if bits > 60 or 16 * tables >= n:
+    # A row is shuffled and joined in each table; the exact join meets ``cost`` rows by matrix products meanwhile (an estimate).
+    if bits > 60 or cost * tables >= n:
         return similar_pairs(vectors, threshold, id_col, vector, block)
     width = rows.agg(F.max(F.size("v")).alias("n")).first()["n"]
     planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
