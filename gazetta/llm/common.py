@@ -78,11 +78,10 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def keyed(big: DataFrame, keys: DataFrame, on: str, how: str, most: int = 1_000_000) -> DataFrame:
+def keyed(big: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = 1_000_000) -> DataFrame:
     """Semi or anti join of wide rows with a narrow key table.
 
     Up to ``most`` keys (counted first) are broadcast, so the wide rows stay
     where they are; beyond that it is an ordinary shuffle join.
     """
-    small = keys.limit(most + 1).count() <= most
-    return big.join(F.broadcast(keys) if small else keys, on, how)
+    return big.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)

@@ -10,8 +10,9 @@ not by pairs: every node is compared with its bucket's most central node on
 the full sets. Nodes of buckets that are not one component then are dealt
 anew by their rarest shingles, one of which every linked pair shares, and
 those buckets are worked off by a growing share of hubs until each is one
-component or all of its nodes have been hubs. So no link between nodes that
-share a band is lost. Verified links are joined to components by minimum
+component or all of its nodes outside its largest component have been hubs,
+so a bucket of many copies and a few others costs rows times others. No link
+between nodes that share a band is lost. Verified links are joined to components by minimum
 labels with pointer jumping.
 
 Null or empty texts, and texts without words, have no set and no links.
@@ -119,7 +120,7 @@ def _signed(k: int, bands: int, rows: int):
             keys = band_keys(superminhash(sets), bands, rows)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    **{c: batch.column(c) for c in ("doc_id", "_text_a", "_text_b")},
                     "doc_key": batch.column("doc_key"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
@@ -208,9 +209,35 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _by_bucket(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a narrower table by bucket. Up to a bound that table is broadcast, so that a bucket's rows stay where they are."""
+    return keyed(rows, stash(few), "bucket", how, most=200_000)
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component."""
-    return rows.join(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "bucket", "left_semi")
+    return _by_bucket(rows, rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "left_semi")
+
+
+def _top_labels(live: DataFrame) -> DataFrame:
+    """(bucket, top, outside, pairs): each bucket's largest component, how many rows are not of it, and the pairs across components."""
+    sizes = live.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("live"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    return tops.select("bucket", F.col("m.label").alias("top"), (F.col("live") - F.col("m.c")).alias("outside"), ((F.col("live") * F.col("live") - F.col("squares")) / 2).alias("pairs"))
+
+
+def _hubs(live: DataFrame, tops: DataFrame, share: float, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(hubs, closed): the rows that every row of their bucket is compared with, and the buckets that these comparisons settle.
+
+    Two rows of different components are never both of the largest one, so a
+    bucket with ``share`` rows outside it at most is settled by those rows as
+    hubs; so is every bucket in the last round. Other buckets draw about ``share`` hubs.
+    """
+    draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    settled = F.lit(last) | (F.col("outside") <= share)
+    chosen = F.when(settled, F.col("label") != F.col("top")).otherwise(draw * F.col("k") < share)
+    hubs = _by_bucket(live, tops.select("bucket", "top", "outside")).where(chosen)
+    return hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "label", "rank")]), tops.where(settled).select("bucket")
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -232,7 +259,7 @@ def _prefixes(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     width = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("long") + 1 - F.col("own")
     dealt = ranked.where(width > 0).select("node", "n", "own", F.posexplode(F.slice("r", F.lit(1), width.cast("int"))).alias("at", "x"))
     dealt = stash(dealt.select(F.col("x.shingle").alias("bucket"), "node", "n", (F.col("own") + F.col("at") + 1).alias("rank")))
-    return stash(dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1"), "bucket"))
+    return stash(_by_bucket(dealt, dealt.groupBy("bucket").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1")))
 
 
 def _open(members: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -242,48 +269,47 @@ def _open(members: DataFrame, labels: DataFrame | None, percent: int) -> DataFra
     return stash(_mixed(_labelled(rows, labels)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def _digests(text: Column) -> list[Column]:
+    """Two hashes that stand for a text among the rows of one id."""
+    return [F.xxhash64(text).alias("_text_a"), F.xxhash64(text, F.lit("again")).alias("_text_b")]
 
-    component_id is the smallest doc_id of the component; kept marks the rows
-    that have it as their own. A component without any doc_id keeps its rows,
-    with a null component_id.
-    """
+
+def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, _text_a, _text_b, n_shingles, label, component_id) per row; label is null for rows without a set."""
     bands, rows = band_plan(percent)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    signed = stash(text.mapInArrow(_signed(shingle, bands, rows), "doc_id long, doc_key long, n_shingles long, node binary, bands array<long>"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_digests(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    signed = stash(text.mapInArrow(_signed(shingle, bands, rows), "doc_id long, _text_a long, _text_b long, doc_key long, n_shingles long, node binary, bands array<long>"))
     # A node is a distinct set; its bands depend on the set alone.
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     dealt = nodes.select("node", "doc_key", "n", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    members = stash(dealt.join(full, "bucket").select("bucket", "k", "node", "n", "doc_key"))
+    members = stash(_by_bucket(dealt, full).select("bucket", "k", "node", "n", "doc_key"))
     n_members = members.count()
     chosen = members.select("doc_key").distinct()
     sets = stash(keyed(text.where("text is not null"), stash(chosen), "doc_key", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
     # The first hub of a bucket is the node with the fullest buckets: copies resemble their source more than each other.
     degree = members.groupBy("node").agg(F.sum("k").alias("degree"))
     hubs = members.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
-    pairs = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), percent))
+    pairs = _by_bucket(members, hubs).where((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), percent))
     pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     tried = _verified(pairs, sets, percent)
     failed, labels = tried.where("not linked").select("a", "b"), None
     if tried.where("linked").limit(1).count():
         labels = _merged(None, tried.where("linked").select("a", "b"))
-    nodes_left = stash(_mixed(_labelled(members.select("bucket", "node", "n"), labels)).select("node", "n").distinct())
-    prefixes, share, done = _prefixes(nodes_left, sets, percent), 4, 0
+    labelled = stash(_labelled(members.select("bucket", "node", "n"), labels))
+    nodes_left = stash(_mixed(labelled).select("node", "n").distinct())
+    prefixes, share = _prefixes(nodes_left, sets, percent), 4
     while True:
         live = _open(prefixes, labels, percent)
-        left = live.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
-        left = left.agg(F.sum("pairs")).first()[0]
-        if not left or live.where(F.col("k") > done).limit(1).count() == 0:
-            break  # no bucket is mixed, or all nodes of those that are have been hubs
+        tops = stash(_top_labels(live))
+        left = tops.agg(F.sum("pairs")).first()[0]
+        if not left:
+            break  # no open bucket is mixed
         last = left <= 4 * n_members  # no more than in proportion to the input
-        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        hubs = live if last else live.where(draw * F.col("k") < share)
-        hubs = hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "label", "rank")])
+        hubs, closed = _hubs(live, tops, share, last)
         shared = _overlap(F.col("n"), F.col("hub_n"), percent)
         suits = (F.col("rank") <= F.col("n") - shared + 1) & (F.col("hub_rank") <= F.col("hub_n") - shared + 1)
-        pairs = live.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & _alike(F.col("n"), F.col("hub_n"), percent) & suits)
+        pairs = _by_bucket(live, hubs).where((F.col("label") != F.col("hub_label")) & _alike(F.col("n"), F.col("hub_n"), percent) & suits)
         pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct().join(failed, ["a", "b"], "left_anti")
         tried = _verified(pairs, sets, percent)
         if tried.where("linked").limit(1).count():
@@ -291,25 +317,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if last:
             break
         failed = failed.unionByName(tried.where("not linked").select("a", "b"))
-        done, share = share, share * 4
+        prefixes = stash(_by_bucket(prefixes, closed, "left_anti"))
+        share *= 4
     named = nodes.select("node", "least_id")
     if labels is None:
-        classes = named.select("node", F.col("least_id").alias("component_id"))
+        classes = named.select("node", F.col("node").alias("label"), F.col("least_id").alias("component_id"))
     else:
         named = stash(named.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")))
         tops = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-        classes = named.join(tops, "label").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+        classes = named.join(tops, "label").select("node", "label", "component_id")
+    return signed.select("doc_id", "_text_a", "_text_b", "n_shingles", "node").join(classes, "node", "left").drop("node")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. Ids are numbers.
+
+    component_id is the smallest doc_id of the component; kept marks the rows
+    that have it as their own. A component without any doc_id keeps its rows,
+    with a null component_id. Rows that share an id are told apart by their
+    texts: each has the component of its own text.
+    """
+    out = _classified(docs, shingle, percent, id_col, text_col)
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component left. Rows with a null id that belong to no named component stay."""
-    found = stash(near_duplicates(docs, shingle, percent, id_col, text_col))
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    out = keyed(docs, stash(gone), id_col, "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        out = named.unionByName(out.where(F.col(id_col).isNull()))
-    return out
+    """``docs`` with one row of each component left: one with its smallest id, by a hash of the text where several have it.
+
+    A null id is larger than any other. Rows without words are no copies and
+    stay. Rows are told apart by id and text: of rows equal in both, one stays,
+    whichever its other columns are.
+    """
+    key = ["doc_id", "_text_a", "_text_b"]
+    found = stash(_classified(docs, shingle, percent, id_col, text_col).where("label is not null").groupBy("label", *key).agg(F.count("*").alias("n")))
+    first = F.struct(F.col("doc_id").isNull(), *key)
+    best = found.groupBy("label").agg(F.min(first).alias("best"))
+    ranked = stash(found.join(best, "label").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), *key[1:], (first == F.col("best")).alias("best"), "n"))
+    on = ["_id", "_no_id", *key[1:]]
+    id_key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_no_id")]
+    rows = docs.select(F.struct("*").alias("_row"), *id_key, *_digests(F.col(text_col)))  # no name of ``docs`` can clash
+    rows = keyed(rows, stash(ranked.where("not best").select(*on)), on, "left_anti")
+    twice = stash(ranked.where("best and n > 1").select(*on))
+    if twice.limit(1).count():
+        rows = keyed(rows, twice, on, "left_anti").unionByName(keyed(rows, twice, on, "left_semi").dropDuplicates(on))
+    return rows.select("_row.*")

@@ -101,3 +101,41 @@ def test_bands_miss_at_most_one_in_ten_thousand():
     for percent in (80, 85, 95):
         bands, rows = band_plan(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-4
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(3, t), (5, "a unique text of its own that nobody else has"), (5, t + " x"), (9, "alpha beta gamma delta epsilon zeta"), (9, "quite other words are in this one row"), (None, t.upper()), (None, t), (None, "  "), (None, "  "), (9, "alpha beta gamma delta epsilon zeta")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _id int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in drop_near_duplicates(docs).collect())
+    assert got == sorted([(3, t), (5, rows[1][1]), (9, rows[3][1]), (9, rows[4][1]), (-1, "  "), (-1, "  ")])
+    assert drop_near_duplicates(docs).columns == ["doc_id", "text", "_id"]
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_group_without_an_id_keeps_one_row(spark):
+    t = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, t), (None, t), (None, t + " eleven"), (None, t.upper())], "doc_id long, text string")
+    assert len(drop_near_duplicates(docs).collect()) == 1
+
+
+def test_a_bucket_of_copies_and_few_others_costs_rows_times_others(spark):
+    from pyspark.sql import functions as F
+
+    from gazetta.llm.near_dup import _hubs, _top_labels
+
+    live = spark.range(2005).select(F.lit(7).alias("bucket"), F.col("id").alias("node"), F.lit(50).alias("n"), F.lit(1).alias("rank"), F.lit(2005).alias("k"), F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("label"))
+    tops = _top_labels(live)
+    assert tops.first()["outside"] == 5 and tops.first()["pairs"] == 2000 * 5 + 10
+    for share, last in ((16, False), (4, True)):
+        hubs, closed = _hubs(live, tops, share, last)
+        assert hubs.count() == 5 and closed.count() == 1
+        assert live.join(hubs, "bucket").count() < 20_000
+    hubs, closed = _hubs(live, tops, 4, False)
+    assert hubs.count() < 20 and closed.count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text of five words here")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
