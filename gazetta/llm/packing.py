@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 import re
 import zlib
 from array import array
@@ -45,7 +46,7 @@ class Tokens:
     WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u012f]+")
     OTHER = re.compile(r"[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]|<\|")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,6 +79,8 @@ _TOKENS: dict[str, Tokens] = {}
 
 
 def _tokens(path: str) -> Tokens:
+    # A task has one core; the tokenizer's own threads would only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
     return _TOKENS[path]
@@ -125,7 +128,7 @@ def _first(path: str, size: int, full: int, end_id: int, together: int):
         tokens = _tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         items: list[tuple[int, list[dict]]] = []
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             found = tokens.texts([t or b"" for t in as_bytes(batch.column("text"))])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids += end
