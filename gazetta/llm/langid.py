@@ -1,18 +1,19 @@
 """Language of whole texts by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of one lower-cased run of letters (cut into
-stretches of ``WIDTH`` bytes) and labels every byte position; a document's
-probabilities are the mean over all positions of all its runs. States start
-anew at each run, so equal runs have equal labels: a task labels a run once
-and counts it wherever it occurs.
-
-Training is by backpropagation through time in numpy, on runs of a bounded
-sample of documents, with the share of each language among a run's
-occurrences as its target.
+The network reads the UTF-8 bytes of a text (ASCII letters lower-cased), marks,
+digits and spaces included, in windows of ``WIDTH`` bytes and labels every byte
+position; a document's probabilities are the mean over all positions of all
+its windows. States start anew at each window, never at a word, so what
+crosses words is read too, and a text of any length takes bounded memory.
+
+Training is by backpropagation through time in numpy, on windows of a bounded
+sample of documents of each language, so that a rare language is learned like
+a common one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,27 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import bounded_sample, slices
+from gazetta.llm.common import as_bytes, keyed, slices
+from gazetta.session import stash
 
-WIDTH = 24
+WIDTH = 64
 UNKNOWN = "und"
+ASCII_LETTER = re.compile(rb"[a-zA-Z]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def encode(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes padded with 0, lengths, which run each row is of)."""
-    rows, owner = [], []
-    for i, run in enumerate(runs):
-        b = run.encode("utf-8", "replace")
-        for at in range(0, len(b), WIDTH):
-            rows.append(b[at : at + WIDTH])
-            owner.append(i)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    flat = np.frombuffer(b"".join(r.ljust(WIDTH, b"\0") for r in rows), np.uint8).reshape(-1, WIDTH)
-    return flat, lengths, np.array(owner, np.int64)
+def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows of bytes padded with 0, their lengths, which text each is of), in the order of the texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = -(-sizes // WIDTH)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = np.frombuffer(b"".join(t.lower().ljust(int(n) * WIDTH, b"\0") for t, n in zip(texts, counts, strict=True)), np.uint8)
+    return flat.reshape(-1, WIDTH), np.minimum(WIDTH, sizes[owner] - at * WIDTH), owner
 
 
 class Network:
@@ -111,31 +111,69 @@ class Network:
         np.add.at(g["e"], b, dx)
         return g
 
-    def fit(self, b: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam over batches drawn by weight."""
+    def fit(self, b: np.ndarray, lengths: np.ndarray, label: np.ndarray, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam; a batch draws languages evenly, and cuts windows short at random, as texts can be."""
         rng = np.random.default_rng(seed)
-        share = np.cumsum(weight / weight.sum())
+        classes = len(self.p["c"])
+        own = [np.flatnonzero(label == i) for i in range(classes)]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for i in range(1, steps + 1):
-            at = np.minimum(np.searchsorted(share, rng.random(batch)), len(share) - 1)
+            at = np.array([own[k][rng.integers(len(own[k]))] for k in rng.integers(classes, size=batch)])
+            short = np.where(rng.random(batch) < 0.5, rng.integers(4, WIDTH + 1, batch), WIDTH)
             lr = rate * min(1, 2 * (1 - (i - 1) / steps))
-            for k, g in self.gradients(b[at], lengths[at], target[at]).items():
+            for k, g in self.gradients(b[at], np.minimum(lengths[at], short), np.eye(classes, dtype=np.float32)[label[at]]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)).astype(np.float32)
 
-    def summed(self, runs: list[str], block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """For each run the sum of its positions' probabilities, and its positions."""
-        total, count = np.zeros((len(runs), len(self.p["c"]))), np.zeros(len(runs), np.int64)
-        b, lengths, owner = encode(runs)
-        order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(order), block):
+    def _states(self, d: str, b: np.ndarray, mask: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """(t, state) along one direction; b and mask by time, then window. The state is zero where padding comes first."""
+        p, k = self.p, self.h
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * k, k])  # a sigmoid is a tanh of half its input
+        inputs, u = (p["e"] @ p["w" + d] + p["d" + d]) * half, p["u" + d] * half
+        gates, news = np.ascontiguousarray(u[:, : 2 * k]), np.ascontiguousarray(u[:, 2 * k :])
+        state = np.zeros((b.shape[1], k), np.float32)
+        for t in range(len(b)) if d == "f" else range(len(b) - 1, -1, -1):
+            x = inputs[b[t]]
+            zr = state @ gates
+            zr += x[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            n = (zr[:, k:] * state) @ news
+            n += x[:, 2 * k :]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[:, :k]
+            state += n
+            if mask is not None:
+                state *= mask[t]
+            yield t, state
+
+    def pooled(self, b: np.ndarray, lengths: np.ndarray, block: int = 1024) -> np.ndarray:
+        """For each window the sum of its positions' probabilities."""
+        out = np.zeros((len(b), len(self.p["c"])), np.float32)
+        order = np.argsort(-lengths, kind="stable")  # full windows first: their blocks need no mask
+        forth, back = self.p["v"][: self.h], self.p["v"][self.h :]
+        for at in range(0, len(b), block):
             rows = order[at : at + block]
-            y, (_, _, mask, *_) = self.forward(b[rows], lengths[rows], False)
-            np.add.at(total, owner[rows], (y * mask[:, :, None]).sum(1))
-        np.add.at(count, owner, lengths)
-        return total, count
+            width = int(lengths[rows[0]])
+            x = np.ascontiguousarray(b[rows, :width].T)
+            mask = None if lengths[rows[-1]] == width else (np.arange(width)[:, None] < lengths[rows]).astype(np.float32)[:, :, None]
+            s = np.empty((width, len(rows), out.shape[1]), np.float32)
+            for t, state in self._states("f", x, None):
+                s[t] = state @ forth
+            for t, state in self._states("b", x, mask):
+                s[t] += state @ back
+            s += self.p["c"]
+            s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(axis=2, keepdims=True)
+            if mask is not None:
+                s *= mask
+            out[rows] = s.sum(0)
+        return out
 
 
 @dataclass(frozen=True)
@@ -144,105 +182,75 @@ class LanguageModel:
     network: Network | None
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 2_000, max_runs: int = 30_000, steps: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on ``max_docs`` documents with a language, and their ``max_runs`` most frequent runs of letters, at most."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = bounded_sample(known, F.col("id"), max_docs)
-    runs = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("run"))
-    rows = runs.groupBy("lang", "run").count().orderBy(F.desc("count"), "run", "lang").limit(max_runs).collect()
-    languages = sorted({r["lang"] for r in rows})
-    if len(languages) < 2:
-        return LanguageModel(languages, None)
-    place, words = {x: i for i, x in enumerate(languages)}, sorted({r["run"] for r in rows})
-    at = {w: i for i, w in enumerate(words)}
-    seen = np.zeros((len(words), len(languages)))
-    for r in rows:
-        seen[at[r["run"]], place[r["lang"]]] += r["count"]
-    seen /= seen.sum(0)  # languages weigh alike
-    b, lengths, owner = encode(words)
-    target = (seen / seen.sum(1, keepdims=True)).astype(np.float32)[owner]
-    network = Network(len(languages))
-    network.fit(b, lengths, target, np.sqrt(seen.sum(1))[owner], steps)
-    return LanguageModel(languages, network)
-
-
-class Labels(dict):
-    """Run of letters to a row of ``total`` and ``count``; new runs wait for ``settle``.
-
-    Two generations of about ``limit`` runs are remembered: frequent ones move on to the next.
-    """
+def _windows(per_doc: int):
+    """(lang, window, n): up to ``per_doc`` windows of each text, evenly spaced over all of it."""
 
-    def __init__(self, model: LanguageModel, limit: int):
-        super().__init__()
-        self.model, self.limit, self.waiting = model, limit, []
-        self.total, self.count = np.zeros((0, len(model.languages))), np.zeros(0, np.int64)
-        self.older: tuple[dict, np.ndarray, np.ndarray] = ({}, self.total, self.count)
-
-    def __missing__(self, run: str) -> int:
-        got = self[run] = len(self)
-        self.waiting.append(run)
-        return got
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            b, lengths, owner = encode([t or b"" for t in as_bytes(batch.column("text"))])
+            counts = np.bincount(owner, minlength=batch.num_rows)
+            first = np.cumsum(counts) - counts
+            rows = np.concatenate([np.empty(0, np.int64), *[f + np.unique(np.linspace(0, n - 1, per_doc).astype(np.int64)) for f, n in zip(first, counts, strict=True) if n]])
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").take(pa.array(owner[rows])), "window": pa.array([x.tobytes() for x in b[rows]], pa.binary()), "n": pa.array(lengths[rows])})
 
-    def rotate(self) -> None:
-        if len(self) > self.limit:
-            self.older = (dict(self), self.total, self.count)
-            self.clear()
-            self.total, self.count = self.total[:0], self.count[:0]
+    return run
 
-    def settle(self) -> None:
-        if not self.waiting:
-            return
-        rows, old_total, old_count = self.older
-        at = np.array([rows.get(r, -1) for r in self.waiting])
-        total, count = np.zeros((len(at), self.total.shape[1])), np.zeros(len(at), np.int64)
-        known = at >= 0
-        total[known], count[known] = old_total[at[known]], old_count[at[known]]
-        total[~known], count[~known] = self.model.network.summed([r for r, k in zip(self.waiting, known, strict=True) if not k])
-        self.total, self.count = np.vstack([self.total, total]), np.concatenate([self.count, count])
-        self.waiting = []
 
+def fit_languages(docs: DataFrame, max_docs: int = 500, per_doc: int = 12, steps: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on ``max_docs`` documents of each language, and ``per_doc`` windows of each of them, at most.
 
-#: The labels of the last model, for all tasks of a worker process.
-_LABELS: dict[bytes, Labels] = {}
+    A language is learned if any of its texts has a byte. Repeated rows count
+    as often as they occur, up to the bound.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # Ids are hashed with the text: rows without an id are drawn like others.
+    cuts = stash(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_docs) / F.count("*")).alias("share")))
+    draw = F.pmod(F.xxhash64("id", F.substring("text", 1, 200), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = keyed(known, cuts, "lang", "inner").where(draw < F.col("share")).select("lang", "text")
+    # A language whose rows are all alike is drawn whole or not at all: a window number bounds what reaches the driver.
+    rows = sample.mapInArrow(_windows(per_doc), "lang string, window binary, n long").groupBy("lang", "window", "n").agg(F.count("*").alias("times"))
+    rows = rows.orderBy(F.xxhash64("window"), "window", "lang").limit(cuts.count() * max_docs * per_doc).collect()
+    languages = sorted({r["lang"] for r in rows})
+    if len(languages) < 2:
+        return LanguageModel(languages, None)
+    place = {x: i for i, x in enumerate(languages)}
+    b = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WIDTH)
+    network = Network(len(languages))
+    network.fit(b, np.array([r["n"] for r in rows], np.int64), np.array([place[r["lang"]] for r in rows]), steps)
+    return LanguageModel(languages, network)
 
 
-def _labels(model: LanguageModel, limit: int) -> Labels:
-    import hashlib
+def _has_letter(text: bytes) -> bool:
+    import regex
 
-    key = hashlib.sha256(repr(model.languages).encode() + b"".join(v.tobytes() for v in model.network.p.values())).digest()
-    if key not in _LABELS:
-        _LABELS.clear()
-        _LABELS[key] = Labels(model, limit)
-    return _LABELS[key]
+    return bool(ASCII_LETTER.search(text) or regex.search(r"\p{L}", text.decode("utf-8", "replace")))
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", limit: int = 300_000) -> DataFrame:
-    """(id, lang_pred, score). A text without a letter, or null, is ``und`` with score 0.
+def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score), one row per row. A text without a letter, or null, is ``und`` with score 0.
 
     With one learned language every other text gets it with score 1; with
-    none, every text is ``und``. ``limit`` bounds the runs that a worker remembers.
+    none, every text is ``und``. Of equal probabilities the language that
+    sorts first counts. Repeated rows get equal answers.
     """
     languages = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        letters = regex.compile(r"\p{L}+")
-        labels = _labels(model, limit) if model.network else None
         for batch in slices(batches, 512):
-            found = [letters.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
-            pred, score = [UNKNOWN] * len(found), [0.0] * len(found)
-            if languages and model.network is None:
-                pred, score = [languages[0] if w else UNKNOWN for w in found], [float(bool(w)) for w in found]
-            elif languages:
-                labels.rotate()
-                at = [np.fromiter(map(labels.__getitem__, w), np.int64, len(w)) for w in found]
-                labels.settle()
-                for i, rows in enumerate(at):
-                    if len(rows):
-                        y = labels.total[rows].sum(0) / labels.count[rows].sum()
-                        best = int(y.argmax())
-                        pred[i], score[i] = languages[best], float(min(1.0, y[best]))
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            found = [i for i, t in enumerate(texts) if languages and _has_letter(t)]
+            if model.network is None:
+                for i in found:
+                    pred[i], score[i] = languages[0], 1.0
+            elif found:
+                b, lengths, owner = encode([texts[i] for i in found])
+                total = np.zeros((len(found), len(languages)))
+                np.add.at(total, owner, model.network.pooled(b, lengths))
+                total /= np.maximum(1, np.array([len(texts[i]) for i in found]))[:, None]
+                for i, y in zip(found, total, strict=True):
+                    best = int(y.argmax())
+                    pred[i], score[i] = languages[best], float(min(1.0, y[best]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

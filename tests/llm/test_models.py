@@ -21,7 +21,7 @@ def differences(net, loss, grads, at):
 
 def test_byte_network_gradients():
     net = langid.Network(3, hidden=4, embed=3)
-    b, lengths, _ = langid.encode(["abc", "hello", "añb"])
+    b, lengths, _ = langid.encode([b"abc", b"Hello", "añb".encode()])
     target = np.eye(3, dtype=np.float32)
 
     def loss():
@@ -32,6 +32,22 @@ def test_byte_network_gradients():
     differences(net, loss, g, {k: tuple(n // 2 for n in v.shape) for k, v in net.p.items() if k != "e"} | {"e": (int(b[0, 1]), 1)})
 
 
+def test_pooling_is_the_mean_of_all_positions():
+    """The fast way over blocks of windows against the network as it is trained, text by text."""
+    rng, net = random.Random(8), langid.Network(3, hidden=5, embed=4)
+    texts = ["".join(rng.choices("abc é,.1\n", k=rng.choice([1, 3, 63, 64, 65, 200]))).encode() for _ in range(40)] + [b""]
+    b, lengths, owner = langid.encode(texts)
+    got = np.zeros((len(texts), 3))
+    np.add.at(got, owner, net.pooled(b, lengths, block=16))
+    for i, t in enumerate(texts):
+        assert (owner == i).sum() == -(-len(t) // langid.WIDTH) and lengths[owner == i].sum() == len(t)
+        total = np.zeros(3)
+        for at in range(0, len(t), langid.WIDTH):
+            x = np.frombuffer(t[at : at + langid.WIDTH].lower(), np.uint8)
+            total += net.forward(x[None], np.array([len(x)]))[0][0].sum(0)
+        assert np.allclose(got[i], total, atol=1e-4)
+
+
 def test_block_labeller_gradients():
     rng = np.random.default_rng(0)
     net = html_extract.Labeller(hidden=3)
@@ -71,6 +87,22 @@ def test_language_without_or_with_one_label(spark):
     assert langid.predict_languages(docs.limit(0), langid.fit_languages(docs.limit(0))).count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(4)
+    parts = {"aa": ["tion", "the", "ing", "er"], "bb": ["ñac", "ció", "llo", "que"], "cc": ["zw", "xk", "vj", "qq"]}
+
+    def text(g):
+        return " ".join("".join(rng.choices(parts[g], k=rng.randint(1, 3))) for _ in range(20))
+
+    rows = [(i, text(g), g) for i in range(400) for g in [("aa", "bb")[i % 2] if i >= 6 else "cc"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, max_docs=30, steps=80)
+    assert model.languages == ["aa", "bb", "cc"]
+    odd = [(900, text("cc") * 5_000, None), (900, "12 34", None), (901, "...", None), (902, text("bb"), None), (902, text("bb"), None)]
+    got = langid.predict_languages(spark.createDataFrame(odd, docs.schema), model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == [(900, "cc"), (900, "und"), (901, "und"), (902, "bb"), (902, "bb")]
+
+
 def test_quality_is_learned(spark):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in "bcdfglmnprst" for b in "aeiou"]
