@@ -36,7 +36,9 @@ BLOCKS = frozenset("address article aside blockquote body button center dd detai
 HIDDEN = frozenset("script style template noscript iframe object svg math textarea title xmp noembed noframes".split())
 RAW = HIDDEN - frozenset("template object svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[A-Za-z][^>]*>|[^<]+|<", re.S)
+#: A tag with quoted attributes, and one that ends at the first angle bracket whatever the quotes say.
+TAG = re.compile(r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+BARE_TAG = re.compile(r"</?[A-Za-z][^>]*+>")
 END_TAGS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 SCRIPT = re.compile(r"<!(?=--)|-->|</?script(?=[\s/>])", re.I)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -61,13 +63,16 @@ SIDE_WORDS = frozenset("nav menu navbar navigation breadcrumb breadcrumbs header
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
 
-def raw_end(page: str, name: str, at: int) -> int:
-    """Where raw content from ``at`` on ends with its end tag; the page's end if it has none.
+def raw_end(page: str, name: str, at: int, nested: bool = True) -> tuple[int, bool]:
+    """Where raw content from ``at`` on ends with its end tag, the page's end if it has none; and whether comments in scripts still count.
 
-    A script inside a comment inside a script has an end tag of its own.
+    A script inside a comment inside a script has an end tag of its own. Where
+    such a comment is never closed, the first end tag counts, for later
+    scripts too, so that a page is not read again and again.
     """
+    nested = nested and name == "script"
     first, depth = -1, 0  # 1: in a comment, 2: in a script inside it
-    for m in (SCRIPT if name == "script" else END_TAGS[name]).finditer(page, at):
+    for m in (SCRIPT if nested else END_TAGS[name]).finditer(page, at):
         t = m[0]
         if t == "<!":
             depth = depth or 1
@@ -76,82 +81,136 @@ def raw_end(page: str, name: str, at: int) -> int:
         elif t[1] != "/":
             depth = 2 if depth else 0
         else:
-            first = m.start() if first < 0 else first
+            first = m.start() if first < 0 or depth < 2 else first
             if depth < 2:
-                first = m.start()
-                break
+                return page.find(">", first) + 1 or len(page), True
             depth = 1
-    return (page.find(">", first) + 1 or len(page)) if first >= 0 else len(page)
+    return (page.find(">", first) + 1 or len(page)) if first >= 0 else len(page), False
+
+
+class Open:
+    """Open block elements: names, names with their marks, and how often each name is open."""
+
+    #: Of deeper nests a block's path has the outermost and innermost elements.
+    OUTER, INNER = 8, 24
+
+    def __init__(self) -> None:
+        self.bare: list[str] = []
+        self.full: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str, full: str) -> None:
+        self.bare.append(name)
+        self.full.append(full)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def pop(self) -> str:
+        name = self.bare.pop()
+        self.full.pop()
+        self.count[name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        if self.count.get(name):
+            while self.pop() != name:
+                pass
+
+    def path(self) -> tuple[str, ...]:
+        deep = len(self.full) > self.OUTER + self.INNER
+        return tuple(self.full[: self.OUTER] + self.full[-self.INNER :] if deep else self.full)
+
+
+#: Fixed values of HTML: elements that an open element of the same family ends.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
 
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text in links) of every block that has text, in page order."""
-    out, stack, text, linked, in_link = [], [], [], 0, 0
-    hidden, depth = "", 0
+    """(path, text, share of the text in links) of every block that has text, in page order. Time is linear in the page."""
+    out, text, linked, in_link = [], [], 0, 0
+    opened, hidden, depth = Open(), "", 0
+    quoted, nested = True, True
 
     def flush() -> None:
         nonlocal linked
         words = " ".join("".join(text).split())
-        if words and "head" not in (x.partition(".")[0] for x in stack):
-            out.append((tuple(stack), words, min(1.0, linked / len(words))))
+        if words and not opened.count.get("head"):
+            out.append((opened.path(), words, min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
-    at = 0
-    while at < len(page):
-        start, at = at, len(page)
-        for m in TOKEN.finditer(page, start):
-            t = m[0]
-            if t[0] != "<" or t == "<":
-                if not hidden:
-                    t = html.unescape(t)
-                    text.append(t)
-                    linked += len(t) if in_link else 0
-                continue
-            if t.startswith("<![CDATA[") and not hidden:
-                text.append(t[9:].removesuffix("]]>"))
-                continue
-            named = NAME.match(t)
-            if not named:
-                continue
-            name, closing = named[1].lower(), t[1] == "/"
-            if name in RAW and not closing:
-                if name in BLOCKS and not hidden:
-                    flush()
-                if not t.endswith("/>"):
-                    at = raw_end(page, name, m.end())
-                    break
-                continue
-            if hidden:
-                if name == hidden and not t.endswith("/>"):
-                    depth += -1 if closing else 1
-                    hidden = hidden if depth else ""
-                continue
-            if name in HIDDEN and not closing:
-                if not t.endswith("/>"):
-                    hidden, depth = name, 1
+    def said(raw: str) -> None:
+        nonlocal linked
+        if raw and not hidden:
+            t = html.unescape(raw)
+            text.append(t)
+            linked += len(t) if in_link else 0
+
+    at, size, last = 0, len(page), page.rfind(">")
+    while at < size:
+        left = page.find("<", at)
+        if left < 0 or left > last:  # no tag ends after this
+            rest = page[at:]
+            odd = re.search(r"<[!?]", rest)
+            said(rest[: odd.start()] if odd else rest)
+            if odd and rest.startswith("<![CDATA[", odd.start()) and not hidden:
+                text.append(rest[odd.start() + 9 :])
+            break
+        said(page[at:left])
+        if page.startswith("<!--", left):
+            at = page.find("-->", left + 4) + 3
+            at = at if at > 2 else size
+            continue
+        if page.startswith("<![CDATA[", left):
+            at = page.find("]]>", left + 9)
+            if not hidden:
+                text.append(page[left + 9 : at if at >= 0 else size])
+            at = at + 3 if at >= 0 else size
+            continue
+        if page[left + 1 : left + 2] in ("!", "?"):
+            at = page.find(">", left) + 1 or size
+            continue
+        m = TAG.match(page, left) if quoted else None
+        if m is None:
+            m = BARE_TAG.match(page, left)
+            if m is None:
+                said("<")
+                at = left + 1
                 continue
-            if name == "a":
-                in_link = 0 if closing else 1
-            elif name == "br":
-                text.append(" ")
-            elif name in BLOCKS:
+            quoted = False  # a quote is open to the page's end: quotes count no more
+        t, at = m[0], m.end()
+        name, closing = NAME.match(t)[1].lower(), t[1] == "/"
+        if name in RAW and not closing:
+            if name in BLOCKS and not hidden:
                 flush()
-                bare = [x.partition(".")[0] for x in stack]
-                if closing:
-                    if name in bare:
-                        del stack[len(bare) - 1 - bare[::-1].index(name) :]
-                    in_link = 0
-                else:
-                    for alike in ({"p"}, {"li"} if name == "li" else set(), {"dt", "dd"} if name in ("dt", "dd") else set(), {"option"} if name == "option" else set(), {"td", "th"} if name in ("td", "th", "tr") else set(), {"tr"} if name == "tr" else set()):
-                        if bare and bare[-1] in alike:
-                            stack.pop()
-                            bare.pop()
-                    if name == "body" and "head" in bare:
-                        del stack[bare.index("head") :]
-                    if name not in VOID:
-                        marks = [w for a in ATTRIBUTE.finditer(t) for w in (a[2] or a[3] or a[4] or "").lower().split()]
-                        stack.append(".".join([name, *marks]))
+            if not t.endswith("/>"):
+                at, still = raw_end(page, name, at, nested)
+                nested = nested and (still or name != "script")
+        elif hidden:
+            if name == hidden and not t.endswith("/>"):
+                depth += -1 if closing else 1
+                hidden = hidden if depth else ""
+        elif name in HIDDEN:
+            if not closing and not t.endswith("/>"):
+                hidden, depth = name, 1
+        elif name == "a":
+            in_link = 0 if closing else 1
+        elif name == "br":
+            text.append(" ")
+        elif name in BLOCKS:
+            flush()
+            if closing:
+                opened.close(name)
+                in_link = 0
+                continue
+            if opened.bare and opened.bare[-1] == "p":
+                opened.pop()
+            while opened.bare and opened.bare[-1] in ENDS.get(name, ()):
+                opened.pop()
+            if name == "body":
+                opened.close("head")
+            if name not in VOID:
+                marks = [w for a in ATTRIBUTE.finditer(t) for w in (a[2] or a[3] or a[4] or "").lower().split()]
+                opened.push(name, ".".join([name, *marks]))
     flush()
     return out
 
