@@ -16,6 +16,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores at its end until no column of ``df`` has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_sample(df: DataFrame, key: Column, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows of ``df`` at most, chosen by a hash of ``key``.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import WordIds, as_bytes, keyed, mix64, slices
+from gazetta.llm.common import WordIds, as_bytes, free_name, keyed, mix64, slices
 from gazetta.session import stash
 
 #: 1: the token at this place is hashed. At the default least and share, every pattern of equal tokens that
@@ -167,8 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     """One row per document and benchmark item that overlap: doc_id, item_id, start, length, matches, item_tokens.
 
     An overlap counts from ``least`` equal tokens, or ``share`` of the item if
-    that is fewer. start and length are in tokens of the document; the longest
-    overlap of a pair is given.
+    that is fewer. start and length are in tokens of the document; of a pair the
+    overlap with the most equal tokens is given, the first of equal ones. It is
+    looked for within ``PAD`` tokens before and twice as many after the seeds
+    that the two share. Texts of any length are read in stretches.
     """
     items = stash(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_items, "item_id long, tokens array<long>, seed array<long>, at array<long>"))
     items = items.where("size(seed) > 0").withColumn("item_key", F.xxhash64("item_id", "tokens")).dropDuplicates(["item_key"])
@@ -191,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; rows with a null id stay."""
-    hit = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **settings)
-    gone = stash(hit.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
-    return keyed(docs, gone, id_col, "left_anti")
+    """``docs`` without the rows whose text overlaps a benchmark item. Rows that share an id are told apart by their texts; null and empty texts stay."""
+    key = free_name(docs, "_key")
+    rows = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    hit = contaminated(rows, benchmark, id_col=key, text_col=text_col, **settings)
+    return keyed(rows, stash(hit.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").drop(key)

@@ -7,7 +7,8 @@ best-fit again, and so on up a tree until one task holds the rest or a round
 no longer saves a bin.
 
 A null text is an empty document of one end token. Rows are packed as they
-come: repeated rows are packed as often as they occur, null ids are kept.
+come: repeated rows are packed as often as they occur, null ids are kept. Ids
+are numbers; other columns than id and text are not read.
 """
 
 from __future__ import annotations
@@ -147,11 +148,14 @@ def _first(path: str, size: int, full: int, end_id: int, together: int):
 def _again(size: int, full: int, last: bool, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[int, list[dict]]] = []
-        for batch in batches:
-            items += zip(batch.column("used").to_pylist(), batch.column("members").to_pylist(), strict=True)
-            if len(items) >= together:
+        held = 0
+        for batch in slices(batches, 1024):
+            part = batch.column("members").to_pylist()
+            items += zip(batch.column("used").to_pylist(), part, strict=True)
+            held += sum(map(len, part))
+            if len(items) >= together or held >= 4 * together:
                 yield _packed(items, size, full, last)
-                items = []
+                items, held = [], 0
         if items:
             yield _packed(items, size, full, last)
 
@@ -162,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, nea
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizer file on every node, ``together``
-    the most items that a task packs at once, ``nearly`` the share from which
+    the most items that a task packs at once (and a quarter of the most pieces in them), ``nearly`` the share from which
     a bin counts as full.
     """
     full = math.ceil(size * nearly)
@@ -171,11 +175,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, nea
     done = [bins.where("final")]
     while True:
         rest = bins.where("not final")
-        n = rest.count()
-        parts = max(1, math.ceil(n / (together / 4)))
+        n, held = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        parts = max(1, math.ceil(n / (together / 4)), math.ceil(held / together))
         last = parts == 1
-        # Bins of a task differ in fill; dealing them by a hash mixes them.
-        dealt = rest.repartition(parts, F.xxhash64("used", F.element_at("members", 1)))
+        # Bins of a task differ in fill; dealing them by a hash of their places in the files mixes them, equal rows too.
+        dealt = rest.repartition(parts, F.xxhash64(F.monotonically_increasing_id()))
         bins = stash(dealt.mapInArrow(_again(size, full, last, together), BINS))
         if not last and bins.count() > 0.98 * n:
             done.append(bins)

@@ -4,8 +4,8 @@ Statistics are counted over whole texts in one pass. The fit uses a bounded
 sample of labelled rows: each partition sums its normal equations, the sums
 are solved once, and scores of a part that the regression has not seen are
 counted in bins, over which isotonic regression is fitted. A null or empty
-text has the statistics of an empty document. Without labelled rows every
-score is 0.5.
+text has the statistics of an empty document; repeated rows get equal scores.
+Without labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def _isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, _, n in blocks]) if blocks else np.empty(0)
 
 
-def fit_quality(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 20_000, partitions: int = 8, ridge: float = 1e-3, seed: int = 7) -> QualityModel:
-    """Fit on rows of (id, stats, label 0 or 1), a sample of ``max_rows`` at most.
+def fit_quality(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 20_000, partitions: int = 8, ridge: float = 1e-4, seed: int = 7) -> QualityModel:
+    """Fit on rows of (id, stats, label 0 or 1), a sample of ``max_rows`` at most. ``ridge`` is a share of the rows.
 
     A fifth of the sample, dealt by a hash of the id, calibrates the scores of the rest.
     """
@@ -165,8 +165,8 @@ def fit_quality(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = 20_
         a = sum(np.array(r.a) for r in rows).reshape(FOURIER + 1, FOURIER + 1)
         b = sum(np.array(r.b) for r in rows)
         reg = ridge * max(a[-1, -1], 1) * np.eye(FOURIER + 1)
-        reg[-1, -1] = 1e-9
-        return np.linalg.solve(a + reg / 10, b)
+        reg[-1, -1] = 1e-10  # the intercept is free
+        return np.linalg.solve(a + reg, b)
 
     held = sample.where("cal")
     fitted = sample.where("not cal")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazetta.llm.common import free_name
 from gazetta.session import stash
 
 #: Fixed by the contract: (kind, prefix group, value group, least code points of the value).
@@ -120,11 +121,12 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     Other texts are unchanged, null ones too. ``length_col`` gets the new
     length where a text has changed. Overlapping values have one mark.
     """
+    row, found_spans = free_name(docs, "_row"), free_name(docs, "_spans")
     # Rows are numbered once and written, so that spans come back to the rows in which they were found.
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = scan_secrets(rows, id_col, text_col, repo_col, owner_col, row_col="_row", over_copied=True)
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = scan_secrets(rows, id_col, text_col, repo_col, owner_col, row_col=row, over_copied=True)
     spans = F.array_sort(F.filter(F.concat("base", "added"), lambda x: ~x["copied"]))
-    hidden = found.select(F.col("row").alias("_row"), F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["kind"].alias("kind"))).alias("_spans")).where("size(_spans) > 0")
+    hidden = found.select(F.col("row").alias(row), F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["kind"].alias("kind"))).alias(found_spans)).where(F.size(found_spans) > 0)
     text = F.col(text_col).cast("string")
     clean = F.translate(text, START + VALUE + END, "\u0004\u0004\u0004")
 
@@ -139,10 +141,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         return F.struct(parts.alias("parts"), F.greatest(done["at"], x["end"]).alias("at"))
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-    values = F.array_sort(F.transform("_spans", value))
+    values = F.array_sort(F.transform(found_spans, value))
     shown = F.aggregate(values, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))
-    changed = F.col("_spans").isNotNull()
-    out = rows.join(hidden, "_row", "left").withColumn(text_col, F.when(changed, shown).otherwise(F.col(text_col)))
+    changed = F.col(found_spans).isNotNull()
+    out = rows.join(hidden, row, "left").withColumn(text_col, F.when(changed, shown).otherwise(F.col(text_col)))
     if length_col:
         out = out.withColumn(length_col, F.when(changed, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
     return out.select(*docs.columns)

@@ -9,8 +9,8 @@ memory is a block of each.
 
 Vectors that are null, or hold null or non-finite components, and rows with
 a null id take no part. Vectors of different lengths meet in the dimensions
-they share. Queries that share an id count once; rows with a query's own id
-are never its candidates. Components are expected to fit integers: the sums
+they share. Queries that share an id count once, with the smallest of their
+vectors; rows with a query's own id are never its candidates. Ids are numbers. Components are expected to fit integers: the sums
 are 64-bit.
 """
 
@@ -83,12 +83,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         return df.where(F.col(id_col).isNotNull() & v.isNotNull()).where(sound).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("w"))
 
     rows = weights(vectors)
-    asked = stash(weights(queries).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"]))
+    asked = stash(weights(queries).withColumnRenamed("vec_id", "query_id").groupBy("query_id").agg(F.min("w").alias("w")))
     n_q = max(1, math.ceil(asked.count() / query_block))
     n_r = max(least_blocks, math.ceil(rows.count() / row_block))
     # Every block of rows meets every block of queries.
     rows = rows.withColumn("r", (F.monotonically_increasing_id() % n_r).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+    # A stated number of partitions is not coalesced, so blocks spread over all tasks.
+    parts = 4 * n_q * n_r
+    asked, rows = asked.repartition(parts, "q", "r"), rows.repartition(parts, "q", "r")
     found = asked.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInPandas(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
