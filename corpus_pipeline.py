@@ -6,10 +6,14 @@ return the columns of ``documents``; the last returns packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazetta.llm import quality
-from gazetta.llm.common import held_out
+from gazetta.llm.common import free_name, held_out
 from gazetta.llm.decontaminate import drop_contaminated
 from gazetta.llm.near_dup import drop_near_duplicates
 from gazetta.llm.packing import pack
@@ -20,42 +24,57 @@ from gazetta.session import stash, table
 ORACLE_SQL = None
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Whole texts are long: batches of 1,000 rows between the JVM and Python bound what an executor holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def small_batches(stage: Callable) -> Callable:
+    """A stage that runs with batches of 1,000 rows between the JVM and Python, as whole texts are long, and gives the session its setting back.
+
+    What a stage does in Python it writes itself, so the setting need not outlast it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "1000")
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(key, before)
+
+    return run
 
 
+@small_batches
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores under 0.3, as surely junk, go."""
-    _small_batches(spark)
+    """Documents that the quality classifier scores under 0.3, as surely junk, go. Repeated rows have equal scores; null and empty texts are scored too."""
     stats = stash(quality.document_statistics(docs))
     labelled = quality.label_statistics(stats.where(~held_out()), table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs, quality.fit_quality(labelled), score_col="_quality_score")
-    return scored.where("_quality_score >= 0.3").drop("_quality_score")
+    score = free_name(docs, "_quality_score")
+    scored = quality.score_documents(docs, quality.fit_quality(labelled), score_col=score)
+    return stash(scored.where(F.col(score) >= 0.3).drop(score))
 
 
+@small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
-    _small_batches(spark)
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8. Rows that share an id are told apart by their texts; texts without words stay."""
     return drop_near_duplicates(docs)
 
 
+@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    _small_batches(spark)
+    """Documents that hold a benchmark passage go, each row by its own text. Null and empty texts stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret values are replaced, by their owners over all rows; n_chars follows where a text has changed."""
+    """Secret values are replaced, by their owners over all rows; n_chars follows where a text has changed. Null texts stay null."""
     return redact_secrets(docs, owner_col="source", length_col="n_chars")
 
 
+@small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 4096 tokens, best-fit."""
+    """Sequences of up to 4096 tokens, best-fit. Null and empty texts are a document of one end token; repeated rows are packed as often as they occur."""
     import public_tokenizers
 
-    _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
