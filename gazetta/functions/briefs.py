@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from gazetta.functions.text import contains_any
 
-#: Phrases of a hedged source and of a done deal.
-HEDGED = ["plans to", "expected to", "may ", "could ", "considering", "proposed"]
-DONE = ["has agreed", "approved", "completed", "signed", "launched"]
+#: Phrases of a hedged source and of a done deal, as plain substrings of lower-case text.
+HEDGED = [
+    "could", "may ", "might", "plans to", "planning to", "plans a", "planned", "is seeking", "seeking to", "reportedly",
+    "is expected", "expected to", "considering", "in talks", "weighing", "rumored", "said to be", "is exploring", "exploring a",
+    "is set to", "aims to", "intends to", "proposed", "potential", "would ", "is reportedly", "sources say", "eyeing", "in the works",
+]
+DONE = [
+    "completed", "has completed", "closed", "has closed", "finalized", "has finalized", "secured", "has secured", "confirmed",
+    "has confirmed", "signed", "has signed", "has agreed", "announced the completion", "officially",
+]
+#: Severities, the worst first.
+SEVERITIES = ["critical", "important", "minor"]
 
 
 def sections(briefs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,8 +32,11 @@ def sections(briefs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("is_theme", ~contains_any(F.col("heading"), ["highlights", "investigations"]))
 
 
-def critic(briefs: DataFrame, id_col: str, text_col: str, cap: int, least_themes: int = 3) -> DataFrame:
-    """(id, rule, severity, subject): structural faults. An empty brief has that one alone."""
+def critic(briefs: DataFrame, id_col: str, text_col: str, cap: int, least_themes: int = 3, overrun: float = 1.0) -> DataFrame:
+    """(id, rule, severity, subject): structural faults. An empty brief has that one alone.
+
+    Beyond ``overrun`` times the cap a brief overruns; before, it is just over.
+    """
     parts = sections(briefs, id_col, text_col)
     empty = briefs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "").select(id_col, F.lit("empty_brief").alias("rule"), F.lit("critical").alias("severity"), F.lit(None).cast("string").alias("subject"))
     sound = briefs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
@@ -37,25 +49,52 @@ def critic(briefs: DataFrame, id_col: str, text_col: str, cap: int, least_themes
     cited = F.contains("body", F.lit("]("))
     out = [
         fault(one.where("themes = 0"), "no_themes", "critical"),
-        fault(one.where((F.col("themes") > 0) & (F.col("themes") < least_themes)), "few_themes", "warning"),
+        fault(one.where((F.col("themes") > 0) & (F.col("themes") < least_themes)), "few_themes", "minor"),
         fault(sound.where(~F.contains(text_col, F.lit("]("))), "no_citations", "critical"),
-        fault(sound.where(F.length(text_col) > cap), "char_over_cap", "warning"),
-        fault(parts.where(F.trim("body") == ""), "empty_section", "warning", F.col("heading")),
-        fault(parts.where(F.col("is_theme") & (F.trim("body") != "") & ~cited), "theme_no_citation", "warning", F.col("heading")),
+        fault(sound.where(F.length(text_col) > cap * overrun), "char_overrun", "important"),
+        fault(sound.where((F.length(text_col) > cap) & (F.length(text_col) <= cap * overrun)), "char_over_cap", "minor"),
+        fault(parts.where(F.trim("body") == ""), "empty_section", "important", F.col("heading")),
+        fault(parts.where(F.col("is_theme") & (F.trim("body") != "") & ~cited), "theme_no_citation", "important", F.col("heading")),
     ]
     for x in out:
         empty = empty.unionByName(x)
     return empty
 
 
-def total_mismatch(stated: Column, amounts: Column, share: float = 0.05) -> Column:
-    """The stated total differs from the sum of the other amounts by more than a share."""
-    total = F.aggregate(amounts, F.lit(0.0), lambda s, x: s + x)
-    return (F.size(amounts) > 0) & (F.abs(total - stated) > stated * share)
+def gate(briefs: DataFrame, faults: DataFrame, id_col: str, least: str = "important") -> DataFrame:
+    """(id, faults, worst, alert): every brief with its worst severity, and whether a fault is at ``least`` or above.
+
+    An unknown ``least`` counts as the middle one. A fault of an unknown severity never alerts.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITIES]), F.lower("severity"))
+    floor = SEVERITIES.index(least) + 1 if least in SEVERITIES else 2
+    worst = faults.groupBy(id_col).agg(F.count("*").alias("faults"), F.min(F.when(rank > 0, rank)).alias("r"))
+    out = briefs.select(id_col).join(worst, id_col, "left")
+    named = F.element_at(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("r").cast("int"))
+    return out.select(id_col, F.coalesce("faults", F.lit(0)).alias("faults"), F.when(F.col("r").isNotNull(), named).alias("worst"), F.coalesce(F.col("r") <= floor, F.lit(False)).alias("alert"))
+
+
+def _one_line(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+
 
+def tense_mismatch(source: Column, bullet: Column, hedged: list[str] | None = None, done: list[str] | None = None) -> Column:
+    """A hedged source whose bullet states a done deal."""
+    return contains_any(_one_line(source), hedged or HEDGED) & contains_any(_one_line(bullet), done or DONE)
 
-def tense_mismatch(source: Column, bullet: Column) -> Column:
-    return contains_any(source, HEDGED) & contains_any(bullet, DONE)
+
+def bullets(briefs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, url, line): the first line of each brief that cites an address as ``](url)``."""
+    lines = briefs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("position", "line"))
+    cited = lines.select(id_col, "position", "line", F.explode(F.regexp_extract_all("line", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))).alias("url"))
+    return cited.groupBy(id_col, "url").agg(F.min_by("line", "position").alias("line"))
+
+
+def overstated(highlights: DataFrame, briefs: DataFrame, id_col: str, text_col: str, chars: int = 1000) -> DataFrame:
+    """``highlights`` (id, url, title, differentiator, reasoning, body) whose own bullet in the brief, found by address, states as done what they hedge."""
+    said = F.concat_ws(" ", "title", "differentiator", "reasoning", F.substring("body", 1, chars))
+    found = highlights.join(bullets(briefs, id_col, text_col), [id_col, "url"])
+    return found.where(tense_mismatch(said, F.col("line"))).drop("line")
 
 
 def truncated_tail(text: Column, most: int = 5) -> Column:
@@ -90,14 +129,17 @@ def without_links(text: Column) -> Column:
     return F.regexp_replace(text, r"\[([^\]\n]*)\]\((https?://[^)\s]+)\)", r"$1")
 
 
-def chunk_lines(text: Column, limit: int) -> Column:
-    """Line-aligned chunks of up to ``limit`` characters; a longer line is cut."""
-    cut = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) <= limit, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+def chunk_sections(text: Column, limit: int) -> Column:
+    """Chunks of up to ``limit`` characters, cut before ``## `` headings; a longer section is cut hard, on its own."""
+    parts = F.filter(F.split(text, r"(?m)(?=^##\s)"), lambda x: x != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def step(s: Column, line: Column) -> Column:
-        fits = s["now"].isNotNull() & (F.length(s["now"]) + 1 + F.length(line) <= limit)
-        done = F.when(fits | s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(s["now"], F.lit("\n"), line)).otherwise(line).alias("now"))
+    def step(s: Column, part: Column) -> Column:
+        whole = F.filter(F.array(s["now"]), lambda x: x != "")
+        cut = F.regexp_extract_all(part, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
+        fits = F.length(s["now"]) + F.length(part) <= limit
+        done = F.when(F.length(part) > limit, F.concat(s["done"], whole, cut)).when(fits, s["done"]).otherwise(F.concat(s["done"], whole))
+        return F.struct(done.alias("done"), F.when(F.length(part) > limit, F.lit("")).when(fits, F.concat(s["now"], part)).otherwise(part).alias("now"))
 
-    return F.aggregate(cut, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    folded = F.aggregate(parts, start, step, lambda s: F.concat(s["done"], F.filter(F.array(s["now"]), lambda x: x != "")))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(folded)

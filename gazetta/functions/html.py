@@ -9,10 +9,10 @@ ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 LINK = r"\[([^\]]*)\]\((https?://[^)\s]+)\)"
 
 
-def html_links(pages: DataFrame, id_col: str, html_col: str, least_title: int = 20, http_only: bool = True) -> DataFrame:
-    """(id, position, url, title) of each anchor with a long enough text, in page order."""
+def html_links(pages: DataFrame, id_col: str, html_col: str, least_title: int = 20, http_only: bool = True, tag: str = "") -> DataFrame:
+    """(id, position, url, title) of each anchor with a long enough text, in page order. ``tag`` stands for each tag within an anchor."""
     pairs = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(ANCHOR), F.lit(1)).alias("url"), F.regexp_extract_all(html_col, F.lit(ANCHOR), F.lit(2)).alias("title"))
-    rows = pages.select(id_col, F.posexplode(pairs).alias("position", "x")).select(id_col, "position", F.col("x.url").alias("url"), F.trim(F.regexp_replace("x.title", "<[^>]*>", "")).alias("title"))
+    rows = pages.select(id_col, F.posexplode(pairs).alias("position", "x")).select(id_col, "position", F.col("x.url").alias("url"), F.trim(F.regexp_replace("x.title", "<[^>]*>", tag)).alias("title"))
     rows = rows.where(F.length("title") > least_title)
     return rows.where(F.startswith("url", F.lit("http"))) if http_only else rows
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from gazetta.functions.html import html_links
 from gazetta.functions.text import clean_headline
 
-#: Units of money in millions.
-UNITS = {"thousand": 1e-3, "k": 1e-3, "million": 1.0, "mn": 1.0, "m": 1.0, "billion": 1e3, "bn": 1e3, "b": 1e3, "trillion": 1e6}
-MONEY = r"(?i)\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousand|million|billion|trillion|mn|bn|k|m|b)\b"
-TOTAL = r"(?i)total[^$.\n]*\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousand|million|billion|trillion|mn|bn|k|m|b)\b"
+#: Units of money in millions, words of a stated total, and the yen in an address.
+UNITS = {"thousand": 1e-3, "k": 1e-3, "million": 1.0, "mn": 1.0, "m": 1.0, "billion": 1e3, "bn": 1e3, "b": 1e3}
+AMOUNT = r"\$\s?([0-9,]+(?:\.[0-9]+)?)\s*(billion|bn|million|mn|thousand|k|b|m)?\b"
+MONEY = "(?i)" + AMOUNT
+TOTAL = r"(?i)(?:total(?:ing|ed|s)?|combined|altogether|collectively)[^0-9]{0,30}?" + AMOUNT
+CITED = r"\((https?://[^)\s]+)\)"
+YEN = r"(?iU)(?:^|[\W_])(?:yen|円)(?:$|[\W_])"
 
 
 def _millions(number: Column, unit: Column) -> Column:
@@ -22,34 +25,46 @@ def _millions(number: Column, unit: Column) -> Column:
 def amounts(text: Column) -> Column:
     """All amounts in millions; amounts without a unit are left out."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(MONEY), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(MONEY), F.lit(2)).alias("u"))
-    return F.transform(pairs, lambda p: _millions(p["n"], p["u"]))
+    return F.filter(F.transform(pairs, lambda p: _millions(p["n"], p["u"])), lambda x: x.isNotNull())
 
 
 def stated_total(text: Column) -> Column:
-    """The amount that a text calls its total; null without one."""
+    """The amount that a text first calls its total; null without one, or where it has no unit."""
     n = F.regexp_extract(text, TOTAL, 1)
     return F.when(n != "", _millions(n, F.regexp_extract(text, TOTAL, 2)))
 
 
 def total_mismatch(text: Column, share: float = 0.05) -> Column:
-    """The stated total is more than ``share`` off the sum of the other amounts."""
-    total, every = stated_total(text), amounts(text)
+    """The stated total is more than ``share`` off the sum of the section's other amounts, of which there is one at least."""
+    total, every = stated_total(text), amounts(text)  # the total itself is one of the amounts
     others = F.aggregate(every, F.lit(0.0), lambda s, x: s + x) - total
-    return F.coalesce((F.size(every) > 1) & (F.abs(others - total) > total * share), F.lit(False))
+    return F.coalesce((total > 0) & (F.size(every) > 1) & (others > 0) & (F.abs(others - total) / total > share), F.lit(False))
 
 
 def currency_mismatch(text: Column) -> Column:
-    """Dollar amounts in a section that cites a yen page."""
-    return text.rlike(r"\$\s?[0-9]") & text.rlike(r"(?i)\]\(https?://[^)\s]*(yen|jpy|\.jp[/)])")
+    """Dollar amounts in a section that cites an address with ``yen`` or 円 between word breaks."""
+    addresses = F.regexp_extract_all(text, F.lit(CITED), F.lit(1))
+    return F.coalesce(text.rlike(r"\$\s?[0-9,]+") & F.exists(addresses, lambda u: u.rlike(YEN)), F.lit(False))
 
 
-def coverage_cards(pages: DataFrame, id_col: str, html_col: str, least_sources: int = 5, most: int = 3) -> DataFrame:
-    """(id, rank, url, side, percent, sources, headline) of anchors that state one-sided coverage, each address once."""
-    links = html_links(pages, id_col, html_col, 0, http_only=False)
-    card = r"(?i)([0-9]{1,3})% (left|right|center) coverage:? ([0-9]+) sources"
-    rows = links.select(id_col, "position", "url", F.regexp_extract("title", card, 1).try_cast("int").alias("percent"), F.initcap(F.regexp_extract("title", card, 2)).alias("side"), F.regexp_extract("title", card, 3).try_cast("int").alias("sources"), clean_headline(F.col("title")).alias("headline"))
+#: The wording of a coverage card, and of the addresses that it leads to.
+CARD = r"(?i)Blindspot:\s*(?:Only\s*)?([0-9]+)%\s*(Left|Right|Center)\s+([0-9]+)\s+sources?\s+(.+)$"
+STORY = r"/article/|/story/"
+
+
+def coverage_cards(pages: DataFrame, id_col: str, html_col: str, least_sources: int = 0, most: int = 1, base: str = "", card: str = CARD, story: str = STORY) -> DataFrame:
+    """(id, rank, url, side, percent, sources, headline) of story anchors that state one-sided coverage, each address once.
+
+    Anchors of another shape are left out. Relative addresses get ``base``.
+    Stories with too few sources go before the cap, which is one at least.
+    """
+    links = html_links(pages, id_col, html_col, 0, http_only=False, tag=" ").where(F.col("url").rlike(story))
+    part = [F.regexp_extract("title", card, i) for i in range(1, 5)]
+    url = F.when(F.startswith("url", F.lit("http")), F.col("url")).otherwise(F.concat(F.lit(base), "url"))
+    rows = links.withColumn("title", F.trim(F.regexp_replace("title", r"\s+", " "))).where(F.col("title").rlike(card))
+    rows = rows.select(id_col, "position", url.alias("url"), part[0].try_cast("int").alias("percent"), F.initcap(part[1]).alias("side"), part[2].try_cast("int").alias("sources"), clean_headline(part[3]).alias("headline"))
     first = F.row_number().over(Window.partitionBy(id_col, "url").orderBy("position"))
-    rows = rows.where("percent is not null").withColumn("n", first).where((F.col("n") == 1) & (F.col("sources") >= least_sources))
+    rows = rows.where("headline <> ''").withColumn("n", first).where((F.col("n") == 1) & (F.col("sources") >= least_sources))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("position"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= max(1, most)).select(id_col, "rank", "url", "side", "percent", "sources", "headline")
 

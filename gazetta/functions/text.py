@@ -42,10 +42,11 @@ def clean_label(text: Column, width: int = 48, default: str = "story") -> Column
 
 
 def clean_headline(text: Column, width: int = 160) -> Column:
-    """Without a coverage tail and a relative-time tail."""
-    out = F.regexp_replace(text, r"(?i)\s*\d+% (left|right|center) coverage.*$", "")
-    out = F.regexp_replace(out, r"(?i)\s*\d+ (minute|hour|day)s? ago.*$", "")
-    return F.substring(F.trim(out), 1, width)
+    """One line, cut before a coverage breakdown (``Left 13 % …``), a relative time or ``Show more``, without closing punctuation."""
+    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    out = F.regexp_replace(out, r"\s+(Left|Center|Right)\s+[0-9]+\s*%.*$", "")
+    out = F.regexp_replace(out, r"\s+([0-9]+\s+(hours?|days?|minutes?)\s+ago|Show more)\b.*$", "")
+    return F.regexp_replace(F.substring(F.trim(out), 1, width), r"[ \-—,;:]+$", "")
 
 
 def bare_urls(text: Column) -> Column:

@@ -9,7 +9,11 @@ from gazetta.functions import balance
 from gazetta.functions.text import contains_any
 
 #: Words that mark a price event, as plain substrings.
-PRICE_WORDS = ["bitcoin", "btc", "eth", "price", "rally", "surge", "crash", "ath"]
+PRICE_WORDS = [
+    "price", "hits", "drops", "surges", "soars", "plunge", "plunges", "rally", "rallies", "recovers", "breaches", "tests", "slumps",
+    "crashes", "breakout", "bottoms", "tops", "all-time high", "ath", "%", "$", "btc", "bitcoin", "eth", "ethereum", "sol",
+    "election", "ceasefire", "ruling", "verdict", "shutdown",
+]
 
 
 def cluster_summary(members: DataFrame, edges: DataFrame, price_hours: float = 12, review: float = 0.90, words: list[str] | None = None) -> DataFrame:

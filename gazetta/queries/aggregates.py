@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta import models
+from gazetta.functions.quantity import cosine
 from gazetta.models import as_of, with_models
 from gazetta.operators import aggregates, filters, joins
 from gazetta.queries.registry import query
@@ -16,21 +17,28 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir))
 
 
+#: The words as a DuckDB list.
+PRICE_LIST = ", ".join(f"'{w}'" for w in aggregates.PRICE_WORDS)
+
+
 @query(
     "d01_cluster_summary",
     with_models("""
 , m AS (SELECT CAST(floor(id / 7) AS BIGINT) AS cluster, id, published_at, lower(title || ' ' || substr(body, 1, 300)) AS t FROM art),
-p AS (SELECT *, len(list_filter(['bitcoin', 'btc', 'eth', 'price', 'rally', 'surge', 'crash', 'ath'], lambda w: contains(t, w))) > 0 AS price FROM m),
-e AS (SELECT CAST(floor(vec_id / 7) AS BIGINT) AS cluster, min(CAST(embedding[1] AS DOUBLE)) + 1 AS low FROM embeddings WHERE vec_id % 7 < 3 GROUP BY 1),
+p AS (SELECT *, len(list_filter([PRICE_WORDS], lambda w: contains(t, w))) > 0 AS price FROM m),
+v AS (SELECT vec_id, CAST(floor(vec_id / 7) AS BIGINT) AS cluster, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings),
+e AS (SELECT x.cluster, min(round(list_cosine_similarity(x.w, y.w), 9)) AS low FROM v x JOIN v y ON x.cluster = y.cluster AND x.vec_id < y.vec_id WHERE round(list_cosine_similarity(x.w, y.w), 9) >= 0.1 GROUP BY 1),
 s AS (SELECT cluster, count(*) AS members, CASE WHEN count(published_at) >= 2 THEN round((epoch_us(max(published_at)) - epoch_us(min(published_at))) / 3.6e9, 6) ELSE 0 END AS span_hours,
   bool_or(price) AS price, arg_max(id, (published_at, id)) AS latest, arg_min(id, (published_at, id)) AS earliest FROM p GROUP BY cluster HAVING count(*) >= 2),
 k AS (SELECT s.*, round(coalesce(low, 1.0), 6) AS min_similarity, CASE WHEN span_hours <= 0.45 AND price THEN 'price_event' ELSE 'analysis' END AS kind FROM s LEFT JOIN e USING (cluster))
-SELECT cluster, members, span_hours, min_similarity, kind, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id, kind = 'analysis' AND min_similarity < 0.9 AS review FROM k"""),
+SELECT cluster, members, span_hours, min_similarity, kind, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id, kind = 'analysis' AND min_similarity < 0.9 AS review FROM k""".replace("PRICE_WORDS", PRICE_LIST)),
 )
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven articles in a row are a cluster; its edges are the similar pairs of vectors within it."""
     members = models.articles(spark, sf_dir).withColumn("cluster", F.floor(F.col("id") / 7).cast("long"))
-    v = table(spark, sf_dir, "embeddings").where("vec_id % 7 < 3")
-    edges = v.select(F.floor(F.col("vec_id") / 7).cast("long").alias("cluster"), (F.col("embedding")[0].cast("double") + 1).alias("similarity"))
+    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 7).cast("long").alias("cluster"), F.col("vec_id").alias("x"), F.transform("embedding", lambda e: e.cast("double")).alias("w"))
+    both = v.join(v.select("cluster", F.col("x").alias("y"), F.col("w").alias("u")), "cluster").where("x < y")
+    edges = both.select("cluster", F.round(cosine(F.col("w"), F.col("u")), 9).alias("similarity")).where("similarity >= 0.1")
     out = aggregates.cluster_summary(members, edges, price_hours=0.45)
     return out.withColumn("min_similarity", F.round("min_similarity", 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetta import models
 from gazetta.functions.quantity import jaccard
-from gazetta.models import with_models
+from gazetta.models import as_of
 from gazetta.operators import aggregates, filters, graphs, greedy, joins, windows
 from gazetta.queries.registry import query
 from gazetta.session import stash, table
@@ -22,9 +22,10 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("h02_lsh_pairs")
+@query("h02_lsh_pairs", PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM e")
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.lsh_pairs(table(spark, sf_dir, "embeddings"), 0.4)
+    """Every pair of the exact join here: at this threshold the hash saves nothing below some million rows, and the operator says so."""
+    return graphs.lsh_pairs(table(spark, sf_dir, "embeddings"), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
 COMPONENTS = PAIRS + """,
@@ -38,10 +39,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per member of a cluster: cluster, id, action, kind."""
-    pairs = stash(graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4))
+    """One row per member of a cluster among the articles of 48 hours: cluster, id, action, kind."""
+    recent = models.articles(spark, sf_dir).where(filters.in_window(F.col("published_at"), as_of(), F.lit(48)) & (F.col("published_at") <= as_of()))
+    recent = stash(recent.select("id", "published_at", "title", "body"))
+    vectors = table(spark, sf_dir, "embeddings").join(recent.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    pairs = stash(graphs.lsh_pairs(vectors, 0.4))
     parts = graphs.connected_components(pairs)
-    members = models.articles(spark, sf_dir).select("id", "published_at", "title", "body").join(parts, "id")
+    members = recent.join(parts, "id")
     edges = pairs.join(parts, F.col("a") == F.col("id")).select("cluster", "similarity")
     summary = aggregates.cluster_summary(members, edges)
     rows = members.select("id", "cluster").join(summary, "cluster")
@@ -49,25 +53,33 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("primary_id", "id", "kind", action.alias("action"), "members")
 
 
-@query(
-    "h04_resolve_duplicates",
-    COMPONENTS
-    + """, ev AS (SELECT doc_id AS id, ts, lower(split_part(text, chr(10), 1) || ' ' || substr(text, 1, 300)) AS t FROM documents JOIN events ON event_id = doc_id),
-m AS (SELECT cluster, ev.* FROM c JOIN ev USING (id)),
+RESOLVED = (
+    """
+WITH RECURSIVE ev AS (SELECT doc_id AS id, source, ts, lower(split_part(text, chr(10), 1) || ' ' || substr(text, 1, 300)) AS t FROM documents JOIN events ON event_id = doc_id
+  WHERE ts >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '48' HOUR AND ts <= TIMESTAMP '2024-01-03 21:00:00'),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IN (SELECT id FROM ev)),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.4),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, far) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.far = s.a),
+c AS (SELECT id, min(far) AS cluster FROM r GROUP BY id), m AS (SELECT cluster, ev.* FROM c JOIN ev USING (id)),
 low AS (SELECT cluster, min(similarity) AS low FROM e JOIN c ON a = id GROUP BY cluster),
-z AS (SELECT cluster, count(*) AS members, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS span, bool_or(len(list_filter(['bitcoin', 'btc', 'eth', 'price', 'rally', 'surge', 'crash', 'ath'], lambda w: contains(t, w))) > 0) AS price,
+z AS (SELECT cluster, count(*) AS members, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS span, bool_or(len(list_filter([PRICE_WORDS], lambda w: contains(t, w))) > 0) AS price,
   arg_max(id, (ts, id)) AS latest, arg_min(id, (ts, id)) AS earliest FROM m GROUP BY cluster HAVING count(*) >= 2),
 k AS (SELECT z.*, CASE WHEN round(span, 6) <= 12 AND price THEN 'price_event' ELSE 'analysis' END AS kind, low < 0.9 AS weak FROM z JOIN low USING (cluster)),
-f AS (SELECT *, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id FROM k)
-SELECT primary_id, id, kind, CASE WHEN kind = 'analysis' AND weak THEN 'review' WHEN id = primary_id THEN 'keep' ELSE 'drop' END AS action, members FROM m JOIN f USING (cluster)""",
-)
+f AS (SELECT *, CASE WHEN kind = 'price_event' THEN latest ELSE earliest END AS primary_id FROM k),
+plan AS (SELECT primary_id, id, kind, CASE WHEN kind = 'analysis' AND weak THEN 'review' WHEN id = primary_id THEN 'keep' ELSE 'drop' END AS action, members FROM m JOIN f USING (cluster))"""
+).replace("PRICE_WORDS", ", ".join(f"'{w}'" for w in aggregates.PRICE_WORDS))
+
+
+@query("h04_resolve_duplicates", RESOLVED + " SELECT * FROM plan")
 def resolve_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir)
 
 
 @query(
     "a08_soft_delete",
-    None,
+    RESOLVED
+    + """, d AS (SELECT doc_id AS id, source AS source_id FROM documents JOIN events ON event_id = doc_id)
+SELECT id, source_id, primary_id AS cluster_id, coalesce(action = 'drop', false) AS deleted, CASE WHEN action = 'drop' THEN primary_id END AS duplicate_of FROM d LEFT JOIN plan USING (id)""",
 )
 def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _resolved(spark, sf_dir).select("id", F.col("primary_id").alias("cluster_id"), (F.col("action") == "drop").alias("lost"))
@@ -76,7 +88,6 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "source_id", "cluster_id", lost.alias("deleted"), F.when(lost, F.col("cluster_id")).alias("duplicate_of"))
 
 
-
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks are a total order; a window over one brief's articles gives them."""
     from pyspark.sql import Window

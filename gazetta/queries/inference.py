@@ -163,10 +163,36 @@ def fact_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("kind") == "tally").select("event_id", delta.alias("delta")).where("delta is not null")
 
 
-@query("k05_tense_mismatch", "SELECT conv_id, turn FROM (SELECT conv_id, turn, lower(text) AS t, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE (contains(s, 'plans to') OR contains(s, 'expected to') OR contains(s, 'may ') OR contains(s, 'could ') OR contains(s, 'considering') OR contains(s, 'proposed')) AND (contains(t, 'has agreed') OR contains(t, 'approved') OR contains(t, 'completed') OR contains(t, 'signed') OR contains(t, 'launched'))")
+def _phrases(words: list[str], column: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+TENSES = (
+    r"""
+WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+h AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(substr(before, 1, 1000), '') || CASE WHEN length(before) % 3 = 0 THEN '' ELSE ' plans' || chr(10) || 'to sell' END, '\s+', ' ', 'g'))) AS source,
+  lower(trim(regexp_replace('- ' || replace(text, chr(10), ' ') || CASE WHEN length(text) % 2 = 0 THEN ' has signed' ELSE '' END || ' [s](https://e.example/' || turn || ')', '\s+', ' ', 'g'))) AS bullet FROM t)
+SELECT conv_id, turn FROM h WHERE """
+    + _phrases(briefs.HEDGED, "source")
+    + " AND "
+    + _phrases(briefs.DONE, "bullet")
+)
+
+
+@query("k05_tense_mismatch", TENSES)
 def tense_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a brief with a cited bullet a turn; the highlight behind it is the turn before."""
     rows = joins.prior_point(table(spark, sf_dir, "conversations"), ["conv_id"], F.col("turn"), ["text"])
-    return rows.where(briefs.tense_mismatch(F.col("prior_text"), F.col("text"))).select("conv_id", "turn")
+    url = F.concat(F.lit("https://e.example/"), F.col("turn").cast("string"))
+    line = F.concat(F.lit("- "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.when(F.length("text") % 2 == 0, " has signed").otherwise(""), F.lit(" [s]("), url, F.lit(")"))
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    written = rows.groupBy("conv_id").agg(text_of.alias("content"))
+    none = F.lit(None).cast("string")
+    hedge = F.when(F.length("prior_text") % 3 == 0, "").otherwise("plans\nto sell")
+    highlights = rows.select("conv_id", "turn", url.alias("url"), none.alias("title"), none.alias("differentiator"), F.concat(F.substring("prior_text", 1, 1000), F.lit(" "), hedge).alias("reasoning"), none.alias("body"))
+    # A first turn has nothing before it: what is left of the source is the hedge alone.
+    highlights = highlights.withColumn("reasoning", F.coalesce("reasoning", F.lit("plans to sell")))
+    return briefs.overstated(highlights, written, "conv_id", "content").select("conv_id", "turn")
 
 
 @query("k07_truncated_tails")

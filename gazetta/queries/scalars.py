@@ -136,20 +136,35 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "position", "heading", F.md5(F.col("body").cast("binary")).alias("body_md5"), "is_theme")
 
 
-@query(
-    "k02_critic",
+FAULTS = (
     SECTIONS
     + """, t AS (SELECT *, NOT contains(lower(heading), 'highlights') AND NOT contains(lower(heading), 'investigations') AS theme FROM s), n AS (SELECT id, count(*) FILTER (theme) AS themes FROM t GROUP BY 1), o AS (SELECT b.*, coalesce(themes, 0) AS themes FROM b LEFT JOIN n USING (id) WHERE trim(content) <> '')
 SELECT id, 'no_themes' AS rule, 'critical' AS severity, NULL AS subject FROM o WHERE themes = 0
-UNION ALL SELECT id, 'few_themes', 'warning', NULL FROM o WHERE themes BETWEEN 1 AND 2
+UNION ALL SELECT id, 'few_themes', 'minor', NULL FROM o WHERE themes BETWEEN 1 AND 2
 UNION ALL SELECT id, 'no_citations', 'critical', NULL FROM o WHERE NOT contains(content, '](')
-UNION ALL SELECT id, 'char_over_cap', 'warning', NULL FROM o WHERE length(content) > 3000
-UNION ALL SELECT id, 'empty_section', 'warning', heading FROM t WHERE trim(body) = ''
-UNION ALL SELECT id, 'theme_no_citation', 'warning', heading FROM t WHERE theme AND trim(body) <> '' AND NOT contains(body, '](')
-UNION ALL SELECT id, 'empty_brief', 'critical', NULL FROM b WHERE trim(content) = ''""",
+UNION ALL SELECT id, 'char_overrun', 'important', NULL FROM o WHERE length(content) > 3000 * 1.15
+UNION ALL SELECT id, 'char_over_cap', 'minor', NULL FROM o WHERE length(content) > 3000 AND length(content) <= 3000 * 1.15
+UNION ALL SELECT id, 'empty_section', 'important', heading FROM t WHERE trim(body) = ''
+UNION ALL SELECT id, 'theme_no_citation', 'important', heading FROM t WHERE theme AND trim(body) <> '' AND NOT contains(body, '](')
+UNION ALL SELECT id, 'empty_brief', 'critical', NULL FROM b WHERE trim(content) = ''"""
 )
+
+
+@query("k02_critic", FAULTS)
 def critic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return briefs.critic(_briefs(spark, sf_dir), "id", "content", 3000)
+    return briefs.critic(_briefs(spark, sf_dir), "id", "content", 3000, overrun=1.15)
+
+
+@query(
+    "k02_gate",
+    FAULTS.replace("SELECT id, 'no_themes'", ", every AS (SELECT id, 'no_themes'", 1)
+    + """), w AS (SELECT id, count(*) AS faults, min(CASE severity WHEN 'critical' THEN 1 WHEN 'important' THEN 2 ELSE 3 END) AS r FROM every GROUP BY id)
+SELECT id, coalesce(faults, 0) AS faults, CASE r WHEN 1 THEN 'critical' WHEN 2 THEN 'important' WHEN 3 THEN 'minor' END AS worst, coalesce(r <= 2, false) AS alert FROM b LEFT JOIN w USING (id)""",
+)
+def critic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before a brief is sent: its worst fault, and whether that is worth an alert."""
+    rows = _briefs(spark, sf_dir)
+    return briefs.gate(rows, briefs.critic(rows, "id", "content", 3000, overrun=1.15), "id")
 
 
 @query("k06_bare_urls", BRIEFS + " SELECT id, CAST(len(regexp_extract_all(content || ' http://x https://y', 'https?://')) - len(regexp_extract_all(content, '\\]\\(https?://')) AS INTEGER) AS bare FROM b")
@@ -172,10 +187,26 @@ def plain_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _briefs(spark, sf_dir).select("id", F.md5(briefs.plain_chat(F.col("content")).cast("binary")).alias("chat_md5"), F.md5(briefs.without_links(F.col("content")).cast("binary")).alias("bare_md5"))
 
 
-@query("k11_chunks")
+CHUNKS = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '(?m)^', '## ', 'g') AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+p AS (SELECT doc_id, t, length(t) AS size, list_transform(string_split(substr(t, 4), chr(10) || '## '), lambda x, i: length(x) + 4 - CAST(i = len(string_split(substr(t, 4), chr(10) || '## ')) AS INTEGER)) AS parts FROM d),
+r(doc_id, i, chunk, held, piece, pieces) AS (
+  SELECT doc_id, 0, -1, CAST(2000 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM p
+  UNION ALL SELECT r.doc_id, r.i + 1,
+    CASE WHEN n > 1500 THEN r.chunk + CAST(ceil(n / 1500.0) AS INTEGER) WHEN r.held + n <= 1500 THEN r.chunk ELSE r.chunk + 1 END,
+    CASE WHEN n > 1500 THEN 2000 WHEN r.held + n <= 1500 THEN r.held + n ELSE n END, n, CAST(CASE WHEN n > 1500 THEN ceil(n / 1500.0) ELSE 1 END AS BIGINT)
+  FROM r JOIN (SELECT doc_id, unnest(parts) AS n, generate_subscripts(parts, 1) AS at FROM p WHERE size > 1500) x ON x.doc_id = r.doc_id AND x.at = r.i + 1),
+o AS (SELECT doc_id, unnest(range(chunk - CAST(pieces AS INTEGER) + 1, chunk + 1)) AS chunk, unnest(list_transform(range(1, CAST(pieces AS INTEGER) + 1), lambda k: CASE WHEN pieces = 1 THEN piece WHEN k < pieces THEN 1500 ELSE piece - 1500 * (pieces - 1) END)) AS chars FROM r WHERE i > 0)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(sum(chars) AS INTEGER) AS chars FROM o GROUP BY 1, 2
+UNION ALL SELECT doc_id, 0, CAST(size AS INTEGER) FROM p WHERE size <= 1500"""
+
+
+@query("k11_chunks", CHUNKS)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(briefs.chunk_lines(F.col("text"), 1500)).alias("chunk", "part"))
-    return rows.select("doc_id", "chunk", F.length("part").alias("chars"), F.md5(F.col("part").cast("binary")).alias("part_md5"))
+    """Documents whose every line heads a section."""
+    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.regexp_replace("text", "(?m)^", "## ").alias("t"))
+    rows = d.select("doc_id", F.posexplode(briefs.chunk_sections(F.col("t"), 1500)).alias("chunk", "part"))
+    return rows.select("doc_id", "chunk", F.length("part").alias("chars"))
 
 
 @query("k15_key_shapes", r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:api_?key|token|password)\s*[:=]\s*\S{12,}')")

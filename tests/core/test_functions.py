@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gazetta.functions import balance, briefs, deltas, html, quantity, replies, text
+from gazetta.functions import balance, briefs, deltas, html, money, quantity, replies, text
 from gazetta.operators import aggregates, filters, joins, windows
 
 
@@ -104,10 +104,50 @@ def test_replies(spark):
 def test_brief_text(spark):
     cut = "## Head\nA full line.\n\nhalf a line\n- cut"
     assert values(spark, [(cut,)], "s string", briefs.truncated_tail(F.col("s"))) == [("## Head\nA full line.",)]
-    got = values(spark, [("aa\nbb\ncccccc\nd",)], "s string", briefs.chunk_lines(F.col("s"), 5))
-    assert got == [(["aa\nbb", "ccccc", "c\nd"],)]
+    chunks = briefs.chunk_sections(F.col("s"), 12)
+    assert values(spark, [("intro\n## a\n## b",), ("## a\n12\n## bb\n345\n## c\n0123456789012",), ("short",), ("",)], "s string", chunks) == [(["intro\n## a\n", "## b"],), (["## a\n12\n", "## bb\n345\n", "## c\n0123456", "789012"],), (["short"],), ([""],)]
     assert values(spark, [(9000,), (8800,)], "n int", briefs.over_cap(F.col("n"), 8000, 1.12)) == [(1000,), (None,)]
-    assert values(spark, [(1200.0, [300.0, 300.0, 200.0, 148.0]), (948.0, [300.0, 300.0, 200.0, 148.0])], "t double, a array<double>", briefs.total_mismatch(F.col("t"), F.col("a"))) == [(True,), (False,)]
+
+
+def test_money_in_a_section(spark):
+    rows = [
+        ("Deals totaling $1.2 billion: $300 million, $300M, $200 million and $148 mn.",),
+        ("Deals totaling $948 million: $300 million, $300M, $200 million and $148 mn.",),
+        ("Combined $9 million. $1 million and $2 million",),
+        ("A total of many words and then a great deal more of them $9 million, $1 million",),
+        ("Collectively $5. $1 million",),
+        ("Altogether $5 million and a stray $5",),
+        (None,),
+    ]
+    assert [r[0] for r in values(spark, rows, "s string", money.total_mismatch(F.col("s")))] == [True, False, True, False, False, False, False]
+    pages = ["[s](https://a.jp/a) $5", "[s](https://a.com/doyen-b) $5", "[s](https://a.com/5-円-b) $5M", "[s](https://a.com/5-yen-b) $5", "[s](https://a.com/yen) no figure", "[s](https://a.com/yen_rate) $ 1,000"]
+    assert [r[0] for r in values(spark, [(p,) for p in pages], "s string", money.currency_mismatch(F.col("s")))] == [False, False, True, True, False, True]
+
+
+def test_coverage_cards(spark):
+    html = """<a href="/article/1"><h4>Blindspot: Only</h4> <b>13%</b> Left 11 sources US denied a request Left 13 % Center 12 % Right 75 %</a>
+    <a href="https://x.org/story/2">blindspot: 20% right 4 source Second one 3 hours ago</a><a href="/article/1">Blindspot: 5% Left 9 sources again</a>
+    <a href="/topic/3">Blindspot: 5% Left 9 sources elsewhere</a><a href="/story/4">No card here</a><a href="/story/5">Blindspot: 7% Center 30 sources Third - Show more of it</a>"""
+    pages = spark.createDataFrame([(1, html)], "id int, html string")
+    got = [tuple(r)[2:] for r in money.coverage_cards(pages, "id", "html", most=9, base="https://b.org").orderBy("rank").collect()]
+    assert got == [("https://b.org/article/1", "Left", 13, 11, "US denied a request"), ("https://x.org/story/2", "Right", 20, 4, "Second one"), ("https://b.org/story/5", "Center", 7, 30, "Third")]
+    assert [r.sources for r in money.coverage_cards(pages, "id", "html", least_sources=10, most=0).collect()] == [11]
+
+
+def test_overstated_highlights(spark):
+    brief = "# Top\n- X has signed the deal [s](https://a/1)\n- Y signed too [t](https://a/2)\n- again [s](https://a/1)\n- Z may close [u](https://a/3)"
+    rows = [("b", "https://a/1", "X plans\n to buy"), ("b", "https://a/2", "Y bought"), ("b", "https://a/3", "Z could"), ("b", "https://a/4", "could"), ("c", "https://a/1", "could")]
+    h = spark.createDataFrame(rows, "id string, url string, title string").selectExpr("*", "null differentiator", "null reasoning", "null body")
+    got = briefs.overstated(h, spark.createDataFrame([("b", brief)], "id string, content string"), "id", "content").collect()
+    assert [r.url for r in got] == ["https://a/1"]
+
+
+def test_gate(spark):
+    b = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
+    f = spark.createDataFrame([(1, "minor"), (1, "critical"), (2, "minor"), (4, "odd")], "id int, severity string")
+    got = {r.id: (r.faults, r.worst, r.alert) for r in briefs.gate(b, f, "id").collect()}
+    assert got == {1: (2, "critical", True), 2: (1, "minor", False), 3: (0, None, False), 4: (1, None, False)}
+    assert {r.id for r in briefs.gate(b, f, "id", "minor").collect() if r.alert} == {1, 2}
 
 
 def test_cluster_summary(spark):
