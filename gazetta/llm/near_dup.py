@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import WordIds, as_bytes, keyed, mix64, slices
+from gazetta.llm.common import WordIds, arrow_rows, as_bytes, keyed, mix64, slices
 from gazetta.session import stash
 
 SIGNATURE = 126
@@ -188,7 +188,9 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary, linked boolean"))
+    # A row has two sets, a hub's over and over: few rows a batch bound what a task holds.
+    with arrow_rows(pairs.sparkSession, 64):
+        return stash(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary, linked boolean"))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -278,7 +280,8 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     """(doc_id, _text_a, _text_b, n_shingles, label, component_id) per row; label is null for rows without a set."""
     bands, rows = band_plan(percent)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_digests(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-    signed = stash(text.mapInArrow(_signed(shingle, bands, rows), "doc_id long, _text_a long, _text_b long, doc_key long, n_shingles long, node binary, bands array<long>"))
+    with arrow_rows(docs.sparkSession, 1000):
+        signed = stash(text.mapInArrow(_signed(shingle, bands, rows), "doc_id long, _text_a long, _text_b long, doc_key long, n_shingles long, node binary, bands array<long>"))
     # A node is a distinct set; its bands depend on the set alone.
     nodes = stash(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     dealt = nodes.select("node", "doc_key", "n", F.explode("bands").alias("bucket"))
@@ -286,7 +289,8 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     members = stash(_by_bucket(dealt, full).select("bucket", "k", "node", "n", "doc_key"))
     n_members = members.count()
     chosen = members.select("doc_key").distinct()
-    sets = stash(keyed(text.where("text is not null"), stash(chosen), "doc_key", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    with arrow_rows(docs.sparkSession, 1000):
+        sets = stash(keyed(text.where("text is not null"), stash(chosen), "doc_key", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
     # The first hub of a bucket is the node with the fullest buckets: copies resemble their source more than each other.
     degree = members.groupBy("node").agg(F.sum("k").alias("degree"))
     hubs = members.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
@@ -298,7 +302,8 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
         labels = _merged(None, tried.where("linked").select("a", "b"))
     labelled = stash(_labelled(members.select("bucket", "node", "n"), labels))
     nodes_left = stash(_mixed(labelled).select("node", "n").distinct())
-    prefixes, share = _prefixes(nodes_left, sets, percent), 4
+    with arrow_rows(docs.sparkSession, 500):
+        prefixes, share = _prefixes(nodes_left, sets, percent), 4
     while True:
         live = _open(prefixes, labels, percent)
         tops = stash(_top_labels(live))
