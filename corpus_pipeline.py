@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import quality
-from gazetta.llm.common import free_name, held_out
+from gazetta.llm.common import arrow_rows, free_name, held_out
 from gazetta.llm.decontaminate import drop_contaminated
 from gazetta.llm.near_dup import drop_near_duplicates
 from gazetta.llm.packing import pack
@@ -29,16 +29,11 @@ def small_batches(stage: Callable) -> Callable:
 
     What a stage does in Python it writes itself, so the setting need not outlast it.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = spark.conf.get(key)
-        spark.conf.set(key, "1000")
-        try:
+        with arrow_rows(spark, 1000):
             return stage(spark, docs, sf_dir)
-        finally:
-            spark.conf.set(key, before)
 
     return run
 
