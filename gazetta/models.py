@@ -21,11 +21,11 @@ def topic_list(title):
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, source_no, name, category, bias: a dimension of 20 rows."""
+    """source_id, source_no, name, category, bias: a row for each supplier."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     no = (F.col("s_suppkey") - 1).alias("source_no")
-    found = s.where(F.col("s_suppkey").between(1, 20)).join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    bias = F.element_at(F.array(F.lit("Left"), F.lit("Center"), F.lit("Lean Right"), F.lit(None)), ((F.col("s_suppkey") - 1) % 4 + 1).cast("int"))
+    found = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    bias = F.element_at(F.array(F.lit("Left"), F.lit("Center"), F.lit("Lean Right"), F.lit(None)), (F.pmod(F.col("s_suppkey") - 1, F.lit(4)) + 1).cast("int"))
     return found.select(F.concat(F.lit("src"), (F.col("s_suppkey") - 1).cast("string")).alias("source_id"), no, F.col("s_name").alias("name"), F.col("r_name").alias("category"), bias.alias("bias"))
 
 
@@ -75,7 +75,7 @@ SQL = """
 src AS (
   SELECT 'src' || CAST(s_suppkey - 1 AS VARCHAR) AS source_id, s_suppkey - 1 AS source_no, s_name AS name, r_name AS category,
     CASE (s_suppkey - 1) % 4 WHEN 0 THEN 'Left' WHEN 1 THEN 'Center' WHEN 2 THEN 'Lean Right' END AS bias
-  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey BETWEEN 1 AND 20
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
 ), base AS (
   SELECT doc_id AS id, ts AS published_at, split_part(text, chr(10), 1) AS title, text AS body, source AS source_id, n_chars,
     CAST(n_chars % 11 AS INTEGER) AS relevance, CAST(doc_id * 7 % 4 AS INTEGER) AS actionability,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetta.functions.text import contains_any
+from gazetta.session import sized, stash
 
 #: Words that mark paid content.
 PAID = ["sponsored", "partner", "press release", "advertorial", "paid post"]
@@ -44,7 +45,7 @@ def drop_junk(articles: DataFrame, patterns: DataFrame, url: str = "url", title:
     rules = patterns.where("active").select(F.lower("pattern").alias("_p"), F.col("pattern_type").alias("_t"))
     u, t = F.lower(F.col(url)), F.lower(F.col(title))
     hit = ((F.col("_t") == "url_contains") & F.contains(u, F.col("_p"))) | ((F.col("_t") == "url_endswith") & F.endswith(u, F.col("_p"))) | ((F.col("_t") == "title_contains") & F.contains(t, F.col("_p")))
-    return sound.join(F.broadcast(rules), hit, "left_anti")
+    return sound.join(sized(rules, 10_000), hit, "left_anti")
 
 
 def junk_signature(articles: DataFrame, patterns: DataFrame, url: str = "url", title: str = "title") -> DataFrame:
@@ -53,8 +54,10 @@ def junk_signature(articles: DataFrame, patterns: DataFrame, url: str = "url", t
     rules = patterns.where("active").select("pattern", "pattern_type", "position")
     p = F.lower(F.col("pattern"))
     hit = ((F.col("pattern_type") == "url_contains") & F.contains(u, p)) | ((F.col("pattern_type") == "url_endswith") & F.endswith(u, p)) | ((F.col("pattern_type") == "title_contains") & F.contains(t, p))
-    found = articles.join(F.broadcast(rules), hit)
-    return found.groupBy(*articles.columns).agg(F.min_by("pattern", "position").alias("signature"))
+    # Rows are numbered and written; only numbers and addresses are grouped, so equal rows stay apart.
+    keyed = stash(articles.withColumn("_row", F.monotonically_increasing_id()))
+    found = keyed.select("_row", url, title).join(sized(rules, 10_000), hit).groupBy("_row").agg(F.min_by("pattern", "position").alias("signature"))
+    return keyed.join(found, "_row").drop("_row")
 
 
 def topic_match(topics: Column, words: list[str]) -> Column:
@@ -70,17 +73,17 @@ def admitted(articles: DataFrame, rules: DataFrame, id_col: str = "id") -> DataF
     """
     text = F.lower(F.array_join("topics", " "))
     everywhere = rules.where("category = '*'").select("chat", F.col("exclude").alias("never"))
-    own = rules.where("category <> '*'").join(F.broadcast(everywhere), "chat", "left")
+    own = rules.where("category <> '*'").join(everywhere, "chat", "left")
     none = F.array().cast("array<string>")
     hit = F.exists("include", lambda w: F.contains(text, w))
     out = F.exists(F.concat(F.coalesce("exclude", none), F.coalesce("never", none)), lambda w: F.contains(text, w))
-    return articles.crossJoin(F.broadcast(own)).where(hit & ~out).select("chat", id_col).distinct()
+    return articles.crossJoin(sized(own, 10_000)).where(hit & ~out).select("chat", id_col).distinct()
 
 
 def cadence_window(articles: DataFrame, classes: DataFrame, now: Column, default: int = 24, published: str = "published_at") -> DataFrame:
     """Rows within the window of their category's class (category, window_hours); undated rows stay."""
     age = (F.unix_micros(now) - F.unix_micros(F.col(published))) / 3.6e9
-    found = articles.join(F.broadcast(classes.select("category", "window_hours")), "category", "left")
+    found = articles.join(sized(classes.select("category", "window_hours")), "category", "left")
     return found.where(F.col(published).isNull() | (age <= F.coalesce("window_hours", F.lit(default)))).drop("window_hours")
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.functions.quantity import cosine
+from gazetta.session import sized
 
 
 def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Name, category and bias of the source; a source that is not registered is Unknown."""
-    found = articles.join(F.broadcast(sources.select("source_id", "name", "category", "bias")), "source_id", "left")
+    found = articles.join(sized(sources.select("source_id", "name", "category", "bias")), "source_id", "left")
     return found.withColumn("name", F.coalesce("name", F.lit("Unknown")))
 
 
@@ -35,15 +39,37 @@ def merge_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return o.join(n, key, "full").select(key, *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) for c in fields], action.alias("action"))
 
 
-def best_match(stories: DataFrame, threads: DataFrame, threshold: float, story: str = "story_id", thread: str = "thread_id") -> DataFrame:
-    """Each story's nearest thread by cosine, the first thread on ties; null below the threshold.
+def best_match(stories: DataFrame, threads: DataFrame, threshold: float, story: str = "story_id", thread: str = "thread_id", block: int = 2048) -> DataFrame:
+    """Each story's nearest thread by cosine, the smallest thread on ties; null below the threshold.
 
-    ``threads`` are the open stories of a week, a few hundred: the caller
-    bounds them, and they are broadcast.
+    Stories and threads are dealt into blocks; a task multiplies one block of
+    each and keeps each story's best, and those are merged.
     """
-    t = threads.select(thread, F.col("vector").alias("_t"))
-    pairs = stories.select(story, "vector").crossJoin(F.broadcast(t)).withColumn("similarity", F.round(cosine(F.col("vector"), F.col("_t")), 9))
-    best = pairs.where("similarity > 0").groupBy(story).agg(F.max(F.struct("similarity", (-F.col(thread)).alias("_o"))).alias("b"))
+    sides = []
+    for rows, key in ((stories, story), (threads, thread)):
+        sound = rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+        sides.append(sound.select(F.col(key).cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v")))
+    counts = [max(1, math.ceil(x.count() / block)) for x in sides]
+    own = [F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in counts]
+    others = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in reversed(counts)]
+    left = sides[0].select("id", "v", own[0].alias("i"), others[0].alias("j"))
+    right = sides[1].select("id", "v", own[1].alias("j"), others[1].alias("i"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"story": [], "thread": [], "similarity": []}).astype({"story": "int64", "thread": "int64", "similarity": "float64"})]
+        if len(x) and len(y):
+            y = y.sort_values("id")
+            for size in set(x["v"].map(len)) & set(y["v"].map(len)):
+                a, b = x[x["v"].map(len) == size], y[y["v"].map(len) == size]
+                p, q = np.stack(a["v"]), np.stack(b["v"])
+                norms = np.outer(np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1))
+                found = np.where(norms > 0, np.round(p @ q.T / np.where(norms > 0, norms, 1), 9), 0.0)
+                best = found.argmax(axis=1)  # the first, and so the smallest, of equal ones
+                out.append(pd.DataFrame({"story": a["id"].to_numpy(), "thread": b["id"].to_numpy()[best], "similarity": found.max(axis=1)}))
+        return pd.concat(out)
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "story long, thread long, similarity double")
+    best = pairs.where("similarity > 0").groupBy(F.col("story").alias(story)).agg(F.max(F.struct("similarity", (-F.col("thread")).alias("_o"))).alias("b"))
     out = stories.select(story).join(best, story, "left")
     good = F.col("b.similarity") >= threshold
     return out.select(story, F.when(good, -F.col("b._o")).alias(thread), F.when(good, F.col("b.similarity")).alias("similarity"))

@@ -34,3 +34,9 @@ def track(stories: DataFrame, threshold: float, days: list) -> DataFrame:
         part = rows.select("day", "story_id", "thread_id", "matched")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else stories.select("day", "story_id", F.lit(None).cast("long").alias("thread_id"), F.lit(False).alias("matched")).limit(0)
+
+
+def replay(stories: DataFrame, threshold: float, days: int) -> DataFrame:
+    """``track`` over the last ``days`` days that have stories, from no threads at all. ``stories`` should be written, as each day reads them."""
+    newest = stories.select("day").distinct().orderBy(F.desc("day")).limit(days)
+    return track(stories, threshold, sorted(r.day for r in newest.collect()))

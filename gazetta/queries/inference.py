@@ -17,13 +17,14 @@ from gazetta.queries.registry import query
 from gazetta.session import stash, table
 
 
-@query("l01_embed_missing")
+@query("l01_embed_missing", "SELECT doc_id, CAST(64 AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS stored FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a stored vector keep it; the others get one."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.embedding_text(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")).alias("said"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    out = inference.embed_missing(d.join(v, "doc_id", "left"), "said", "vector")
-    return out.select("doc_id", F.size("vector").alias("n"))
+    out = inference.embed_missing(d.join(v, "doc_id", "left"), "said", "vector").select("doc_id", "vector")
+    kept = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5)
+    return out.join(v.select("doc_id", F.lit(True).alias("had")), "doc_id", "left").select("doc_id", F.size("vector").alias("n"), F.when(F.col("had"), kept).alias("stored"))
 
 
 def _label_prompt(frame: pd.DataFrame) -> str:
@@ -195,9 +196,18 @@ def tense_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return briefs.overstated(highlights, written, "conv_id", "content").select("conv_id", "turn")
 
 
-@query("k07_truncated_tails")
+TAILS = r"""
+WITH l AS (SELECT doc_id, length(text) AS size, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, size, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l),
+n AS (SELECT *, sum(CAST(trim(line, ' ') <> '' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+s AS (SELECT doc_id, max(pos) AS last FROM n WHERE trim(line, ' ') <> '' AND (regexp_matches(line, '[.!?:;"'')\]*_]\s*$') OR starts_with(line, '#') OR trim(line, ' ') = '---' OR coalesce(before, 0) >= 5) GROUP BY 1),
+k AS (SELECT doc_id, size, length(array_to_string(lines[1:coalesce(last, 0)], chr(10))) AS kept FROM l LEFT JOIN s USING (doc_id))
+SELECT doc_id, CAST(kept AS INTEGER) AS kept, CAST(size - kept AS INTEGER) AS cut FROM k"""
+
+
+@query("k07_truncated_tails", TAILS)
 def truncated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").where("text is not null")
     kept = briefs.truncated_tail(F.col("text"))
     return d.select("doc_id", F.length(kept).alias("kept"), (F.length("text") - F.length(kept)).alias("cut"))
 
@@ -224,3 +234,43 @@ def representative_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     confirmed = pairs.join(parts, F.col("a") == F.col("id")).groupBy("cluster").agg(F.min(F.col("shared") / F.col("either")).alias("low")).where("low >= 0.86").select("cluster", F.lit(True).alias("same"))
     out = windows.representatives(a.select("cluster", "id", "published_at", "n_chars", "category", "lean"), 2)
     return out.join(confirmed, "cluster", "left").select("cluster", "id", (F.col("keep") | F.col("same").isNull()).alias("keep"))
+
+
+def _fact_model(prompt: str) -> str:
+    """An offline model that reads the text: its first number and the word after it; no number, no reply. It names an id of its own, which must not count."""
+    import re
+
+    found = re.search(r"([0-9]+) ([a-z]+)", prompt.split("\n\n", 1)[1])
+    if not found:
+        raise RuntimeError("no answer")
+    kind = {0: "tally", 1: "magnitude", 2: "rumour"}[len(found[2]) % 3]
+    return "Here:\n```json\n" + json.dumps({"delta_type": kind, "value": "" if found[1] == "0" else found[1], "unit": found[2] if len(found[2]) > 3 else "", "short_fact": found[0], "article_ids": [-1]}) + "\n```"
+
+
+@query(
+    "l05_fact_extraction",
+    "WITH f AS (SELECT doc_id, regexp_extract(substr(text, 1, 1200), '([0-9]+) ([a-z]+)', 1) AS value, regexp_extract(substr(text, 1, 1200), '([0-9]+) ([a-z]+)', 2) AS word FROM documents) SELECT doc_id, CASE length(word) % 3 WHEN 0 THEN 'tally' ELSE 'magnitude' END AS delta_type, value, CASE WHEN length(word) > 3 THEN word END AS unit, substr(value || ' ' || word, 1, 120) AS short_fact FROM f WHERE word <> '' AND value <> '0' AND length(word) % 3 < 2",
+)
+def fact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    got = inference.facts(d, _fact_model, "source", "text", ["magnitude", "tally", "status"])
+    return got.select("doc_id", "delta_type", "value", "unit", "short_fact")
+
+
+def _summary_model(prompt: str) -> str:
+    """An offline model: the first sentence and the first 300 characters of the content; none without a sentence."""
+    content = prompt.split("\ncontent:\n", 1)[1]
+    if ". " not in content:
+        raise RuntimeError("no answer")
+    return json.dumps({"short": " " + content.split(". ")[0], "long": content[:300] + " "})
+
+
+@query(
+    "l06_drop_summaries",
+    "WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, substr(text, 1, 6000) AS body FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(CASE WHEN contains(body, '. ') THEN substr(trim(split_part(body, '. ', 1), ' '), 1, 280) ELSE substr(title, 1, 280) END) AS short_md5, md5(CASE WHEN contains(body, '. ') THEN trim(substr(body, 1, 300), ' ') ELSE '' END) AS long_md5, NOT contains(body, '. ') AS fallback FROM d",
+)
+def drop_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", none.alias("differentiator"), none.alias("reasoning"))
+    got = inference.summaries(d, _summary_model, "title", "text", "differentiator", "reasoning")
+    return got.select("doc_id", F.md5(F.col("short").cast("binary")).alias("short_md5"), F.md5(F.col("long").cast("binary")).alias("long_md5"), "fallback")

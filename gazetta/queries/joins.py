@@ -185,16 +185,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c06_best_match",
     """
-WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT s.vec_id AS story_id, t.vec_id AS thread_id, round(list_cosine_similarity(s.v, t.v), 9) AS similarity FROM u s JOIN u t ON s.vec_id >= 40 AND t.vec_id < 40),
+WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT s.vec_id AS story_id, t.vec_id AS thread_id, round(list_cosine_similarity(s.v, t.v), 9) AS similarity FROM u s JOIN u t ON s.label >= 3 AND t.label < 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY similarity DESC, thread_id) AS n FROM p WHERE similarity > 0)
 SELECT story_id, CASE WHEN similarity >= 0.3 THEN thread_id END AS thread_id, CASE WHEN similarity >= 0.3 THEN similarity END AS similarity
-FROM (SELECT vec_id AS story_id FROM u WHERE vec_id >= 40) LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (story_id)""",
+FROM (SELECT vec_id AS story_id FROM u WHERE label >= 3) LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (story_id)""",
 )
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    stories = v.where("vec_id >= 40").withColumnRenamed("vec_id", "story_id")
-    return joins.best_match(stories, v.where("vec_id < 40").withColumnRenamed("vec_id", "thread_id"), 0.3)
+    v = table(spark, sf_dir, "embeddings")
+    stories, threads = (v.where(which).select(F.col("vec_id").alias(name), F.col("embedding").alias("vector")) for which, name in (("label >= 3", "story_id"), ("label < 3", "thread_id")))
+    return joins.best_match(stories, threads, 0.3)
 
 
 @query(

@@ -9,7 +9,7 @@ from gazetta import models
 from gazetta.functions import deltas, quantity, registry, text
 from gazetta.models import as_of, with_models
 from gazetta.operators import filters, greedy, joins, windows
-from gazetta.plans import threads
+from gazetta.plans import inference, threads
 from gazetta.queries.registry import query
 from gazetta.session import stash, table
 from gazetta.sources import drops, feeds
@@ -35,9 +35,24 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "source_id", F.md5(F.col("title").cast("binary")).alias("title_md5"))
 
 
-@query("a12_drop_lookup")
+def _slug(said: str) -> str:
+    """The first four runs of letters and digits, joined by hyphens, 40 characters, else ``drop``; for DuckDB."""
+    made = f"substr(array_to_string(regexp_extract_all(lower({said}), '[a-z0-9]+')[1:4], '-'), 1, 40)"
+    return f"CASE WHEN coalesce({made}, '') = '' THEN 'drop' ELSE {made} END"
+
+
+LOOKUP = with_models(
+    f"""
+, st AS (SELECT CAST(published_at AS DATE) AS date, {_slug("title")} AS slug, relevance AS position, id AS report_id FROM art), days AS (SELECT DISTINCT date FROM st ORDER BY date DESC LIMIT 10),
+q AS (SELECT item_id AS wanted_id, {_slug("split_part(text, ' ', 2)")} AS ask FROM benchmark),
+h AS (SELECT wanted_id, report_id, row_number() OVER (PARTITION BY wanted_id ORDER BY date DESC, CASE WHEN slug = ask THEN 0 ELSE 1 END, position, report_id) AS n FROM st JOIN days USING (date) JOIN q ON contains(slug, ask))
+SELECT wanted_id, report_id FROM h WHERE n = 1"""
+)
+
+
+@query("a12_drop_lookup", LOOKUP)
 def drop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first word is a question to the store of articles."""
+    """Every benchmark item's second word is a question to the store of articles."""
     store = models.articles(spark, sf_dir).select(F.to_date("published_at").alias("date"), text.slug(F.col("title")).alias("slug"), F.col("relevance").alias("position"), F.col("id").alias("report_id"))
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("wanted_id"), F.concat(F.lit("more: "), F.split_part("text", F.lit(" "), F.lit(2))).alias("said"))
     return drops.find(store, wanted)
@@ -104,14 +119,20 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), " | ").alias("brief"))
 
 
-@query("l04_cluster_confirm", with_models(", m AS (SELECT CAST(floor(id / 3) AS BIGINT) AS cluster, id, unnest(topics) AS topic FROM art), n AS (SELECT CAST(floor(id / 3) AS BIGINT) AS cluster, count(*) AS members FROM art GROUP BY 1), t AS (SELECT cluster, topic, count(DISTINCT id) AS c FROM m GROUP BY ALL) SELECT n.cluster, coalesce(count(*) FILTER (c = members) * 10 >= count(topic), false) AND count(topic) > 0 AS same FROM n LEFT JOIN t USING (cluster) GROUP BY n.cluster"))
+def _confirm_model(prompt: str) -> str:
+    """An offline model: true, false, maybe or no JSON at all, by the titles' first letters; fails on a single title."""
+    titles = prompt.split("\n")
+    if len(titles) < 2:
+        raise RuntimeError("no answer")
+    first = {t[2:3].lower() for t in titles}
+    return '{"same_event": true}' if len(first) == 1 else '{"same_event": "maybe"}' if len(first) == 2 else "no idea"
+
+
+@query("l04_cluster_confirm", with_models(", t AS (SELECT CAST(floor(id / 3) AS BIGINT) AS cluster, split_part(title, chr(10), 1) AS title FROM art) SELECT cluster, count(*) >= 2 AND count(DISTINCT lower(substr(title, 1, 1))) = 1 AS same FROM t GROUP BY cluster"))
 def cluster_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offline rule: a cluster is one story if a tenth of its title words is in every title."""
-    a = models.articles(spark, sf_dir).select(F.floor(F.col("id") / 3).cast("long").alias("cluster"), "id", "topics")
-    n = a.groupBy("cluster").agg(F.count("*").alias("members"))
-    t = a.select("cluster", "id", F.explode("topics").alias("topic")).groupBy("cluster", "topic").agg(F.countDistinct("id").alias("c"))
-    got = n.join(t, "cluster", "left").groupBy("cluster").agg(F.count_if(F.col("c") == F.col("members")).alias("common"), F.count("topic").alias("words"))
-    return got.select("cluster", ((F.col("common") * 10 >= F.col("words")) & (F.col("words") > 0)).alias("same"))
+    """Three articles in a row are a cluster; a reply counts only if it says true."""
+    a = models.articles(spark, sf_dir).select(F.floor(F.col("id") / 3).cast("long").alias("cluster"), "title")
+    return inference.confirmed(a.groupBy("cluster").agg(F.collect_list("title").alias("titles")), _confirm_model).select("cluster", "same")
 
 
 @query("l07_topic_nudge", with_models(", i(word, weight) AS (VALUES ('ther', 3), ('tion', -2), ('ing', 1)), h AS (SELECT id, sum(weight) AS points FROM art JOIN i ON contains(array_to_string(topics, ' '), word) GROUP BY id) SELECT id, CAST(least(10, greatest(0, relevance + coalesce(points, 0))) AS INTEGER) AS relevance FROM art LEFT JOIN h USING (id)"))
@@ -135,9 +156,10 @@ def chat_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(1, "a", ["ther", "ing"], ["eau"]), (2, "b", ["tion", "ein"], [])], "chat int, category string, include array<string>, exclude array<string>")
     a = _known(spark, sf_dir).select("id", "topics", "category", "relevance", "actionability", "published_at")
     rows = filters.admitted(a.select("id", "topics"), rules).join(a, "id")
-    rows = stash(windows.relevance_backoff(rows, "chat", 6, 4, 3))
+    rows = windows.relevance_backoff(rows, "chat", 6, 4, 3)
     order = Window.partitionBy("chat").orderBy(F.desc(filters.composite(F.col("relevance"), F.col("actionability"))), F.desc("published_at"), "id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("key", F.col("id") * 10 + F.col("chat"))
+    # Rows are numbered and written once: a story has a key of its own in every chat.
+    rows = stash(rows.withColumn("rank", F.row_number().over(order)).withColumn("key", F.monotonically_increasing_id()))
     scoped = rows.select(F.col("key").alias("id"), "rank", F.transform("topics", lambda t: F.concat(F.col("chat").cast("string"), F.lit("/"), t)).alias("topics"))
     themed = rows.join(greedy.topic_themes(scoped, 6).withColumnRenamed("id", "key"), "key")
     best = themed.groupBy("chat", "seed").agg(F.min("rank").alias("cluster_rank"), F.min_by("category", "rank").alias("bundle"), F.count("*").alias("size"))
@@ -154,3 +176,12 @@ def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stash(s)
     days = [r.day for r in s.select("day").distinct().orderBy("day").collect()]
     return threads.track(s, 0.3, days)
+
+
+@query("j03_replay")
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seven days of stories, from an empty state; no week ends in a replay."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("story_id"), F.to_date("ts").alias("day"))
+    s = v.join(e, "story_id").select("story_id", "vector", "day", F.lit(None).cast("string").alias("week"), F.lit(True).alias("seeds"))
+    return threads.replay(stash(s), 0.3, 7)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gazetta import models
 from gazetta.models import with_models
 from gazetta.queries.registry import query
-from gazetta.session import shared_dir, table
+from gazetta.operators import filters
+from gazetta.session import stash_dir, table
 from gazetta.streaming import jobs
 
 
@@ -22,7 +23,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream over the landed files yields, written to the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{stash_dir(spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_available(stream, f"{base}/out", f"{base}/checkpoint", mode).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -33,10 +34,46 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.first_seen(rows, "key", "at").select("event_id", "user_id", "event_type")
 
 
-@query("j01_first_seen_stream", "SELECT count(DISTINCT event_id) AS events FROM events")
+@query("j01_first_seen_stream", "SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS seconds FROM events")
 def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _landed(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _drained(jobs.first_seen(rows, "event_id", "ts")).agg(F.count("*").alias("events"))
+    """Every event lands twice; each comes out once."""
+    rows = _landed(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return _drained(jobs.first_seen(rows, "event_id", "ts")).select("event_id", F.unix_seconds("ts").alias("seconds"))
+
+
+@query(
+    "j04_gap_refresh",
+    "WITH l AS (SELECT max(event_id) AS m FROM events) SELECT event_id, CASE WHEN event_id < m // 2 THEN 1 ELSE 2 END AS run FROM events, l WHERE (event_id < m // 2 AND ts >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '72' HOUR) OR (event_id >= m // 2 AND ts >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '6' HOUR)",
+)
+def gap_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs a day over one landing folder: the first with the sources' own window, the second, over what has landed since, with the gap as its cap."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    base = f"{stash_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for run, part, cap in ((1, F.col("event_id") < half, None), (2, F.col("event_id") >= half, 6)):
+        e.where(part).write.mode("append").parquet(f"{base}/landed")
+        hours = filters.freshness_window(F.lit(72), cap=cap)
+        fresh = jobs.files(spark, f"{base}/landed", e).where(filters.in_window(F.col("ts"), models.as_of(), hours)).select("event_id", F.lit(run).alias("run"))
+        jobs.run_available(fresh, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(fresh.schema).parquet(f"{base}/out")
+
+
+@query(
+    "j07_delivered_once",
+    "SELECT DISTINCT o_custkey AS brief, 'acct' || CAST(o_custkey % 3 AS VARCHAR) AS account, CAST(1 AS BIGINT) AS sent, CAST(0 AS BIGINT) AS unconfirmed FROM orders WHERE o_orderstatus = 'F'",
+)
+def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries streamed twice, the second time without a checkpoint, as after its loss: the ledger keeps each from being sent again."""
+    account = F.concat(F.lit("acct"), (F.col("o_custkey") % 3).cast("string"))
+    rows = table(spark, sf_dir, "orders")
+    base = f"{stash_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        stream = jobs.files(spark, f"{sf_dir}/orders.parquet*", rows).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("brief"), account.alias("account"))
+        jobs.deliver_once(stream, f"{base}/ledger", f"{base}/checkpoint{run}", ["brief", "account"], lambda x: x.write.mode("append").parquet(f"{base}/sent")).awaitTermination()
+    sent = spark.read.schema(stream.schema).parquet(f"{base}/sent")
+    open_keys = jobs.unconfirmed(spark, f"{base}/ledger", sent).withColumn("open", F.lit(1))
+    out = sent.groupBy("brief", "account").agg(F.count("*").alias("sent")).join(open_keys, ["brief", "account"], "left")
+    return out.select("brief", "account", "sent", F.coalesce("open", F.lit(0)).cast("long").alias("unconfirmed"))
 
 
 DAYS = "SELECT CAST(epoch_us(date_trunc('day', created_at)) // 1000000 AS BIGINT) AS start, CAST(epoch_us(date_trunc('day', created_at)) // 1000000 AS BIGINT) + 86400 AS \"end\", count(*) AS runs, count(*) FILTER (status <> 'success') AS errors, round(CAST(sum(coalesce(cost, 0)) AS DOUBLE), 6) AS cost FROM runs GROUP BY 1, 2"
@@ -55,6 +92,17 @@ def sliding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.windowed_cost(models.runs(spark, sf_dir), length="24 hours", slide="1 hour")
 
 
+@query(
+    "j05_daily_cost_stream",
+    with_models(DAYS.replace("SELECT CAST", "SELECT * FROM (SELECT CAST", 1) + ") WHERE \"end\" <= (SELECT epoch_us(max(created_at)) FROM runs) / 1000000.0 - 3600"),
+)
+def daily_cost_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a stream: windows that no late row can reach any more."""
+    e = _landed(spark, sf_dir)
+    runs = e.select(F.col("value").cast("decimal(18,6)").alias("cost"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("created_at"))
+    return _drained(jobs.windowed_cost(runs))
+
+
 SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
@@ -81,16 +129,27 @@ def moved_facts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(jobs.moved_facts_stream(_landed(spark, sf_dir), "user_id", "value", "event_id", 5.0, 30.0))
 
 
-@query(
-    "j06_message_gate",
+GATE = (
     """
 WITH m AS (SELECT conv_id % 7 AS chat, conv_id AS conversation, turn, CASE WHEN role = 'user' AND conv_id % 9 > 0 THEN 'guest' ELSE 'owner' END AS sender, conv_id // 40 AS day FROM conversations),
 t AS (SELECT *, sum(CAST(sender <> 'owner' AS INTEGER)) OVER (PARTITION BY chat, conversation ORDER BY turn) AS talk FROM m),
 d AS (SELECT *, sum(CAST(sender <> 'owner' AND talk <= 2 AS INTEGER)) OVER (PARTITION BY chat, day ORDER BY conversation, turn) AS used FROM t)
-SELECT chat, conversation, turn, CASE WHEN sender = 'owner' THEN 'owner' WHEN talk > 2 THEN 'turn cap' WHEN used <= 6 THEN 'answer' ELSE 'daily cap' END AS decision FROM d""",
+SELECT chat, conversation, turn, CASE WHEN sender = 'owner' THEN 'owner' WHEN talk > 2 THEN 'turn cap' WHEN used <= 6 THEN 'answer' ELSE 'daily cap' END AS decision FROM d"""
 )
-def message_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+
+
+def _messages(c: DataFrame) -> DataFrame:
     guest = (F.col("role") == "user") & (F.col("conv_id") % 9 > 0)
-    m = c.select((F.col("conv_id") % 7).alias("chat"), F.col("conv_id").alias("conversation"), "turn", F.when(guest, "guest").otherwise("owner").alias("sender"), F.floor(F.col("conv_id") / 40).alias("day"))
-    return jobs.answered(m, 2, 6).select("chat", "conversation", "turn", "decision")
+    return c.select((F.col("conv_id") % 7).alias("chat"), F.col("conv_id").alias("conversation"), "turn", F.when(guest, "guest").otherwise("owner").alias("sender"), F.floor(F.col("conv_id") / 40).alias("day"))
+
+
+@query("j06_message_gate", GATE)
+def message_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.answered(_messages(table(spark, sf_dir, "conversations")), 2, 6).select("chat", "conversation", "turn", "decision")
+
+
+@query("j06_message_gate_stream", GATE)
+def message_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with state: a chat's day, what it has used, its talks."""
+    stream = jobs.files(spark, f"{sf_dir}/conversations.parquet*", table(spark, sf_dir, "conversations"), per_trigger=1_000_000)
+    return _drained(jobs.answered_stream(_messages(stream), 2, 6))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "gazetta", cores: str = "*", **conf: str) -> SparkSession:
@@ -39,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def stash_dir(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for itself; ``release`` deletes it."""
+    return f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,12 +52,17 @@ def stash(df: DataFrame) -> DataFrame:
     again reads the files. ``release`` deletes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{stash_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` to be broadcast where it has ``most`` rows at most, which are counted first; beyond that a join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``stash`` has written for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,24 +61,29 @@ def moved_facts(facts: DataFrame, keys: list[str], value: str, order: list[str],
 
 
 def moved_facts_stream(facts: DataFrame, key: str, value: str, order: str, relative: float, absolute: float) -> DataFrame:
-    """The same on a stream: a key's last value is its state. Facts of a key arrive in order."""
+    """The same on a stream: a key's last value and its place are its state, two numbers a key.
+
+    A batch's facts of a key are put in order; a fact that comes after a later
+    one of its key in a batch before is compared with nothing and changes nothing.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get[0] if state.exists else None
+        at, old = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values(order)
         out = []
-        for rows in batches:
-            for o, v in rows.sort_values(order)[[order, value]].itertuples(index=False):
-                if old is not None:
-                    change = abs(v - old)
-                    if (absolute > 0 and change >= absolute) or (old != 0 and change / abs(old) >= relative):
-                        out.append((k[0], o, old, v))
-                old = v
-        if old is not None:
-            state.update((float(old),))
+        for o, v in rows[[order, value]].itertuples(index=False):
+            if at is not None and o < at:
+                continue
+            if old is not None:
+                change = abs(v - old)
+                if (absolute > 0 and change >= absolute) or (old != 0 and change / abs(old) >= relative):
+                    out.append((k[0], o, old, v))
+            at, old = o, v
+        state.update((int(at), float(old)))
         yield pd.DataFrame(out, columns=["key", "at", "old", "value"])
 
     rows = facts.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, old double, value double", "last double", "append", "NoTimeout")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, old double, value double", "at long, last double", "append", "NoTimeout")
 
 
 def answered(messages: DataFrame, per_talk: int = 8, per_day: int = 20, owner: str = "owner") -> DataFrame:
@@ -93,20 +100,70 @@ def answered(messages: DataFrame, per_talk: int = 8, per_day: int = 20, owner: s
     return rows.withColumn("decision", said).drop("_talk", "_ok")
 
 
+def answered_stream(messages: DataFrame, per_talk: int = 8, per_day: int = 20, owner: str = "owner") -> DataFrame:
+    """The same decisions on a stream of (chat, conversation, turn, sender, day), whose days of a chat follow each other.
+
+    A chat's state holds its day, what that day has used, and the turns of
+    each of its talks; a new day starts it anew.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        day, used, talks = state.get if state.exists else (None, 0, "{}")
+        talks = json.loads(talks)
+        out = []
+        for d, c, t, sender in pd.concat(list(batches)).sort_values(["day", "conversation", "turn"])[["day", "conversation", "turn", "sender"]].itertuples(index=False):
+            if d != day:
+                day, used, talks = int(d), 0, {}
+            said = "owner"
+            if sender != owner:
+                n = talks[str(c)] = talks.get(str(c), 0) + 1
+                used += n <= per_talk
+                said = "turn cap" if n > per_talk else "answer" if used <= per_day else "daily cap"
+            out.append((k[0], int(c), int(t), said))
+        state.update((day, used, json.dumps(talks)))
+        yield pd.DataFrame(out, columns=["chat", "conversation", "turn", "decision"])
+
+    rows = messages.select(F.col("chat").cast("long").alias("chat"), F.col("conversation").cast("long").alias("conversation"), F.col("turn").cast("long").alias("turn"), "sender", F.col("day").cast("long").alias("day"))
+    return rows.groupBy("chat").applyInPandasWithState(step, "chat long, conversation long, turn long, decision string", "day long, used long, talks string", "append", "NoTimeout")
+
+
+def ledger_rows(spark, ledger: str, key: DataFrame, stage: str) -> DataFrame | None:
+    """What a stage (claimed, confirmed) of the ledger holds; null where nothing was entered yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{stage}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(key.schema.add("batch_id", "long")).parquet(f"{ledger}/{stage}")
+
+
 def deliver_once(stream: DataFrame, ledger: str, checkpoint: str, key: list[str], send: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Send rows that the ledger lacks, and enter them. A batch that is repeated finds its rows in the ledger."""
+    """Send rows that the ledger lacks, each key once at most.
+
+    Keys are claimed before they are sent and confirmed after. A batch that is
+    repeated finds its claims: it sends nothing again, and keys claimed but
+    never confirmed are left for a person to look at (``unconfirmed``).
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         fresh = rows.dropDuplicates(key)
-        try:
-            had = spark.read.parquet(ledger).where(F.col("batch_id") != batch_id).select(*key)
-            fresh = fresh.join(had, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        send(fresh)
-        # One folder a batch: a repeated batch overwrites its own entries only.
-        fresh.select(*key).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        had = ledger_rows(spark, ledger, fresh.select(*key), "claimed")
+        if had is not None:
+            fresh = fresh.join(had.select(*key), key, "left_anti")
+        # The claim is written first, and what is sent is what was claimed.
+        place = f"batch_id={batch_id}/try={uuid.uuid4().hex}"
+        fresh.write.parquet(f"{ledger}/rows/{place}")
+        mine = spark.read.schema(fresh.schema).parquet(f"{ledger}/rows/{place}")
+        mine.select(*key).write.mode("append").parquet(f"{ledger}/claimed/batch_id={batch_id}")
+        send(mine)
+        mine.select(*key).write.mode("append").parquet(f"{ledger}/confirmed/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def unconfirmed(spark, ledger: str, key: DataFrame) -> DataFrame:
+    """Keys that were claimed and never confirmed: sent or not, nobody knows."""
+    claimed, done = (ledger_rows(spark, ledger, key, stage) for stage in ("claimed", "confirmed"))
+    if claimed is None:
+        return key.limit(0)
+    rows = claimed.select(*key.columns).distinct()
+    return rows if done is None else rows.join(done.select(*key.columns), key.columns, "left_anti")

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gazetta.streaming import jobs
@@ -82,7 +83,40 @@ def test_delivery_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(2, "a"), (3, "a")], "brief long, account string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     go()
     assert sorted(sent) == [(1, "a"), (2, "a"), (3, "a")]
-    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 3
+    assert jobs.ledger_rows(spark, f"{tmp_path}/ledger", df, "confirmed").count() == 3
+    assert jobs.unconfirmed(spark, f"{tmp_path}/ledger", df).count() == 0
+
+
+def test_a_crash_while_sending_sends_nothing_twice(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "brief long, account string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    sent = []
+
+    def broken(rows):
+        sent.extend(map(tuple, rows.collect()))
+        raise RuntimeError("crash after the send")
+
+    def go(send, checkpoint):
+        jobs.deliver_once(jobs.files(spark, f"{tmp_path}/in", df), f"{tmp_path}/ledger", f"{tmp_path}/{checkpoint}", ["brief", "account"], send).awaitTermination()
+
+    with pytest.raises(Exception, match="crash after the send"):
+        go(broken, "cp")
+    go(lambda rows: sent.extend(map(tuple, rows.collect())), "cp")
+    go(lambda rows: sent.extend(map(tuple, rows.collect())), "lost")
+    assert sorted(sent) == [(1, "a"), (2, "a")]
+    assert jobs.unconfirmed(spark, f"{tmp_path}/ledger", df).count() == 2
+
+
+def test_message_gate_stream_goes_on_from_its_state(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c, d * 10 + t, turn, rng.choice(["guest", "guest", "owner"]), d) for c in range(3) for d in range(4) for t in range(3) for turn in range(4)]
+    df = spark.createDataFrame(rows, "chat long, conversation long, turn long, sender string, day long")
+    for part in ("day < 2", "day >= 2"):
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        drained(jobs.answered_stream(jobs.files(spark, f"{tmp_path}/in", df), 2, 4), tmp_path)
+    got = spark.read.parquet(f"{tmp_path}/out").select("chat", "conversation", "turn", "decision").collect()
+    want = jobs.answered(df, 2, 4).select("chat", "conversation", "turn", "decision").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_message_gate(spark):
