@@ -47,7 +47,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Network:
     """Byte embedding, a gated recurrent layer in each direction, a softmax at every position."""
 
-    def __init__(self, classes: int, hidden: int = 16, embed: int = 8, seed: int = 3):
+    def __init__(self, classes: int, hidden: int = 12, embed: int = 8, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"e": rng.normal(0, 0.3, (256, embed)), "v": rng.normal(0, 0.2, (2 * hidden, classes)), "c": np.zeros(classes)}
@@ -128,25 +128,28 @@ class Network:
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)).astype(np.float32)
 
     def _states(self, d: str, b: np.ndarray, mask: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-        """(t, state) along one direction; b and mask by time, then window. The state is zero where padding comes first."""
+        """(t, state by unit, then window) along one direction; b and mask by time, then window. The state is zero where padding comes first."""
         p, k = self.p, self.h
         half = np.repeat(np.array([0.5, 1], np.float32), [2 * k, k])  # a sigmoid is a tanh of half its input
-        inputs, u = (p["e"] @ p["w" + d] + p["d" + d]) * half, p["u" + d] * half
-        gates, news = np.ascontiguousarray(u[:, : 2 * k]), np.ascontiguousarray(u[:, 2 * k :])
-        state = np.zeros((b.shape[1], k), np.float32)
+        inputs = np.ascontiguousarray(((p["e"] @ p["w" + d] + p["d" + d]) * half).T)
+        u = np.ascontiguousarray((p["u" + d] * half).T)
+        gates, news = u[: 2 * k], u[2 * k :]
+        n = b.shape[1]
+        state, zr, new, x = (np.zeros((rows, n), np.float32) for rows in (k, 2 * k, k, 3 * k))
         for t in range(len(b)) if d == "f" else range(len(b) - 1, -1, -1):
-            x = inputs[b[t]]
-            zr = state @ gates
-            zr += x[:, : 2 * k]
+            np.take(inputs, b[t], axis=1, out=x, mode="clip")
+            np.matmul(gates, state, out=zr)
+            zr += x[: 2 * k]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            n = (zr[:, k:] * state) @ news
-            n += x[:, 2 * k :]
-            np.tanh(n, out=n)
-            state -= n
-            state *= zr[:, :k]
-            state += n
+            zr[k:] *= state
+            np.matmul(news, zr[k:], out=new)
+            new += x[2 * k :]
+            np.tanh(new, out=new)
+            state -= new
+            state *= zr[:k]
+            state += new
             if mask is not None:
                 state *= mask[t]
             yield t, state
@@ -155,24 +158,24 @@ class Network:
         """For each window the sum of its positions' probabilities."""
         out = np.zeros((len(b), len(self.p["c"])), np.float32)
         order = np.argsort(-lengths, kind="stable")  # full windows first: their blocks need no mask
-        forth, back = self.p["v"][: self.h], self.p["v"][self.h :]
+        forth, back = np.ascontiguousarray(self.p["v"][: self.h].T), np.ascontiguousarray(self.p["v"][self.h :].T)
         for at in range(0, len(b), block):
             rows = order[at : at + block]
             width = int(lengths[rows[0]])
             x = np.ascontiguousarray(b[rows, :width].T)
-            mask = None if lengths[rows[-1]] == width else (np.arange(width)[:, None] < lengths[rows]).astype(np.float32)[:, :, None]
-            s = np.empty((width, len(rows), out.shape[1]), np.float32)
+            mask = None if lengths[rows[-1]] == width else (np.arange(width)[:, None] < lengths[rows]).astype(np.float32)
+            s = np.empty((width, out.shape[1], len(rows)), np.float32)
             for t, state in self._states("f", x, None):
-                s[t] = state @ forth
+                np.matmul(forth, state, out=s[t])
             for t, state in self._states("b", x, mask):
-                s[t] += state @ back
-            s += self.p["c"]
-            s -= s.max(axis=2, keepdims=True)
+                s[t] += back @ state
+            s += self.p["c"][:, None]
+            s -= s.max(axis=1, keepdims=True)
             np.exp(s, out=s)
-            s /= s.sum(axis=2, keepdims=True)
+            s /= s.sum(axis=1, keepdims=True)
             if mask is not None:
-                s *= mask
-            out[rows] = s.sum(0)
+                s *= mask[:, None, :]
+            out[rows] = s.sum(0).T
         return out
 
 
