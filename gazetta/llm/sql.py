@@ -39,7 +39,7 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 5
 
 
 def _licenses() -> str:
-    from gazetta.llm.licenses import KNOWN, SPELLINGS
+    from gazetta.llm.licenses import DIGESTS, IDENTIFIERS, KNOWN, SPELLINGS
 
     def digest(x: str) -> str:
         x = rf"regexp_replace(lower({x}), '(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{{4}})|\(c\)|©)[^\n]*$', '', 'g')"
@@ -48,9 +48,10 @@ def _licenses() -> str:
         x = f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
         return f"CASE WHEN {x} <> '' THEN sha256({x}) END"
 
-    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in (*KNOWN, *IDENTIFIERS))
+    digests = ", ".join(f"('{k}', '{d}')" for k, d in DIGESTS)
     return f"""
-WITH known AS (SELECT {digest("body")} AS digest, min(license) AS license FROM (VALUES {known}) t(license, body) GROUP BY 1
+WITH known AS (SELECT {digest("body")} AS digest, min(license) AS license FROM (VALUES {known}) t(license, body) GROUP BY 1 UNION ALL SELECT d, l FROM (VALUES {digests}) t(l, d)
 ), d AS (SELECT row_number() OVER () AS r, doc_id, text, {digest("text")} AS digest FROM documents
 ), l AS (SELECT r, {digest("line")} AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE line <> ''
 ), f AS (SELECT r, array_to_string(list_sort(list_distinct(list(license))), ',') AS line_licenses, count(*) AS n_lines FROM l JOIN known USING (digest) GROUP BY r)

@@ -101,3 +101,20 @@ def test_licenses(spark):
     assert got[4].digest is None and got[6].digest is None
     assert got[3].digest == hashlib.sha256(b"no license").hexdigest()
     assert scan_licenses(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_published_texts_and_identifiers(spark):
+    import pathlib
+
+    import pytest
+
+    shelf = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = ["// SPDX-License-Identifier: Apache-2.0\nint x;", "# SPDX-License-Identifier: GPL-3.0-or-later", "x SPDX-License-Identifier: MIT y", None, "", "word " * 100_000, "Copyright 2020 A\n" + KNOWN[-1][1], "Copyright 2020 A\n" + KNOWN[-1][1]]
+    found = [n for n in names if (shelf / n).exists()]
+    got = {r.doc_id: r for r in scan_licenses(frame(spark, texts + [(shelf / n).read_text() for n in found])).collect()}
+    assert [got[i].line_licenses for i in range(4)] == [["Apache-2.0"], ["GPL-3.0"], [], []] and got[1].license == "GPL-3.0"
+    assert got[6].license == got[7].license == "Unlicense" and got[5].license is None
+    assert [got[len(texts) + i].license for i in range(len(found))] == [names[n] for n in found]
+    if not found:
+        pytest.skip("no published texts on this machine")
