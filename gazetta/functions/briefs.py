@@ -118,6 +118,34 @@ def over_cap(chars: Column, cap: Column | int, ratio: float = 1.0) -> Column:
     return F.when(chars > cap * F.lit(ratio), chars - cap)
 
 
+#: Characters that a theme's body should have by size, and the size of each length that a chat can ask for.
+SIZES = {"S": 1000, "M": 2000, "L": 4000}
+LENGTHS = {"short": "S", "medium": "M", "long": "L"}
+
+
+def _looked_up(x: Column, table: dict) -> Column:
+    return F.create_map(*[y for k, v in table.items() for y in (F.lit(k), F.lit(v))])[x]
+
+
+def size_level(length: Column, surface: Column, sizes: dict[str, int] | None = None, lengths: dict[str, str] | None = None) -> Column:
+    """A chat's size: what its known length stands for, else its surface's; M where that is no size."""
+    sizes = sizes or SIZES
+    said = F.coalesce(_looked_up(length, lengths or LENGTHS), surface)
+    return F.when(said.isin(list(sizes)), said).otherwise("M")
+
+
+def theme_target(level: Column, sizes: dict[str, int] | None = None) -> Column:
+    """Characters a theme's body should have; an unknown level counts as M."""
+    sizes = sizes or SIZES
+    return F.coalesce(_looked_up(level, sizes), F.lit(sizes["M"]))
+
+
+def char_cap(target: Column, themes: Column, highlights: Column | int = 0, per_highlight: int = 250, per_source: int = 0) -> Column:
+    """Characters that a brief may have: a body and a source list for each theme, and its highlights."""
+    none = F.lit(0)
+    return (target + max(0, per_source)) * F.greatest(none, themes) + F.greatest(none, F.lit(highlights) if isinstance(highlights, int) else highlights) * max(0, per_highlight)
+
+
 def plain_chat(text: Column) -> Column:
     """Markdown as chat text: headings and bold in single stars, links as text and address."""
     out = F.regexp_replace(text, r"(?m)^#{1,6} +(.*)$", r"*$1*")

@@ -81,6 +81,25 @@ def day_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(quantity.day_start(F.col("ts").cast("timestamp"), "Asia/Tokyo")).alias("day_start"))
 
 
+@query(
+    "g17_chat_budgets",
+    """
+WITH c AS (SELECT c_custkey AS chat, CASE c_custkey % 5 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' WHEN 3 THEN 'endless' END AS length, CASE c_nationkey % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'L' WHEN 2 THEN 'XL' END AS surface FROM customer),
+n AS (SELECT o_custkey AS chat, count(*) AS themes, count(*) FILTER (o_orderstatus = 'F') AS highlights FROM orders GROUP BY 1),
+l AS (SELECT chat, coalesce(themes, 0) AS themes, coalesce(highlights, 0) AS highlights, CASE length WHEN 'short' THEN 'S' WHEN 'medium' THEN 'M' WHEN 'long' THEN 'L' ELSE CASE WHEN surface IN ('S', 'L') THEN surface ELSE 'M' END END AS level FROM c LEFT JOIN n USING (chat))
+SELECT chat, level, CAST((CASE level WHEN 'S' THEN 1000 WHEN 'L' THEN 4000 ELSE 2000 END + 500) * themes + 250 * highlights AS BIGINT) AS cap FROM l""",
+)
+def chat_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as chats with a length or none, their orders as themes."""
+    c = table(spark, sf_dir, "customer")
+    length = F.element_at(F.array(*[F.lit(x) for x in ("short", "medium", "long", "endless", None)]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    surface = F.element_at(F.array(*[F.lit(x) for x in ("S", "L", "XL", None)]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("chat")).agg(F.count("*").alias("themes"), F.count_if(F.col("o_orderstatus") == "F").alias("highlights"))
+    rows = c.select(F.col("c_custkey").alias("chat"), briefs.size_level(length, surface).alias("level")).join(n, "chat", "left")
+    themes, highlights = (F.coalesce(x, F.lit(0)) for x in ("themes", "highlights"))
+    return rows.select("chat", "level", briefs.char_cap(briefs.theme_target(F.col("level")), themes, highlights, per_source=500).cast("long").alias("cap"))
+
+
 @query(
     "g17_char_budget",
     with_models(", b AS (SELECT source_id, count(*) AS themes, count(*) FILTER (relevance >= 5) AS highlights FROM art GROUP BY 1) SELECT source_id, (1600 + 500) * themes + 250 * highlights AS cap, least(12000, greatest(2000, ((1600 + 500) * themes + 250 * highlights) // 3 + 500)) AS tokens FROM b"),
