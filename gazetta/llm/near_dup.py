@@ -329,8 +329,9 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
         classes = named.select("node", F.col("node").alias("label"), F.col("least_id").alias("component_id"))
     else:
         named = stash(named.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")))
-        tops = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-        classes = named.join(tops, "label").select("node", "label", "component_id")
+        # Only components of several nodes need a look; a table of them meets their rows where they are, while it is small.
+        tops = stash(named.groupBy("label").agg(F.min("least_id").alias("top"), F.count("*").alias("c")).where("c > 1").select("label", "top"))
+        classes = keyed(named, tops, "label", "left", most=200_000).select("node", "label", F.coalesce("top", "least_id").alias("component_id"))
     return signed.select("doc_id", "_text_a", "_text_b", "n_shingles", "node").join(classes, "node", "left").drop("node")
 
 
@@ -357,8 +358,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     key = ["doc_id", "_text_a", "_text_b"]
     found = stash(_classified(docs, shingle, percent, id_col, text_col).where("label is not null").groupBy("label", *key).agg(F.count("*").alias("n")))
     first = F.struct(F.col("doc_id").isNull(), *key)
-    best = found.groupBy("label").agg(F.min(first).alias("best"))
-    ranked = stash(found.join(best, "label").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), *key[1:], (first == F.col("best")).alias("best"), "n"))
+    best = stash(found.groupBy("label").agg(F.min(first).alias("best"), F.count("*").alias("c")).where("c > 1").select("label", "best"))
+    ranked = stash(keyed(found, best, "label", "left", most=200_000).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), *key[1:], F.coalesce(first == F.col("best"), F.lit(True)).alias("best"), "n"))
     on = ["_id", "_no_id", *key[1:]]
     id_key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_no_id")]
     rows = docs.select(F.struct("*").alias("_row"), *id_key, *_digests(F.col(text_col)))  # no name of ``docs`` can clash
