@@ -113,18 +113,44 @@ def thin_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
 
 
+def _thinned(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, rank, category, topics) without those whose three or more topics a better one has all alike."""
+    pairs = joins.topic_overlap(rows, scope="category").where("shared >= 3")
+    t = rows.select("id", "topics")
+    both = pairs.join(t.select(F.col("id").alias("a"), F.col("topics").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("topics").alias("y")), "b")
+    kept = greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
+    return rows.join(kept.where("kept").select("id"), "id", "left_semi")
+
+
 @query("i03_brief_selection")
 def brief_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes and their articles for each category: ledger, gate, greedy themes, size, rank."""
+    """A day's brief: (role, category, cluster_rank, id).
+
+    Ledger, cadence window, pools, relevance back-off; greedy themes, their
+    size and a quota for each category; highlights among what no theme took,
+    without alike ones; and the drop pool's best of different sources.
+    """
     from pyspark.sql import Window
 
-    rows = joins.undelivered(_ranked(spark, sf_dir), models.deliveries(spark, sf_dir), "acct1")
-    rows = stash(rows.where(filters.entry_gate(F.col("relevance"), F.col("actionability"), 6)))
-    scoped = rows.select("id", "rank", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)).alias("topics"))
-    themed = rows.join(greedy.topic_themes(scoped, 6), "id")
-    score = F.sum(filters.composite(F.col("relevance"), F.col("actionability")))
-    clusters = themed.groupBy("category", "seed").agg(F.count("*").alias("size"), score.alias("score"), F.min("rank").alias("first"))
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "first")
-    top = clusters.withColumn("cluster_rank", F.row_number().over(order)).withColumn("bundle", F.col("category"))
-    top = windows.eligible(top, "category", 2).where("cluster_rank <= 14")
-    return themed.join(top.select("category", "seed", "cluster_rank", "size"), ["category", "seed"]).select("category", "cluster_rank", "size", "id")
+    classes = spark.createDataFrame([("ASIA", 72), ("EUROPE", 72)], "category string, window_hours int")
+    known = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null")
+    rows = filters.cadence_window(joins.undelivered(known, models.deliveries(spark, sf_dir), "acct1"), classes, as_of(), 48)
+    score = filters.composite(F.col("relevance"), F.col("actionability"))
+    rows = rows.withColumn("score", score).withColumn("pool", F.when(F.col("category") == "EUROPE", "drop").otherwise("news"))
+    order = [F.desc("score"), F.desc("published_at"), "id"]
+    rows = stash(rows.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*order))).select("id", "category", "pool", "source_id", "topics", "relevance", "actionability", "score", "rank"))
+    news = rows.where("pool = 'news'")
+    gated = stash(windows.relevance_backoff(news, "category", 6, 4, 3))
+    scoped = gated.select("id", "rank", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)).alias("topics"))
+    themed = stash(gated.join(greedy.topic_themes(scoped, 6), "id"))
+    clusters = themed.groupBy("category", "seed").agg(F.count("*").alias("size"), F.sum("score").alias("score"))
+    # One brief: its clusters are few (a theme for six articles at most), so one window ranks them.
+    ranked = clusters.withColumn("brief", F.lit(1)).withColumn("cluster_rank", F.row_number().over(Window.partitionBy("brief").orderBy(F.desc("score"), "seed"))).withColumn("bundle", F.col("category"))
+    chosen = stash(windows.quota(windows.eligible(ranked, "brief", 2), "brief", 1, 2, 1.5, 14).select("category", "seed", "cluster_rank"))
+    themes = themed.join(chosen, ["category", "seed"]).select(F.lit("theme").alias("role"), "category", "cluster_rank", "id")
+    left = news.where("relevance >= 5").join(themes.select("id"), "id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("category").orderBy("rank"))
+    lights = _thinned(stash(left)).withColumn("n", place).where("n <= 8").select(F.lit("highlight").alias("role"), "category", F.col("n").alias("cluster_rank"), "id")
+    pool = rows.where("pool = 'drop'").withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "id")))
+    drops = windows.diverse_top(pool, 3).select(F.lit("drop").alias("role"), "category", F.col("position").alias("cluster_rank"), "id")
+    return themes.unionByName(lights).unionByName(drops)
