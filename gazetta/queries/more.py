@@ -91,7 +91,27 @@ def override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.sources(spark, sf_dir).join(F.broadcast(o), "category", "left").select("source_id", F.coalesce("relative", F.lit(0.15)).alias("relative"))
 
 
-@query("g19_shift_notes")
+def _shown(x: str) -> str:
+    """A number of text ``x`` as a note shows it, for DuckDB."""
+    size = f"abs(CAST({x} AS DOUBLE))"
+
+    def unit(by: str, mark: str) -> str:
+        t = f"CAST(floor({size} / {by} * 10 + 0.5) AS BIGINT)"
+        return f"({t} // 10) || CASE WHEN {t} % 10 = 0 THEN '' ELSE '.' || ({t} % 10) END || '{mark}'"
+
+    return f"CASE WHEN CAST({x} AS DOUBLE) < 0 THEN '-' ELSE '' END || CASE WHEN {size} >= 1e6 THEN {unit('1e6', 'M')} WHEN {size} >= 1e3 THEN {unit('1e3', 'K')} ELSE {unit('1e0', '')} END"
+
+
+NOTES = f"""
+WITH e AS (SELECT event_id, user_id, event_type, ts, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS v FROM events),
+p AS (SELECT *, lag(v) OVER w AS old, lag(ts) OVER w AS day FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+n AS (SELECT *, CAST(v AS DOUBLE) AS b, CAST(old AS DOUBLE) AS a FROM p WHERE CAST(old AS DOUBLE) <> 0),
+c AS (SELECT *, CAST(round_even((b - a) / abs(a) * 100, 0) AS INTEGER) AS change FROM n WHERE abs(b - a) / abs(a) >= 0.5)
+SELECT event_id, event_type || CASE WHEN event_type = 'purchase' THEN ': was $' || {_shown("old")} || ' on ' || strftime(day, '%Y-%m-%d') || ', now $' || {_shown("v")} || ' (' || CASE WHEN change >= 0 THEN '+' ELSE '' END || change || '%)'
+  ELSE ': was ' || old || ', now ' || v END AS note FROM c"""
+
+
+@query("g19_shift_notes", NOTES)
 def shift_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(18,2)").cast("string").alias("value"))
     rows = joins.prior_point(e, ["user_id", "event_type"], F.struct("ts", "event_id"), ["value", "ts"])
