@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from gazetta.llm import html_extract, langid, pii, quality, secrets
 from gazetta.llm.common import held_out
 from gazetta.llm.decontaminate import contaminated
+from gazetta.llm.divergence import source_divergence
 from gazetta.llm.licenses import scan_licenses
 from gazetta.llm.near_dup import near_duplicates
 from gazetta.llm.packing import pack
+from gazetta.llm.simhash import fingerprint_text, simhash_duplicates
 from gazetta.llm.topk import top_k
+from gazetta.llm.zone_clusters import centroid_digest, zone_clusters
 from gazetta.session import stash, table
 
 
@@ -87,3 +90,22 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = langid.predict_languages(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = zone_clusters(table(spark, sf_dir, "embeddings"))
+    placed = stash(placed)
+    sums = {r.cluster: r.s for r in placed.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    # One row a centroid, 40 in all.
+    rows = [(c, sums.get(c, 0), sum(sums.values()), centroid_digest(x)) for c, x in enumerate(centroids)]
+    facts = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return placed.join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": contracts.nearest_vectors,
     "op9_residual_packing": contracts.packed,
     "op10_byte_gru_language": contracts.languages,
+    "op11_vantage_point_simhash": contracts.fingerprint_dedup,
+    "op12_transducer_divergence": contracts.divergence,
+    "op13_hilbert_zone_clusters": contracts.centroid_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +31,6 @@ SQL: dict[str, str] = {
     "op4_license_digests": sql.LICENSES,
     "op6_superminhash_near_dedup": sql.NEAR_DEDUP,
     "op8_exact_top_k": sql.TOP_K,
+    "op12_transducer_divergence": sql.DIVERGENCE,
+    "op13_hilbert_zone_clusters": sql.CLUSTERS,
 }

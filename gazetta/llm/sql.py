@@ -91,3 +91,67 @@ WITH d AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (r)
 """
+
+#: Kept terms per language, counts of every group and term, then all pairs and the first ten terms.
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), g AS MATERIALIZED (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang)
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), q AS (
+  SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 2)) // (any_value(l.total) + 2 * any_value(l.v)) AS q
+  FROM c JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM g GROUP BY lang) l USING (lang) GROUP BY c.lang, c.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), f AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q
+), k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM f)
+)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _clusters(rounds: int = 5) -> str:
+    """Every round compares all vectors with all centroids."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, min((list_sum(list_transform(list_zip(v.w, c{i}.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS best FROM v, c{i} GROUP BY r
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (
+  SELECT best[2] AS c, j, sum(w[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY best[2], j
+), n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS w FROM m{i} GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN n{i} USING (c))"""
+            )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, w FROM v QUALIFY c < 40
+), {", ".join(steps)}
+SELECT vec_id, best[2] AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c = best[2]
+"""
+
+
+CLUSTERS = _clusters()
