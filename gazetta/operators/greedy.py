@@ -2,49 +2,133 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazetta.operators.graphs import connected_components
-from gazetta.operators.joins import topic_overlap
+from gazetta.operators import windows
 from gazetta.session import stash
 
 
-def topic_themes(articles: DataFrame, max_per_theme: int = 6) -> DataFrame:
-    """(id, seed): greedy clusters over topic overlap. articles: id, rank (total), topics.
+SEED = "scope string, id long, rank long, topics array<string>, left int"
+
+
+class OpenSeeds:
+    """Seeds that still take articles, found by what they share with one.
 
-    In rank order each free article seeds a cluster and takes the free later
-    articles that overlap it, up to the limit. Claims travel along overlaps
-    only, so connected components of the overlap graph are independent; each
-    is worked off in one group, which holds ids and ranks, not texts.
+    Two open seeds never overlap, as the earlier would have taken the later.
+    So a pair of topics, and a topic of a seed that has two at most, lead to
+    one seed; only an article of two topics at most meets several seeds by a topic, the best first.
     """
-    pairs = stash(topic_overlap(articles).select("a", "b"))
-    parts = connected_components(pairs)
-    ranks = articles.select("id", "rank")
-    edges = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    # An edge leads from the better rank to the worse one.
-    edges = edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("id"), F.struct(F.greatest("ra", "rb").alias("r"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("other")).alias("e"))
-    later = edges.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("later"))
-    nodes = ranks.join(parts, "id").join(later, "id", "left").select("id", "rank", "cluster", F.coalesce(F.transform("later", lambda x: x["other"]), F.array().cast("array<bigint>")).alias("later"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+
+    def __init__(self):
+        self.by_pair: dict[tuple[str, str], list] = {}
+        self.by_topic: dict[str, list[tuple[int, int, list]]] = {}
+        self.small: dict[str, list] = {}
+        self.all: list[list] = []
+
+    def add(self, seed: int, rank: int, topics: list[str], left: int) -> list:
+        row = [rank, seed, sorted(set(topics)), left]
+        self.all.append(row)
+        if left > 0:
+            for t in row[2]:
+                heapq.heappush(self.by_topic.setdefault(t, []), (rank, seed, row))
+                if len(row[2]) <= 2:
+                    self.small[t] = row
+            self.by_pair.update(dict.fromkeys(combinations(row[2], 2), row))
+        return row
+
+    def take(self, topics: list[str]) -> int | None:
+        """The best open seed that overlaps ``topics``; it has a place less then."""
+        mine, found = sorted(set(topics)), []
+        if len(mine) <= 2:
+            for t in mine:
+                heap = self.by_topic.get(t, [])
+                while heap and heap[0][2][3] == 0:
+                    heapq.heappop(heap)
+                found += [heap[0][2]] if heap else []
+        else:
+            found = [r for r in map(self.by_pair.get, combinations(mine, 2)) if r and r[3]] + [r for r in map(self.small.get, mine) if r and r[3]]
+        if not found:
+            return None
+        best = min(found, key=lambda r: r[:2])
+        best[3] -= 1
+        return best[1]
+
+
+def _walk():
+    """A block of a scope's articles in rank order, each to the best open seed that overlaps it, else a seed of its own."""
+
+    def run(rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        held, out = OpenSeeds(), []
+        if rows.empty:
+            return pd.DataFrame(columns=["scope", "id", "rank", "topics", "left", "seed"])
+        for seed, rank, topics, left in zip(*(seeds[c] for c in ("id", "rank", "topics", "left")), strict=True) if len(seeds) else ():
+            held.add(int(seed), int(rank), list(topics), int(left))
+        scope = rows["scope"].iloc[0]
         rows = rows.sort_values("rank")
-        seed: dict[int, int] = {}
-        for i, later in zip(rows["id"], rows["later"], strict=True):
-            if i in seed:
-                continue
-            seed[i], left = i, max_per_theme - 1
-            for other in later:
-                if left < 1:
-                    break
-                if other not in seed:
-                    seed[other], left = i, left - 1
-        return pd.DataFrame({"id": list(seed), "seed": list(seed.values())})
-
-    grouped = nodes.groupBy("cluster").applyInPandas(walk, "id long, seed long")
-    alone = articles.select("id").join(parts.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed"))
-    return grouped.unionByName(alone)
+        for i, rank, topics, most in zip(*(rows[c] for c in ("id", "rank", "topics", "most")), strict=True):
+            seed = held.take(list(topics))
+            if seed is None:
+                held.add(int(i), int(rank), list(topics), int(most) - 1 if len(topics) else 0)
+                seed = i
+            out.append((scope, int(i), None, None, None, int(seed)))
+        # What is known of the seeds now: a row without a seed of its own.
+        out += [(scope, r[1], r[0], r[2], r[3], None) for r in held.all]
+        return pd.DataFrame(out, columns=["scope", "id", "rank", "topics", "left", "seed"]).astype({"rank": "Int64", "left": "Int32", "seed": "Int64"})
+
+    return run
+
+
+def _keys(small_article: Column | None = None) -> Column:
+    """What an article (where told if it is small) or a seed is found by: pairs of topics, topics of small seeds, topics of other seeds."""
+    t, n = F.col("topics"), F.size("topics")
+    pairs = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.struct(F.lit("pair").alias("kind"), F.concat_ws("\u0001", x, y).alias("key")))))
+    single = lambda kind: F.transform(t, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    if small_article is None:
+        return F.when(n <= 2, single("small")).otherwise(F.concat(pairs, single("large")))
+    return F.when(small_article, F.concat(single("small"), single("large"))).otherwise(F.concat(pairs, single("small")))
+
+
+def _met(today: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """Open seeds that a block's articles can overlap. Of many that share a topic only with small articles, as many as a block has articles."""
+    asked = today.select("scope", F.explode(_keys(F.size("topics") <= 2)).alias("k")).select("scope", "k.kind", "k.key").distinct()
+    known = seeds.where("left > 0").select("scope", "id", "rank", F.explode(_keys()).alias("k")).select("scope", "id", "rank", "k.kind", "k.key")
+    found = known.join(asked, ["scope", "kind", "key"])
+    best = F.row_number().over(Window.partitionBy("scope", "kind", "key").orderBy("rank"))
+    return seeds.join(found.withColumn("n", best).where(F.col("n") <= most).select("scope", "id").distinct(), ["scope", "id"], "left_semi")
+
+
+def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: str | None = None, block: int = 100_000) -> DataFrame:
+    """(id, seed), and ``scope`` where it is given: greedy clusters over topic overlap. articles: id, rank (total within a scope), topics.
+
+    The rule: in rank order each free article seeds a cluster and takes the
+    free later articles that overlap it, up to the limit. Read from the
+    article's side, it belongs to the best seed before it that overlaps it and
+    has a place left, and is a seed where there is none. So articles are worked
+    off in blocks of a scope's ranks, all scopes at once; a task has one block
+    and the open seeds that its articles can overlap, and no pairs are made. Null topics are none. The limit may be a column.
+    """
+    key = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    topics = F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
+    rows = articles.select(key.alias("scope"), F.col("id").cast("long").alias("id"), F.col("rank").cast("long").alias("rank"), F.array_compact(topics).alias("topics"), (max_per_theme if isinstance(max_per_theme, Column) else F.lit(max_per_theme)).cast("int").alias("most"))
+    rows = stash(windows.placed(rows, "scope", "rank").withColumn("block", F.floor((F.col("place") - 1) / block).cast("int")))
+    last = rows.agg(F.max("block")).first()[0]
+    out, seeds = None, stash(rows.sparkSession.createDataFrame([], SEED))
+    for at in range((last or 0) + 1):
+        today = rows.where(F.col("block") == at).select("scope", "id", "rank", "topics", "most")
+        met = _met(today, seeds, block) if at else seeds
+        known = "scope string, id long, rank long, topics array<string>, left int, seed long"
+        done = stash(today.groupBy("scope").cogroup(met.groupBy("scope")).applyInPandas(_walk(), known))
+        part = done.where("seed is not null").select("scope", "id", "seed")
+        out = part if out is None else out.unionByName(part)
+        if at < (last or 0):
+            now = done.where("seed is null").select("scope", "id", "rank", "topics", "left")
+            seeds = stash(seeds.join(now.select("scope", "id"), ["scope", "id"], "left_anti").unionByName(now).where("left > 0"))
+    return out.select(F.col("scope").alias(scope), "id", "seed") if scope else out.select("id", "seed")
 
 
 def thin_highlights(items: DataFrame, conflicts: DataFrame) -> DataFrame:

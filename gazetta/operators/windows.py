@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazetta.session import sized, stash
+
 
 def newest_per_source(articles: DataFrame, cap: Column | int, source: str = "source_id", published: str = "published_at", id_col: str = "id") -> DataFrame:
     """The newest rows of each source up to its cap, a number or a column."""
@@ -59,17 +61,19 @@ def diverse_top(rows: DataFrame, k: int, per_source: int = 1, by: list[str] | No
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).drop("_over")
 
 
-def relevance_backoff(rows: DataFrame, by: str, bar: int, floor: int, least: int) -> DataFrame:
+def relevance_backoff(rows: DataFrame, by: str, bar: int | Column, floor: int | Column, least: int | Column) -> DataFrame:
     """Rows that qualify once the bar is lowered by the smallest step at which ``least`` rows qualify, or the largest.
 
     Each row needs a step; a histogram of needs and its running sum give the step without a loop.
+    Bar, floor and least number may be columns that are constant within a group.
     """
+    bar, floor, least = (x if isinstance(x, Column) else F.lit(x) for x in (bar, floor, least))
     need = F.when(F.coalesce("actionability", F.lit(0)) >= 2, 0).when(F.coalesce("relevance", F.lit(0)) >= 1, F.greatest(F.lit(0), bar - F.col("relevance")))
     rows = rows.withColumn("_need", need)
-    steps = rows.where(F.col("_need") <= bar - floor).groupBy(by, "_need").agg(F.count("*").alias("_n"))
+    steps = rows.where(F.col("_need") <= bar - floor).groupBy(by, "_need").agg(F.count("*").alias("_n"), F.max(bar - floor).alias("_most"), F.max(least).alias("_least"))
     running = F.sum("_n").over(Window.partitionBy(by).orderBy("_need"))
-    found = steps.withColumn("_c", running).groupBy(by).agg(F.min(F.when(F.col("_c") >= least, F.col("_need"))).alias("_step"))
-    found = found.select(by, F.coalesce("_step", F.lit(bar - floor)).alias("relax"))
+    found = steps.withColumn("_c", running).groupBy(by).agg(F.min(F.when(F.col("_c") >= F.col("_least"), F.col("_need"))).alias("_step"), F.max("_most").alias("_most"))
+    found = found.select(by, F.coalesce("_step", "_most").alias("relax"))
     return rows.join(found, by).where(F.col("_need") <= F.col("relax")).drop("_need")
 
 
@@ -117,3 +121,19 @@ def capped_run(stories: DataFrame, by: str, order: str, checked: str, noted: str
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = [F.coalesce(F.sum(F.col(c).cast("int")).over(w), F.lit(0)) for c in (checked, noted)]
     return stories.withColumn("_c", before[0]).withColumn("_n", before[1]).where((F.col("_c") < most_checked) & (F.col("_n") < most_noted)).drop("_c", "_n")
+
+
+def placed(rows: DataFrame, scope: str, *order: str | Column) -> DataFrame:
+    """``rows`` with their place (from 1) within their scope, however many a scope has.
+
+    Rows are sorted across tasks by scope and order, counted per task and
+    scope, and numbered from there; no task holds a scope.
+    """
+    sorted_rows = stash(rows.orderBy(scope, *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = sorted_rows.groupBy(scope, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stash(counts.select(F.col(scope).alias("_scope"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    own = F.row_number().over(Window.partitionBy(scope, "_part").orderBy("_at"))
+    numbered = sorted_rows.withColumn("_own", own)
+    found = numbered.join(sized(counts, 200_000), F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("_part") == F.col("_p")))
+    return found.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("place"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gazetta import models
 from gazetta.functions.quantity import jaccard
-from gazetta.models import as_of
+from gazetta.models import as_of, with_models
 from gazetta.operators import aggregates, filters, graphs, greedy, joins, windows
+from gazetta.plans import briefs as briefs_plan
 from gazetta.queries.registry import query
 from gazetta.session import stash, table
 
@@ -89,19 +90,33 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks are a total order; a window over one brief's articles gives them."""
-    from pyspark.sql import Window
-
+    """Articles with their place in their category: a total order."""
     a = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null")
-    order = Window.partitionBy("category").orderBy(F.desc(filters.composite(F.col("relevance"), F.col("actionability"))), F.desc("published_at"), "id")
-    return a.select("id", "category", "topics", "relevance", "actionability", "source_id", F.row_number().over(order).alias("rank"))
+    score = filters.composite(F.col("relevance"), F.col("actionability"))
+    a = a.select("id", "category", "topics", "relevance", "actionability", "source_id", "published_at", score.alias("score"))
+    return windows.placed(a, "category", F.desc("score"), F.desc("published_at"), F.col("id")).withColumnRenamed("place", "rank")
+
+
+THEMES = """
+, a AS (SELECT id, category, topics, row_number() OVER (PARTITION BY category ORDER BY relevance * 10 + actionability * 15 DESC, published_at DESC, id) AS n FROM art JOIN src USING (source_id)),
+walk(category, n, id, seed, open) AS (
+  SELECT category, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(s BIGINT, t VARCHAR[], k INTEGER)[]) FROM (SELECT DISTINCT category FROM a)
+  UNION ALL
+  SELECT category, n, id, coalesce(hit, id),
+    CASE WHEN hit IS NULL THEN list_append(open, {'s': id, 't': topics, 'k': CASE WHEN len(topics) = 0 THEN 0 ELSE 5 END})
+      ELSE list_transform(open, lambda x: CASE WHEN x.s = hit THEN {'s': x.s, 't': x.t, 'k': x.k - 1} ELSE x END) END
+  FROM (
+    SELECT a.category, a.n, a.id, a.topics, open, list_filter(open, lambda x: x.k > 0 AND (len(list_intersect(x.t, a.topics)) >= 2 OR (len(list_intersect(x.t, a.topics)) = 1 AND least(len(x.t), len(a.topics)) <= 2)))[1].s AS hit
+    FROM walk JOIN a ON a.category = walk.category AND a.n = walk.n + 1
+  )
+)
+SELECT id, seed FROM walk WHERE n > 0"""
 
 
-@query("i01_topic_themes")
+@query("i01_topic_themes", with_models(THEMES))
 def topic_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy themes in every category on its own: topics carry their category, so overlaps stay inside."""
-    rows = _ranked(spark, sf_dir).withColumn("topics", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)))
-    return greedy.topic_themes(rows.select("id", "rank", "topics"), 6)
+    """Greedy themes in every category on its own. The SQL walks the articles one by one."""
+    return greedy.topic_themes(_ranked(spark, sf_dir), 6, scope="category").select("id", "seed")
 
 
 @query("i02_thin_highlights")
@@ -113,44 +128,26 @@ def thin_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
 
 
-def _thinned(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, rank, category, topics) without those whose three or more topics a better one has all alike."""
-    pairs = joins.topic_overlap(rows, scope="category").where("shared >= 3")
-    t = rows.select("id", "topics")
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("topics").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("topics").alias("y")), "b")
-    kept = greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
-    return rows.join(kept.where("kept").select("id"), "id", "left_semi")
-
-
 @query("i03_brief_selection")
 def brief_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's brief: (role, category, cluster_rank, id).
+    """The briefs of three accounts on three evenings, in one run: what each cites, in order."""
+    return _briefs(spark, sf_dir)[0]
 
-    Ledger, cadence window, pools, relevance back-off; greedy themes, their
-    size and a quota for each category; highlights among what no theme took,
-    without alike ones; and the drop pool's best of different sources.
-    """
-    from pyspark.sql import Window
 
+@query("d22_brief_status")
+def brief_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of these briefs are normal, quiet or skipped, and why."""
+    return _briefs(spark, sf_dir)[1]
+
+
+def _briefs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null")
+    # A document's label class stands for the story that the deduplicator found.
+    story = F.when(F.col("id") % 5 == 0, F.col("id") % 40)
+    rows = rows.select("id", "category", "source_id", story.alias("story"), "topics", "relevance", "actionability", "published_at")
+    deliveries = models.deliveries(spark, sf_dir)
+    day = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("back")
+    made = deliveries.select("account").distinct().select("account", day)
+    briefs = made.select(F.concat_ws("/", "account", F.col("back").cast("string")).alias("brief"), "account", (as_of() - F.make_dt_interval(F.col("back"))).alias("as_of"))
     classes = spark.createDataFrame([("ASIA", 72), ("EUROPE", 72)], "category string, window_hours int")
-    known = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null")
-    rows = filters.cadence_window(joins.undelivered(known, models.deliveries(spark, sf_dir), "acct1"), classes, as_of(), 48)
-    score = filters.composite(F.col("relevance"), F.col("actionability"))
-    rows = rows.withColumn("score", score).withColumn("pool", F.when(F.col("category") == "EUROPE", "drop").otherwise("news"))
-    order = [F.desc("score"), F.desc("published_at"), "id"]
-    rows = stash(rows.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*order))).select("id", "category", "pool", "source_id", "topics", "relevance", "actionability", "score", "rank"))
-    news = rows.where("pool = 'news'")
-    gated = stash(windows.relevance_backoff(news, "category", 6, 4, 3))
-    scoped = gated.select("id", "rank", F.transform("topics", lambda t: F.concat("category", F.lit("/"), t)).alias("topics"))
-    themed = stash(gated.join(greedy.topic_themes(scoped, 6), "id"))
-    clusters = themed.groupBy("category", "seed").agg(F.count("*").alias("size"), F.sum("score").alias("score"))
-    # One brief: its clusters are few (a theme for six articles at most), so one window ranks them.
-    ranked = clusters.withColumn("brief", F.lit(1)).withColumn("cluster_rank", F.row_number().over(Window.partitionBy("brief").orderBy(F.desc("score"), "seed"))).withColumn("bundle", F.col("category"))
-    chosen = stash(windows.quota(windows.eligible(ranked, "brief", 2), "brief", 1, 2, 1.5, 14).select("category", "seed", "cluster_rank"))
-    themes = themed.join(chosen, ["category", "seed"]).select(F.lit("theme").alias("role"), "category", "cluster_rank", "id")
-    left = news.where("relevance >= 5").join(themes.select("id"), "id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("category").orderBy("rank"))
-    lights = _thinned(stash(left)).withColumn("n", place).where("n <= 8").select(F.lit("highlight").alias("role"), "category", F.col("n").alias("cluster_rank"), "id")
-    pool = rows.where("pool = 'drop'").withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "id")))
-    drops = windows.diverse_top(pool, 3).select(F.lit("drop").alias("role"), "category", F.col("position").alias("cluster_rank"), "id")
-    return themes.unionByName(lights).unionByName(drops)
+    return briefs_plan.brief_selection(rows, stash(briefs), deliveries, models.scores(spark, sf_dir), classes, ["EUROPE"])

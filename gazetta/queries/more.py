@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta import models
 from gazetta.functions import deltas, quantity, registry, text
 from gazetta.models import as_of, with_models
-from gazetta.operators import filters, greedy, joins, windows
-from gazetta.plans import inference, threads
+from gazetta.operators import filters, joins
+from gazetta.plans import briefs, inference, threads
 from gazetta.queries.registry import query
 from gazetta.session import stash, table
 from gazetta.sources import drops, feeds
@@ -172,19 +172,14 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i04_chat_selection")
 def chat_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chat's themes and highlights in one pass: admission, back-off, greedy themes, caps per category."""
-    rules = spark.createDataFrame([(1, "a", ["ther", "ing"], ["eau"]), (2, "b", ["tion", "ein"], [])], "chat int, category string, include array<string>, exclude array<string>")
-    a = _known(spark, sf_dir).select("id", "topics", "category", "relevance", "actionability", "published_at")
-    rows = filters.admitted(a.select("id", "topics"), rules).join(a, "id")
-    rows = windows.relevance_backoff(rows, "chat", 6, 4, 3)
-    order = Window.partitionBy("chat").orderBy(F.desc(filters.composite(F.col("relevance"), F.col("actionability"))), F.desc("published_at"), "id")
-    # Rows are numbered and written once: a story has a key of its own in every chat.
-    rows = stash(rows.withColumn("rank", F.row_number().over(order)).withColumn("key", F.monotonically_increasing_id()))
-    scoped = rows.select(F.col("key").alias("id"), "rank", F.transform("topics", lambda t: F.concat(F.col("chat").cast("string"), F.lit("/"), t)).alias("topics"))
-    themed = rows.join(greedy.topic_themes(scoped, 6).withColumnRenamed("id", "key"), "key")
-    best = themed.groupBy("chat", "seed").agg(F.min("rank").alias("cluster_rank"), F.min_by("category", "rank").alias("bundle"), F.count("*").alias("size"))
-    roles = windows.demote(best, "chat", 2)
-    return themed.join(roles.select("chat", "seed", "role", "cluster_rank"), ["chat", "seed"]).select("chat", "id", "cluster_rank", "role")
+    """Every chat's brief in one run; the customers are the chats, and ask for one of few sets of categories and lengths."""
+    rules = spark.createDataFrame([("a", ["ther", "ing"], ["eau"]), ("b", ["tion", "ein"], []), ("*", [], ["zzz"])], "category string, include array<string>, exclude array<string>")
+    lengths = spark.createDataFrame([("short", 7, 5, 3, 2, 4), ("long", 6, 4, 3, 5, 6)], "length string, bar int, floor int, least int, max_themes int, per_theme int")
+    c = table(spark, sf_dir, "customer")
+    wanted = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("a"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b")))
+    chats = c.select(F.col("c_custkey").alias("chat"), wanted.alias("categories"), F.when(F.col("c_custkey") % 2 == 0, "short").otherwise("long").alias("length"))
+    a = _known(spark, sf_dir).select("id", "topics", "category", F.when(F.col("id") % 5 == 0, F.col("id") % 40).alias("story"), "relevance", "actionability", "published_at")
+    return briefs.chat_selection(a, chats, rules, lengths, models.as_of(), window=72)
 
 
 @query("j02_threads")

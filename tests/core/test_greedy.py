@@ -36,6 +36,42 @@ def test_topic_themes(spark, seed):
     assert {r.id: r.seed for r in got} == themes(rows, 4)
 
 
+@pytest.mark.parametrize(("seed", "block", "letters"), [(1, 12, 20), (3, 25, 40), (4, 20, 5)])
+def test_topic_themes_in_blocks_and_scopes(spark, seed, block, letters):
+    """Seeds stay open over blocks; scopes do not meet; nulls and repeated topics count as the rule says."""
+    rng = random.Random(seed)
+    names = [f"t{i}" for i in range(letters)]
+    rows = []
+    for scope in ("x", "y", None):
+        for i, r in enumerate(rng.sample(range(1000), 60)):
+            topics = None if i == 5 else rng.choices(names, k=rng.randint(0, 5))
+            rows.append((scope, {"x": 0, "y": 100, None: 200}[scope] + i, r, topics))
+    df = spark.createDataFrame(rows, "brief string, id long, rank int, topics array<string>")
+    got = greedy.topic_themes(df, 3, scope="brief", block=block).collect()
+    want = {}
+    for scope in ("x", "y", None):
+        want |= themes([(i, r, t or []) for s, i, r, t in rows if s == scope], 3)
+    assert {r.id: r.seed for r in got} == want and len(got) == len(rows)
+    assert {(r.brief, r.id) for r in got} == {(s or "", i) for s, i, _, _ in rows}
+
+
+def test_topic_themes_of_a_hot_topic(spark):
+    """4,000 articles of one topic: as many rows, no pairs; and an empty table."""
+    rows = [(i, i, ["hot"] if i % 2 else ["hot", f"own{i}", f"more{i}"]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, rank int, topics array<string>")
+    got = {r.id: r.seed for r in greedy.topic_themes(df, 6, block=1500).collect()}
+    assert got == themes(rows, 6)
+    assert greedy.topic_themes(df.limit(0)).count() == 0
+
+
+def test_places(spark):
+    rows = [("ab"[i % 2] if i % 7 else None, i * 37 % 101) for i in range(101)]
+    got = windows.placed(spark.createDataFrame(rows, "s string, x int").repartition(5), "s", F.desc("x")).collect()
+    for scope in ("a", "b", None):
+        mine = sorted((x for s, x in rows if s == scope), reverse=True)
+        assert {r.x: r.place for r in got if r.s == scope} == {x: k + 1 for k, x in enumerate(mine)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_thin_highlights(spark, seed):
     rng = random.Random(seed)
