@@ -155,20 +155,24 @@ class Transducer:
 class Vocabulary:
     """The transducers of all shards: ordinals by language and term."""
 
-    def __init__(self, rows: list[tuple[str, bytes, int, bytes]]):
+    def __init__(self, rows: list[tuple[str, bytes, int, int, bytes]]):
         rows = sorted(rows, key=lambda r: (r[0], r[1]))
-        self.whole, roots = Transducer.joined([Transducer.unpack(r[3]) for r in rows])
-        self.by_lang: dict[str, tuple[list[bytes], np.ndarray, np.ndarray]] = {}
+        self.whole, roots = Transducer.joined([Transducer.unpack(r[4]) for r in rows])
+        self.by_lang: dict[str, tuple[list[bytes], np.ndarray, np.ndarray, int]] = {}
         by: dict[str, list] = defaultdict(list)
-        for (lang, first, base, _), root in zip(rows, roots, strict=True):
-            by[lang].append((first, base, root))
+        for (lang, first, base, n, _), root in zip(rows, roots, strict=True):
+            by[lang].append((first, base, root, n))
         for lang, shards in by.items():
-            self.by_lang[lang] = ([s[0] for s in shards], np.array([s[1] for s in shards], np.int64), np.array([s[2] for s in shards], np.int64))
+            self.by_lang[lang] = ([s[0] for s in shards], np.array([s[1] for s in shards], np.int64), np.array([s[2] for s in shards], np.int64), sum(s[3] for s in shards))
+
+    def size(self, lang: str) -> int:
+        """How many terms the language keeps."""
+        return self.by_lang[lang][3] if lang in self.by_lang else 0
 
     def ordinals(self, lang: str, words: list[bytes]) -> np.ndarray:
         if lang not in self.by_lang:
             return np.full(len(words), -1, np.int64)
-        first, base, root = self.by_lang[lang]
+        first, base, root, _ = self.by_lang[lang]
         shard = np.fromiter((bisect_right(first, w) - 1 for w in words), np.int64, len(words))
         out = np.full(len(words), -1, np.int64)
         could = np.flatnonzero(shard >= 0)
@@ -239,60 +243,89 @@ def vocabulary(docs: DataFrame, least: int = 10, per_shard: int | None = None) -
     return kept, stash(shards.join(bases, ["lang", "first"]).select("lang", "first", "base", "n", "transducer"))
 
 
-def _flushed(room: int, found) -> object:
-    """Words of (lang, source) counted within a task, and handed to ``found`` whenever ``room`` entries are held."""
+def _flushed(room: int, begin):
+    """Words of each group counted within a task, and handed on whenever ``room`` entries are held.
+
+    ``begin`` is called once a task and returns (found, rest): what is done with counts {group: Counter} and the languages of the groups, and what is left at the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        found, rest = begin()
+        held: dict[int, Counter] = defaultdict(Counter)
+        lang_of: dict[int, str] = {}
         for batch in slices(batches, 256):
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                held[lang, source].update(terms(text))
+            for group, lang, text in zip(batch.column("gid").to_pylist(), batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                held[group].update(terms(text))
+                lang_of[group] = lang
             if sum(map(len, held.values())) > room:
-                yield from found(held)
+                yield from found(held, lang_of)
                 held.clear()
-        yield from found(held)
+        yield from found(held, lang_of)
+        yield from rest()
 
     return run
 
 
-COUNTED = "lang string, source string, ordinal long, n long"
+COUNTED = "gid long, ordinal long, n long"
+
+
+def _counted_rows(group: int, ordinal: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"gid": pa.array(np.full(len(ordinal), group, np.int64)), "ordinal": pa.array(ordinal, pa.int64()), "n": pa.array(n, pa.int64())})
+
 
+def _streamed(shared, room: int = 400_000, dense: int = 6_000_000):
+    """Texts through transducers that every task has. Up to ``dense`` counts in all, groups keep an array of them over the whole task; others are written out at once."""
 
-def _counted_rows(lang: str, source: str, ordinal: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(ordinal), pa.string()), "source": pa.array([source] * len(ordinal), pa.string()), "ordinal": pa.array(ordinal, pa.int64()), "n": pa.array(n, pa.int64())})
+    def begin():
+        words, sums = Vocabulary(shared.value), {}
+        left = [dense]
 
+        def found(held: dict, lang_of: dict) -> Iterator[pa.RecordBatch]:
+            for lang in set(lang_of.values()):
+                mine = [g for g in held if lang_of[g] == lang]
+                distinct = list(set().union(*(held[g] for g in mine)))
+                place = dict(zip(distinct, words.ordinals(lang, distinct).tolist(), strict=True))
+                for g in mine:
+                    c = held[g]
+                    got, n = np.fromiter(map(place.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+                    got, n = got[got >= 0], n[got >= 0]
+                    if g not in sums and left[0] >= (size := words.size(lang)):
+                        sums[g] = np.zeros(size, np.int64)
+                        left[0] -= size
+                    if g in sums:
+                        sums[g][got] += n
+                    else:
+                        yield _counted_rows(g, got, n)
 
-def _streamed(shared, room: int = 400_000):
-    """Texts through transducers that every task has."""
+        def rest() -> Iterator[pa.RecordBatch]:
+            for g, total in sums.items():
+                at = np.flatnonzero(total)
+                yield _counted_rows(g, at, total[at])
 
-    def found(held: dict) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(shared.value)
-        for (lang, source), c in held.items():
-            got, n = words.ordinals(lang, list(c)), np.fromiter(c.values(), np.int64, len(c))
-            yield _counted_rows(lang, source, got[got >= 0], n[got >= 0])
+        return found, rest
 
-    return _flushed(room, found)
+    return _flushed(room, begin)
 
 
 def _routed_terms(firsts: dict[str, list[bytes]], room: int = 400_000):
     """Counted words of the texts, with the shard that may hold them."""
 
-    def found(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), c in held.items():
+    def found(held: dict, lang_of: dict) -> Iterator[pa.RecordBatch]:
+        for g, c in held.items():
             words = list(c)
-            shard = np.array([bisect_right(firsts.get(lang, []), w) - 1 for w in words], np.int64)
+            shard = np.array([bisect_right(firsts.get(lang_of[g], []), w) - 1 for w in words], np.int64)
             ok = np.flatnonzero(shard >= 0)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "lang": pa.array([lang] * len(ok), pa.string()),
+                    "lang": pa.array([lang_of[g]] * len(ok), pa.string()),
                     "shard": pa.array(shard[ok], pa.int64()),
-                    "source": pa.array([source] * len(ok), pa.string()),
+                    "gid": pa.array(np.full(len(ok), g, np.int64)),
                     "term": pa.array([words[i] for i in ok], pa.binary()),
                     "n": pa.array([c[words[i]] for i in ok], pa.int64()),
                 }
             )
 
-    return _flushed(room, found)
+    return _flushed(room, lambda: (found, lambda: iter(())))
 
 
 def _through_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,24 +342,24 @@ def _through_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if part.num_rows:
                 got = machine.ordinals(part.column("term").to_pylist())
                 hit = pa.array(np.flatnonzero(got >= 0))
-                yield pa.RecordBatch.from_pydict({"lang": part.column("lang").take(hit), "source": part.column("source").take(hit), "ordinal": pa.array(got[got >= 0] + base), "n": part.column("n").take(hit), "term": part.column("term").take(hit)})
+                yield pa.RecordBatch.from_pydict({"lang": part.column("lang").take(hit), "gid": part.column("gid").take(hit), "ordinal": pa.array(got[got >= 0] + base), "n": part.column("n").take(hit), "term": part.column("term").take(hit)})
 
 
 def _routed(words: DataFrame, shards: DataFrame, salts: int = 8) -> DataFrame:
-    """(lang, source, ordinal, n, term) of words (lang, shard, source, term, n), shuffled to their shard. A shard's words are dealt to ``salts`` copies of it."""
+    """(lang, gid, ordinal, n, term) of words (lang, shard, gid, term, n), shuffled to their shard. A shard's words are dealt to ``salts`` copies of it."""
     numbered = shards.withColumn("shard", F.row_number().over(Window.partitionBy("lang").orderBy("first")).cast("long") - 1)
-    machines = numbered.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("term"), F.col("base").alias("n"), "transducer")
-    rows = words.select("lang", "shard", F.pmod(F.xxhash64("term", "source"), F.lit(salts)).cast("int").alias("salt"), "source", "term", "n", F.lit(None).cast("binary").alias("transducer"))
+    machines = numbered.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("gid"), F.lit(None).cast("binary").alias("term"), F.col("base").alias("n"), "transducer")
+    rows = words.select("lang", "shard", F.pmod(F.xxhash64("term", "gid"), F.lit(salts)).cast("int").alias("salt"), "gid", "term", "n", F.lit(None).cast("binary").alias("transducer"))
     both = machines.unionByName(rows).withColumn("later", F.col("transducer").isNull()).repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "later")
-    return both.mapInArrow(_through_shards, f"{COUNTED}, term binary")
+    return both.mapInArrow(_through_shards, f"lang string, {COUNTED}, term binary")
 
 
 def recounted(docs: DataFrame, kept: DataFrame, shards: DataFrame, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, ordinal, n) of docs (lang, source, text), (lang, ordinal, term)): the texts streamed through the transducers."""
+    """((gid, ordinal, n) of docs (gid, lang, text), (lang, ordinal, term)): the texts streamed through the transducers."""
     total = shards.agg(F.sum(F.octet_length("transducer"))).first()[0] or 0
-    names = kept.select("lang", F.lit("").alias("source"), "term", F.lit(1).cast("long").alias("n"))
+    names = kept.select("lang", F.lit(0).cast("long").alias("gid"), "term", F.lit(1).cast("long").alias("n"))
     if total <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast([(r.lang, bytes(r.first_), r.base, bytes(r.transducer)) for r in shards.withColumnRenamed("first", "first_").collect()])
+        shared = docs.sparkSession.sparkContext.broadcast([(r.lang, bytes(r.first_), r.base, r.n, bytes(r.transducer)) for r in shards.withColumnRenamed("first", "first_").collect()])
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Vocabulary(shared.value)
@@ -338,22 +371,22 @@ def recounted(docs: DataFrame, kept: DataFrame, shards: DataFrame, broadcast_byt
                     out[at] = words.ordinals(lang, [of[i] for i in at])
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "ordinal": pa.array(out), "term": batch.column("term")})
 
-        counts = docs.select("lang", "source", "text").mapInArrow(_streamed(shared), COUNTED)
+        counts = docs.select("gid", "lang", "text").mapInArrow(_streamed(shared), COUNTED)
         ordinals = kept.mapInArrow(named, "lang string, ordinal long, term binary")
     else:
         firsts: dict[str, list[bytes]] = defaultdict(list)
         for r in shards.select("lang", F.col("first").alias("word")).orderBy("lang", "first").collect():  # SHARDS rows at most, and one more a language
             firsts[r.lang].append(bytes(r.word))
-        words = docs.select("lang", "source", "text").mapInArrow(_routed_terms(firsts), "lang string, shard long, source string, term binary, n long")
-        counts = _routed(words.groupBy("lang", "shard", "source", "term").agg(F.sum("n").alias("n")), shards).select("lang", "source", "ordinal", "n")
+        words = docs.select("gid", "lang", "text").mapInArrow(_routed_terms(firsts), "lang string, shard long, gid long, term binary, n long")
+        counts = _routed(words.groupBy("lang", "shard", "gid", "term").agg(F.sum("n").alias("n")), shards).select("gid", "ordinal", "n")
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = [bisect_right(firsts[lang], w) - 1 for lang, w in zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("lang", "source", "term", "n")}, "shard": pa.array(at, pa.int64())})
+                yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("lang", "gid", "term", "n")}, "shard": pa.array(at, pa.int64())})
 
-        ordinals = _routed(names.mapInArrow(placed, "lang string, source string, term binary, n long, shard long"), shards).select("lang", "ordinal", "term")
-    return stash(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))), ordinals
+        ordinals = _routed(names.mapInArrow(placed, "lang string, gid long, term binary, n long, shard long"), shards).select("lang", "ordinal", "term")
+    return stash(counts.groupBy("gid", "ordinal").agg(F.sum("n").alias("n"))), ordinals
 
 
 def share(n: Column, total: Column) -> Column:
@@ -397,7 +430,7 @@ def _pairs(groups: DataFrame, cells: DataFrame, width: int = 2048) -> DataFrame:
     ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / width)))).alias("range")
     base = numbered.withColumn("mine", mine).select("lang", "no", "mine", "last", "v", F.col("p0").alias("p"), ranges).withColumn("ordinal", F.lit(-1).cast("long"))
     base = base.withColumn("size", F.least(F.lit(width).cast("long"), F.col("v") - F.col("range") * width)).drop("v")
-    dealt = cells.join(sized(numbered.select("lang", "source", "no", "last"), 200_000), ["lang", "source"]).withColumn("mine", mine)
+    dealt = cells.drop("n").join(sized(numbered.select("lang", "source", "no", "last"), 200_000), ["lang", "source"]).withColumn("mine", mine)
     dealt = dealt.select("lang", "no", "mine", "last", "p", F.floor(F.col("ordinal") / width).alias("range"), "ordinal", F.lit(None).cast("long").alias("size"))
     rows = base.unionByName(dealt).select("lang", "range", met, "no", "ordinal", "p", "size").select("lang", "range", "ij.i", "ij.j", "no", "ordinal", "p", "size")
     sums = rows.groupBy("lang", "range", "i", "j").applyInPandas(_pair_sums(width), "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
@@ -410,21 +443,22 @@ def _pairs(groups: DataFrame, cells: DataFrame, width: int = 2048) -> DataFrame:
 def source_divergence(docs: DataFrame, least: int = 10, top: int = 10, per_shard: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source's terms differ from every other source of its language ('pair', all ranks), and which terms it has more of than its language ('term', the ``top`` first)."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    named = stash(rows.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()))
     kept, shards = vocabulary(rows, least, per_shard)
-    counts, ordinals = recounted(rows, kept, shards, broadcast_bytes)
+    counts, ordinals = recounted(rows.join(sized(named, 200_000), ["lang", "source"]), kept, shards, broadcast_bytes)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
+    totals = counts.groupBy("gid").agg(F.sum("n").alias("total"))
+    groups = named.join(totals, "gid", "left").join(sizes, "lang", "left")
+    groups = groups.select("gid", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
     room = F.col("total") + 2 * F.col("v")
     groups = stash(groups.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0).cast("long"), room)).otherwise(F.lit(0))))
-    cells = counts.join(sized(groups.select("lang", "source", "total", "v"), 200_000), ["lang", "source"])
-    cells = stash(cells.select("lang", "source", "ordinal", share(F.col("n"), room).alias("p")))
+    cells = counts.join(sized(groups.select("gid", "lang", "source", "total", "v"), 200_000), "gid")
+    cells = stash(cells.select("lang", "source", "ordinal", "n", share(F.col("n"), room).alias("p")))
     pairs = _pairs(groups, cells)
     within = Window.partitionBy("lang", "source")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(within.orderBy(F.desc("value"), "item")).alias("rank"))
     whole = groups.groupBy("lang").agg((F.sum("total") + 2 * F.first("v")).alias("room"))
-    of_lang = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(sized(whole, 200_000), "lang").select("lang", "ordinal", share(F.col("n"), F.col("room")).alias("q"))
+    of_lang = cells.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(sized(whole, 200_000), "lang").select("lang", "ordinal", share(F.col("n"), F.col("room")).alias("q"))
     more = cells.join(of_lang, ["lang", "ordinal"]).where("p > q").select("lang", "source", "ordinal", F.expr(F_VALUE).alias("value"))
     best = more.withColumn("rank", F.row_number().over(within.orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= top)
     named = ordinals.join(sized(stash(best), 200_000), ["lang", "ordinal"])
