@@ -1,42 +1,188 @@
-"""Ongoing stories: each day's stories are matched to the week's threads, whose vectors move with them."""
+"""Ongoing stories: every run's stories are matched to the week's threads, and what changed since a thread's last point is noted.
+
+An account's threads of a week are one state: a thread has a label, the vector
+of its last story and its last points. As weeks share nothing, an account's
+week is one key, for the stream as for the table, and no group outgrows it:
+a run adds 40 stories at most.
+"""
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+
+from gazetta.functions.deltas import CATEGORICAL, NUMERIC
+from gazetta.functions.quantity import amount
+from gazetta.streaming.ordered import InOrder, is_material, stateful
+
+STORY = "at long, place long, story_id long, label string, vector binary, many boolean, kind string, value string, amount double, unit string, confidence double, ids array<long>"
+POINT = "at long, place long, story_id long, thread_id long, delta string, since long, old string, new string, unit string, old_ids array<long>, new_ids array<long>, n_points int"
+#: Relative and absolute bar of each kind of number.
+BARS = {"magnitude": (0.15, 1.0), "tally": (0.0, 1.0), "price": (0.10, 0.0), "percentage": (0.10, 1.0)}
+
+
+@dataclass(frozen=True)
+class Rules:
+    similarity: float = 0.83
+    confidence: float = 0.5
+    most_checked: int = 40
+    most_noted: int = 5
+    points: int = 3
+    bars: dict = field(default_factory=lambda: dict(BARS))
+    #: A replay lets threads be met as soon as a story has made them, takes stories of several articles only, and has no caps.
+    replay: bool = False
+
+
+@dataclass
+class Thread:
+    label: str
+    vector: bytes | None
+    points: list[dict]
+
 
-from gazetta.operators.joins import best_match
-from gazetta.session import stash
+def changed(old: dict, story: dict, rules: Rules) -> bool:
+    """Whether two points differ by enough. Kinds of different families don't compare; a tally must climb."""
+    if story["kind"] in NUMERIC and old["kind"] in NUMERIC:
+        a, b = old["amount"], story["amount"]
+        if a is None or b is None or (story["kind"] == "tally" and b <= a):
+            return False
+        return is_material(a, b, *rules.bars.get(story["kind"], (0.15, 1.0)))
+    if story["kind"] in CATEGORICAL and old["kind"] in CATEGORICAL:
+        return " ".join(old["value"].lower().split()) != " ".join(story["value"].lower().split())
+    return False
 
 
-def track(stories: DataFrame, threshold: float, days: list) -> DataFrame:
-    """(day, story_id, thread_id, matched) for stories (day, week, story_id, vector, seeds).
+def nearest(vector: bytes | None, threads: dict[int, Thread], least: float) -> int | None:
+    """The thread of greatest cosine, the smallest id on ties; none below ``least`` or at 0."""
+    if not vector:
+        return None
+    x = np.frombuffer(vector)
+    best, found = 0.0, None
+    for i in sorted(threads):
+        y = np.frombuffer(threads[i].vector or b"")
+        norm = np.linalg.norm(x) * np.linalg.norm(y)
+        near = round(float(x @ y / norm), 9) if len(x) == len(y) and norm > 0 else 0.0
+        if near > best:
+            best, found = near, i
+    return found if best >= least else None
 
-    Days follow each other, as a thread's vector is its last story's; within a
-    day stories are matched at once, against the threads as the day found
-    them. Threads of another week are closed. A story without a match opens a
-    thread if it may seed one. ``days`` are the days to work off, in order.
+
+def one_run(threads: dict[int, Thread], at: int, stories: list[dict], rules: Rules) -> list[tuple]:
+    """A run's points, and ``threads`` as they are after it.
+
+    A live run sees the threads that it began with: two stories may meet one
+    thread, both compare with its point of before, and both points are kept.
     """
-    out, threads = None, None
-    for day in days:
-        today = stories.where(F.col("day") == day)
-        if threads is None:
-            found = today.select("story_id", F.lit(None).cast("long").alias("thread_id"))
+    seen = threads if rules.replay else {i: Thread(t.label, t.vector, list(t.points)) for i, t in threads.items()}
+    out, checked, noted = [], 0, 0
+    for s in stories:
+        if not rules.replay and (checked >= rules.most_checked or noted >= rules.most_noted):
+            break
+        if rules.replay and not s["many"]:
+            continue
+        match = nearest(s["vector"], seen, rules.similarity)
+        if match is None and not s["many"]:
+            continue
+        checked += 1
+        if s["kind"] is None or not s["value"] or (s["confidence"] is not None and s["confidence"] < rules.confidence):
+            continue
+        old = seen[match].points[-1] if match is not None else None
+        delta = s["kind"] if old is not None and changed(old, s, rules) else None
+        noted += delta is not None
+        point = {"at": at, "kind": s["kind"], "value": s["value"], "amount": s["amount"], "unit": s["unit"], "ids": s["ids"]}
+        thread = s["story_id"] if match is None else match
+        if match is None:
+            threads[thread] = Thread(s["label"], s["vector"], [point])
         else:
-            week = today.agg(F.max("week")).first()[0]
-            threads = threads.where(F.col("week") == week) if week is not None else threads
-            found = best_match(today.select("story_id", "vector"), threads.select("thread_id", "vector"), threshold).select("story_id", "thread_id")
-        rows = today.join(found, "story_id").withColumn("matched", F.col("thread_id").isNotNull())
-        rows = stash(rows.withColumn("thread_id", F.when(F.col("matched"), F.col("thread_id")).when(F.col("seeds"), F.col("story_id"))))
-        # The latest story of a thread gives its vector.
-        moved = rows.where("thread_id is not null").groupBy("thread_id").agg(F.max_by("vector", "story_id").alias("vector"), F.max("week").alias("week"))
-        threads = stash(moved if threads is None else threads.join(moved, "thread_id", "left_anti").unionByName(moved))
-        part = rows.select("day", "story_id", "thread_id", "matched")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else stories.select("day", "story_id", F.lit(None).cast("long").alias("thread_id"), F.lit(False).alias("matched")).limit(0)
-
-
-def replay(stories: DataFrame, threshold: float, days: int) -> DataFrame:
-    """``track`` over the last ``days`` days that have stories, from no threads at all. ``stories`` should be written, as each day reads them."""
-    newest = stories.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    return track(stories, threshold, sorted(r.day for r in newest.collect()))
+            kept = threads[thread]
+            kept.points = [*kept.points, point][-max(1, rules.points) :]
+            kept.vector = s["vector"] or kept.vector
+        since, before = (old["at"], old) if delta else (None, None)
+        out.append((at, s["place"], s["story_id"], thread, delta, since, before and before["value"], s["value"] if delta else None, (s["unit"] or before["unit"]) if delta else None, before and before["ids"], s["ids"] if delta else None, len(threads[thread].points)))
+    return out
+
+
+NAMES = [c.split()[0] for c in STORY.split(", ")]
+
+
+class Tracker(InOrder):
+    """The threads of an account's week."""
+
+    fields = STORY
+    out = f"account string, week string, {POINT}"
+    order = 3
+
+    def __init__(self, rules: Rules, idle: int = 8 * 86_400_000):
+        super().__init__(idle)
+        self.rules = rules
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.threads = handle.getMapState("threads", "thread_id long", "label string, vector binary, points string")
+
+    def forget(self) -> None:
+        self.threads.clear()
+
+    def step(self, key: tuple, at: int, rows: list[tuple]) -> list[tuple]:
+        threads = {k[0]: Thread(v[0], v[1] and bytes(v[1]), json.loads(v[2])) for k, v in self.threads.iterator()}
+        before = {i: (t.vector, t.points) for i, t in threads.items()}
+        stories = [dict(zip(NAMES, r, strict=True)) for r in rows]
+        for s in stories:
+            s["vector"], s["ids"] = s["vector"] and bytes(s["vector"]), list(s["ids"] or [])
+        out = one_run(threads, at, stories, self.rules)
+        for i, t in threads.items():
+            if before.get(i) != (t.vector, t.points):
+                self.threads.updateValue((i,), (t.label, t.vector, json.dumps(t.points)))
+        return [(*key, *r) for r in out]
+
+
+def _prepared(stories: DataFrame) -> DataFrame:
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.asarray(x, float).tobytes() for x in v], dtype=object)
+
+    rows = stories.withColumn("amount", amount(F.col("value")))
+    return rows.select("account", "week", "ts", F.col("place").cast("long").alias("place"), "story_id", "label", packed("vector").alias("vector"), "many", "kind", "value", "amount", "unit", "confidence", "ids")
+
+
+def track(stories: DataFrame, rules: Rules | None = None, delay: str = "1 hour") -> DataFrame:
+    """(account, week, at, place, story_id, thread_id, delta, since, old, new, unit, old_ids, new_ids, n_points); a table or a stream.
+
+    stories: account, week, ts (of the run), place (in the run), story_id, label, vector, many
+    (of several articles), kind, value, unit, confidence, ids. A row is a
+    point that a story gave a thread, its own if it met none; ``delta`` and
+    the fields after it are set where the point is worth a note.
+    """
+    rules = rules or Rules()
+    rows = _prepared(stories)
+    if rows.isStreaming:
+        return stateful(rows, ["account", "week"], Tracker(rules), "ts", delay)
+
+    def walk(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        out, threads = [], {}
+        found = found.astype(object).where(found.notna(), None)
+        for at, run in sorted(found.groupby("at"), key=lambda x: x[0]):
+            stories = run.sort_values(["place", "story_id"]).to_dict("records")
+            for s in stories:
+                s["ids"] = [int(i) for i in s["ids"]] if s["ids"] is not None else []
+            out += [(*key, *r) for r in one_run(threads, int(at), stories, rules)]
+        return pd.DataFrame(out, columns=["account", "week", *[c.split()[0] for c in POINT.split(", ")]], dtype=object)
+
+    return rows.withColumn("at", F.unix_millis("ts")).groupBy("account", "week").applyInPandas(walk, Tracker.out)
+
+
+def replay(stories: DataFrame, runs: int, rules: Rules | None = None) -> DataFrame:
+    """``track`` over each account's last ``runs`` runs, from no threads at all and over the weeks' ends."""
+    from dataclasses import replace
+
+    from pyspark.sql import Window
+
+    times = stories.select("account", "ts").distinct()
+    last = times.withColumn("n", F.row_number().over(Window.partitionBy("account").orderBy(F.desc("ts")))).where(F.col("n") <= runs).drop("n")
+    rows = stories.join(last, ["account", "ts"]).withColumn("week", F.lit("all"))
+    return track(rows, replace(rules or Rules(), replay=True))

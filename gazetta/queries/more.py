@@ -9,7 +9,7 @@ from gazetta import models
 from gazetta.functions import deltas, quantity, registry, text
 from gazetta.models import as_of, with_models
 from gazetta.operators import filters, joins
-from gazetta.plans import briefs, inference, threads
+from gazetta.plans import briefs, inference
 from gazetta.queries.registry import query
 from gazetta.session import stash, table
 from gazetta.sources import drops, feeds
@@ -180,23 +180,3 @@ def chat_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = c.select(F.col("c_custkey").alias("chat"), wanted.alias("categories"), F.when(F.col("c_custkey") % 2 == 0, "short").otherwise("long").alias("length"))
     a = _known(spark, sf_dir).select("id", "topics", "category", F.when(F.col("id") % 5 == 0, F.col("id") % 40).alias("story"), "relevance", "actionability", "published_at")
     return briefs.chat_selection(a, chats, rules, lengths, models.as_of(), window=72)
-
-
-@query("j02_threads")
-def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as stories of the day of their document's event, matched to the week's threads."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("story_id"), F.col("ts").cast("timestamp").alias("ts"))
-    s = v.join(e, "story_id").select("story_id", "vector", F.to_date("ts").alias("day"), quantity.week_key(F.col("ts"), "UTC").alias("week"), (F.col("story_id") % 4 == 0).alias("seeds"))
-    s = stash(s)
-    days = [r.day for r in s.select("day").distinct().orderBy("day").collect()]
-    return threads.track(s, 0.3, days)
-
-
-@query("j03_replay")
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last seven days of stories, from an empty state; no week ends in a replay."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("story_id"), F.to_date("ts").alias("day"))
-    s = v.join(e, "story_id").select("story_id", "vector", "day", F.lit(None).cast("string").alias("week"), F.lit(True).alias("seeds"))
-    return threads.replay(stash(s), 0.3, 7)

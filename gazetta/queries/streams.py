@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta import models
+from gazetta.functions.quantity import week_key
 from gazetta.models import with_models
 from gazetta.queries.registry import query
 from gazetta.operators import filters
+from gazetta.plans import threads
 from gazetta.session import stash_dir, table
-from gazetta.streaming import jobs
+from gazetta.streaming import jobs, ordered
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,41 +117,133 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sessions(rows, "user_id", "ts")
 
 
-MOVES = "WITH p AS (SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events) SELECT {} FROM p WHERE old IS NOT NULL AND (abs(value - old) >= 30 OR (old <> 0 AND abs(value - old) / abs(old) >= 5))"
+ENDED = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events)"
 
 
-@query("j08_moved_facts", MOVES.format("event_id, old, value"))
+@query("j05_sessions_stream", f"SELECT * FROM ({SESSIONS.replace('count(*) AS n FROM s', 'count(*) AS n, max(ts) AS last FROM s')}) x WHERE epoch_ms(last) + 1800000 <= {ENDED}".replace("SELECT * FROM (", "SELECT user_id, start, n FROM (", 1))
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a stream: sessions that no late row can lengthen any more."""
+    rows = _landed(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(jobs.sessions(rows, "user_id", "ts"))
+
+
+@query("j05_sliding_cost_stream", with_models(", w AS (SELECT CAST(epoch_us(created_at) // 3600000000 * 3600 AS BIGINT) - 3600 * unnest(range(24)) AS start, cost, status FROM runs) SELECT start, start + 86400 AS \"end\", count(*) AS runs, count(*) FILTER (status <> 'success') AS errors, round(CAST(sum(coalesce(cost, 0)) AS DOUBLE), 6) AS cost FROM w WHERE start + 86400 <= (SELECT epoch_us(max(created_at)) FROM runs) / 1000000.0 - 3600 GROUP BY start"))
+def sliding_cost_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _landed(spark, sf_dir)
+    runs = e.select(F.col("value").cast("decimal(18,6)").alias("cost"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("created_at"))
+    return _drained(jobs.windowed_cost(runs, length="24 hours", slide="1 hour"))
+
+
+ROLLED = """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+o AS (SELECT user_id, s.n, count(*) AS k, epoch_us(max(ts)) + 1800000000 AS ends, epoch_us(min(ts)) AS begins FROM s GROUP BY ALL)
+SELECT (ends - 1) // 86400000000 * 86400 AS start, count(*) AS sessions, CAST(sum(k) AS BIGINT) AS events, max(k) AS most, max(ends - begins) AS longest FROM o GROUP BY 1"""
+
+
+@query("j05_daily_sessions", ROLLED)
+def daily_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.daily_sessions(rows, "user_id", "ts")
+
+
+@query("j05_daily_sessions_stream", f"SELECT * FROM ({ROLLED}) x WHERE (start + 86400) * 1000 <= {ENDED}")
+def daily_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows and the daily roll-up in one streaming query: days that are over."""
+    rows = _landed(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(jobs.daily_sessions(rows, "user_id", "ts"))
+
+
+MOVES = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS m, event_id AS tie, value FROM events WHERE value IS NOT NULL),
+p AS (SELECT *, lag(value) OVER w AS before, lag(m) OVER w AS since FROM e WINDOW w AS (PARTITION BY key ORDER BY m, tie)),
+f AS (SELECT key, m, tie, CASE WHEN m - since <= 86400000 THEN before END AS old, value FROM p)
+SELECT key, m AS "at", tie, old, value FROM f WHERE old IS NOT NULL AND (abs(value - old) >= 30 OR (old <> 0 AND abs(value - old) / abs(old) >= 5))"""
+
+
+def _facts(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), "value")
+
+
+@query("j08_moved_facts", MOVES)
 def moved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return jobs.moved_facts(rows, ["user_id"], "value", ["event_id"], 5.0, 30.0).select("event_id", "old", "value")
+    """A user's values as facts; a day without one ends what is known."""
+    return ordered.moved_facts(_facts(table(spark, sf_dir, "events")), 5.0, 30.0, idle=86_400_000)
 
 
-@query("j08_moved_facts_stream", MOVES.format("CAST(user_id AS VARCHAR) AS key, event_id AS \"at\", old, value"))
+@query("j08_moved_facts_stream", f"{MOVES} AND m <= {ENDED}")
 def moved_facts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(jobs.moved_facts_stream(_landed(spark, sf_dir), "user_id", "value", "event_id", 5.0, 30.0))
+    return _drained(ordered.moved_facts(_facts(_landed(spark, sf_dir)), 5.0, 30.0, idle=86_400_000))
 
 
-GATE = (
-    """
-WITH m AS (SELECT conv_id % 7 AS chat, conv_id AS conversation, turn, CASE WHEN role = 'user' AND conv_id % 9 > 0 THEN 'guest' ELSE 'owner' END AS sender, conv_id // 40 AS day FROM conversations),
-t AS (SELECT *, sum(CAST(sender <> 'owner' AS INTEGER)) OVER (PARTITION BY chat, conversation ORDER BY turn) AS talk FROM m),
-d AS (SELECT *, sum(CAST(sender <> 'owner' AND talk <= 2 AS INTEGER)) OVER (PARTITION BY chat, day ORDER BY conversation, turn) AS used FROM t)
-SELECT chat, conversation, turn, CASE WHEN sender = 'owner' THEN 'owner' WHEN talk > 2 THEN 'turn cap' WHEN used <= 6 THEN 'answer' ELSE 'daily cap' END AS decision FROM d"""
-)
+GATE = """
+WITH m AS (SELECT conv_id % 7 AS chat, conv_id AS conversation, turn, CASE WHEN role = 'user' AND conv_id % 9 > 0 THEN 'guest' ELSE 'owner' END AS sender, lower(coalesce(text, '')) AS t,
+  1704067200000 + (conv_id * 37 % 97) * 3600000 + turn * 60000 AS ms FROM conversations),
+k AS (SELECT *, ms // 86400000 AS day, CASE WHEN sender = 'owner' THEN 'owner' WHEN chat = 6 THEN 'ignored' WHEN contains(t, 'schst') OR contains(t, 'aipa') THEN 'approval' ELSE 'guest' END AS said FROM m),
+t AS (SELECT *, sum(CAST(said = 'guest' AS INTEGER)) OVER (PARTITION BY chat, conversation ORDER BY ms, conversation, turn) AS talk FROM k),
+d AS (SELECT *, sum(CAST(said = 'guest' AND talk <= 2 AS INTEGER)) OVER (PARTITION BY chat, day ORDER BY ms, conversation, turn) AS used FROM t)
+SELECT chat, conversation, turn, CASE WHEN said <> 'guest' THEN said WHEN talk > 2 THEN 'turn cap' WHEN used <= 3 THEN 'answer' ELSE 'daily cap' END AS decision,
+  CASE WHEN contains(t, 'eaux') OR contains(t, 'ther') THEN 'ur' ELSE 'en' END AS language FROM d"""
 
 
-def _messages(c: DataFrame) -> DataFrame:
+def _decided(c: DataFrame) -> DataFrame:
+    """Talks begin at hours that their numbers scatter over four days, so they arrive out of order; turns are a minute apart."""
     guest = (F.col("role") == "user") & (F.col("conv_id") % 9 > 0)
-    return c.select((F.col("conv_id") % 7).alias("chat"), F.col("conv_id").alias("conversation"), "turn", F.when(guest, "guest").otherwise("owner").alias("sender"), F.floor(F.col("conv_id") / 40).alias("day"))
+    ts = F.timestamp_millis(F.lit(1704067200000) + (F.col("conv_id") * 37 % 97) * 3600000 + F.col("turn") * 60000)
+    rows = c.select((F.col("conv_id") % 7).alias("chat"), F.col("conv_id").alias("conversation"), "turn", F.when(guest, "guest").otherwise("owner").alias("sender"), "text", ts.alias("ts"))
+    return ordered.decided(rows, read_only=F.col("chat") == 6, writes=["schst", "aipa"], markers=["eaux", "ther"], per_talk=2, per_day=3)
 
 
 @query("j06_message_gate", GATE)
 def message_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.answered(_messages(table(spark, sf_dir, "conversations")), 2, 6).select("chat", "conversation", "turn", "decision")
+    return _decided(table(spark, sf_dir, "conversations"))
 
 
-@query("j06_message_gate_stream", GATE)
+@query("j06_message_gate_stream", f"{GATE} WHERE ms <= (SELECT max(ms) - 3600000 FROM m)")
 def message_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with state: a chat's day, what it has used, its talks."""
-    stream = jobs.files(spark, f"{sf_dir}/conversations.parquet*", table(spark, sf_dir, "conversations"), per_trigger=1_000_000)
-    return _drained(jobs.answered_stream(_messages(stream), 2, 6))
+    return _drained(_decided(jobs.files(spark, f"{sf_dir}/conversations.parquet*", table(spark, sf_dir, "conversations"), per_trigger=1_000_000)))
+
+
+def _stories(events: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors as the stories of three accounts' runs, one every three hours; the value of their document's event is the fact."""
+    v = vectors.select(F.col("vec_id").alias("event_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    ts = F.timestamp_seconds((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 10800) + 1) * 10800)
+    kind = F.element_at(F.array(F.lit("magnitude"), F.lit("tally"), F.lit("price"), F.lit("status")), (F.col("event_id") % 4 + 1).cast("int"))
+    value = F.when(kind == "status", F.col("event_type")).otherwise(F.round("value", 1).cast("string"))
+    return events.join(v, "event_id").select(
+        F.concat(F.lit("acct"), (F.col("event_id") % 3).cast("string")).alias("account"),
+        week_key(ts, "UTC").cast("string").alias("week"),
+        ts.alias("ts"),
+        F.col("event_id").alias("place"),
+        F.col("event_id").alias("story_id"),
+        F.concat(F.lit("story "), F.col("event_id").cast("string")).alias("label"),
+        "vector",
+        (F.col("event_id") % 4 != 0).alias("many"),
+        F.when(F.col("event_id") % 10 != 3, kind).alias("kind"),
+        value.alias("value"),
+        F.lit(None).cast("string").alias("unit"),
+        (F.col("event_id") % 8 / 8.0).alias("confidence"),
+        F.array("event_id", F.col("event_id") + 1).alias("ids"),
+    )
+
+
+RULES = threads.Rules(similarity=0.3, confidence=0.2)
+
+
+@query("j02_threads")
+def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each story gave its thread, and what changed. ``tests/core/test_threads.py`` has the rule one story after the other."""
+    return threads.track(_stories(table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")), RULES)
+
+
+@query("j02_threads_stream")
+def story_threads_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as state, with a week's threads dropped by a timer: the runs that are over."""
+    return _drained(threads.track(_stories(_landed(spark, sf_dir), table(spark, sf_dir, "embeddings")), RULES))
+
+
+@query("j03_replay")
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account's last seven runs from an empty state, with deltas; no week ends in a replay."""
+    return threads.replay(_stories(table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")), 7, RULES)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gazetta.functions.quantity import material
-
 
 def files(spark, path: str, like: DataFrame, per_trigger: int = 16) -> DataFrame:
     """Landed Parquet files as a stream with a known schema."""
@@ -53,78 +49,17 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", dela
     return out.select(key, F.unix_seconds("session_window.start").alias("start"), "n")
 
 
-def moved_facts(facts: DataFrame, keys: list[str], value: str, order: list[str], relative: float, absolute: float) -> DataFrame:
-    """Facts whose value moved past the bar since the one before: the batch form."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = facts.withColumn("_old", F.lag(value).over(w))
-    return rows.where(F.col("_old").isNotNull() & material(F.col("_old"), F.col(value), relative, absolute)).withColumnRenamed("_old", "old")
-
-
-def moved_facts_stream(facts: DataFrame, key: str, value: str, order: str, relative: float, absolute: float) -> DataFrame:
-    """The same on a stream: a key's last value and its place are its state, two numbers a key.
-
-    A batch's facts of a key are put in order; a fact that comes after a later
-    one of its key in a batch before is compared with nothing and changes nothing.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, old = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for o, v in rows[[order, value]].itertuples(index=False):
-            if at is not None and o < at:
-                continue
-            if old is not None:
-                change = abs(v - old)
-                if (absolute > 0 and change >= absolute) or (old != 0 and change / abs(old) >= relative):
-                    out.append((k[0], o, old, v))
-            at, old = o, v
-        state.update((int(at), float(old)))
-        yield pd.DataFrame(out, columns=["key", "at", "old", "value"])
-
-    rows = facts.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, old double, value double", "at long, last double", "append", "NoTimeout")
-
-
-def answered(messages: DataFrame, per_talk: int = 8, per_day: int = 20, owner: str = "owner") -> DataFrame:
-    """Which messages are answered: (chat, conversation, turn, sender, day) with a decision.
-
-    The owner always; others while neither their conversation's turns nor the
-    chat's day are used up by eligible messages before.
-    """
-    ours = F.col("sender") == owner
-    talk = F.sum(F.when(~ours, 1).otherwise(0)).over(Window.partitionBy("chat", "conversation").orderBy("turn"))
-    rows = messages.withColumn("_talk", talk).withColumn("_ok", ~ours & (F.col("_talk") <= per_talk))
-    day = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy("chat", "day").orderBy("conversation", "turn"))
-    said = F.when(ours, "owner").when(~F.col("_ok"), "turn cap").when(day <= per_day, "answer").otherwise("daily cap")
-    return rows.withColumn("decision", said).drop("_talk", "_ok")
-
+def daily_sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions rolled up by the day they end in: how many, their events, the longest. Two stateful steps in one query.
 
-def answered_stream(messages: DataFrame, per_talk: int = 8, per_day: int = 20, owner: str = "owner") -> DataFrame:
-    """The same decisions on a stream of (chat, conversation, turn, sender, day), whose days of a chat follow each other.
-
-    A chat's state holds its day, what that day has used, and the turns of
-    each of its talks; a new day starts it anew.
+    A session closes when the watermark passes its end, and a day when it
+    passes the day's; the first step's watermark is the second's.
     """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        day, used, talks = state.get if state.exists else (None, 0, "{}")
-        talks = json.loads(talks)
-        out = []
-        for d, c, t, sender in pd.concat(list(batches)).sort_values(["day", "conversation", "turn"])[["day", "conversation", "turn", "sender"]].itertuples(index=False):
-            if d != day:
-                day, used, talks = int(d), 0, {}
-            said = "owner"
-            if sender != owner:
-                n = talks[str(c)] = talks.get(str(c), 0) + 1
-                used += n <= per_talk
-                said = "turn cap" if n > per_talk else "answer" if used <= per_day else "daily cap"
-            out.append((k[0], int(c), int(t), said))
-        state.update((day, used, json.dumps(talks)))
-        yield pd.DataFrame(out, columns=["chat", "conversation", "turn", "decision"])
-
-    rows = messages.select(F.col("chat").cast("long").alias("chat"), F.col("conversation").cast("long").alias("conversation"), F.col("turn").cast("long").alias("turn"), "sender", F.col("day").cast("long").alias("day"))
-    return rows.groupBy("chat").applyInPandasWithState(step, "chat long, conversation long, turn long, decision string", "day long, used long, talks string", "append", "NoTimeout")
+    one = _marked(events, ts, delay).groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
+    # window_time keeps the event time of a session, so that the day's window can follow it.
+    timed = one.select(F.window_time("session_window").alias("ended"), "n", (F.unix_micros("session_window.end") - F.unix_micros("session_window.start")).alias("micros"))
+    out = timed.groupBy(F.window("ended", "1 day")).agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("most"), F.max("micros").alias("longest"))
+    return out.select(F.unix_seconds("window.start").alias("start"), "sessions", "events", "most", "longest")
 
 
 def ledger_rows(spark, ledger: str, key: DataFrame, stage: str) -> DataFrame | None:

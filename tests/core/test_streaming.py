@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gazetta.streaming import jobs
+from gazetta.streaming import jobs, ordered
 
 SCHEMA = "event_id long, user_id long, value double, cost decimal(18,6), status string, created_at timestamp"
 
@@ -30,19 +30,81 @@ def drained(stream, path):
     jobs.run_available(stream, f"{path}/out", f"{path}/cp").awaitTermination()
 
 
-def test_moved_facts(spark, tmp_path):
-    df = events(spark)
-    rest = landed(spark, df, tmp_path)
+def in_parts(spark, df, path, parts, stream):
+    """What the stream gives as the parts land one after the other, each with its own run of the query."""
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        drained(stream(jobs.files(spark, f"{path}/in", df)), path)
+    return sorted(map(tuple, spark.read.parquet(f"{path}/out").collect()), key=str)
 
-    def stream():
-        return jobs.moved_facts_stream(jobs.files(spark, f"{tmp_path}/in", df), "user_id", "value", "event_id", 0.5, 30)
 
-    drained(stream(), tmp_path)
-    rest.write.mode("append").parquet(f"{tmp_path}/in")
-    drained(stream(), tmp_path)  # goes on from its checkpoint, with the state of the first part
-    got = spark.read.parquet(f"{tmp_path}/out").select("at", "old", "value").collect()
-    want = jobs.moved_facts(df, ["user_id"], "value", ["event_id"], 0.5, 30).select("event_id", "old", "value").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+def facts(spark, n=300):
+    """Facts of four keys in any order of arrival: the last part to land holds both the latest and late ones."""
+    rng = random.Random(8)
+    t = datetime.datetime(2026, 1, 1)
+    rows = []
+    for i in range(n):
+        # Now and then a key is silent for longer than its state is kept.
+        t += datetime.timedelta(minutes=rng.choice([5, 20, 20, 60, 900]) if i % 50 else 3000)
+        rows.append((rng.choice("abcd"), t, i, None if i % 37 == 0 else float(rng.randint(-20, 20)), rng.randint(0, 2)))
+    rows += [("end", t + datetime.timedelta(days=400), n, 1.0, 2)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "key string, ts timestamp, tie long, value double, part int")
+
+
+IDLE = 2 * 86_400_000
+
+
+def test_moved_facts_that_come_late_take_their_place(spark, tmp_path):
+    """The stream equals the table, though parts land in no order of time."""
+    df = facts(spark)
+    got = in_parts(spark, df, tmp_path, ["part = 0", "part = 1", "part = 2"], lambda s: ordered.moved_facts(s, 0.5, 9, IDLE, delay="300 days"))
+    want = ordered.moved_facts(df, 0.5, 9, IDLE)
+    assert got == sorted(map(tuple, want.collect()), key=str) and len(got) > 100
+    # The rule, fact after fact.
+    plain, known = [], {}
+    for r in sorted(df.where("value is not null").collect(), key=lambda r: (r.ts, r.tie)):
+        ms = int(r.ts.timestamp() * 1000)
+        at, old = known.get(r.key, (ms, None))
+        if old is not None and ms - at <= IDLE and (abs(r.value - old) >= 9 or (old and abs(r.value - old) / abs(old) >= 0.5)):
+            plain.append((r.key, r.tie, old, r.value))
+        known[r.key] = (ms, r.value)
+    assert sorted((k, tie, old, v) for k, _, tie, old, v in got) == sorted(plain)
+
+
+def test_state_of_idle_keys_is_dropped(spark, tmp_path):
+    """Once the watermark is past every key's idle time, the store holds the last key alone."""
+    df = facts(spark, 60)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    query = jobs.run_available(ordered.moved_facts(jobs.files(spark, f"{tmp_path}/in", df), 0.5, 9, IDLE, delay="1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    ends = query.lastProgress["stateOperators"][0]
+    spark.createDataFrame([("end", datetime.datetime(2029, 1, 1), 999, 1.0, 2)], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again = jobs.run_available(ordered.moved_facts(jobs.files(spark, f"{tmp_path}/in", df), 0.5, 9, IDLE, delay="1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    again.awaitTermination()
+    # What waits, when it is due, its timer and its index: nothing is left of the four keys.
+    assert again.lastProgress["stateOperators"][0]["numRowsTotal"] <= ends["numRowsTotal"] <= 6
+
+
+def test_daily_sessions_as_a_chain_of_windows(spark, tmp_path):
+    df = events(spark).select("event_id", "user_id", "created_at")
+    landed(spark, df, tmp_path)
+    drained(jobs.daily_sessions(jobs.files(spark, f"{tmp_path}/in", df), "user_id", "created_at"), tmp_path)
+    got = set(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    rows = sorted((r.user_id, r.created_at) for r in df.where("event_id < 200").collect())
+    sessions, days = [], {}
+    for user, at in rows:
+        if sessions and sessions[-1][0] == user and at <= sessions[-1][2] + datetime.timedelta(minutes=30):
+            sessions[-1][2:] = [at, sessions[-1][3] + 1]
+        else:
+            sessions.append([user, at, at, 1])
+    for _, first, last, n in sessions:
+        ends = last + datetime.timedelta(minutes=30)
+        days.setdefault((ends - datetime.timedelta(microseconds=1)).date(), []).append((n, int((ends - first).total_seconds() * 1e6)))
+    over = (max(at for _, at in rows) - datetime.timedelta(hours=1)).date()
+    start = lambda d: int(datetime.datetime(d.year, d.month, d.day, tzinfo=datetime.UTC).timestamp())
+    assert got == {(start(d), len(x), sum(n for n, _ in x), max(n for n, _ in x), max(m for _, m in x)) for d, x in days.items() if d < over}
+    assert len(got) >= 2
 
 
 def test_first_seen(spark, tmp_path):
@@ -107,22 +169,49 @@ def test_a_crash_while_sending_sends_nothing_twice(spark, tmp_path):
     assert jobs.unconfirmed(spark, f"{tmp_path}/ledger", df).count() == 2
 
 
-def test_message_gate_stream_goes_on_from_its_state(spark, tmp_path):
+def messages(spark):
     rng = random.Random(3)
-    rows = [(c, d * 10 + t, turn, rng.choice(["guest", "guest", "owner"]), d) for c in range(3) for d in range(4) for t in range(3) for turn in range(4)]
-    df = spark.createDataFrame(rows, "chat long, conversation long, turn long, sender string, day long")
-    for part in ("day < 2", "day >= 2"):
-        df.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        drained(jobs.answered_stream(jobs.files(spark, f"{tmp_path}/in", df), 2, 4), tmp_path)
-    got = spark.read.parquet(f"{tmp_path}/out").select("chat", "conversation", "turn", "decision").collect()
-    want = jobs.answered(df, 2, 4).select("chat", "conversation", "turn", "decision").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
-
-
-def test_message_gate(spark):
-    rows = [("c", 1, i, "guest", 0) for i in range(4)] + [("c", 1, 4, "owner", 0), ("c", 2, 0, "guest", 0)]
-    got = jobs.answered(spark.createDataFrame(rows, "chat string, conversation int, turn int, sender string, day int"), 3, 3).orderBy("conversation", "turn").select("decision").collect()
-    assert [r.decision for r in got] == ["answer", "answer", "answer", "turn cap", "owner", "daily cap"]
+    rows = []
+    for chat in range(3):
+        for day in range(4):
+            for talk in range(3):
+                at = datetime.datetime(2026, 1, 1 + day, rng.randint(0, 23), rng.randint(0, 50))
+                for turn in range(5):
+                    at += datetime.timedelta(seconds=rng.randint(1, 90))
+                    text = rng.choice(["hello there", "please CHANGE it", "kya hai", "thanks", None, "what now"])
+                    rows.append((chat, day * 10 + talk, turn, rng.choice(["guest", "guest", "guest", "owner"]), text, at, (day + talk) % 3))
+    rows.append((0, 999, 0, "owner", None, datetime.datetime(2026, 3, 1), 2))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "chat long, conversation long, turn long, sender string, text string, ts timestamp, part int")
+
+
+def gate(rows, delay="1 hour"):
+    return ordered.decided(rows, read_only=F.col("chat") == 2, writes=["change", "set"], markers=["kya", "han"], per_talk=2, per_day=4, delay=delay)
+
+
+def test_message_gate_stream_with_days_out_of_order(spark, tmp_path):
+    """Three parts, each with messages of every day: the stream decides as the table does, and as the rule read message by message."""
+    df = messages(spark)
+    got = in_parts(spark, df, tmp_path, ["part = 0", "part = 1", "part = 2"], lambda s: gate(s, "20 days"))
+    want = sorted(map(tuple, gate(df).collect()), key=str)
+    assert [r for r in got if r[1] != 999] == [r for r in want if r[1] != 999]
+    plain, used, turns = [], {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.ts, r.conversation, r.turn)):
+        text, day = (r.text or "").lower(), (r.chat, r.ts.date())
+        language = "ur" if "kya" in text or "han" in text else "en"
+        if r.sender == "owner":
+            said = "owner"
+        elif r.chat == 2:
+            said = "ignored"
+        elif "change" in text or "set" in text:
+            said = "approval"
+        else:
+            turns[r.chat, r.conversation] = turns.get((r.chat, r.conversation), 0) + 1
+            said = "turn cap" if turns[r.chat, r.conversation] > 2 else "answer" if used.get(day, 0) < 4 else "daily cap"
+            used[day] = used.get(day, 0) + (said == "answer")
+        plain.append((r.chat, r.conversation, r.turn, said, language))
+    assert want == sorted(plain, key=str)
+    assert {r[3] for r in want} == {"owner", "ignored", "approval", "turn cap", "answer", "daily cap"}
 
 
 def test_first_seen_batch_keeps_the_first(spark):
