@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import as_bytes, keyed, slices
+from gazetta.llm.common import as_bytes, draw, draw_bits, keyed, slices
 from gazetta.session import stash
 
 WIDTH = 64
@@ -207,12 +207,18 @@ def fit_languages(docs: DataFrame, max_docs: int = 500, per_doc: int = 12, steps
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     # Ids are hashed with the text: rows without an id are drawn like others.
-    cuts = stash(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_docs) / F.count("*")).alias("share")))
-    draw = F.pmod(F.xxhash64("id", F.substring("text", 1, 200), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = keyed(known, cuts, "lang", "inner").where(draw < F.col("share")).select("lang", "text")
-    # A language whose rows are all alike is drawn whole or not at all: a window number bounds what reaches the driver.
+    key = [F.col("id"), F.substring("text", 1, 200)]
+    # The drawn number may have as many bits as leave ``max_docs`` rows of the language or just more: a narrow count, then a cut for each language.
+    counts = known.groupBy("lang", draw_bits(*key).alias("bits")).agg(F.count("*").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("lang").orderBy("bits"))
+    cuts = stash(counts.withColumn("upto", running).groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= max_docs, F.col("bits"))), F.max("bits")).alias("most")))
+    near = keyed(known, cuts, "lang", "inner").where(draw_bits(*key) <= F.col("most"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(draw(*key)))
+    sample = near.withColumn("place", first).where(F.col("place") <= max_docs).select("lang", "text")
     rows = sample.mapInArrow(_windows(per_doc), "lang string, window binary, n long").groupBy("lang", "window", "n").agg(F.count("*").alias("times"))
-    rows = rows.orderBy(F.xxhash64("window"), "window", "lang").limit(cuts.count() * max_docs * per_doc).collect()
+    # What reaches the driver is bounded for each language on its own.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window", "n"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= max_docs * per_doc).orderBy(F.xxhash64("window"), "window", "lang").collect()
     languages = sorted({r["lang"] for r in rows})
     if len(languages) < 2:
         return LanguageModel(languages, None)
