@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import quality
-from gazetta.llm.common import arrow_rows, free_name, held_out
+from gazetta.llm.common import arrow_rows, free_name, held_out, keyed
 from gazetta.llm.decontaminate import drop_contaminated
 from gazetta.llm.near_dup import drop_near_duplicates
 from gazetta.llm.packing import pack
@@ -41,8 +41,10 @@ def small_batches(stage: Callable) -> Callable:
 @small_batches
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under 0.3, as surely junk, go. Repeated rows have equal scores; null and empty texts are scored too."""
-    stats = stash(quality.document_statistics(docs))
-    labelled = quality.label_statistics(stats.where(~held_out()), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    # Only labelled rows are fitted on, so only their statistics are counted before the model is there.
+    known = keyed(docs.where(~held_out()), labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = quality.label_statistics(stash(quality.document_statistics(known)), labels)
     score = free_name(docs, "_quality_score")
     scored = quality.score_documents(docs, quality.fit_quality(labelled), score_col=score)
     return stash(scored.where(F.col(score) >= 0.3).drop(score))
