@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazetta.functions.text import contains_any
@@ -98,19 +98,20 @@ def overstated(highlights: DataFrame, briefs: DataFrame, id_col: str, text_col:
 
 
 def truncated_tail(text: Column, most: int = 5) -> Column:
-    """The text without up to ``most`` closing lines that do not end a sentence; blank lines go with them."""
-    ends = r"[.!?:;\"')\]*_]\s*$"
-    lines = F.reverse(F.split(F.coalesce(text, F.lit("")), "\n"))
-    start = F.struct(F.lit(0).alias("cut"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, line: Column) -> Column:
-        blank = F.trim(line) == ""
-        good = line.rlike(ends) | F.startswith(line, F.lit("#")) | (F.trim(line) == "---")
-        stop = ~s["open"] | (~blank & (good | (s["cut"] >= most)))
-        drop = ~stop
-        return F.struct((s["cut"] + F.when(drop & ~blank, 1).otherwise(0)).alias("cut"), (~stop).alias("open"), F.when(drop, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+    """The text without up to ``most`` closing lines that do not end a sentence; blank lines go with them.
 
-    return F.aggregate(lines, start, step, lambda s: F.array_join(F.reverse(s["kept"]), "\n"))
+    The last line that stays is found first, and the lines are cut there once.
+    """
+    ends = r"[.!?:;\"')\]*_]\s*$"
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    blank = lambda line: F.trim(line) == ""
+    good = lambda line: ~blank(line) & (line.rlike(ends) | F.startswith(line, F.lit("#")) | (F.trim(line) == "---"))
+    place = F.sequence(F.lit(1), F.size(lines))
+    said = F.filter(place, lambda i: ~blank(F.element_at(lines, i)))
+    sound = F.coalesce(F.array_max(F.filter(place, lambda i: good(F.element_at(lines, i)))), F.lit(0))
+    # Where more than ``most`` lines are open, the one before those stays.
+    kept = F.greatest(sound, F.coalesce(F.try_element_at(said, F.lit(-most - 1)), F.lit(0)))
+    return F.array_join(F.slice(lines, F.lit(1), kept), "\n")
 
 
 def over_cap(chars: Column, cap: Column | int, ratio: float = 1.0) -> Column:
@@ -119,7 +120,7 @@ def over_cap(chars: Column, cap: Column | int, ratio: float = 1.0) -> Column:
 
 
 #: Characters that a theme's body should have by size, and the size of each length that a chat can ask for.
-SIZES = {"S": 1000, "M": 2000, "L": 4000}
+SIZES = {"S": 800, "M": 1600, "L": 3200}
 LENGTHS = {"short": "S", "medium": "M", "long": "L"}
 
 
@@ -146,15 +147,84 @@ def char_cap(target: Column, themes: Column, highlights: Column | int = 0, per_h
     return (target + max(0, per_source)) * F.greatest(none, themes) + F.greatest(none, F.lit(highlights) if isinstance(highlights, int) else highlights) * max(0, per_highlight)
 
 
-def plain_chat(text: Column) -> Column:
-    """Markdown as chat text: headings and bold in single stars, links as text and address."""
-    out = F.regexp_replace(text, r"(?m)^#{1,6} +(.*)$", r"*$1*")
-    out = F.regexp_replace(out, r"\*\*([^*\n]+)\*\*", r"*$1*")
-    return F.regexp_replace(out, r"\[([^\]\n]*)\]\((https?://[^)\s]+)\)", r"$1 ($2)")
+def _by_line(text: Column, change) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
+
+
+#: A heading's marks and its text.
+HEADING = r"^#{1,6}\s+(.*)$"
+#: The link that a line ends with.
+LAST_LINK = r"\[([^\[\]]+)\]\((https?://[^\s()]+)\)$"
+
+
+def headings_to_bold(text: Column, marker: str = "**") -> Column:
+    """Headings as bold lines, for surfaces without headings."""
+    return _by_line(text, lambda x: F.when(x.rlike(HEADING), F.concat(F.lit(marker), F.trim(F.regexp_extract(x, HEADING, 1)), F.lit(marker))).otherwise(x))
+
+
+def cited(text: Column, link: str = "hyperlink", source: bool = True, numbers: bool = True) -> Column:
+    """Lines that cite, for a surface; other lines stay.
+
+    An article's line ``[3] Title — [Source](address)`` becomes ``3. Title — `` and its source, without the number where
+    ``numbers`` is false; a highlight's ``- **Title** — summary [Source](address)`` keeps its shape. ``link``: the source is a
+    link (hyperlink), is followed by the address (plain), or stands alone (none). ``source`` false leaves its name out, but in links.
+    """
+
+    def change(line: Column) -> Column:
+        whole = F.rtrim(line)
+        end = F.regexp_extract(whole, LAST_LINK, 0)
+        name, url = F.regexp_extract(whole, LAST_LINK, 1), F.regexp_extract(whole, LAST_LINK, 2)
+        head = F.rtrim(F.substr(whole, F.lit(1), F.length(whole) - F.length(end)))
+        shown = {"hyperlink": F.concat(F.lit("["), name, F.lit("]("), url, F.lit(")")), "plain": F.concat(name, F.lit(" "), url) if source else url, "none": name if source else F.lit("")}[link]
+        # An article: its number in brackets, and a dash before the link.
+        mark = r"^(\s*)\[(\d+)\]\s+(.*\S)\s+[—–-]$"
+        title = F.concat(F.regexp_extract(head, mark, 1), F.concat(F.regexp_extract(head, mark, 2), F.lit(". ")) if numbers else F.lit(""), F.regexp_extract(head, mark, 3))
+        article = F.when(shown == "", title).otherwise(F.concat(title, F.lit(" — "), shown))
+        # A highlight: a bullet with a bold title, a dash, and what is said of it.
+        bullet = r"^(\s*)-\s+\*\*([^*]+)\*\*\s*[—–-]\s*(.*)$"
+        told = F.rtrim(F.concat(F.regexp_extract(head, bullet, 1), F.lit("- **"), F.regexp_extract(head, bullet, 2), F.lit("** — "), F.trim(F.regexp_extract(head, bullet, 3))))
+        highlight = F.when(shown == "", told).otherwise(F.concat(told, F.lit(" "), shown))
+        return F.when((end != "") & head.rlike(mark), article).when((end != "") & head.rlike(bullet), highlight).otherwise(line)
+
+    return _by_line(text, change)
+
+
+def plain_chat(text: Column, bullet: str = "• ", marker: str = "*") -> Column:
+    """Markdown as chat text, line by line: headings and bold between markers, links as their text without the address, bullets."""
+
+    def change(line: Column) -> Column:
+        flat = F.regexp_replace(line, r"\[([^\]]+)\]\([^)\s]*\)", "$1")
+        flat = F.regexp_replace(flat, r"\*\*(.+?)\*\*", f"{marker}$1{marker}")
+        flat = F.when(flat.rlike(r"^\s*[-*]\s"), F.concat(F.lit(bullet), F.regexp_replace(flat, r"^\s*[-*]\s+", ""))).otherwise(flat)
+        heading = r"^\s*" + HEADING[1:]
+        return F.when(line.rlike(heading), F.concat(F.lit(marker), F.trim(F.regexp_extract(line, heading, 1)), F.lit(marker))).otherwise(flat)
 
+    return _by_line(text, change)
 
-def without_links(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[([^\]\n]*)\]\((https?://[^)\s]+)\)", r"$1")
+
+#: What heads the list of a theme's articles in a brief.
+ARTICLES = "*Articles:*"
+
+
+def without_sources(briefs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) without article lists, numbers in brackets and links, for a second language.
+
+    A list is its head and the numbered lines right after it. Any other line
+    ends it; so lines between such ends are a run, and of a run what follows a
+    head goes: a running flag over the lines' order. Three line breaks and more become two.
+    """
+    lines = briefs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
+    flat = F.regexp_replace("line", r"^\s+|\s+$", "")
+    head, entry = F.startswith(flat, F.lit(ARTICLES)), flat.rlike(r"^\[\d+\]")
+    order = Window.partitionBy(id_col).orderBy("at")
+    lines = lines.withColumn("head", head).withColumn("entry", entry & ~head)
+    lines = lines.withColumn("run", F.sum((~F.col("head") & ~F.col("entry")).cast("int")).over(order))
+    listed = F.max("head").over(Window.partitionBy(id_col, "run").orderBy("at"))
+    kept = lines.withColumn("listed", listed).where(~F.col("head") & ~(F.col("entry") & F.col("listed")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    out = briefs.select(id_col).join(kept.groupBy(id_col).agg(text.alias("text")), id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace("text", r"\s*\[\d+\]", ""), r"\s*\[[^\]]+\]\(https?://[^)]+\)", "")
+    return out.select(id_col, F.regexp_replace(F.regexp_replace(bare, "\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"))
 
 
 def chunk_sections(text: Column, limit: int) -> Column:

@@ -6,22 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scale words and their factors.
-SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
-#: A number, and a scale word that is not the start of another word.
-NUMBER = r"(?i)([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(thousand|million|billion|trillion|mn|bn|k|m|b|t)(?![a-z]))?+"
+SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "trillion": 1e12}
+#: The first number of a text, the letters right after it, and all that follows them.
+FIRST = r"(?s)^[^0-9]*?(-?[0-9][0-9,]*(?:\.[0-9]*)?)\s*([a-z]*)(.*)$"
+
+
+def _factor(low: Column) -> Column:
+    return F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), F.lit(v))])[F.regexp_extract(low, FIRST, 2)]
 
 
 def amount(text: Column) -> Column:
-    """The first number, scaled; null without one."""
-    digits = F.replace(F.regexp_extract(text, NUMBER, 1), F.lit(","), F.lit(""))
-    factor = F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), F.lit(v))])[F.lower(F.regexp_extract(text, NUMBER, 2))]
-    return F.when(digits != "", digits.try_cast("double") * F.coalesce(factor, F.lit(1.0)))
+    """The first number, scaled by a scale word right after it; null without one. A minus before it counts, a plus does not matter."""
+    low = F.lower(text)
+    return F.replace(F.regexp_extract(low, FIRST, 1), F.lit(","), F.lit("")).try_cast("double") * F.coalesce(_factor(low), F.lit(1.0))
 
 
 def unit(text: Column) -> Column:
-    """``%`` where there is one, else the word after the number and its scale; null without."""
-    word = F.regexp_extract(text, NUMBER + r"\s*([A-Za-z]+)", 3)
-    return F.when(amount(text).isNull(), None).when(F.contains(text, F.lit("%")), "%").when(word != "", F.lower(word))
+    """``%`` where there is one, else what stands after the number and its scale up to white space; null without."""
+    low = F.lower(text)
+    after = F.concat(F.when(_factor(low).isNull(), F.regexp_extract(low, FIRST, 2)).otherwise(F.lit("")), F.regexp_extract(low, FIRST, 3))
+    token = F.regexp_extract(after, r"^\s*(\S+)", 1)
+    return F.when(F.regexp_extract(low, FIRST, 1) == "", None).when(F.contains(text, F.lit("%")), "%").when(token != "", token)
 
 
 def material(old: Column, new: Column, relative: float, absolute: float) -> Column:

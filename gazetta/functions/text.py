@@ -28,7 +28,8 @@ def embedding_text(title: Column, body: Column, n: int = 500) -> Column:
 def slug(text: Column, tokens: int = 4, width: int = 40, default: str = "drop") -> Column:
     """The first alphanumeric tokens, joined by hyphens."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    made = F.substring(F.array_join(F.slice(words, 1, tokens), "-"), 1, width)
+    # The cut may leave a hyphen at the end.
+    made = F.rtrim(F.substring(F.array_join(F.slice(words, 1, tokens), "-"), 1, width), F.lit("-"))
     return F.when(F.coalesce(made, F.lit("")) == "", default).otherwise(made)
 
 
@@ -41,12 +42,20 @@ def clean_label(text: Column, width: int = 48, default: str = "story") -> Column
     return F.when(made == "", default).otherwise(made)
 
 
+#: Sides of a coverage breakdown (each before a percentage), units of a relative time, words after a shortened text, and marks that end no headline.
+SIDES = ["Left", "Right", "Center"]
+AGES = ["minute", "hour", "day"]
+MORE = ["Show more"]
+OPEN_END = " ,;:-—"
+
+
 def clean_headline(text: Column, width: int = 160) -> Column:
-    """One line, cut before a coverage breakdown (``Left 13 % …``), a relative time or ``Show more``, without closing punctuation."""
-    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    out = F.regexp_replace(out, r"\s+(Left|Center|Right)\s+[0-9]+\s*%.*$", "")
-    out = F.regexp_replace(out, r"\s+([0-9]+\s+(hours?|days?|minutes?)\s+ago|Show more)\b.*$", "")
-    return F.regexp_replace(F.substring(F.trim(out), 1, width), r"[ \-—,;:]+$", "")
+    """One line, cut before the first thing that belongs to the page and not to the headline, without open marks at the end."""
+    stops = [rf"{side} \d+ ?%" for side in SIDES] + [rf"\d+ {age}s? ago(?!\w)" for age in AGES] + [rf"{words}(?!\w)" for words in MORE]
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    at = F.regexp_instr(flat, F.lit(" (?:" + "|".join(stops) + ")"))
+    kept = F.when(at > 0, F.substr(flat, F.lit(1), at - 1)).otherwise(flat)
+    return F.rtrim(F.substring(F.trim(kept), 1, width), F.lit(OPEN_END))
 
 
 def bare_urls(text: Column) -> Column:
@@ -60,6 +69,13 @@ def script_ratio(text: Column, ranges: str) -> Column:
     return F.when(letters > 0, F.regexp_count(text, F.lit(ranges)) / letters).otherwise(F.lit(0.0))
 
 
+def in_script(text: Column, source_chars: Column, ranges: str | None, least_share: float = 0.2, least_length: float = 0.25) -> Column:
+    """Whether a translation is one: not shorter than a share of its source, and with enough of its letters in the script. Without a script only the length counts; no letters fail."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    long_enough = F.length(flat) >= F.lit(least_length) * F.greatest(source_chars, F.lit(1))
+    return long_enough if ranges is None else long_enough & (script_ratio(flat, ranges) >= least_share)
+
+
 def humanise(n: Column) -> Column:
     """66000 as 66K; tenths rounded half up, a zero tenth left out."""
     size = F.abs(n)
@@ -78,6 +94,17 @@ def phone(text: Column) -> Column:
     return F.when(F.length(found) >= 9, found)
 
 
+def named(text: Column, offered: list[str]) -> Column:
+    """Which of the offered words a text names, in the order they are offered; plain substrings in either case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*[F.lit(w) for w in offered]), lambda w: (w != "") & F.contains(low, F.lower(w)))
+
+
+def sign_up(text: Column, topics: list[str], lengths: list[str]) -> Column:
+    """(phone, topics, length) of a sign-up: the first phone number, all offered topics, the first offered length that it names."""
+    return F.struct(phone(text).alias("phone"), named(text, topics).alias("topics"), F.try_element_at(named(text, lengths), F.lit(1)).alias("length"))
+
+
 def tolerant_timestamp(text: Column) -> Column:
     """ISO time with Z, an offset or none (UTC); null where it can't be read."""
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))

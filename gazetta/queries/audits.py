@@ -56,13 +56,6 @@ def currency_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).where(money.currency_mismatch(F.col("text"))).select("id")
 
 
-@query("k09_citations", TEXTS + r" SELECT id, ' s: ' || regexp_extract(text, '\((https?://[^)\s]+)\)', 1) AS tail, false AS linked FROM b")
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sections(spark, sf_dir)
-    plain, bare = money.cited(F.col("text"), "plain"), money.cited(F.col("text"), "none")
-    return s.select("id", F.regexp_extract(plain, r" s: .*$", 0).alias("tail"), F.contains(bare, F.lit("](")).alias("linked"))
-
-
 @query(
     "e16_blindspots",
     """

@@ -22,22 +22,32 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a01_feed_entries",
     with_models("""
-, f AS (SELECT id, source_id, trim(title, ' ') AS title, published_at, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, 'https://example.com/' || id) AS n FROM art
-  WHERE trim(title) <> '' AND published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '48' HOUR AND NOT contains(lower(title), 'partner') AND NOT contains(lower(title), 'sponsored'))
-SELECT id, source_id, md5(title) AS title_md5 FROM f WHERE n <= 10"""),
+, d AS (SELECT id, source_id, trim(title, ' ') AS title, CASE WHEN id % 5 = 4 THEN NULL WHEN id % 5 = 2 THEN published_at WHEN id % 5 = 3 THEN date_trunc('minute', published_at) ELSE date_trunc('second', published_at) END AS dated FROM art),
+f AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(dated, TIMESTAMP '2024-01-03 21:00:00') DESC, 'https://example.com/' || id) AS n FROM d
+  WHERE title <> '' AND (dated IS NULL OR dated >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '48' HOUR) AND NOT contains(lower(title), 'partner') AND NOT contains(lower(title), 'sponsored'))
+SELECT id, source_id, md5(title) AS title_md5, CAST(epoch_us(coalesce(dated, TIMESTAMP '2024-01-03 21:00:00')) // 1000000 AS BIGINT) AS seconds FROM f WHERE n <= 10"""),
 )
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles written as feed items, and read back as entries."""
+    """Articles written as feed items, and read back as entries: mail dates in two zones, ISO dates, Atom entries, undated ones."""
     a = models.articles(spark, sf_dir)
-    when = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    xml = F.concat(F.lit("<item><title>"), feeds.escape(F.col("title")), F.lit("</title><link>https://example.com/"), F.col("id").cast("string"), F.lit("</link><pubDate>"), when, F.lit("</pubDate><description>"), feeds.escape(F.substring("body", 1, 200)), F.lit("</description></item>"))
+    link = F.concat(F.lit("https://example.com/"), F.col("id").cast("string"))
+    mail = F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    tokyo = F.concat(F.date_format(F.from_utc_timestamp("published_at", "Asia/Tokyo"), "d MMM yy HH:mm:ss"), F.lit(" +0900"))
+    eastern = F.concat(F.date_format(F.col("published_at") - F.expr("interval 5 hours"), "d MMM yyyy HH:mm"), F.lit(" EST"))
+    said = F.when(F.col("id") % 5 == 0, mail).when(F.col("id") % 5 == 1, tokyo).when(F.col("id") % 5 == 3, eastern)
+    title, body = feeds.escape(F.col("title")), feeds.escape(F.substring("body", 1, 200))
+    dated = F.coalesce(F.concat(F.lit("<pubDate>"), said, F.lit("</pubDate>")), F.lit(""))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link>"), dated, F.lit("<description>"), body, F.lit("</description></item>"))
+    iso = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit('</title><link rel="self" href="https://example.com/feed"/><link rel="alternate" href="'), link, F.lit('"/><published>'), iso, F.lit("</published><summary>"), body, F.lit("</summary></entry>"))
+    xml = F.when(F.col("id") % 5 == 2, atom).otherwise(rss)
     got = feeds.entries(a.select("id", "source_id", xml.alias("xml")), "xml", "source_id", as_of(), 48, 10, keep=["id"])
-    return got.select("id", "source_id", F.md5(F.col("title").cast("binary")).alias("title_md5"))
+    return got.select("id", "source_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), F.unix_seconds("published_at").alias("seconds"))
 
 
 def _slug(said: str) -> str:
     """The first four runs of letters and digits, joined by hyphens, 40 characters, else ``drop``; for DuckDB."""
-    made = f"substr(array_to_string(regexp_extract_all(lower({said}), '[a-z0-9]+')[1:4], '-'), 1, 40)"
+    made = f"rtrim(substr(array_to_string(regexp_extract_all(lower({said}), '[a-z0-9]+')[1:4], '-'), 1, 40), '-')"
     return f"CASE WHEN coalesce({made}, '') = '' THEN 'drop' ELSE {made} END"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazetta import models
 from gazetta.functions import balance, briefs, quantity, text
 from gazetta.models import with_models
+from gazetta.operators.slugs import free_slugs
 from gazetta.queries.registry import query
 from gazetta.session import table
 
@@ -17,9 +18,18 @@ def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.sources(spark, sf_dir).select("source_id", balance.normalise_bias(F.col("bias")).alias("lean"))
 
 
-@query("g02_quantity")
+QUANTITY = r"""
+WITH t AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+a AS (SELECT doc_id, text, regexp_extract(low, '-?[0-9][0-9,]*(\.[0-9]*)?') AS n, low FROM t),
+b AS (SELECT *, ltrim(substr(low, strpos(low, n) + length(n)), chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS rest FROM a WHERE n <> ''),
+c AS (SELECT *, regexp_extract(rest, '^[a-z]+') AS w FROM b),
+f AS (SELECT *, CASE WHEN w IN ('k', 'thousand') THEN 1e3 WHEN w IN ('m', 'mn', 'million') THEN 1e6 WHEN w IN ('b', 'bn', 'billion') THEN 1e9 WHEN w = 'trillion' THEN 1e12 END AS scale FROM c),
+u AS (SELECT *, CASE WHEN scale IS NULL THEN rest ELSE ltrim(substr(rest, length(w) + 1), chr(9) || chr(10) || chr(12) || chr(13) || ' ') END AS after FROM f)
+SELECT doc_id, CAST(replace(n, ',', '') AS DOUBLE) * coalesce(scale, 1) AS amount, CASE WHEN contains(text, '%') THEN '%' ELSE nullif(regexp_extract(after, '^\S+'), '') END AS unit FROM u"""
+
+
+@query("g02_quantity", QUANTITY)
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # No SQL: the pattern looks ahead, which the other dialect can't.
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", quantity.amount(F.col("text")).alias("amount"), quantity.unit(F.col("text")).alias("unit")).where("amount is not null")
 
@@ -37,17 +47,28 @@ def humanise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.humanise(F.col("o_totalprice")).alias("shown"))
 
 
-SLUG = "coalesce(nullif(substr(array_to_string(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')[1:4], '-'), 1, 40), ''), 'drop')"
+SLUGS = """
+WITH RECURSIVE t AS (SELECT doc_id, source, TITLE AS title FROM documents),
+d AS (SELECT doc_id, source, coalesce(nullif(rtrim(substr(array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+')[1:4], '-'), 1, 40), '-'), ''), 'drop') AS base, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM t),
+walk(source, n, doc_id, slug, taken) AS (
+  SELECT source, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM (SELECT DISTINCT source FROM d)
+  UNION ALL
+  SELECT source, n, doc_id, made, list_append(taken, made) FROM (
+    SELECT d.source, d.n, d.doc_id, taken, CASE WHEN NOT list_contains(taken, base) THEN base ELSE base || '-' || list_filter(range(2, len(taken) + 3), lambda k: NOT list_contains(taken, base || '-' || k))[1] END AS made
+    FROM walk JOIN d ON d.source = walk.source AND d.n = walk.n + 1)
+)
+SELECT doc_id, slug FROM walk WHERE n > 0""".replace(
+    "TITLE", "CASE WHEN doc_id % 3 = 0 THEN 'Top story' WHEN doc_id % 11 = 1 THEN 'top story 2' WHEN doc_id % 13 = 2 THEN 'Top story 2 2' WHEN doc_id % 5 = 3 THEN 'top story ' || (doc_id % 10) ELSE split_part(text, chr(10), 1) END"
+)
 
 
-@query(
-    "g05_slugs",
-    f"WITH s AS (SELECT doc_id, source, {SLUG} AS slug FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS n FROM s) SELECT doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS slug FROM n",
-)
+@query("g05_slugs", SLUGS)
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", text.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("source", "slug").orderBy("doc_id"))
-    return rows.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")).alias("slug"))
+    """Slugs of titles of which many are alike and some end in a number that others need. The SQL goes document by document."""
+    i = F.col("doc_id")
+    title = F.when(i % 3 == 0, "Top story").when(i % 11 == 1, "top story 2").when(i % 13 == 2, "Top story 2 2").when(i % 5 == 3, F.concat(F.lit("top story "), (i % 10).cast("string"))).otherwise(F.split_part("text", F.lit("\n"), F.lit(1)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", text.slug(title).alias("slug"))
+    return free_slugs(rows, "source", "doc_id").select("doc_id", "slug")
 
 
 @query(
@@ -87,7 +108,7 @@ def day_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT c_custkey AS chat, CASE c_custkey % 5 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' WHEN 3 THEN 'endless' END AS length, CASE c_nationkey % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'L' WHEN 2 THEN 'XL' END AS surface FROM customer),
 n AS (SELECT o_custkey AS chat, count(*) AS themes, count(*) FILTER (o_orderstatus = 'F') AS highlights FROM orders GROUP BY 1),
 l AS (SELECT chat, coalesce(themes, 0) AS themes, coalesce(highlights, 0) AS highlights, CASE length WHEN 'short' THEN 'S' WHEN 'medium' THEN 'M' WHEN 'long' THEN 'L' ELSE CASE WHEN surface IN ('S', 'L') THEN surface ELSE 'M' END END AS level FROM c LEFT JOIN n USING (chat))
-SELECT chat, level, CAST((CASE level WHEN 'S' THEN 1000 WHEN 'L' THEN 4000 ELSE 2000 END + 500) * themes + 250 * highlights AS BIGINT) AS cap FROM l""",
+SELECT chat, level, CAST((CASE level WHEN 'S' THEN 800 WHEN 'L' THEN 3200 ELSE 1600 END + 500) * themes + 250 * highlights AS BIGINT) AS cap FROM l""",
 )
 def chat_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as chats with a length or none, their orders as themes."""
@@ -106,7 +127,7 @@ def chat_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = models.articles(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("themes"), F.count_if(F.col("relevance") >= 5).alias("highlights"))
-    cap = (1600 + 500) * F.col("themes") + 250 * F.col("highlights")
+    cap = briefs.char_cap(briefs.theme_target(F.lit("M")), F.col("themes"), F.col("highlights"), per_source=500)
     return b.select("source_id", cap.alias("cap"), F.least(F.lit(12000), F.greatest(F.lit(2000), F.floor(cap / 3) + 500)).alias("tokens"))
 
 
@@ -118,12 +139,32 @@ def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.script_ratio(F.col("text"), "[\\x{00C0}-\\x{00FF}]"), 9).alias("ratio"))
 
 
+@query(
+    "g18_translated",
+    r"""
+WITH c AS (SELECT conv_id, turn, text AS t, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+n AS (SELECT conv_id, turn, length(regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g')) AS chars, source, len(regexp_extract_all(t, '\p{L}')) AS letters, len(regexp_extract_all(t, '[äöüßéèêç]')) AS own FROM c WHERE source IS NOT NULL)
+SELECT conv_id, turn, chars >= 0.25 * greatest(source, 1) AS long_enough, chars >= 0.25 * greatest(source, 1) AND letters > 0 AND CAST(own AS DOUBLE) / letters >= 0.2 AS translated FROM n""",
+)
+def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as translations of the turn before, accented letters as the script."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("source", F.lag(F.length("text")).over(w)).where("source is not null")
+    both = [text.in_script(F.col("text"), F.col("source"), ranges).alias(n) for n, ranges in (("long_enough", None), ("translated", "[äöüßéèêç]"))]
+    return rows.select("conv_id", "turn", *both)
+
+
 @query(
     "g20_contacts",
-    r"WITH x AS (SELECT doc_id, regexp_replace(regexp_extract(text, '\+[0-9][0-9 ().-]{6,}[0-9]'), '[^0-9+]', '', 'g') AS p FROM documents) SELECT doc_id, p AS phone FROM x WHERE length(p) >= 9",
+    r"""
+WITH x AS (SELECT doc_id, lower(text) AS low, regexp_replace(regexp_extract(text, '\+[0-9][0-9 ().-]{6,}[0-9]'), '[^0-9+]', '', 'g') AS p FROM documents)
+SELECT doc_id, CASE WHEN length(p) >= 9 THEN p END AS phone, list_filter(['the', 'Schein', 'eaux', 'tion'], lambda w: contains(low, lower(w))) AS topics,
+  list_filter(['short', 'ing', 'ung'], lambda w: contains(low, w))[1] AS length FROM x WHERE length(p) >= 9 OR doc_id % 4 = 0""",
 )
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.phone(F.col("text")).alias("phone")).where("phone is not null")
+    """Documents as free-text sign-ups: a phone number, the offered topics and the length that they name."""
+    said = text.sign_up(F.col("text"), ["the", "Schein", "eaux", "tion"], ["short", "ing", "ung"]).alias("s")
+    return table(spark, sf_dir, "documents").select("doc_id", said).where("s.phone is not null or doc_id % 4 = 0").select("doc_id", "s.*")
 
 
 @query("g21_url_hash", "SELECT page_id, md5(url) AS hash FROM pages")
@@ -198,12 +239,78 @@ def over_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _briefs(spark, sf_dir).select("id", briefs.over_cap(n, 2000, 1.15).alias("over"), F.round(n * 100.0 / 2000, 2).alias("percent"))
 
 
+#: Briefs with everything that a surface rewrites: bullets, bold, citations in both shapes, article lists.
+CITING = """
+WITH b AS (SELECT conv_id AS id, list(CASE turn % 7
+    WHEN 0 THEN '## ' || replace(substr(text, 1, 30), chr(10), ' ') || '  '
+    WHEN 1 THEN '*Articles:* ' || turn
+    WHEN 2 THEN '  [' || turn || '] ' || split_part(replace(text, chr(10), ' '), ' ', 1) || ' said — [Paper ' || conv_id || '](https://example.com/' || turn || ') '
+    WHEN 3 THEN '- **' || split_part(replace(text, chr(10), ' '), ' ', 1) || ' rose** – as seen [3] [Wire](http://example.com/w' || turn || ')'
+    WHEN 4 THEN '* plain **bold** and [a link](https://x.y/z) here [12]'
+    WHEN 5 THEN '[' || turn || '] listed — no link'
+    ELSE '' END ORDER BY turn) AS lines FROM conversations GROUP BY 1),
+l AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM b)"""
+
+
+def _citing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    turn, first = F.col("turn").cast("string"), F.split_part(F.translate("text", "\n", " "), F.lit(" "), F.lit(1))
+    line = (
+        F.when(F.col("turn") % 7 == 0, F.concat(F.lit("## "), F.translate(F.substring("text", 1, 30), "\n", " "), F.lit("  ")))
+        .when(F.col("turn") % 7 == 1, F.concat(F.lit("*Articles:* "), turn))
+        .when(F.col("turn") % 7 == 2, F.concat(F.lit("  ["), turn, F.lit("] "), first, F.lit(" said — [Paper "), F.col("conv_id").cast("string"), F.lit("](https://example.com/"), turn, F.lit(") ")))
+        .when(F.col("turn") % 7 == 3, F.concat(F.lit("- **"), first, F.lit(" rose** – as seen [3] [Wire](http://example.com/w"), turn, F.lit(")")))
+        .when(F.col("turn") % 7 == 4, F.lit("* plain **bold** and [a link](https://x.y/z) here [12]"))
+        .when(F.col("turn") % 7 == 5, F.concat(F.lit("["), turn, F.lit("] listed — no link")))
+        .otherwise("")
+    )
+    return c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
+
+
+@query(
+    "k09_citations",
+    CITING
+    + r""",
+p AS (SELECT id, pos, line, split_part(line, '](', 2) AS link, pos % 7 AS kind FROM l),
+o AS (SELECT id, pos, CASE kind
+    WHEN 3 THEN '  ' || (pos - 1) || '. ' || split_part(split_part(line, '] ', 2), ' —', 1) || ' — Paper ' || id || ' https://example.com/' || (pos - 1)
+    WHEN 4 THEN split_part(line, ' –', 1) || ' — as seen [3] Wire http://example.com/w' || (pos - 1)
+    WHEN 1 THEN '**' || trim(substr(line, 4)) || '**' ELSE line END AS plain,
+  CASE kind WHEN 3 THEN '  ' || split_part(split_part(line, '] ', 2), ' —', 1) || ' — Paper ' || id WHEN 4 THEN split_part(line, ' –', 1) || ' — as seen [3] Wire' ELSE line END AS bare FROM p)
+SELECT id, string_agg(plain, chr(10) ORDER BY pos) AS plain, string_agg(bare, chr(10) ORDER BY pos) AS bare FROM o GROUP BY id""",
+)
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _citing(spark, sf_dir)
+    return rows.select("id", briefs.headings_to_bold(briefs.cited(F.col("content"), "plain")).alias("plain"), briefs.cited(F.col("content"), "none", numbers=False).alias("bare"))
+
+
 @query(
     "k10_plain_chat",
-    BRIEFS + r" SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(content, '(?m)^#{1,6} +(.*)$', '*\1*', 'g'), '\*\*([^*\n]+)\*\*', '*\1*', 'g'), '\[([^\]\n]*)\]\((https?://[^)\s]+)\)', '\1 (\2)', 'g')) AS chat_md5, md5(regexp_replace(content, '\[([^\]\n]*)\]\((https?://[^)\s]+)\)', '\1', 'g')) AS bare_md5 FROM b",
+    CITING
+    + r""",
+o AS (SELECT id, pos, CASE pos % 7
+    WHEN 1 THEN '*' || trim(substr(line, 4)) || '*' WHEN 3 THEN split_part(line, '— [', 1) || '— Paper ' || id || ' '
+    WHEN 4 THEN '• ' || replace(substr(split_part(line, ' [Wire', 1), 3), '**', '*') || ' Wire'
+    WHEN 5 THEN '• plain *bold* and a link here [12]' ELSE line END AS chat FROM l)
+SELECT id, string_agg(chat, chr(10) ORDER BY pos) AS chat FROM o GROUP BY id""",
 )
 def plain_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _briefs(spark, sf_dir).select("id", F.md5(briefs.plain_chat(F.col("content")).cast("binary")).alias("chat_md5"), F.md5(briefs.without_links(F.col("content")).cast("binary")).alias("bare_md5"))
+    return _citing(spark, sf_dir).select("id", briefs.plain_chat(F.col("content")).alias("chat"))
+
+
+@query(
+    "k10_without_sources",
+    CITING
+    + r""",
+m AS (SELECT *, pos % 7 = 2 AS head, regexp_matches(trim(line), '^\[[0-9]+\]') AS entry FROM l),
+g AS (SELECT *, (SELECT max(x.pos) FROM m x WHERE x.id = m.id AND x.pos < m.pos AND NOT x.entry) AS before FROM m),
+k AS (SELECT id, pos, line FROM g WHERE NOT head AND NOT (entry AND before IS NOT NULL AND before % 7 = 2)),
+o AS (SELECT b.id, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS t FROM b LEFT JOIN k USING (id) GROUP BY b.id)
+SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s*\[[0-9]+\]', '', 'g'), '\s*\[[^\]]+\]\(https?://[^)]+\)', '', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM o""",
+)
+def without_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a second language: the article lists go by a running flag over the lines."""
+    return briefs.without_sources(_citing(spark, sf_dir), "id", "content")
 
 
 CHUNKS = """

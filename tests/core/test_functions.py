@@ -1,12 +1,15 @@
 """Golden cases of the column logic."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gazetta.functions import balance, briefs, deltas, html, money, quantity, replies, text
 from gazetta.operators import aggregates, filters, joins, windows
+from gazetta.operators.slugs import free_slugs
+from gazetta.sources import feeds
 
 
 def values(spark, rows, schema, *columns):
@@ -17,6 +20,9 @@ def test_amounts(spark):
     said = ["47 dead", "$5M", "5 million", "20,000 acres", "40%", "no number", "-3.5bn", None, ""]
     got = values(spark, [(s,) for s in said], "s string", quantity.amount(F.col("s")), quantity.unit(F.col("s")))
     assert got == [(47.0, "dead"), (5e6, None), (5e6, None), (20000.0, "acres"), (40.0, "%"), (None, None), (-3.5e9, None), (None, None), (None, None)]
+    odd = ["5 t of grain", "+7 up", "3 ft² wide", "12 k-pop", "about 1,200.50, then 9", "5mn people", "2 trillion", "-4%", "10\n km", "7k"]
+    got = values(spark, [(s,) for s in odd], "s string", quantity.amount(F.col("s")), quantity.unit(F.col("s")))
+    assert got == [(5.0, "t"), (7.0, "up"), (3.0, "ft²"), (12000.0, "-pop"), (1200.5, ","), (5e6, "people"), (2e12, None), (-4.0, "%"), (10.0, "km"), (7000.0, None)]
 
 
 def test_material(spark):
@@ -73,6 +79,99 @@ def test_labels_and_slugs(spark):
     assert got == [("A b c", "a-b-c"), (("word " * 9).strip(), "word-word-word-word"), ("story", "drop"), ("x" * 48, "x" * 40)]
 
 
+def test_slug_cut(spark):
+    title = "aaaaaaaaaa aaaaaaaaaa aaaaaaaaaaaaaaaaa bb"
+    assert values(spark, [(title,)], "s string", text.slug(F.col("s"))) == [("aaaaaaaaaa-aaaaaaaaaa-aaaaaaaaaaaaaaaaa",)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_free_slugs(spark, seed):
+    """Against the rule, title after title; numbers that others need are given and taken in any order."""
+    rng = random.Random(seed)
+    names = ["x", "x", "x", "x-2", "x-3", "x-2-2", "x-10", "y-1", "y-01", "y", "drop", "x-2-2-2", "7", "7-2"]
+    rows = [(rng.choice(["s", "t", None]), i, rng.choice(names)) for i in rng.sample(range(1000), 150)]
+    taken = [("s", "x"), ("s", "x-4"), ("t", "drop-2"), ("s", "x-2-3")] if seed % 2 else []
+    got = free_slugs(spark.createDataFrame(rows, "scope string, id long, slug string"), "scope", "id", taken=spark.createDataFrame(taken, "scope string, slug string") if taken else None)
+    used = {}
+    for s, t in taken:
+        used.setdefault(s, set()).add(t)
+    want = {}
+    for s, i, base in sorted(rows, key=lambda r: r[1]):
+        mine = used.setdefault(s, set())
+        made, n = base, 2
+        while made in mine:
+            made, n = f"{base}-{n}", n + 1
+        mine.add(made)
+        want[i] = made
+    assert {r.id: r.slug for r in got.collect()} == want and got.columns == ["scope", "id", "slug"]
+
+
+def test_feed_dates(spark):
+    utc = datetime.UTC
+    said = {
+        "Wed, 03 May 2023 21:00:00 GMT": (2023, 5, 3, 21, 0), "3 May 2023 21:00 +0900": (2023, 5, 3, 12, 0), "Thu,  04 may 23 01:02:03 EST": (2023, 5, 4, 6, 2, 3), "04 May 2023 01:02:03": (2023, 5, 4, 1, 2, 3),
+        "2023-05-03T21:00:00Z": (2023, 5, 3, 21, 0), "2023-05-03T21:00:00+02:00": (2023, 5, 3, 19, 0), "2023-05-03 21:00:00": (2023, 5, 3, 21, 0), "yesterday": None, "04 May 2023 01:02:03 XYZ": None, "": None, None: None,
+    }
+    got = values(spark, [(s,) for s in said], "s string", F.unix_seconds(feeds.feed_date(F.col("s"))))
+    assert [g for (g,) in got] == [int(datetime.datetime(*t, tzinfo=utc).timestamp()) if t else None for t in said.values()]
+
+
+def test_feed_entries(spark):
+    now = F.lit(datetime.datetime(2023, 5, 4)).cast("timestamp")
+    rows = [
+        ("s", "<item><title>Old one</title><link>https://a/1</link><pubDate>Mon, 01 May 2023 21:00:00 GMT</pubDate></item>"),
+        ("s", "<item><title>New one</title><link>https://a/2</link><pubDate>Wed, 03 May 2023 21:00:00 GMT</pubDate><description>d</description><content:encoded>c</content:encoded></item>"),
+        ("s", '<entry xmlns="http://www.w3.org/2005/Atom"><title>Atom</title><link rel="self" href="https://a/f"/><link href="https://a/3"/><updated>2023-05-03T01:00:00Z</updated><content>body</content></entry>'),
+        ("s", "<item><title>Undated</title><link>https://a/4</link></item>"),
+        ("s", "<item><title>Prefixed</title><link>https://a/5</link><dc:date>2023-05-03T05:00:00Z</dc:date></item>"),
+        ("s", "<item><title>Partner offer</title><link>https://a/6</link></item>"),
+        ("s", "<item><title>No link</title></item>"),
+        ("s", "broken <"),
+        ("s", None),
+    ]
+    got = feeds.entries(spark.createDataFrame(rows, "source string, xml string"), "xml", "source", now, 48, 9).collect()
+    assert {r.url: (r.title, r.published_at.isoformat(), r.body) for r in got} == {
+        "https://a/2": ("New one", "2023-05-03T21:00:00", "d"), "https://a/3": ("Atom", "2023-05-03T01:00:00", "body"), "https://a/4": ("Undated", "2023-05-04T00:00:00", ""), "https://a/5": ("Prefixed", "2023-05-03T05:00:00", ""),
+    }
+
+
+def test_citations_by_surface(spark):
+    brief = "## Top\n  [1] Big title — [Reuters](https://r.com/a)  \n[2] No link here\n- **Chips** – up 3% [Wire](http://w.com/b)\nplain [x](https://y.z) text"
+    link, plain, none, bare = (briefs.cited(F.col("s"), *a) for a in (("hyperlink",), ("plain",), ("none",), ("none", False, False)))
+    got = values(spark, [(brief,)], "s string", link, plain, none, bare, briefs.cited(F.col("s"), "plain", False))[0]
+    rest = "\nplain [x](https://y.z) text"
+    assert got[0] == "## Top\n  1. Big title — [Reuters](https://r.com/a)\n[2] No link here\n- **Chips** — up 3% [Wire](http://w.com/b)" + rest
+    assert got[1] == "## Top\n  1. Big title — Reuters https://r.com/a\n[2] No link here\n- **Chips** — up 3% Wire http://w.com/b" + rest
+    assert got[2] == "## Top\n  1. Big title — Reuters\n[2] No link here\n- **Chips** — up 3% Wire" + rest
+    assert got[3] == "## Top\n  Big title\n[2] No link here\n- **Chips** — up 3%" + rest
+    assert got[4] == "## Top\n  1. Big title — https://r.com/a\n[2] No link here\n- **Chips** — up 3% http://w.com/b" + rest
+    assert values(spark, [("# One\n#no\n### \U0001f4c8 Two ",)], "s string", briefs.headings_to_bold(F.col("s"))) == [("**One**\n#no\n**\U0001f4c8 Two**",)]
+
+
+def test_chat_text(spark):
+    md = "## \U0001f4c8 What Changed \n- one **bold** and [Reuters](https://r.com/a)\n  * two\n*Articles:* list\ntext [a](x) **b** *c*"
+    want = "*\U0001f4c8 What Changed*\n• one *bold* and Reuters\n• two\n*Articles:* list\ntext a *b* *c*"
+    assert values(spark, [(md,)], "s string", briefs.plain_chat(F.col("s"))) == [(want,)]
+
+
+def test_without_sources(spark):
+    md = "Head [1]\n\n*Articles:*\n[1] One — [s](https://a)\n [2] Two\n\n[3] stays as text\nBody [s](https://b) end [2].\n*Articles:* x\n[4] gone\nnext\n[5] kept\n\n\n\nlast"
+    want = "Head stays as text\nBody end.\nnext kept\n\nlast"
+    rows = spark.createDataFrame([(1, md), (2, "*Articles:*"), (3, ""), (4, None)], "id int, s string")
+    got = {r.id: r.text for r in briefs.without_sources(rows, "id", "s").collect()}
+    assert got == {1: want, 2: "", 3: "", 4: ""}
+
+
+def test_sign_ups_and_translations(spark):
+    said = text.sign_up(F.col("s"), ["Crypto", "geo", ""], ["short", "long"])
+    got = [r[0] for r in values(spark, [("+81 90 1234 5678, GEO and crypto, a Short one",), ("nothing",), (None,)], "s string", said)]
+    assert [(r.phone, r.topics, r.length) for r in got] == [("+819012345678", ["Crypto", "geo"], "short"), (None, [], None), (None, [], None)]
+    rows = [("سلام دنیا abc", 20), ("I need to clarify my role", 20), ("سلا", 40), ("123", 4), (None, 1)]
+    good = text.in_script(F.col("s"), F.col("n"), "[\\x{0600}-\\x{06FF}]")
+    assert [x for (x,) in values(spark, rows, "s string, n int", good)] == [True, False, False, False, False]
+    assert [x for (x,) in values(spark, rows, "s string, n int", text.in_script(F.col("s"), F.col("n"), None))] == [True, True, False, True, False]
+
+
 def test_markdown_links(spark):
     md = "[short](https://a) ![a picture of the day](https://i) [A title that is long enough](https://x/1) [A title that is long enough](https://x/1)\n[Another \\ long title here too](https://x/2)"
     got = html.markdown_links(spark.createDataFrame([(1, md)], "id int, md string"), "id", "md").collect()
