@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetta.functions import balance
 from gazetta.functions.text import contains_any
+from gazetta.session import sized
 
 #: Words that mark a price event, as plain substrings.
 PRICE_WORDS = [
@@ -100,7 +101,7 @@ def window_audit(articles: DataFrame, now: Column, fresh_hours: float = 6, by: l
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per model from tokens and prices per million; unknown models cost nothing."""
-    rows = usage.join(F.broadcast(prices), "model", "left")
+    rows = usage.join(sized(prices), "model", "left")
     cost = F.coalesce(F.col("tokens_in") / 1e6 * F.col("price_in") + F.col("tokens_out") / 1e6 * F.col("price_out"), F.lit(0.0))
     return rows.groupBy("model").agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("calls"))
 

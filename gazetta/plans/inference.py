@@ -6,10 +6,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetta.functions.replies import salvage
+from gazetta.operators import windows
 
 
 def hashed_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
@@ -47,9 +48,10 @@ def embed_missing(rows: DataFrame, text: str, vector: str, embedder: Callable[[l
 
 
 def in_batches(rows: DataFrame, order: list, size: int = 10, by: str = "queue") -> DataFrame:
-    """``rows`` with batch_id and item_id: the queue ``by`` in order, ``size`` rows a batch."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("batch_id", F.concat_ws("-", F.col(by).cast("string"), F.floor(n / size).cast("string"))).withColumn("item_id", F.col("id").cast("long"))
+    """``rows`` with batch_id and item_id: the queue ``by`` in order, ``size`` rows a batch. Queues of any length are numbered across tasks."""
+    placed = windows.placed(rows, by, *order)
+    n = F.floor((F.col("place") - 1) / size).cast("string")
+    return placed.withColumn("batch_id", F.concat_ws("-", F.col(by).cast("string"), n)).withColumn("item_id", F.col("id").cast("long")).drop("place")
 
 
 def ask(batches: DataFrame, prompt: Callable[[pd.DataFrame], str], model: Callable[[str], str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from gazetta.models import with_models
 from gazetta.operators import graphs, joins, windows
 from gazetta.plans import inference
 from gazetta.queries.registry import query
-from gazetta.session import stash, table
+from gazetta.session import sized, stash, stash_dir, table
+from gazetta.sources import store
+from gazetta.streaming import jobs
 
 
 @query("l01_embed_missing", "SELECT doc_id, CAST(64 AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS stored FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
@@ -28,15 +31,15 @@ def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _label_prompt(frame: pd.DataFrame) -> str:
-    return json.dumps([int(i) for i in frame["item_id"]])
+    return json.dumps([[int(i), text] for i, text in sorted(zip(frame["item_id"], frame["said"], strict=True))])
 
 
 def _label_model(prompt: str) -> str:
-    """An offline model: labels by id, leaves some out, names one foreign id, fails on one batch in nine."""
-    ids = json.loads(prompt)
-    if min(ids) % 9 == 0:
+    """An offline model that reads texts: labels by their letters, leaves some out, names one foreign id, fails where the first text has nine i, or eighteen, or none."""
+    items = json.loads(prompt)
+    if items[0][1].count("i") % 9 == 0:
         raise RuntimeError("no answer")
-    rows = [{"article_id": str(i), "label": "IMMEDIATE" if i % 3 == 0 else "KEEP_WARM", "relevance_score": i % 12, "actionability": i % 5, "topics": [f"T{i % 4}"]} for i in ids if i % 7]
+    rows = [{"article_id": str(i), "label": "KEEP_WARM" if s.count("e") % 3 else "IMMEDIATE", "relevance_score": s.count("e") % 12, "actionability": s.count("n") % 5, "topics": [s[:3]]} for i, s in items if s.count("a") % 7]
     return "Sure:\n```json\n" + json.dumps([*rows, {"article_id": "-5", "label": "IMMEDIATE"}]) + "\n```"
 
 
@@ -46,41 +49,58 @@ def _answers(batches: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joins.map_back(batches.select("batch_id", "item_id"), got)
 
 
-def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.articles(spark, sf_dir).select("id", F.col("source_id").alias("queue"))
-    return inference.in_batches(rows, [F.col("id")])
+def _queue(articles: DataFrame) -> DataFrame:
+    return inference.in_batches(articles.select("id", F.col("source_id").alias("queue"), F.coalesce(F.substring("body", 1, 80), F.lit("")).alias("said")), [F.col("id")])
 
 
 FIRST = """
-, q AS (SELECT id, source_id, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 10 AS b FROM art),
-m AS (SELECT *, min(id) OVER (PARTITION BY source_id, b) AS low FROM q)"""
+, q AS (SELECT id, source_id, coalesce(substr(body, 1, 80), '') AS s, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 10 AS b FROM art),
+k AS (SELECT *, length(s) - length(replace(s, 'e', '')) AS e, length(s) - length(replace(s, 'n', '')) AS n, length(s) - length(replace(s, 'a', '')) AS a, length(s) - length(replace(s, 'i', '')) AS i FROM q),
+m AS (SELECT *, first_value(i) OVER (PARTITION BY source_id, b ORDER BY id) AS head FROM k)"""
 
 
-@query("l02_batched_labels", with_models(FIRST + " SELECT id, CASE WHEN id % 3 = 0 THEN 'IMMEDIATE' ELSE 'KEEP_WARM' END AS label FROM m WHERE low % 9 <> 0 AND id % 7 <> 0"))
+@query("l02_batched_labels", with_models(FIRST + " SELECT id, CASE WHEN e % 3 = 0 THEN 'IMMEDIATE' ELSE 'KEEP_WARM' END AS label FROM m WHERE head % 9 <> 0 AND a % 7 <> 0"))
 def batched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = stash(_queue(spark, sf_dir))
+    batches = stash(_queue(models.articles(spark, sf_dir)))
     got, _ = _answers(batches, stash(inference.ask(batches, _label_prompt, _label_model)))
     return got.select(F.col("item_id").alias("id"), F.col("score.label").alias("label"))
 
 
-@query(
-    "l03_scores_with_retry",
-    with_models(
-        FIRST
-        + """
-SELECT id, CAST(CASE WHEN id % 12 <= 10 THEN id % 12 ELSE 0 END AS INTEGER) AS relevance,
-  CAST(CASE WHEN id % 12 BETWEEN 8 AND 10 AND id % 3 = 0 THEN greatest(2, CASE WHEN id % 5 <= 3 THEN id % 5 ELSE 0 END) ELSE CASE WHEN id % 5 <= 3 THEN id % 5 ELSE 0 END END AS INTEGER) AS actionability,
-  low % 9 = 0 AS retried FROM m WHERE id % 7 <> 0 AND (low % 9 <> 0 OR id % 9 <> 0)"""
-    ),
+SCORED = (
+    FIRST
+    + """,
+f AS (SELECT *, a % 7 <> 0 AND (head % 9 <> 0 OR i % 9 <> 0) AS answered, CASE WHEN e % 12 <= 10 THEN e % 12 ELSE 0 END AS r, CASE WHEN n % 5 <= 3 THEN n % 5 ELSE 0 END AS act FROM m),
+z AS (SELECT id, CAST(r AS INTEGER) AS relevance, CAST(CASE WHEN r >= 8 AND e % 3 = 0 THEN greatest(2, act) ELSE act END AS INTEGER) AS actionability, head % 9 = 0 AS retried, answered FROM f)"""
 )
-def scores_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the first pass left out are asked one by one; those left then are the dead letters."""
-    batches = stash(_queue(spark, sf_dir))
+
+
+def _scored(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, dead letters): rows that the first pass left out are asked one by one; those left then are the dead letters."""
+    batches = stash(_queue(articles))
     got, left = _answers(batches, stash(inference.ask(batches, _label_prompt, _label_model)))
-    single = stash(left.withColumn("batch_id", F.concat(F.lit("one-"), F.col("item_id").cast("string"))))
-    again, _ = _answers(single, stash(inference.ask(single, _label_prompt, _label_model)))
+    texts = batches.select("batch_id", "item_id", "said")
+    single = stash(left.join(texts, ["batch_id", "item_id"]).withColumn("batch_id", F.concat(F.lit("one-"), F.col("item_id").cast("string"))))
+    again, dead = _answers(single, stash(inference.ask(single, _label_prompt, _label_model)))
     out = got.withColumn("retried", F.lit(False)).unionByName(again.withColumn("retried", F.lit(True)))
-    return out.select(F.col("item_id").alias("id"), "score.relevance", "score.actionability", "retried")
+    return out.select(F.col("item_id").alias("id"), "score.relevance", "score.actionability", "retried"), dead.select(F.col("item_id").alias("id"))
+
+
+@query("l03_scores_with_retry", with_models(SCORED + " SELECT id, relevance, actionability, retried FROM z WHERE answered"))
+def scores_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(models.articles(spark, sf_dir))[0]
+
+
+@query("l03_two_sinks", with_models(SCORED + " SELECT id, CASE WHEN answered THEN relevance END AS relevance, NOT answered AS dead FROM z"))
+def scores_and_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as a stream: scores to one sink and what no pass answered to another, from one pass under the batch's number."""
+    base = f"{stash_dir(spark)}/stream-{uuid.uuid4().hex}"
+    landed = models.articles(spark, sf_dir).select("id", "source_id", F.substring("body", 1, 80).alias("body"))
+    landed.write.parquet(f"{base}/landed")
+    stream = jobs.files(spark, f"{base}/landed", landed, per_trigger=1_000_000)
+    store.two_sinks(stream, f"{base}/checkpoint", _scored, store.batch_sink(f"{base}/scores"), store.batch_sink(f"{base}/dead"), f"{base}/kept").awaitTermination()
+    scores = spark.read.schema("id long, relevance int").parquet(f"{base}/scores").select("id", "relevance", F.lit(False).alias("dead"))
+    dead = spark.read.schema("id long").parquet(f"{base}/dead").select("id", F.lit(None).cast("int").alias("relevance"), F.lit(True).alias("dead"))
+    return scores.unionByName(dead)
 
 
 @query("g14_clean_scores", "SELECT doc_id, CAST(CASE WHEN n_chars % 13 <= 10 THEN n_chars % 13 ELSE 0 END AS INTEGER) AS relevance, CASE WHEN doc_id % 2 = 0 THEN 'NEW_SIGNAL' ELSE 'NOISE' END AS label, [lower(source)] AS topics, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE -1 END AS alignment FROM documents")
@@ -108,7 +128,7 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pairs = F.array(F.struct((F.col("doc_id") % 5).alias("h"), F.lit(-1).alias("alignment")), F.struct((F.col("doc_id") % 7).alias("h"), F.lit(0).alias("alignment")))
     known = spark.createDataFrame([(0, "rates", "up"), (1, "chips", "down"), (2, "grain", "up")], "h long, topic string, stance string")
-    return d.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*").join(F.broadcast(known), "h").select("doc_id", "topic", "stance", "alignment")
+    return d.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*").join(sized(known), "h").select("doc_id", "topic", "stance", "alignment")
 
 
 @query(

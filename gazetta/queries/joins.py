@@ -10,7 +10,7 @@ from gazetta.functions import quantity, text
 from gazetta.models import as_of, with_models
 from gazetta.operators import filters, joins
 from gazetta.queries.registry import query
-from gazetta.session import table
+from gazetta.session import sized, table
 
 NOW = "TIMESTAMP '2024-01-03 21:00:00'"
 
@@ -25,7 +25,7 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def freshness_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = models.sources(spark, sf_dir).select("source_id", filters.freshness_window((F.col("source_no") % 4 * 10).cast("int"), 24, True, 20, 30).alias("hours"))
-    rows = models.articles(spark, sf_dir).select("id", "source_id", "published_at").join(F.broadcast(s), "source_id")
+    rows = models.articles(spark, sf_dir).select("id", "source_id", "published_at").join(sized(s), "source_id")
     return rows.where(filters.in_window(F.col("published_at"), as_of(), F.col("hours"))).select("id")
 
 
@@ -46,7 +46,7 @@ def scheduled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paid_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = models.sources(spark, sf_dir).select("source_id", F.when(F.col("source_no") % 2 == 0, "Avoid PR articles").alias("notes"))
-    rows = models.articles(spark, sf_dir).select("id", "title", "source_id").join(F.broadcast(s), "source_id")
+    rows = models.articles(spark, sf_dir).select("id", "title", "source_id").join(sized(s), "source_id")
     words = F.coalesce(F.contains("notes", F.lit("Avoid PR articles")), F.lit(False)) & text.contains_any(F.col("title"), ["the"])
     return rows.where(~(filters.paid_content(F.col("title"), F.col("notes")) | words)).select("id")
 
@@ -132,8 +132,8 @@ def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     slow = models.sources(spark, sf_dir).where("category = 'EUROPE'").select("source_id")
     rows = models.articles(spark, sf_dir).select("id", "source_id")
-    news = rows.join(F.broadcast(slow), "source_id", "left_anti").withColumn("pool", F.lit("news"))
-    drops = rows.join(F.broadcast(slow), "source_id", "left_semi").withColumn("pool", F.lit("drop"))
+    news = rows.join(sized(slow), "source_id", "left_anti").withColumn("pool", F.lit("news"))
+    drops = rows.join(sized(slow), "source_id", "left_semi").withColumn("pool", F.lit("drop"))
     return news.unionByName(drops).select("id", "pool")
 
 

@@ -11,7 +11,7 @@ from gazetta.models import as_of, with_models
 from gazetta.operators import filters, joins
 from gazetta.plans import briefs, inference
 from gazetta.queries.registry import query
-from gazetta.session import stash, table
+from gazetta.session import sized, stash, table
 from gazetta.sources import drops, feeds
 
 
@@ -98,7 +98,7 @@ def story_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global bars, overlaid by those of a category."""
     o = spark.createDataFrame([("ASIA", 0.5), ("EUROPE", None)], "category string, relative double")
-    return models.sources(spark, sf_dir).join(F.broadcast(o), "category", "left").select("source_id", F.coalesce("relative", F.lit(0.15)).alias("relative"))
+    return models.sources(spark, sf_dir).join(sized(o), "category", "left").select("source_id", F.coalesce("relative", F.lit(0.15)).alias("relative"))
 
 
 def _shown(x: str) -> str:
@@ -145,7 +145,7 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = models.articles(spark, sf_dir).where("relevance >= 3")
     part = F.when(F.col("relevance") >= 8, 1).when(F.col("relevance") >= 5, 2).otherwise(3)
     s = a.groupBy("source_id", part.alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    s = s.join(F.broadcast(order), "part").withColumn("t", F.concat("name", F.lit(": "), "ids"))
+    s = s.join(sized(order), "part").withColumn("t", F.concat("name", F.lit(": "), "ids"))
     return s.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), " | ").alias("brief"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from gazetta.functions.text import contains_any
 from gazetta.models import as_of, with_models
 from gazetta.operators import filters, joins
 from gazetta.queries.registry import query
-from gazetta.session import table
+from gazetta.session import sized, stash_dir, table
+from gazetta.sources import run_log, store
+from gazetta.streaming import jobs
 
 ANCHORS = r"""
 WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS u, regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM pages),
@@ -81,28 +85,50 @@ def delivery_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a11_brief_export",
-    with_models(", b AS (SELECT o_custkey AS brief, o_orderkey AS id FROM orders) SELECT brief, CAST(count(art.id) AS BIGINT) AS n, array_to_string(list(coalesce(name, 'Unknown') || ': ' || art.id ORDER BY art.id), '; ') AS cited FROM b JOIN art ON art.id = b.id LEFT JOIN src USING (source_id) GROUP BY brief"),
+    with_models("""
+, b AS (SELECT o_custkey % 50 AS brief, o_orderkey AS id FROM orders),
+c AS (SELECT brief, CAST(published_at AS DATE) AS date, art.id, regexp_extract(title, '^[a-zA-Z]+') AS title, 'https://example.com/' || art.id AS url, coalesce(name, 'Unknown') AS name FROM b JOIN art ON art.id = b.id LEFT JOIN src USING (source_id))
+SELECT brief, date, count(*) AS n, list(id ORDER BY id) AS ids, '# Brief ' || brief || chr(10) || chr(10) || string_agg('- [' || title || '](' || url || ') — ' || name, chr(10) ORDER BY id) AS markdown FROM c GROUP BY brief, date"""),
 )
 def brief_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("brief")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    ids = b.select("brief", F.posexplode("ids").alias("position", "id"))
-    rows = joins.with_source(ids.join(models.articles(spark, sf_dir).select("id", "source_id"), "id"), models.sources(spark, sf_dir))
-    said = F.concat("name", F.lit(": "), F.col("id").cast("string"))
-    return rows.groupBy("brief").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), "; ").alias("cited"))
+    """What fifty groups of customers cite of a day, exported as JSON and Markdown by date, and read back."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("brief"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("position"))
+    a = models.articles(spark, sf_dir).select("id", "source_id", F.to_date("published_at").alias("date"), F.regexp_extract("title", "^[a-zA-Z]+", 0).alias("title"), F.concat(F.lit("https://example.com/"), F.col("id").cast("string")).alias("url"))
+    rows = joins.with_source(o.join(a, "id"), models.sources(spark, sf_dir))
+    base = f"{stash_dir(spark)}/briefs-{uuid.uuid4().hex}"
+    store.export_briefs(rows, base)
+    article = "array<struct<position:bigint,id:bigint,title:string,url:string,name:string>>"
+    made = spark.read.schema(f"brief long, articles {article}, date date").json(f"{base}/json")
+    text = spark.read.schema("value string, date date, brief long").text(f"{base}/markdown", wholetext=True)
+    text = text.select("brief", "date", F.rtrim("value", F.lit("\n")).alias("markdown"))
+    return made.select("brief", "date", F.size("articles").cast("long").alias("n"), F.col("articles.id").alias("ids")).join(text, ["brief", "date"])
 
 
 @query(
     "a13_run_mirror",
-    with_models("SELECT run_id, coalesce(task, 'other') AS task, agent, coalesce(CAST(cost AS DOUBLE), 0) AS cost, 'run-' || run_id AS trace_id FROM runs"),
+    with_models("""
+SELECT run_id, task, agent, CAST(cost AS DOUBLE) AS cost, status, coalesce(task, 'brief') AS task_type, 'gazetta' AS project, coalesce(CAST(cost AS DOUBLE), 0) AS actual_cost, CASE WHEN run_id % 3 = 0 THEN 'run-' || run_id // 100 ELSE 'solo-' || coalesce(agent, '?') END AS trace_id, run_id % 5 = 1 AS artifact_verified FROM runs"""),
 )
 def run_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = models.runs(spark, sf_dir)
-    return r.select("run_id", F.coalesce("task", F.lit("other")).alias("task"), "agent", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"), F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("trace_id"))
-
-
-@query("a14_window_scan", with_models("SELECT id, source_id FROM art WHERE published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR"))
+    """Runs as a stream to two sinks: the log, and the mirror with its defaults and two fields of its own."""
+    base = f"{stash_dir(spark)}/stream-{uuid.uuid4().hex}"
+    runs = models.runs(spark, sf_dir)
+    runs = runs.select("run_id", "task", "agent", "cost", "status", F.when(F.col("run_id") % 3 == 0, F.concat(F.lit("run-"), F.floor(F.col("run_id") / 100).cast("string"))).alias("trace_id"), F.when(F.col("run_id") % 5 < 2, F.col("run_id") % 5 == 1).alias("artifact_verified"))
+    runs.write.parquet(f"{base}/landed")
+    stream = jobs.files(spark, f"{base}/landed", runs)
+    store.two_sinks(stream, f"{base}/checkpoint", run_log.log_and_mirror, store.batch_sink(f"{base}/log"), store.batch_sink(f"{base}/mirror"), f"{base}/kept").awaitTermination()
+    log, mirror = run_log.log_and_mirror(runs)
+    log, mirror = spark.read.schema(log.schema).parquet(f"{base}/log"), spark.read.schema(mirror.schema).parquet(f"{base}/mirror")
+    both = log.select("run_id", "task", F.col("cost").cast("double").alias("cost"), "status").join(mirror.drop("status"), "run_id")
+    return both.select("run_id", "task", "agent", "cost", "status", "task_type", "project", "actual_cost", "trace_id", "artifact_verified")
+
+
+@query("a14_window_scan", with_models("SELECT id, source_id FROM art WHERE published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR AND published_at < TIMESTAMP '2024-01-03 21:00:00'"))
 def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.articles(spark, sf_dir).where(filters.in_window(F.col("published_at"), as_of(), F.lit(24))).select("id", "source_id")
+    """A day of a store by date: its folders of two dates are read."""
+    base = f"{stash_dir(spark)}/articles-{uuid.uuid4().hex}"
+    store.write_dates(models.articles(spark, sf_dir).select("id", "source_id", "published_at"), base, "published_at")
+    return store.read_window(spark, base, "published_at", as_of() - F.expr("interval 24 hours"), as_of()).select("id", "source_id")
 
 
 @query(
@@ -111,6 +137,6 @@ def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     slow = models.sources(spark, sf_dir).where("category = 'EUROPE'").select("source_id")
-    rows = models.articles(spark, sf_dir).where(filters.in_window(F.col("published_at"), as_of(), F.lit(168))).join(F.broadcast(slow), "source_id", "left_semi")
+    rows = models.articles(spark, sf_dir).where(filters.in_window(F.col("published_at"), as_of(), F.lit(168))).join(sized(slow), "source_id", "left_semi")
     rows = joins.undelivered(rows, models.deliveries(spark, sf_dir), "acct2")
     return rows.join(models.scores(spark, sf_dir), F.col("id") == F.col("article_id")).select("id", "quality")

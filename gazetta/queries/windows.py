@@ -10,7 +10,7 @@ from gazetta.functions.balance import normalise_bias
 from gazetta.models import as_of, with_models
 from gazetta.operators import aggregates, filters, joins, windows
 from gazetta.queries.registry import query
-from gazetta.session import table
+from gazetta.session import sized, table
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ SELECT id, source_id FROM r WHERE n <= cap"""),
 )
 def newest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = models.sources(spark, sf_dir).select("source_id", windows.source_cap((1.0 + F.col("source_no") % 3) / 3, F.col("category") == "ASIA", 30).alias("cap"))
-    rows = models.articles(spark, sf_dir).select("id", "source_id", "published_at").join(F.broadcast(s), "source_id")
+    rows = models.articles(spark, sf_dir).select("id", "source_id", "published_at").join(sized(s), "source_id")
     return windows.newest_per_source(rows, F.col("cap")).select("id", "source_id")
 
 

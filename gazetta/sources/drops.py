@@ -17,7 +17,7 @@ def find(store: DataFrame, wanted: DataFrame, days_back: int = 10) -> DataFrame:
     a user's questions, are broadcast up to a bound of rows, counted first.
     """
     newest = store.select("date").distinct().orderBy(F.desc("date")).limit(days_back)
-    recent = store.join(F.broadcast(newest), "date", "left_semi")
+    recent = store.join(sized(newest), "date", "left_semi")
     asked = wanted.select("wanted_id", slug(F.regexp_replace("said", r"(?i)^\s*more:\s*", "")).alias("ask"))
     hits = recent.join(sized(asked), F.contains(F.col("slug"), F.col("ask")))
     rank = F.when(F.col("slug") == F.col("ask"), 0).otherwise(1)
