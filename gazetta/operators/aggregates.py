@@ -129,3 +129,49 @@ def thin_day(briefs: DataFrame, qualifying: str = "qualifying", least: int = 3)
     q = F.col(qualifying)
     status = F.when(q >= least, "normal").when(q >= 1, "quiet").otherwise("skip: quiet_day_no_articles")
     return briefs.withColumn("status", status).withColumn("min_themes", F.when(q >= least, least).when(q >= 1, 1).otherwise(0))
+
+
+#: Steps whose runs count for health, statuses of a failed run, and statuses of a writer that rightly wrote nothing.
+ENGINES = ["fetcher", "classifier", "deduplicator", "analyst", "writer"]
+BAD = ["partial", "error", "failed"]
+SKIPPED = ["quiet_day_no_articles", "no_clusters"]
+
+
+def run_health(slots: DataFrame, runs: DataFrame, briefs: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """(slot, severity, stage, detail): what was wrong in each slot (slot, start, end); a healthy one has no row.
+
+    runs: agent, status, error, created_at, run_id; briefs: brief, created_at; deliveries: brief.
+    A slot without a run of any engine has that alone. Otherwise every failed run is an
+    alert; no brief is one too, unless the writer said that it skipped (information);
+    and so is a newest brief that nobody was sent. Slots meet rows by their days.
+    """
+    days = slots.select("slot", "start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
+
+    def within(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_day", F.to_date("created_at")).join(days, "_day").where((F.col("created_at") >= F.col("start")) & (F.col("created_at") < F.col("end")))
+
+    own = within(runs.where(F.col("agent").isin(ENGINES)))
+    status = F.lower(F.coalesce("status", F.lit("")))
+    failed = own.where(status.isin(BAD)).select("slot", F.lit("alert").alias("severity"), F.col("agent").alias("stage"), F.concat(status, F.lit(": "), F.coalesce("error", F.lit("no detail"))).alias("detail"))
+    skip = F.when((F.col("agent") == "writer") & F.col("status").isin(SKIPPED), F.struct("created_at", "run_id", "status"))
+    fired = own.groupBy("slot").agg(F.max(skip).alias("skip"))
+    newest = within(briefs).groupBy("slot").agg(F.max_by("brief", F.struct("created_at", "brief")).alias("brief"))
+    sent = deliveries.select("brief", F.lit(True).alias("sent")).distinct()
+    state = slots.select("slot").join(fired.withColumn("fired", F.lit(True)), "slot", "left").join(newest, "slot", "left").join(sent, "brief", "left")
+    idle, none = F.col("fired").isNull(), F.col("brief").isNull()
+    found = F.when(idle, F.struct(F.lit("alert").alias("severity"), F.lit("pipeline").alias("stage"), F.lit("no engine runs recorded since the slot start").alias("detail")))
+    found = found.when(none & F.col("skip").isNotNull(), F.struct(F.lit("info").alias("severity"), F.lit("writer").alias("stage"), F.concat(F.lit("no brief (writer status="), F.col("skip.status"), F.lit(")")).alias("detail")))
+    found = found.when(none, F.struct(F.lit("alert").alias("severity"), F.lit("writer").alias("stage"), F.lit("no fresh brief produced").alias("detail")))
+    found = found.when(F.col("sent").isNull(), F.struct(F.lit("alert").alias("severity"), F.lit("delivery").alias("stage"), F.lit("brief built but not recorded as delivered").alias("detail")))
+    return failed.unionByName(state.select("slot", found.alias("x")).where("x is not null").select("slot", "x.*"))
+
+
+def funnel(stages: list[tuple[str, DataFrame]], by: str) -> DataFrame:
+    """(by, stage, n) in long form for rows at each stage (each has ``by`` and one row an item); a stage without rows of a group counts 0."""
+    counts = None
+    for at, (name, rows) in enumerate(stages):
+        part = rows.groupBy(by).agg(F.count("*").alias("n")).select(by, F.lit(at).alias("at"), F.lit(name).alias("stage"), "n")
+        counts = part if counts is None else counts.unionByName(part)
+    names = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(name).alias("stage")) for i, (name, _) in enumerate(stages)])
+    every = counts.select(by).distinct().select(by, F.explode(names).alias("s")).select(by, "s.at", "s.stage")
+    return every.join(counts, [by, "at", "stage"], "left").select(by, "stage", F.coalesce("n", F.lit(0)).alias("n"))

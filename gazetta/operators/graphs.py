@@ -46,6 +46,30 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
+def matches(queries: DataFrame, rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(a, b, similarity) of queries a and other rows b (both id, v) whose cosine reaches the threshold: brute force, a block of each a task."""
+    sides = [x.where(F.col("v").isNotNull() & (F.size("v") > 0)) for x in (queries, rows)]
+    n, m = (max(1, math.ceil(x.count() / block)) for x in sides)
+    # Both sides may come from one table: their columns get names of their own.
+    left = sides[0].select(F.col("id").alias("a"), F.col("v").alias("p"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    right = sides[1].select(F.col("id").alias("b"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("j"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})]
+        if len(x) and len(y):
+            for size in set(x["p"].map(len)) & set(y["q"].map(len)):
+                left_, right_ = x[x["p"].map(len) == size], y[y["q"].map(len) == size]
+                p, q = np.stack(left_["p"]), np.stack(right_["q"])
+                norms = np.outer(np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1))
+                near = np.where(norms > 0, np.round(p @ q.T / np.where(norms > 0, norms, 1), 9), 0.0)
+                ia, ib = left_["a"].to_numpy(), right_["b"].to_numpy()
+                at, bt = np.nonzero((near >= threshold) & (ia[:, None] != ib))
+                out.append(pd.DataFrame({"a": ia[at], "b": ib[bt], "similarity": near[at, bt]}))
+        return pd.concat(out)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long, similarity double")
+
+
 def lsh_shape(n: int, threshold: float, recall: float = 0.99) -> tuple[int, int]:
     """(bits, tables) for ``n`` rows: buckets of some 8 rows, and as many tables as a pair at the threshold needs."""
     bits = max(4, math.ceil(math.log2(max(n, 1) / 8))) if n else 4
@@ -127,3 +151,116 @@ def text_copies(docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: st
     shared = F.size(F.array_intersect("x", "y"))
     out = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
     return out.where(F.col("shared") * 100 >= F.col("either") * percent)
+
+
+def _sphere(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, density, tail) of the cosine between a fixed and a random direction in ``size`` dimensions."""
+    x = np.linspace(-1, 1, 4001)
+    density = (1 - x * x) ** ((max(size, 3) - 3) / 2)
+    steps = (density[1:] + density[:-1]) / 2 * np.diff(x)
+    return x, density / steps.sum(), 1 - np.concatenate([[0], np.cumsum(steps)]) / steps.sum()
+
+
+def cap_plan(n: int, threshold: float, size: int, recall: float = 0.98, share: float = 0.0005, fill: int = 200) -> tuple[float, int]:
+    """(bar, caps): the cosine from which a cap holds a vector of ``size`` components, and how many caps a pair at the threshold needs.
+
+    A cap holds ``share`` of all directions, or ``fill`` rows of many. The chance that a pair is in one cap
+    follows from the cosines of random directions: given a centre's cosine u with one vector,
+    that with the other is t u and a random rest.
+    """
+    x, density, tail = _sphere(size)
+    bar = float(np.interp(-min(share, fill / max(n, 1)), -tail, x))
+    t = min(0.999, max(0.0, threshold))
+    u = np.linspace(bar, 1 - 1e-9, 2001)
+    rest, _, beyond = _sphere(size - 1)
+    needs = (bar - t * u) / np.sqrt((1 - t * t) * (1 - u * u))
+    both = float(np.trapezoid(np.interp(u, x, density) * np.interp(needs, rest, beyond, left=1, right=0), u))
+    return bar, max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(max(both, 1e-12), 0.999))))
+
+
+class Caps:
+    """Caps of the sphere around centres that are sums of two short vectors, one for each half of the dimensions.
+
+    A vector is compared with the short ones, and sums of two products tell
+    its caps, though there may be millions. Centres come from many books of
+    short vectors, drawn apart, so that what one book misses others find.
+    Vectors of under eight components are all in one cap: directions are too few to tell them apart.
+    """
+
+    def __init__(self, size: int, bar: float, caps: int, seed: int, books: int = 64):
+        rng = np.random.default_rng([seed, size])
+        self.whole = size < 8
+        self.each, self.half, self.bar = 0 if self.whole else math.ceil(math.sqrt(caps / books)), size // 2, bar
+        self.short = []
+        for width in (self.half, size - self.half):
+            x = rng.normal(size=(books, self.each, width))
+            self.short.append(x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-12) * math.sqrt(width / size))
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The caps that a unit vector is in. First halves that no second half lifts over the bar are left at once."""
+        if self.whole:
+            return np.zeros(1, np.int64)
+        one, two = self.short[0] @ v[: self.half], self.short[1] @ v[self.half :]
+        book, first = np.nonzero(one + two.max(axis=1, keepdims=True) >= self.bar)
+        at, second = np.nonzero(one[book, first][:, None] + two[book] >= self.bar)
+        return (book[at] * self.each + first[at]) * self.each + second
+
+
+def cap_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.98, seed: int = 1, block: int = 2048) -> tuple[DataFrame, int]:
+    """(pairs (a, b, similarity) with about ``recall`` of those at the threshold and nearly all beyond, how many pairs were compared).
+
+    An index of overlapping caps of the sphere: vectors are compared with
+    those that share a cap, exactly. It pays where thresholds are too low for
+    hyperplanes: at 0.4 a vector of 64 components is in some 280 caps. A cap of more than ``block`` vectors is
+    compared block by block, so no task holds a cap as a whole.
+    """
+    rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    n = rows.count()
+
+    @F.pandas_udf("array<long>")
+    def found(v: pd.Series) -> pd.Series:
+        made: dict[int, Caps] = {}
+        out = []
+        for x in v:
+            norm = np.linalg.norm(x)
+            if len(x) not in made:
+                made[len(x)] = Caps(len(x), *cap_plan(n, threshold, len(x), recall), seed)
+            out.append(made[len(x)].of(np.asarray(x) / norm) if norm > 0 else np.empty(0, np.int64))
+        return pd.Series(out)
+
+    dealt = stash(rows.withColumn("size", F.size("v")).withColumn("cap", F.explode(found("v"))))
+    full = stash(dealt.groupBy("size", "cap").agg(F.count("*").alias("n")).where("n > 1"))
+    sums = full.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.sum("n").alias("rows")).first()
+    buckets = max(8, (sums["rows"] or 0) // 20_000)
+    k = F.ceil(F.col("n") / block).cast("int")
+    members = dealt.join(full.select("size", "cap", k.alias("k")), ["size", "cap"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j")))
+    # Small caps share a task; a large one has tasks of its own.
+    where = F.when(F.col("k") == 1, F.pmod(F.xxhash64("size", "cap"), F.lit(buckets))).otherwise(F.col("cap") + buckets)
+    members = members.select("size", "cap", "id", "v", "own", where.alias("where"), F.explode(sides).alias("x")).select("size", "cap", "id", "v", "own", "where", "x.i", "x.j")
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        """Runs of rows of one cap, on arrays: a task has thousands of small caps."""
+        found = [np.empty((0, 3))]
+        same = bool(frame["i"].iloc[0] == frame["j"].iloc[0])
+        for size, part in frame.groupby("size"):
+            order = np.argsort(part["cap"].to_numpy(), kind="stable")
+            v, ids = np.stack(part["v"].to_numpy())[order], part["id"].to_numpy()[order]
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            caps, left = part["cap"].to_numpy()[order], (part["own"] == part["i"]).to_numpy()[order]
+            cuts = np.flatnonzero(np.diff(caps)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(caps)], strict=True):
+                one, two = (v[x:y], v[x:y]) if same else (v[x:y][left[x:y]], v[x:y][~left[x:y]])
+                a, b = (ids[x:y], ids[x:y]) if same else (ids[x:y][left[x:y]], ids[x:y][~left[x:y]])
+                near = np.round(one @ two.T, 9)
+                at, bt = np.nonzero(near >= threshold)
+                good = a[at] < b[bt] if same else a[at] != b[bt]
+                at, bt = at[good], bt[good]
+                if len(at):
+                    found.append(np.stack([np.minimum(a[at], b[bt]), np.maximum(a[at], b[bt]), near[at, bt]], axis=1, dtype=object))
+        out = np.concatenate(found)
+        out = pd.DataFrame({"a": out[:, 0].astype("int64"), "b": out[:, 1].astype("int64"), "similarity": out[:, 2].astype("float64")})
+        return out.drop_duplicates(["a", "b"])
+
+    pairs = members.groupBy("where", "i", "j").applyInPandas(compared, "a long, b long, similarity double")
+    return pairs.dropDuplicates(["a", "b"]), int(sums["pairs"] or 0)

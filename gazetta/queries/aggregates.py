@@ -108,16 +108,31 @@ def window_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d13_run_health",
-    with_models("""
-, s AS (SELECT CAST(created_at AS DATE) AS day, agent, count(*) FILTER (status <> 'success') AS bad, count(*) AS n FROM runs GROUP BY ALL)
-SELECT day, 'step' AS rule, CASE WHEN bad > 70 THEN 'alert' ELSE 'info' END AS severity, agent AS subject FROM s WHERE bad > 60
-UNION ALL SELECT day, 'pipeline', 'alert', NULL FROM s GROUP BY day HAVING sum(n) < 300"""),
+    """
+WITH r AS (SELECT event_id AS id, ts, ['fetcher', 'classifier', 'deduplicator', 'analyst', 'writer', 'chat'][user_id % 6 + 1] AS agent, event_type = 'error' AS e FROM events),
+runs AS (SELECT id, ts, agent, CASE WHEN NOT e OR id % 4 > 1 AND agent <> 'writer' THEN 'success' WHEN id % 4 = 0 THEN 'Partial' WHEN id % 4 = 1 THEN 'failed' WHEN id % 4 = 2 THEN 'quiet_day_no_articles' ELSE 'no_clusters' END AS status,
+  CASE WHEN id % 3 > 0 THEN 'e' || id END AS error FROM r WHERE agent <> 'chat'),
+slots AS (SELECT CAST(d AS DATE) AS slot, d + INTERVAL '6' HOUR AS begins, d + INTERVAL '12' HOUR AS ends FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT date_trunc('day', max(ts)) FROM events) + INTERVAL '2' DAY, INTERVAL '1' DAY)) AS d)),
+own AS (SELECT slot, runs.* FROM slots JOIN runs ON ts >= begins AND ts < ends),
+f AS (SELECT slot, arg_max(status, (ts, id)) FILTER (agent = 'writer' AND status IN ('quiet_day_no_articles', 'no_clusters')) AS skip FROM own GROUP BY slot),
+b AS (SELECT slot, arg_max(event_id, (ts, event_id)) AS brief FROM slots JOIN events ON ts >= begins AND ts < ends WHERE user_id = 7 AND event_type IN ('purchase', 'click') GROUP BY slot)
+SELECT slot, 'alert' AS severity, agent AS stage, lower(status) || ': ' || coalesce(error, 'no detail') AS detail FROM own WHERE status IN ('Partial', 'failed')
+UNION ALL SELECT slot, 'alert', 'pipeline', 'no engine runs recorded since the slot start' FROM slots WHERE slot NOT IN (SELECT slot FROM f)
+UNION ALL SELECT slot, CASE WHEN skip IS NULL THEN 'alert' ELSE 'info' END, 'writer', CASE WHEN skip IS NULL THEN 'no fresh brief produced' ELSE 'no brief (writer status=' || skip || ')' END FROM f WHERE slot NOT IN (SELECT slot FROM b)
+UNION ALL SELECT slot, 'alert', 'delivery', 'brief built but not recorded as delivered' FROM f JOIN b USING (slot) WHERE brief % 2 = 1""",
 )
 def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = models.runs(spark, sf_dir).groupBy(F.to_date("created_at").alias("day"), "agent").agg(F.count_if(F.col("status") != "success").alias("bad"), F.count("*").alias("n"))
-    steps = s.where("bad > 60").select("day", F.lit("step").alias("rule"), F.when(F.col("bad") > 70, "alert").otherwise("info").alias("severity"), F.col("agent").alias("subject"))
-    idle = s.groupBy("day").agg(F.sum("n").alias("n")).where("n < 300").select("day", F.lit("pipeline").alias("rule"), F.lit("alert").alias("severity"), F.lit(None).cast("string").alias("subject"))
-    return steps.unionByName(idle)
+    """Morning slots of every day and two days more; events as runs, a user's as briefs."""
+    e = table(spark, sf_dir, "events").withColumn("created_at", F.col("ts").cast("timestamp"))
+    i = F.col("event_id")
+    agent = F.element_at(F.array(*[F.lit(x) for x in (*aggregates.ENGINES, "chat")]), (F.col("user_id") % 6 + 1).cast("int"))
+    runs = e.select(i.alias("run_id"), agent.alias("agent"), "created_at", F.col("event_type"), F.when(i % 3 > 0, F.concat(F.lit("e"), i.cast("string"))).alias("error"))
+    said = F.when((F.col("event_type") != "error") | ((F.col("run_id") % 4 > 1) & (F.col("agent") != "writer")), "success").when(F.col("run_id") % 4 == 0, "Partial").when(F.col("run_id") % 4 == 1, "failed")
+    runs = runs.withColumn("status", said.when(F.col("run_id") % 4 == 2, "quiet_day_no_articles").otherwise("no_clusters"))
+    briefs = e.where("user_id = 7 and event_type in ('purchase', 'click')").select(i.alias("brief"), "created_at")
+    ends = e.agg(F.to_date(F.min("created_at")).alias("a"), F.date_add(F.to_date(F.max("created_at")), 2).alias("b")).where("a is not null")
+    slots = ends.select(F.explode(F.sequence("a", "b")).alias("slot")).select("slot", *[(F.col("slot").cast("timestamp") + F.expr(f"interval {h} hours")).alias(n) for n, h in (("start", 6), ("end", 12))])
+    return aggregates.run_health(slots, runs, briefs, briefs.where("brief % 2 = 0"))
 
 
 @query(
@@ -147,20 +162,28 @@ def sources_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "d18_funnel",
     with_models("""
-, f AS (SELECT category, count(*) AS fetched, count(*) FILTER (published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR) AS kept, count(article_id) AS scored, count(*) FILTER (relevance >= 6 OR actionability >= 2) AS qualifying
-  FROM art LEFT JOIN src USING (source_id) LEFT JOIN scored ON article_id = id GROUP BY category)
-SELECT category, stage, n FROM (SELECT category, unnest(['fetched', 'kept', 'scored', 'qualifying']) AS stage, unnest([fetched, kept, scored, qualifying]) AS n FROM f)"""),
+, f AS (SELECT id, category, title, cluster_id, published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR AS recent, article_id IS NOT NULL AS scored, relevance >= 6 OR actionability >= 2 AS good,
+    EXISTS (SELECT 1 FROM dlv WHERE dlv.article_id = id AND account = 'acct1') AS sent FROM (SELECT *, CASE WHEN id % 5 > 0 THEN id % 400 END AS cluster_id FROM art) a LEFT JOIN src USING (source_id) LEFT JOIN scored ON article_id = id),
+g AS (SELECT *, min(id) OVER (PARTITION BY cluster_id) = id OR cluster_id IS NULL AS kept FROM f WHERE recent),
+n AS (SELECT category, 'fetched' AS stage FROM f UNION ALL SELECT category, 'recent' FROM f WHERE recent UNION ALL SELECT category, 'unique' FROM g WHERE kept UNION ALL SELECT category, 'scored' FROM g WHERE kept AND scored
+  UNION ALL SELECT category, 'qualifying' FROM g WHERE kept AND scored AND good UNION ALL SELECT category, 'undelivered' FROM g WHERE kept AND scored AND good AND NOT sent UNION ALL SELECT category, 'delivered' FROM g WHERE kept AND scored AND good AND sent)
+SELECT c.category, s.stage, (SELECT count(*) FROM n WHERE n.category IS NOT DISTINCT FROM c.category AND n.stage = s.stage) AS n
+FROM (SELECT DISTINCT category FROM f) c, (SELECT unnest(['fetched', 'recent', 'unique', 'scored', 'qualifying', 'undelivered', 'delivered']) AS stage) s"""),
 )
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = models.scores(spark, sf_dir).select(F.col("article_id").alias("id"), F.lit(True).alias("scored"))
-    rows = _known(spark, sf_dir).join(done, "id", "left")
-    counts = rows.groupBy("category").agg(
-        F.count("*").alias("fetched"),
-        F.count_if(filters.in_window(F.col("published_at"), as_of(), F.lit(24))).alias("kept"),
-        F.count("scored").alias("scored"),
-        F.count_if(filters.entry_gate(F.col("relevance"), F.col("actionability"), 6)).alias("qualifying"),
-    )
-    return counts.unpivot("category", ["fetched", "kept", "scored", "qualifying"], "stage", "n")
+    """Seven stages of each category's articles, from fetched to delivered."""
+    from pyspark.sql import Window
+
+    rows = _known(spark, sf_dir).withColumn("cluster_id", F.when(F.col("id") % 5 > 0, F.col("id") % 400)).withColumn("category", F.coalesce("category", F.lit("none")))
+    recent = rows.where(filters.in_window(F.col("published_at"), as_of(), F.lit(24)))
+    first = F.row_number().over(Window.partitionBy(F.coalesce("cluster_id", -F.col("id") - 1)).orderBy("id"))
+    unique = recent.withColumn("_n", first).where("_n = 1")
+    scored = unique.join(models.scores(spark, sf_dir).select(F.col("article_id").alias("id")).distinct(), "id", "left_semi")
+    good = scored.where(filters.entry_gate(F.col("relevance"), F.col("actionability"), 6))
+    had = models.deliveries(spark, sf_dir).where("account = 'acct1'").select(F.col("article_id").alias("id")).distinct()
+    stages = [("fetched", rows), ("recent", recent), ("unique", unique), ("scored", scored), ("qualifying", good), ("undelivered", good.join(had, "id", "left_anti")), ("delivered", good.join(had, "id", "left_semi"))]
+    out = aggregates.funnel(stages, "category")
+    return out.withColumn("category", F.nullif("category", F.lit("none")))
 
 
 @query("d19_step_status", with_models("SELECT task, agent, count(*) AS runs, count(*) FILTER (status <> 'success') AS errors, CASE WHEN count(*) FILTER (status <> 'success') > 0 THEN 'partial' ELSE 'success' END AS status FROM runs GROUP BY task, agent"))
