@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazetta.functions.text import contains_any
+from gazetta.session import sized
 
 #: Phrases of a hedged source and of a done deal, as plain substrings of lower-case text.
 HEDGED = [
@@ -227,6 +228,62 @@ def without_sources(briefs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(id_col, F.regexp_replace(F.regexp_replace(bare, "\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"))
 
 
+#: The rule above a brief's footer, and the heading of its highlights.
+FOOTER, HIGHLIGHTS = "---", "## Highlights"
+
+
+def placed_section(text: Column, section: Column, above_highlights: bool = False) -> Column:
+    """The brief with a section above its last footer rule, or above its highlights (without them the first rule); at its end where there is neither.
+
+    A null or empty section changes nothing.
+    """
+    bare = F.regexp_replace(section, r"\s+$", "")
+    end = F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n\n"))
+
+    def at(place: Column, block: Column) -> Column:
+        return F.concat(F.substr(text, F.lit(1), place - 1), block, F.substr(text, place))
+
+    if above_highlights:
+        block = F.concat(bare, F.lit("\n\n"))
+        heading, rule = F.instr(text, F.lit(HIGHLIGHTS)), F.regexp_instr(text, F.lit(rf"(?m)^{FOOTER}\s*$"))
+        made = F.when(heading > 0, at(heading, block)).when(rule > 0, at(rule, block)).otherwise(F.concat(end, bare))
+    else:
+        # The rule's line reads the same backwards, so its last place is its first in the reversed text.
+        line = f"\n{FOOTER}\n"
+        back = F.instr(F.reverse(text), F.lit(line))
+        place = F.length(text) - back - len(line) + 2
+        made = F.when(back > 0, at(place, F.concat(F.lit("\n\n"), section, F.lit("\n")))).otherwise(F.concat(end, section, F.lit("\n")))
+    return F.when(F.coalesce(section, F.lit("")) == "", text).otherwise(made)
+
+
+def digest_blocks(articles: DataFrame, clusters: DataFrame, hypotheses: DataFrame, key: str, chars: int = 600) -> DataFrame:
+    """(key, block): a brief's clusters as text for a model, in order of rank, their articles in order of ``at``.
+
+    articles: key, cluster_rank, at, id, url, name, title, published_at, relevance, actionability, topics,
+    reasoning, matches (array of id, alignment), body; clusters: key, cluster_rank, coverage, where ``left`` and
+    ``right`` mark one-sided ones; hypotheses: id, topic, stance. Matches of unknown hypotheses are left out.
+    """
+    own = [key, "cluster_rank", "at", "id"]
+    met = articles.select(*own, F.posexplode("matches").alias("n", "m")).select(*own, "n", F.col("m.id").alias("h"), F.col("m.alignment").alias("alignment"))
+    met = met.join(sized(hypotheses.select(F.col("id").alias("h"), "topic", "stance")), "h")
+    said = F.format_string("matches '%s' (stance %s), alignment %+d", "topic", "stance", F.col("alignment").cast("int"))
+    met = met.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"]), "; ").alias("hypotheses"))
+    shown = lambda c, none="": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none))
+    fields = {
+        "url": shown("url"), "source": shown("name", "Unknown"), "title": shown("title"), "published": F.coalesce(F.date_format("published_at", "yyyy-MM-dd HH:mm"), F.lit("")), "relevance": shown("relevance", "none"),
+        "actionability": shown("actionability", "none"), "topics": F.array_join(F.coalesce("topics", F.array().cast("array<string>")), ", "), "reasoning": shown("reasoning", "(none)"),
+        "hypotheses": shown("hypotheses", "none"), "snippet": F.translate(F.substring(F.coalesce("body", F.lit("")), 1, chars), "\n", " "),
+    }
+    text = F.concat_ws("\n", F.lit("Article:"), *[F.concat(F.lit(f"  {name}: "), value) for name, value in fields.items()])
+    rows = articles.join(met, own, "left").select(key, "cluster_rank", F.struct("at", "id", text.alias("s")).alias("x"))
+    body = rows.groupBy(key, "cluster_rank").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n\n").alias("body"))
+    body = body.join(clusters.select(key, "cluster_rank", "coverage"), [key, "cluster_rank"], "left")
+    tag = F.when(F.col("coverage").isin("left", "right"), F.concat(F.lit(" [one-sided coverage: "), "coverage", F.lit("]"))).otherwise("")
+    head = F.concat(F.lit("=== Cluster "), F.col("cluster_rank").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(" articles)"), tag, F.lit(" ==="))
+    parts = F.array_sort(F.collect_list(F.struct("cluster_rank", F.concat(head, F.lit("\n\n"), "body").alias("s"))))
+    return body.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["s"]), "\n\n").alias("block"))
+
+
 def chunk_sections(text: Column, limit: int) -> Column:
     """Chunks of up to ``limit`` characters, cut before ``## `` headings; a longer section is cut hard, on its own."""
     parts = F.filter(F.split(text, r"(?m)(?=^##\s)"), lambda x: x != "")

@@ -234,13 +234,28 @@ def truncated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k12_digest_blocks",
-    with_models("SELECT category, CAST(count(*) AS BIGINT) AS n, md5(string_agg('- ' || substr(replace(title, chr(10), ' '), 1, 60) || ' (' || relevance || ')', chr(10) ORDER BY relevance DESC, id)) AS block_md5 FROM art JOIN src USING (source_id) WHERE relevance >= 9 GROUP BY 1"),
+    with_models("""
+, a AS (SELECT art.*, category, name, id % 4 + 1 AS cluster_rank, lower(bias) AS lean FROM art JOIN src USING (source_id) WHERE relevance >= 9),
+h AS (SELECT id, unnest([id % 5, id % 7]) AS h, generate_subscripts([0, 0], 1) AS n FROM a), k(h, topic, stance) AS (VALUES (0, 'rates', 'up'), (1, 'chips', 'down'), (2, 'grain', 'up')),
+m AS (SELECT id, string_agg('matches ' || chr(39) || topic || chr(39) || ' (stance ' || stance || '), alignment ' || CASE WHEN n = 1 THEN '-1' ELSE '+2' END, '; ' ORDER BY n) AS hyp FROM h JOIN k USING (h) GROUP BY id),
+v AS (SELECT DISTINCT category, cluster_rank, source_id, CASE WHEN contains(lean, 'left') THEN 'left' WHEN contains(lean, 'right') THEN 'right' WHEN contains(lean, 'cent') THEN 'center' END AS side FROM a),
+g AS (SELECT category, cluster_rank, CASE WHEN count(*) FILTER (side = 'left') > 0 AND count(*) FILTER (side IN ('right', 'center')) = 0 THEN 'left' WHEN count(*) FILTER (side = 'right') > 0 AND count(*) FILTER (side IN ('left', 'center')) = 0 THEN 'right' END AS coverage FROM v GROUP BY ALL),
+t AS (SELECT category, cluster_rank, relevance, id, array_to_string(['Article:', '  url: https://example.com/' || id, '  source: ' || name, '  title: ' || title, '  published: ' || strftime(published_at, '%Y-%m-%d %H:%M'), '  relevance: ' || relevance, '  actionability: ' || actionability,
+  '  topics: ' || array_to_string(topics, ', '), '  reasoning: (none)', '  hypotheses: ' || coalesce(hyp, 'none'), '  snippet: ' || replace(substr(body, 1, 80), chr(10), ' ')], chr(10)) AS s FROM a LEFT JOIN m USING (id)),
+c AS (SELECT category, cluster_rank, count(*) AS n, string_agg(s, chr(10) || chr(10) ORDER BY relevance DESC, id) AS body FROM t GROUP BY ALL),
+b AS (SELECT category, cluster_rank, '=== Cluster ' || cluster_rank || ' (' || n || ' articles)' || CASE WHEN coverage IS NULL THEN '' ELSE ' [one-sided coverage: ' || coverage || ']' END || ' ===' || chr(10) || chr(10) || body AS s FROM c JOIN g USING (category, cluster_rank))
+SELECT category, string_agg(s, chr(10) || chr(10) ORDER BY cluster_rank) AS block FROM b GROUP BY category"""),
 )
 def digest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is given of each category: four clusters, their coverage, articles with their hypotheses."""
+    from gazetta.operators import aggregates
+
     a = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).where("category is not null and relevance >= 9")
-    line = F.concat(F.lit("- "), text.snippet(F.col("title"), 60), F.lit(" ("), F.col("relevance").cast("string"), F.lit(")"))
-    g = a.groupBy("category").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("o"), "id", line.alias("s")))).alias("x"))
-    return g.select("category", "n", F.md5(F.array_join(F.transform("x", lambda y: y["s"]), "\n").cast("binary")).alias("block_md5"))
+    pairs = F.array(F.struct((F.col("id") % 5).alias("id"), F.lit(-1).alias("alignment")), F.struct((F.col("id") % 7).alias("id"), F.lit(2).alias("alignment")))
+    rows = a.withColumns({"cluster_rank": F.col("id") % 4 + 1, "at": -F.col("relevance"), "url": F.concat(F.lit("https://example.com/"), F.col("id").cast("string")), "reasoning": F.lit(None).cast("string"), "matches": pairs})
+    known = spark.createDataFrame([(0, "rates", "up"), (1, "chips", "down"), (2, "grain", "up")], "id long, topic string, stance string")
+    clusters = aggregates.source_balance(rows, ["category", "cluster_rank"])
+    return briefs.digest_blocks(rows, clusters, known, "category", 80)
 
 
 @query("h05_representative_job", None)

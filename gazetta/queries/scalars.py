@@ -313,6 +313,24 @@ def without_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return briefs.without_sources(_citing(spark, sf_dir), "id", "content")
 
 
+@query(
+    "k13_placed",
+    CITING
+    + r""",
+c AS (SELECT id, string_agg(CASE WHEN pos % 7 = 6 AND id % 3 > 0 THEN '---' WHEN pos % 7 = 0 AND id % 4 = 1 THEN '## Highlights' ELSE line END, chr(10) ORDER BY pos) AS t FROM l GROUP BY id),
+p AS (SELECT *, string_split(t, chr(10) || '---' || chr(10)) AS x, string_split(t, '## Highlights') AS y, string_split(chr(10) || t || chr(10), chr(10) || '---' || chr(10)) AS z FROM c)
+SELECT id, CASE WHEN len(x) > 1 THEN array_to_string(x[:-2], chr(10) || '---' || chr(10)) || chr(10) || chr(10) || 'NEW ' || id || chr(10) || chr(10) || '---' || chr(10) || x[-1] ELSE regexp_replace(t, '\s+$', '') || chr(10) || chr(10) || 'NEW ' || id || chr(10) END AS footer,
+  CASE WHEN len(y) > 1 THEN y[1] || 'NEW ' || id || chr(10) || chr(10) || substr(t, length(y[1]) + 1)
+    WHEN len(z) > 1 THEN substr(t, 1, length(z[1])) || 'NEW ' || id || chr(10) || chr(10) || substr(t, length(z[1]) + 1) ELSE regexp_replace(t, '\s+$', '') || chr(10) || chr(10) || 'NEW ' || id END AS highlights FROM p""",
+)
+def placed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section put into briefs with and without footer rules and highlights."""
+    c = _citing(spark, sf_dir).select("id", F.split("content", "\n").alias("lines"))
+    line = F.transform("lines", lambda x, i: F.when(((i + 1) % 7 == 6) & (F.col("id") % 3 > 0), F.lit("---")).when(((i + 1) % 7 == 0) & (F.col("id") % 4 == 1), F.lit("## Highlights")).otherwise(x))
+    rows = c.select("id", F.array_join(line, "\n").alias("t"), F.concat(F.lit("NEW "), F.col("id").cast("string")).alias("s"))
+    return rows.select("id", briefs.placed_section(F.col("t"), F.col("s")).alias("footer"), briefs.placed_section(F.col("t"), F.col("s"), above_highlights=True).alias("highlights"))
+
+
 CHUNKS = """
 WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '(?m)^', '## ', 'g') AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
 p AS (SELECT doc_id, t, length(t) AS size, list_transform(string_split(substr(t, 4), chr(10) || '## '), lambda x, i: length(x) + 4 - CAST(i = len(string_split(substr(t, 4), chr(10) || '## ')) AS INTEGER)) AS parts FROM d),

@@ -162,6 +162,20 @@ def test_without_sources(spark):
     assert got == {1: want, 2: "", 3: "", 4: ""}
 
 
+def test_placed_sections(spark):
+    foot, high = briefs.placed_section(F.col("t"), F.col("s")), briefs.placed_section(F.col("t"), F.col("s"), above_highlights=True)
+    rows = [("a\n---\nb\n---\nfoot", "S"), ("a\n## Highlights\n- x\n---\nfoot", "S\n"), ("a\n---  \nb", "S"), ("a \n", "S"), ("a", ""), ("a", None)]
+    got = values(spark, rows, "t string, s string", foot, high)
+    assert got == [
+        ("a\n---\nb\n\nS\n\n---\nfoot", "a\nS\n\n---\nb\n---\nfoot"),
+        ("a\n## Highlights\n- x\n\nS\n\n\n---\nfoot", "a\nS\n\n## Highlights\n- x\n---\nfoot"),
+        ("a\n---  \nb\n\nS\n", "a\nS\n\n---  \nb"),
+        ("a\n\nS\n", "a\n\nS"),
+        ("a", "a"),
+        ("a", "a"),
+    ]
+
+
 def test_sign_ups_and_translations(spark):
     said = text.sign_up(F.col("s"), ["Crypto", "geo", ""], ["short", "long"])
     got = [r[0] for r in values(spark, [("+81 90 1234 5678, GEO and crypto, a Short one",), ("nothing",), (None,)], "s string", said)]
