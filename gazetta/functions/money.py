@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetta.functions.html import html_links
 from gazetta.functions.text import SIDES, clean_headline
+from gazetta.session import once
 
 #: Units of money in millions, words that announce a total, and marks of the yen in an address.
 UNITS = {"thousand": 1e-3, "k": 1e-3, "million": 1.0, "mn": 1.0, "m": 1.0, "billion": 1e3, "bn": 1e3, "b": 1e3}
@@ -66,17 +67,16 @@ STORY = ["/article/", "/story/"]
 
 def _cards(rows: DataFrame, mark: str) -> DataFrame:
     """``rows`` (title) with percent, side, sources, headline of a card's text, read word by word; without rows of another shape."""
-    flat = F.trim(F.regexp_replace("title", r"\s+", " "))
-    rows = rows.withColumn("title", flat).withColumn("_at", F.instr(F.lower("title"), F.lit(mark.lower()))).where("_at > 0")
-    rows = rows.withColumn("_rest", F.trim(F.substr("title", F.col("_at") + len(mark))))
+    rows = once(rows, title=F.trim(F.regexp_replace("title", r"\s+", " ")))
+    rows = once(rows, _at=F.instr(F.lower("title"), F.lit(mark.lower()))).where("_at > 0")
+    rows = once(rows, _rest=F.trim(F.substr("title", F.col("_at") + len(mark))))
     spare = F.startswith(F.lower("_rest"), F.lit(FILLER.lower()))
-    rows = rows.withColumn("_rest", F.when(spare, F.trim(F.substr("_rest", F.lit(len(FILLER) + 1)))).otherwise(F.col("_rest"))).where(F.contains("_rest", F.lit("%")))
-    rows = rows.withColumn("percent", F.split_part("_rest", F.lit("%"), F.lit(1)))
-    rows = rows.withColumn("_words", F.split(F.trim(F.substr("_rest", F.length("percent") + 2)), " "))
+    rows = once(rows, _rest=F.when(spare, F.trim(F.substr("_rest", F.lit(len(FILLER) + 1)))).otherwise(F.col("_rest")))
+    rows = once(rows, _percent=F.split_part("_rest", F.lit("%"), F.lit(1)), _words=F.split(F.trim(F.substr("_rest", F.instr("_rest", "%") + 1)), " ")).where(F.contains("_rest", F.lit("%")))
     side, count, unit = (F.try_element_at("_words", F.lit(i)) for i in (1, 2, 3))
-    rows = rows.where(F.col("percent").rlike(r"^\d+$") & F.initcap(side).isin(SIDES) & count.rlike(r"^\d+$") & F.lower(unit).isin("source", "sources") & (F.size("_words") > 3))
-    headline = F.array_join(F.slice("_words", 4, 100_000), " ")
-    return rows.withColumns({"percent": F.col("percent").try_cast("int"), "side": F.initcap(side), "sources": count.try_cast("int"), "headline": headline}).drop("_at", "_rest", "_words")
+    rows = rows.where(F.col("_percent").rlike(r"^\d+$") & F.initcap(side).isin(SIDES) & count.rlike(r"^\d+$") & F.lower(unit).isin("source", "sources") & (F.size("_words") > 3))
+    headline = clean_headline(F.array_join(F.slice("_words", 4, 100_000), " "))
+    return once(rows, percent=F.col("_percent").try_cast("int"), side=F.initcap(side), sources=count.try_cast("int"), headline=headline).drop("_at", "_rest", "_percent", "_words")
 
 
 def coverage_cards(pages: DataFrame, id_col: str, html_col: str, least_sources: int = 0, most: int = 1, base: str = "", mark: str = CARD, story: list[str] | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def coverage_cards(pages: DataFrame, id_col: str, html_col: str, least_sources:
         leads = leads | F.contains("url", F.lit(part))
     links = html_links(pages, id_col, html_col, 0, http_only=False, tag=" ").where(leads)
     url = F.when(F.startswith("url", F.lit("http")), F.col("url")).otherwise(F.concat(F.lit(base), "url"))
-    rows = _cards(links, mark).select(id_col, "position", url.alias("url"), "percent", "side", "sources", clean_headline(F.col("headline")).alias("headline"))
+    rows = _cards(links, mark).select(id_col, "position", url.alias("url"), "percent", "side", "sources", "headline")
     first = F.row_number().over(Window.partitionBy(id_col, "url").orderBy("position"))
     rows = rows.where("headline <> ''").withColumn("n", first).where((F.col("n") == 1) & (F.col("sources") >= least_sources))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("position"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,16 @@ def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, through an array of one.
+
+    Filters on an ordinary column are moved below it and repeat its
+    expression, for each of their terms; on long expressions that costs time and outgrows generated code.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[F.col(c) for c in df.columns if c not in columns], made)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``stash`` has written for this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
