@@ -51,6 +51,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = most
@@ -58,6 +62,20 @@ class Tokens:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encoded_words(self, words: list[str], together: int = 200) -> list[bytes]:
+        """Ids of each word. Words are encoded many to a text, with a space between, and cut after the ids that end a word."""
+        runs = [words[at : at + together] for at in range(0, len(words), together)]
+        out: list[bytes] = []
+        for at in range(0, len(runs), 64):
+            part = runs[at : at + 64]
+            for run, ids in zip(part, self._encoded([" ".join(run) for run in part]), strict=True):
+                cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 4).tolist()
+                if len(cuts) == len(run) and cuts[-1] == len(ids):
+                    out += [ids[x:y] for x, y in zip([0, *cuts], cuts)]
+                else:  # a vocabulary without ends of words
+                    out += self._encoded(run)
+        return out
+
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.words) > self.most:
@@ -70,7 +88,7 @@ class Tokens:
         known = fresh.intersection(older)
         words.update((w, older[w]) for w in known)
         fresh = list(fresh - known)
-        words.update(zip(fresh, self._encoded(fresh), strict=True))
+        words.update(zip(fresh, self._encoded_words(fresh), strict=True))
         get = words.__getitem__
         return [whole[i] if i in whole else b"".join(map(get, w)) for i, w in enumerate(split)]
 
