@@ -33,3 +33,21 @@ def listing_rows(links: DataFrame, id_col: str, most: int, paid: Column) -> Data
     """Links as article rows: the cap comes before the filter on paid content, so a page may yield fewer."""
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("position"))
     return links.withColumn("rank", rank).where((F.col("rank") <= most) & ~paid)
+
+
+def is_listing(has_feed: Column, feed_url: Column) -> Column:
+    """True for a source without a usable feed: no feed, or a feed without an address."""
+    return ~F.coalesce(has_feed & (F.trim(feed_url) != ""), F.lit(False))
+
+
+def listing_links(pages: DataFrame, id_col: str, markdown_col: str, html_col: str, least_title: int = 20, http_only: bool = True) -> DataFrame:
+    """(id, via, rank, url, title) of listing pages.
+
+    A page that came as Markdown gives the links in it, if only none; one whose
+    Markdown is null gives its anchors.
+    """
+    came = F.col(markdown_col).isNotNull()
+    md = markdown_links(pages.where(came), id_col, markdown_col, least_title).select(id_col, F.lit("markdown").alias("via"), "rank", "url", "title")
+    anchors = html_links(pages.where(~came), id_col, html_col, least_title, http_only)
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("position"))
+    return md.unionByName(anchors.select(id_col, F.lit("html").alias("via"), rank.alias("rank"), "url", "title"))

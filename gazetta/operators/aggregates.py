@@ -119,6 +119,24 @@ def step_status(steps: DataFrame, by: list[str]) -> DataFrame:
     return steps.groupBy(*by).agg(F.count("*").alias("runs"), failed.alias("errors"), F.when(failed > 0, "partial").otherwise("success").alias("status"))
 
 
+def fetch_status(failures: DataFrame, by: list[str], shown: int = 10) -> DataFrame:
+    """Status and error text of fetching steps, from rows (source, kind, at) of which kind is null, ``fetch`` or ``insert``.
+
+    The first ``shown`` names of sources that failed to be fetched are listed, in order of time, then name.
+    """
+    feeds, inserts = F.count_if(F.col("kind") == "fetch"), F.count_if(F.col("kind") == "insert")
+    counts = failures.groupBy(*by).agg(F.count("*").alias("runs"), feeds.alias("feed_errors"), inserts.alias("insert_errors"))
+    # The names are cut by rank before they are gathered, so no group is held whole.
+    failed = failures.where("kind = 'fetch'").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k{i}") for i, c in enumerate(by)], "at", "source")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "source"))
+    names = failed.withColumn("_n", rank).where(F.col("_n") <= shown).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "source"))), lambda x: x["source"]), ", ").alias("names"))
+    on = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(k) for c, k in zip(by, keys, strict=True)]
+    bad = (F.col("feed_errors") > 0) | (F.col("insert_errors") > 0)
+    error = F.concat(F.col("feed_errors").cast("string"), F.lit(" source(s) failed to fetch, "), F.col("insert_errors").cast("string"), F.lit(" insert error(s)"))
+    return counts.join(names, on, "left").select(*by, "runs", F.when(bad, "partial").otherwise("success").alias("status"), F.when(bad, error).alias("error"), "names")
+
+
 def ordered_ids(rows: DataFrame, group: str, id_col: str, position: str) -> DataFrame:
     """Each group's distinct ids in the order of their first occurrence."""
     first = rows.groupBy(group, id_col).agg(F.min(position).alias("at"))

@@ -128,31 +128,74 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
-def text_copies(docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a < b, shared, either) of texts whose word shingles overlap by ``percent`` of their union, exactly.
-
-    Equal sets count once, by their smallest id. A pair at the threshold must
-    share one of each text's rarest shingles, so only those are joined.
-    """
+def _shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the sorted set of hashed word shingles of each text with words."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - shingle + 1))
     made = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " "))))
-    sets = docs.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0").select("id", F.array_sort(made).alias("s"))
-    sets = stash(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n")))
+    return docs.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0").select("id", F.array_sort(made).alias("s"))
+
+
+def _set_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, shared, either) of different sets (id, s, n) that overlap by ``percent`` of their union.
+
+    A pair shares one of each set's rarest shingles, and their sizes are in
+    one band of sizes or in neighbouring ones, as the larger one holds at most 100 / ``percent``
+    times the smaller one's. So a shingle that many sets have among their rarest is
+    joined band by band, which splits it over tasks and leaves out pairs that cannot be.
+    """
     parts = sets.select("id", "n", F.explode("s").alias("g"))
     counts = parts.groupBy("g").agg(F.count("*").alias("df"))
     rare = parts.join(counts.where("df > 1"), "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"), F.count("*").alias("common"))
     # Shingles that nobody shares are the rarest of all; they use up the prefix first.
     width = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1 - (F.col("n") - F.col("common"))
-    dealt = rare.where(width > 0).select("id", "n", F.explode(F.slice("r", 1, width.cast("int"))).alias("x")).select("id", "n", "x.g")
-    a, b = dealt.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), dealt.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
+    # Bands are a little wider than the bound, so rounding leaves no pair two bands apart.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.000001)).cast("int") if percent < 100 else F.col("n")
+    dealt = rare.where(width > 0).select("id", "n", band.alias("band"), F.explode(F.slice("r", 1, width.cast("int"))).alias("x")).select("id", "n", "band", "x.g")
+    # The smaller set asks in its own band and the next; among equal sizes the smaller id does.
+    a = dealt.select(F.col("id").alias("a"), F.col("n").alias("na"), "g", F.explode(F.array("band", F.col("band") + 1) if percent < 100 else F.array("band")).alias("band"))
+    b = dealt.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g", "band")
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = a.join(b, ["g", "band"]).where(first & (F.col("na") * 100 >= F.col("nb") * percent))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     out = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
     return out.where(F.col("shared") * 100 >= F.col("either") * percent)
 
 
+def _distinct_sets(rows: DataFrame) -> DataFrame:
+    """Equal sets once, by their smallest id, and how many there are."""
+    return stash(rows.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "s", F.size("s").alias("n"), "copies"))
+
+
+def text_copies(docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a < b, shared, either) of texts whose word shingles overlap by ``percent`` of their union, exactly.
+
+    Equal sets count once, by their smallest id.
+    """
+    return _set_pairs(_distinct_sets(_shingle_sets(docs, shingle, id_col, text_col)), percent)
+
+
+def copy_links(docs: DataFrame, percent: int = 85, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, class_id, copies, links.
+
+    ``class_id`` is the smallest id with the same shingles, ``copies`` the
+    number of rows with them, itself included, ``links`` the rows of other
+    shingles that overlap by ``percent``. Copies are never expanded into
+    pairs. A null text, and one without words, is its own class with one copy and no links.
+    """
+    rows = _shingle_sets(docs, shingle, id_col, text_col)
+    classes = _distinct_sets(rows)
+    pairs = stash(_set_pairs(classes, percent).select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(classes.select(F.col("id").alias("b"), F.col("copies").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("links"))
+    members = rows.join(classes.select("s", F.col("id").alias("class_id"), "copies"), "s").select("id", "class_id", "copies")
+    found = members.join(far, "class_id", "left").select(F.col("id").alias(id_col), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    bare = docs.where(~F.coalesce(F.lower(text_col).rlike("[a-z0-9]"), F.lit(False)))
+    return found.unionByName(bare.select(id_col, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")))
+
+
 def _sphere(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, density, tail) of the cosine between a fixed and a random direction in ``size`` dimensions."""
     x = np.linspace(-1, 1, 4001)

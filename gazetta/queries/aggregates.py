@@ -191,6 +191,20 @@ def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.step_status(models.runs(spark, sf_dir), ["task", "agent"])
 
 
+@query(
+    "d19_fetch_status",
+    """WITH f AS (SELECT user_id % 20 AS step, event_id AS met, 'src' || (event_id % 100) AS source, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'insert' ELSE 'fetch' END END AS kind FROM events),
+n AS (SELECT step, source, met, row_number() OVER (PARTITION BY step ORDER BY met, source) AS k FROM f WHERE kind = 'fetch'), g AS (SELECT step, string_agg(source, ', ' ORDER BY k) AS names FROM n WHERE k <= 10 GROUP BY step),
+c AS (SELECT step, count(*) AS runs, count(*) FILTER (kind = 'fetch') AS a, count(*) FILTER (kind = 'insert') AS b FROM f GROUP BY step)
+SELECT step, runs, CASE WHEN a + b > 0 THEN 'partial' ELSE 'success' END AS status, CASE WHEN a + b > 0 THEN a || ' source(s) failed to fetch, ' || b || ' insert error(s)' END AS error, names FROM c LEFT JOIN g USING (step)""",
+)
+def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "insert").otherwise("fetch"))
+    rows = e.select((F.col("user_id") % 20).alias("step"), F.col("event_id").alias("at"), F.concat(F.lit("src"), (F.col("event_id") % 100).cast("string")).alias("source"), kind.alias("kind"))
+    return aggregates.fetch_status(rows, ["step"])
+
+
 @query(
     "d20_ordered_ids",
     "WITH f AS (SELECT user_id, event_type, min(event_id) AS met FROM events GROUP BY ALL) SELECT user_id, list(event_type ORDER BY met) AS ids FROM f GROUP BY user_id",

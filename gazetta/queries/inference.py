@@ -174,6 +174,18 @@ def text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.text_copies(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "h06_copy_links",
+    COPIES + """, m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sh) AS class_id, count(*) OVER (PARTITION BY sh) AS copies FROM s),
+k AS (SELECT x.c AS c, sum(y.n) AS links FROM (SELECT a AS c, b AS d FROM p UNION ALL SELECT b, a FROM p) x JOIN (SELECT class_id, count(*) AS n FROM m GROUP BY 1) y ON y.class_id = x.d GROUP BY 1)
+SELECT doc_id, class_id, copies, CAST(coalesce(links, 0) AS BIGINT) AS links FROM m LEFT JOIN k ON c = class_id
+UNION ALL SELECT doc_id, doc_id, 1, 0 FROM documents WHERE NOT coalesce(regexp_matches(lower(text), '[a-z0-9]'), false)""",
+)
+def copy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of equal shingles and number of near copies outside it."""
+    return graphs.copy_links(table(spark, sf_dir, "documents"))
+
+
 @query("g11_deltas", "WITH p AS (SELECT event_id, event_type, value, lag(value) OVER w AS old, lag(event_type) OVER w AS old_kind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, 'tally' AS delta FROM p WHERE event_type <> 'error' AND old_kind <> 'error' AND value > old AND old <> 0 AND round(value - old, 9) / old >= 0.15")
 def fact_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as text, as a model gives them; errors are facts of the other family."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazetta import models
 from gazetta.functions import quantity, text
 from gazetta.models import as_of, with_models
-from gazetta.operators import filters, joins
+from gazetta.operators import filters, joins, overlaps
 from gazetta.queries.registry import query
 from gazetta.session import sized, table
 
@@ -242,6 +242,19 @@ def topic_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.topic_overlap(models.articles(spark, sf_dir))
 
 
+@query(
+    "c10_topic_links",
+    with_models("""
+, t AS (SELECT id, len(topics) AS n, unnest(topics) AS topic FROM art),
+p AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.topic = b.topic AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 2 OR a.n <= 2 OR b.n <= 2),
+k AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT id, CASE WHEN len(topics) = 0 THEN id ELSE min(id) OVER (PARTITION BY list_sort(topics)) END AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM art LEFT JOIN k ON a = id"""),
+)
+def topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article's class of equal topics and number of overlapping articles, without pairs."""
+    return overlaps.topic_links(models.articles(spark, sf_dir))
+
+
 @query(
     "c12_woven",
     with_models("""

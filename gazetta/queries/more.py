@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta import models
-from gazetta.functions import deltas, quantity, registry, text
+from gazetta.functions import deltas, html, quantity, registry, text
 from gazetta.models import as_of, with_models
 from gazetta.operators import filters, joins
 from gazetta.plans import briefs, inference
 from gazetta.queries.registry import query
+from gazetta.queries.scalars import QUANTITY
 from gazetta.session import sized, stash, table
 from gazetta.sources import drops, feeds
 
@@ -85,6 +86,30 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source_id", F.when(feed.isNotNull(), "feed").otherwise("listing").alias("route"), F.size(found).alias("links"))
 
 
+@query(
+    "b17_listing_links",
+    with_models(r"""
+, pg AS (SELECT page_id, source_id, html, page_id % 4 AS k FROM pages JOIN src ON source_no = page_id % 10 WHERE NOT (source_no % 3 = 0 AND source_no % 2 = 0)),
+mx AS (SELECT page_id, source_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pg WHERE k >= 2),
+ml AS (SELECT page_id, source_id, 'https://h.example' || unnest(u) AS url, trim(regexp_replace(unnest(t), '\s+', ' ', 'g')) AS title, generate_subscripts(u, 1) AS position FROM mx),
+mf AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY position) AS f FROM ml WHERE length(title) > 2 AND NOT regexp_matches(url, '[)\s]') AND NOT contains(title, ']')),
+hx AS (SELECT page_id, source_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS u, regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM pg WHERE k = 0),
+hl AS (SELECT page_id, source_id, unnest(u) AS url, trim(regexp_replace(unnest(t), '<[^>]*>', '', 'g')) AS title, generate_subscripts(u, 1) AS position FROM hx)
+SELECT page_id, source_id, 'markdown' AS via, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) AS INTEGER) AS rank, url, title FROM mf WHERE f = 1
+UNION ALL SELECT page_id, source_id, 'html', CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) AS INTEGER), url, title FROM hl WHERE length(title) > 2"""),
+)
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the pages of sources without a usable feed; a quarter of the pages came without Markdown, a quarter with none in it."""
+    s = models.sources(spark, sf_dir).select("source_id", "source_no")
+    has_feed, address = F.col("source_no") % 3 == 0, F.when(F.col("source_no") % 2 == 0, "https://feed").otherwise("")
+    listed = s.where(html.is_listing(has_feed, address))
+    p = table(spark, sf_dir, "pages").withColumn("source_no", F.col("page_id") % 10).join(sized(listed), "source_no")
+    written = F.regexp_replace("html", r'<a href="([^"]*)">([^<]*)</a>', r"[$2](https://h.example$1)")
+    came = F.when(F.col("page_id") % 4 == 1, "").when(F.col("page_id") % 4 >= 2, written)
+    pages = p.select("page_id", "source_id", "html", came.alias("md"))
+    return html.listing_links(pages, "page_id", "md", "html", 2, http_only=False).join(pages.select("page_id", "source_id"), "page_id")
+
+
 @query("c16_story_links", with_models(", b AS (SELECT o_custkey AS story, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT story, '[' || coalesce(name, 'Unknown') || '](https://example.com/' || first || ')' AS link FROM b JOIN art ON id = first LEFT JOIN src USING (source_id)"))
 def story_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link of a story is its first article's."""
@@ -180,6 +205,12 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT normalize_bias(bias) AS lean, count(*) AS n FROM {rows} GROUP BY 1", rows=_known(spark, sf_dir).select("bias"))
 
 
+@query("l08_parse_quantity", f"SELECT doc_id, amount FROM ({QUANTITY})")
+def sql_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry.register(spark)
+    return spark.sql("SELECT doc_id, amount FROM (SELECT doc_id, parse_quantity(text) AS amount FROM {rows}) WHERE amount IS NOT NULL", rows=table(spark, sf_dir, "documents"))
+
+
 @query("i04_chat_selection")
 def chat_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chat's brief in one run; the customers are the chats, and ask for one of few sets of categories and lengths."""

@@ -1,0 +1,93 @@
+"""Links counted without pairs, against all pairs; links of listing pages; error texts."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gazetta.functions import html, quantity, registry
+from gazetta.operators import aggregates, graphs, overlaps
+
+
+def _linked(a, b):
+    return len(a & b) >= 2 or (len(a & b) == 1 and min(len(a), len(b)) <= 2)
+
+
+@pytest.mark.parametrize("subsets_to", [8, 3, 1])
+def test_topic_links_are_those_of_all_pairs(spark, subsets_to):
+    rng = random.Random(3)
+    rows = [(i, "s" if i % 4 else None, [rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))]) for i in range(150)]
+    rows += [(200, "s", None), (201, "s", [None, "a", "a"]), (3, "s", rows[3][2]), (202, "t", ["a"])]
+    df = spark.createDataFrame(rows, "id long, scope string, topics array<string>").withColumn("links", F.lit("clash"))
+    got = overlaps.topic_links(df, scope="scope", subsets_to=subsets_to).collect()
+    sets = [(i, s, {t for t in ts or [] if t}) for i, s, ts in rows]
+    want = []
+    for k, (i, s, ts) in enumerate(sets):
+        alike = [j for j, s2, u in sets if s2 == s and u == ts]
+        want.append((i, s, min(alike) if ts else i, sum(_linked(ts, u) for m, (_, s2, u) in enumerate(sets) if m != k and s2 == s)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_topic_links_of_a_hot_topic_and_of_nothing(spark):
+    hot = spark.range(20_000).select("id", F.array(F.lit("hot"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), "id")).alias("topics"))
+    assert overlaps.topic_links(hot).agg(F.sum("links").alias("n")).first()["n"] == 0
+    alike = spark.range(20_000).select("id", F.array(F.lit("hot"), F.lit("day")).alias("topics"))
+    got = overlaps.topic_links(alike).select("class_id", "links").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 19_999)]
+    assert overlaps.topic_links(alike.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [85, 50, 100])
+def test_copy_links_are_those_of_all_pairs(spark, percent):
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 60))] for _ in range(25)]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice("abcdefghijklmnop")
+        rows.append((i, " ".join(words + ["z"] * rng.randint(0, 3))))
+    rows += [(500, None), (501, ""), (502, "! ?"), (503, rows[0][1].upper())]
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in graphs.copy_links(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    sets = {}
+    for i, t in rows:
+        w = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else None
+    want = {}
+    for i, s in sets.items():
+        alike = [j for j, t in sets.items() if s is not None and t == s]
+        links = sum(1 for t in sets.values() if s is not None and t is not None and t != s and 100 * len(s & t) >= percent * len(s | t))
+        want[i] = (min(alike), len(alike), links) if alike else (i, 1, 0)
+    assert got == want
+
+
+def test_listing_links_fall_back_on_null_only(spark):
+    page = '<a href="https://x.y/1">One <b>long</b> title of a story</a><a href="/2">two</a>'
+    rows = [(1, None, page), (2, "", page), (3, "[A title that is long enough](https://x.y/3)", page)]
+    got = html.listing_links(spark.createDataFrame(rows, "id long, md string, html string"), "id", "md", "html").collect()
+    assert sorted((r.id, r.via, r.rank, r.url) for r in got) == [(1, "html", 1, "https://x.y/1"), (3, "markdown", 1, "https://x.y/3")]
+
+
+def test_a_feed_needs_an_address(spark):
+    rows = [(True, "https://f", False), (True, "", True), (True, None, True), (False, "https://f", True), (None, "https://f", True)]
+    got = spark.createDataFrame(rows, "feed boolean, url string, want boolean")
+    assert got.where(html.is_listing(F.col("feed"), F.col("url")) != F.col("want")).count() == 0
+
+
+def test_fetch_status(spark):
+    rows = [("a", k, f"s{k}", "fetch") for k in range(12)] + [("a", 99, "s99", "insert"), ("b", 1, "x", None), (None, 1, "y", "insert")]
+    got = {r.step: tuple(r)[1:] for r in aggregates.fetch_status(spark.createDataFrame(rows, "step string, at long, source string, kind string"), ["step"]).collect()}
+    assert got == {
+        "a": (13, "partial", "12 source(s) failed to fetch, 1 insert error(s)", ", ".join(f"s{k}" for k in range(10))),
+        "b": (1, "success", None, None),
+        None: (1, "partial", "0 source(s) failed to fetch, 1 insert error(s)", None),
+    }
+
+
+def test_quantities_for_sql_users(spark):
+    registry.register(spark)
+    texts = ["up 1,200.5 million", "-3k", "5 t of grain", "none", "", None, "2bn!"]
+    spark.createDataFrame([(t,) for t in texts], "text string").createOrReplaceTempView("quantity_texts")
+    got = spark.sql("SELECT text, parse_quantity(text) AS q FROM quantity_texts")
+    assert got.where(~F.col("q").eqNullSafe(quantity.amount(F.col("text")))).count() == 0
+    assert [r.q for r in got.collect()] == [1.2005e9, -3000.0, 5.0, None, None, None, 2e9]
