@@ -83,18 +83,33 @@ def map_back(batches: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFra
     return first, batches.join(first.select("batch_id", "item_id"), ["batch_id", "item_id"], "left_anti")
 
 
-def topic_overlap(articles: DataFrame, id_col: str = "id", scope: str | None = None) -> DataFrame:
-    """Pairs (a < b) that share two topics, or one where either set has two at most.
+def topic_overlap(articles: DataFrame, id_col: str = "id", scope: str | None = None, pairs_to: int = 16) -> DataFrame:
+    """Pairs (a < b, shared) that share two topics, or one where either set has two at most.
 
-    An equi-join on the topic; a hot topic is split by AQE's skew join.
+    Sets of three topics or more meet by pairs of topics, so a topic that many
+    share makes no rows beyond those of the result. Sets of one or two
+    meet all others by topic, as any shared topic counts; so do those of more
+    than ``pairs_to`` topics, which have too many pairs.
     """
     keys = [scope] if scope else []
-    rows = articles.select(id_col, *keys, F.array_distinct("topics").alias("topics")).where("size(topics) > 0")
-    parts = rows.select(id_col, *keys, F.size("topics").alias("n"), F.explode("topics").alias("topic"))
-    a = parts.select(F.col(id_col).alias("a"), F.col("n").alias("n_a"), "topic", *keys)
-    b = parts.select(F.col(id_col).alias("b"), F.col("n").alias("n_b"), "topic", *keys)
-    shared = a.join(b, ["topic", *keys]).where("a < b").groupBy("a", "b", "n_a", "n_b", *keys).agg(F.count("*").alias("shared"))
-    return shared.where("shared >= 2 or n_a <= 2 or n_b <= 2").select("a", "b", "shared", *keys)
+    rows = articles.select(id_col, *keys, F.array_sort(F.array_distinct("topics")).alias("topics")).withColumn("n", F.size("topics")).where("n > 0")
+    apart = (F.col("n") <= 2) | (F.col("n") > pairs_to)
+
+    def side(df: DataFrame, name: str, parts: Column) -> DataFrame:
+        return df.select(F.col(id_col).alias(name), F.col("n").alias(f"n_{name}"), apart.alias(f"apart_{name}"), *keys, F.explode(parts).alias("key"))
+
+    single = F.col("topics")
+    # Of two sets that are both apart, the one of the smaller id asks.
+    met = side(rows.where(apart), "a", single).join(side(rows, "b", single), ["key", *keys]).where("a < b or (a > b and not apart_b)")
+    met = met.groupBy("a", "b", "n_a", "n_b", *keys).agg(F.count("*").alias("shared")).where("shared >= 2 or n_a <= 2 or n_b <= 2")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", *keys)
+
+    twos = F.flatten(F.transform("topics", lambda t, k: F.transform(F.slice("topics", k + 2, F.size("topics")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+    wide = rows.where(~apart)
+    both = side(wide, "a", twos).join(side(wide, "b", twos), ["key", *keys]).where("a < b").groupBy("a", "b", *keys).agg(F.count("*").alias("twos"))
+    # Of s shared topics there are s (s - 1) / 2 pairs.
+    shared = F.round((1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).cast("long")
+    return met.unionByName(both.select("a", "b", shared.alias("shared"), *keys))
 
 
 def woven(drops: DataFrame, themes: DataFrame, key: str) -> DataFrame:

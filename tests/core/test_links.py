@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazetta.functions import html, quantity, registry
-from gazetta.operators import aggregates, graphs, overlaps
+from gazetta.operators import aggregates, graphs, joins, overlaps
 
 
 def _linked(a, b):
@@ -28,6 +28,16 @@ def test_topic_links_are_those_of_all_pairs(spark, subsets_to):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("pairs_to", [16, 4, 2])
+def test_overlaps_are_those_of_all_pairs(spark, pairs_to):
+    rng = random.Random(6)
+    rows = [(i, f"s{i % 2}", [rng.choice("abcdefghij") for _ in range(rng.randint(0, 7))]) for i in range(120)] + [(300, "s0", None)]
+    sets = [(i, s, set(ts or [])) for i, s, ts in rows]
+    want = {(i, j, len(x & y), s) for i, s, x in sets for j, t, y in sets if i < j and s == t and _linked(x, y)}
+    got = joins.topic_overlap(spark.createDataFrame(rows, "id long, scope string, topics array<string>"), scope="scope", pairs_to=pairs_to).collect()
+    assert len(got) == len(want) and {(r.a, r.b, r.shared, r.scope) for r in got} == want
+
+
 def test_topic_links_of_a_hot_topic_and_of_nothing(spark):
     hot = spark.range(20_000).select("id", F.array(F.lit("hot"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), "id")).alias("topics"))
     assert overlaps.topic_links(hot).agg(F.sum("links").alias("n")).first()["n"] == 0
