@@ -106,11 +106,11 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.groupBy("model").agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("calls"))
 
 
-def centroid(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """The mean vector of each group, dimension by dimension."""
+def centroid(vectors: DataFrame, group: str, vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """The mean vector of each group, dimension by dimension, rounded once."""
     parts = vectors.where(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("d", "x"))
     means = parts.groupBy(group, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda p: F.round(p["m"], 9)).alias("centroid"))
+    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda p: F.round(p["m"], digits)).alias("centroid"))
 
 
 def step_status(steps: DataFrame, by: list[str]) -> DataFrame:

@@ -150,8 +150,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM p GROUP BY ALL) SELECT label, list(round(m, 6) ORDER BY d) AS centroid FROM m GROUP BY label",
 )
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aggregates.centroid(table(spark, sf_dir, "embeddings"), "label")
-    return out.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return aggregates.centroid(table(spark, sf_dir, "embeddings"), "label", digits=6)
 
 
 @query("d17_sources_by_category", with_models("SELECT category, count(*) FILTER (source_no % 2 = 0) AS active, count(*) AS total FROM src GROUP BY 1"))
