@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ def critic(briefs: DataFrame, id_col: str, text_col: str, cap: int, least_themes
     Beyond ``overrun`` times the cap a brief overruns; before, it is just over.
     """
     parts = sections(briefs, id_col, text_col)
+    # As decimals: 3000 * 1.15 in doubles is a little under 3450.
+    bar = F.lit(cap * Decimal(str(overrun)))
     empty = briefs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "").select(id_col, F.lit("empty_brief").alias("rule"), F.lit("critical").alias("severity"), F.lit(None).cast("string").alias("subject"))
     sound = briefs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
     themes = parts.groupBy(id_col).agg(F.count_if("is_theme").alias("themes"))
@@ -52,8 +56,8 @@ def critic(briefs: DataFrame, id_col: str, text_col: str, cap: int, least_themes
         fault(one.where("themes = 0"), "no_themes", "critical"),
         fault(one.where((F.col("themes") > 0) & (F.col("themes") < least_themes)), "few_themes", "minor"),
         fault(sound.where(~F.contains(text_col, F.lit("]("))), "no_citations", "critical"),
-        fault(sound.where(F.length(text_col) > cap * overrun), "char_overrun", "important"),
-        fault(sound.where((F.length(text_col) > cap) & (F.length(text_col) <= cap * overrun)), "char_over_cap", "minor"),
+        fault(sound.where(F.length(text_col) > bar), "char_overrun", "important"),
+        fault(sound.where((F.length(text_col) > cap) & (F.length(text_col) <= bar)), "char_over_cap", "minor"),
         fault(parts.where(F.trim("body") == ""), "empty_section", "important", F.col("heading")),
         fault(parts.where(F.col("is_theme") & (F.trim("body") != "") & ~cited), "theme_no_citation", "important", F.col("heading")),
     ]
@@ -117,7 +121,7 @@ def truncated_tail(text: Column, most: int = 5) -> Column:
 
 def over_cap(chars: Column, cap: Column | int, ratio: float = 1.0) -> Column:
     """Characters over the cap, null within its ratio."""
-    return F.when(chars > cap * F.lit(ratio), chars - cap)
+    return F.when(chars > cap * F.lit(Decimal(str(ratio))), chars - cap)
 
 
 #: Characters that a theme's body should have by size, and the size of each length that a chat can ask for.

@@ -1,5 +1,8 @@
 """Values that lie on a bar, or where rounding twice gives another number."""
 
+from pyspark.sql import functions as F
+
+from gazetta.functions import briefs
 from gazetta.operators import aggregates
 
 
@@ -7,3 +10,11 @@ def test_centroids_are_rounded_once(spark):
     # -0.0009724997 is -0.0009725 with nine digits, and that -0.000973 with six.
     rows = spark.createDataFrame([(1, [-0.0009724997, 0.5])], "label int, embedding array<double>")
     assert [list(r["centroid"]) for r in aggregates.centroid(rows, "label", digits=6).collect()] == [[-0.000972, 0.5]]
+
+
+def test_a_brief_at_the_overrun_itself_is_just_over(spark):
+    rows = spark.createDataFrame([(n, "## A\n[s](u)".ljust(n, "x")) for n in (3000, 3001, 3450, 3451)], "id int, content string")
+    found = briefs.critic(rows, "id", "content", 3000, least_themes=1, overrun=1.15).collect()
+    assert sorted((r["id"], r["rule"]) for r in found) == [(3001, "char_over_cap"), (3450, "char_over_cap"), (3451, "char_overrun")]
+    n = rows.select("id", briefs.over_cap(F.col("id"), 3000, 1.15).alias("over"))
+    assert [r["over"] for r in n.orderBy("id").collect()] == [None, None, None, 451]
