@@ -18,11 +18,12 @@ def classify(kind: Column, old: Column, new: Column, old_kind: Column, relative:
 
     Types of different families don't compare; a tally must climb; numbers
     must pass the bar; words must differ once lower-cased and trimmed.
+    A change is rounded to nine digits, so that from 1.00 to 1.15 is 15 %.
     """
     a, b = amount(old), amount(new)
     numeric = kind.isin(NUMERIC) & old_kind.isin(NUMERIC) & a.isNotNull() & b.isNotNull()
     words = kind.isin(CATEGORICAL) & old_kind.isin(CATEGORICAL) & old.isNotNull() & new.isNotNull()
-    moved = material(a, b, relative, absolute)
+    moved = material(a, b, relative, absolute, digits=9)
     return F.when(numeric & (kind == "tally") & (b > a) & moved, kind).when(numeric & (kind != "tally") & moved, kind).when(words & (F.lower(F.trim(old)) != F.lower(F.trim(new))), kind)
 
 

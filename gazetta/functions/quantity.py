@@ -29,9 +29,9 @@ def unit(text: Column) -> Column:
     return F.when(F.regexp_extract(low, FIRST, 1) == "", None).when(F.contains(text, F.lit("%")), "%").when(token != "", token)
 
 
-def material(old: Column, new: Column, relative: float, absolute: float) -> Column:
-    """By the absolute bar (off at 0 or less) or the relative bar (never from a base of 0)."""
-    change = F.abs(new - old)
+def material(old: Column, new: Column, relative: float, absolute: float, digits: int | None = None) -> Column:
+    """By the absolute bar (off at 0 or less) or the relative bar (never from a base of 0); the change may be rounded to ``digits``."""
+    change = F.abs(new - old if digits is None else F.round(new - old, digits))
     by_size = (change >= absolute) if absolute > 0 else F.lit(False)
     return by_size | ((old != 0) & (change / F.abs(old) >= relative))
 

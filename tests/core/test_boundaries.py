@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gazetta.functions import briefs
+from gazetta.functions import briefs, deltas
 from gazetta.operators import aggregates
 
 
@@ -18,3 +18,10 @@ def test_a_brief_at_the_overrun_itself_is_just_over(spark):
     assert sorted((r["id"], r["rule"]) for r in found) == [(3001, "char_over_cap"), (3450, "char_over_cap"), (3451, "char_overrun")]
     n = rows.select("id", briefs.over_cap(F.col("id"), 3000, 1.15).alias("over"))
     assert [r["over"] for r in n.orderBy("id").collect()] == [None, None, None, 451]
+
+
+def test_changes_of_the_bar_itself_are_worth_a_note(spark):
+    rows = [("tally", "1.00", "1.15"), ("tally", "1.20", "1.38"), ("tally", "2.00", "2.29"), ("price", "1.15", "1.00"), ("price", "2.00", "1.70")]
+    kind, old, new = (F.col(c) for c in ("k", "a", "b"))
+    got = spark.createDataFrame(rows, "k string, a string, b string").select("k", "a", "b", deltas.classify(kind, old, new, kind).alias("d"))
+    assert [r["a"] + " " + r["b"] for r in got.collect() if r["d"]] == ["1.00 1.15", "1.20 1.38", "2.00 1.70"]
