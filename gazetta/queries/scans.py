@@ -123,12 +123,12 @@ def run_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("run_id", "task", "agent", "cost", "status", "task_type", "project", "actual_cost", "trace_id", "artifact_verified")
 
 
-@query("a14_window_scan", with_models("SELECT id, source_id FROM art WHERE published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR AND published_at < TIMESTAMP '2024-01-03 21:00:00'"))
+@query("a14_window_scan", with_models("SELECT id, source_id FROM art WHERE published_at >= TIMESTAMP '2024-01-03 21:00:00' - INTERVAL '24' HOUR"))
 def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day of a store by date: its folders of two dates are read."""
+    """What a store by date has from 24 hours ago on: only the folders from that date on are read."""
     base = f"{stash_dir(spark)}/articles-{uuid.uuid4().hex}"
     store.write_dates(models.articles(spark, sf_dir).select("id", "source_id", "published_at"), base, "published_at")
-    return store.read_window(spark, base, "published_at", as_of() - F.expr("interval 24 hours"), as_of()).select("id", "source_id")
+    return store.read_window(spark, base, "published_at", as_of() - F.expr("interval 24 hours")).select("id", "source_id")
 
 
 @query(

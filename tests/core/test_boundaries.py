@@ -1,9 +1,12 @@
 """Values that lie on a bar, or where rounding twice gives another number."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from gazetta.functions import briefs, deltas
 from gazetta.operators import aggregates
+from gazetta.queries import QUERIES
 
 
 def test_centroids_are_rounded_once(spark):
@@ -25,3 +28,10 @@ def test_changes_of_the_bar_itself_are_worth_a_note(spark):
     kind, old, new = (F.col(c) for c in ("k", "a", "b"))
     got = spark.createDataFrame(rows, "k string, a string, b string").select("k", "a", "b", deltas.classify(kind, old, new, kind).alias("d"))
     assert [r["a"] + " " + r["b"] for r in got.collect() if r["d"]] == ["1.00 1.15", "1.20 1.38", "2.00 1.70"]
+
+
+def test_a_scan_of_a_day_has_all_from_its_start_on(spark, tmp_path):
+    times = [dt.datetime(2024, 1, 2, 20, 59, 59), dt.datetime(2024, 1, 2, 21), dt.datetime(2024, 1, 3, 20), dt.datetime(2024, 1, 3, 21), dt.datetime(2024, 1, 9)]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, "Title\ntext", "en", "src0", 10) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["id"] for r in QUERIES["a14_window_scan"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
