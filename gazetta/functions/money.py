@@ -41,14 +41,20 @@ def stated_total(text: Column) -> Column:
     """The amount that a text first calls its total; null without one, or where it has no unit."""
     announced = "(?i)(" + "|".join(TOTALS) + rf")[^0-9]{{0,{NEAR}}}$"
     found = F.filter(_after_dollar(text), lambda p: p["before"].rlike(announced) & p["after"].rlike(r"^\s?\d"))
-    return F.when(F.size(found) > 0, _millions(F.try_element_at(found, F.lit(1))["after"]))
+    first = lambda f: F.when(F.size(f) > 0, _millions(F.try_element_at(f, F.lit(1))["after"]))
+    return F.transform(F.array(found), first)[0]
 
 
 def total_mismatch(text: Column, share: float = 0.05) -> Column:
     """The stated total is more than ``share`` off the sum of the section's other amounts, of which there is one at least."""
-    total, every = stated_total(text), amounts(text)  # the total itself is one of the amounts
-    others = F.aggregate(every, F.lit(0.0), lambda s, x: s + x) - total
-    return F.coalesce((total > 0) & (F.size(every) > 1) & (others > 0) & (F.abs(others - total) / total > share), F.lit(False))
+
+    def off(x: Column) -> Column:
+        total, others = x["total"], x["sum"] - x["total"]  # the total itself is one of the amounts
+        return F.coalesce((total > 0) & (x["n"] > 1) & (others > 0) & (F.abs(others - total) / total > share), F.lit(False))
+
+    # Through arrays of one, so that the text is read once for the total and once for the amounts.
+    summed = lambda e: F.struct(stated_total(text).alias("total"), F.size(e).alias("n"), F.aggregate(e, F.lit(0.0), lambda s, x: s + x).alias("sum"))
+    return F.transform(F.transform(F.array(amounts(text)), summed), off)[0]
 
 
 def currency_mismatch(text: Column) -> Column:

@@ -1,5 +1,8 @@
 """What keeps memory and shuffles small: no broadcast of exploded rows, no text through a join that does not need it."""
 
+from pyspark.sql import functions as F
+
+from gazetta.functions import money
 from gazetta.operators import overlaps
 
 
@@ -7,3 +10,10 @@ def test_topic_links_broadcast_nothing(spark):
     rows = spark.createDataFrame([(i, [f"t{i % 7}", f"u{i % 3}", "v"]) for i in range(50)], "id long, topics array<string>")
     plan = overlaps.topic_links(rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_total_is_read_once(spark):
+    rows = spark.createDataFrame([(1, "Totaling $5M: $1M and $2M")], "id int, text string")
+    found = rows.where(money.total_mismatch(F.col("text"))).select("id")
+    assert [r["id"] for r in found.collect()] == [1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)(totaling") == 1
