@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta import models
-from gazetta.functions.quantity import jaccard
 from gazetta.models import as_of, with_models
 from gazetta.operators import aggregates, filters, graphs, greedy, joins, windows
 from gazetta.plans import briefs as briefs_plan
@@ -137,11 +136,9 @@ def topic_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i02_thin_highlights")
 def thin_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).where("relevance >= 5")
-    pairs = joins.topic_overlap(rows, scope="category").where("shared >= 3")
-    t = rows.select("id", "topics")
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("topics").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("topics").alias("y")), "b")
-    return greedy.thin_highlights(rows.select("id", "rank"), both.where(jaccard(F.col("x"), F.col("y")) >= 1.0).select("a", "b"))
+    """Articles that share three topics and all of them: a clique, of which the best meets each other one."""
+    rows = stash(_ranked(spark, sf_dir).where("relevance >= 5").select("id", "category", "topics", "rank"))
+    return greedy.thin_highlights(rows.select("id", "rank"), joins.same_topics(rows, "rank", 3, scope="category"))
 
 
 @query("i03_brief_selection")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gazetta.functions import money
-from gazetta.operators import overlaps
+from gazetta.operators import joins, overlaps
 
 
 def test_topic_links_broadcast_nothing(spark):
@@ -17,3 +17,9 @@ def test_a_total_is_read_once(spark):
     found = rows.where(money.total_mismatch(F.col("text"))).select("id")
     assert [r["id"] for r in found.collect()] == [1]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)(totaling") == 1
+
+
+def test_the_best_of_equal_sets_meets_each_other_one(spark):
+    rows = [(1, 3, "x", ["a", "b", "c"]), (2, 1, "x", ["c", "b", "a"]), (3, 2, "x", ["a", "b", "c", "a"]), (4, 4, "y", ["a", "b", "c"]), (5, 5, "x", ["a", "b"]), (6, 6, "x", ["a", "b"])]
+    found = joins.same_topics(spark.createDataFrame(rows, "id long, rank long, scope string, topics array<string>"), "rank", 3, scope="scope")
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 1), (2, 3)]
