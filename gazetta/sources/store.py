@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gazetta.session import stash
+
 DATE = "date"
 
 
@@ -45,7 +47,8 @@ def export_briefs(cited: DataFrame, path: str) -> None:
     repeated export of a date replaces it.
     """
     item = F.struct("position", "id", "title", "url", "name")
-    briefs = cited.groupBy("brief", DATE).agg(F.array_sort(F.collect_list(item)).alias("articles"))
+    # Both exports are written from one result of the joins.
+    briefs = stash(cited.groupBy("brief", DATE).agg(F.array_sort(F.collect_list(item)).alias("articles")))
     write_dates(briefs, f"{path}/json", None, "json")
     line = lambda x: F.concat(F.lit("- ["), F.coalesce(x["title"], F.lit("")), F.lit("]("), F.coalesce(x["url"], F.lit("")), F.lit(") — "), F.coalesce(x["name"], F.lit("Unknown")))
     text = F.concat(F.lit("# Brief "), F.col("brief").cast("string"), F.lit("\n\n"), F.array_join(F.transform("articles", line), "\n"), F.lit("\n"))

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from gazetta import models
 from gazetta.functions import money
 from gazetta.operators import graphs, joins, overlaps
 
@@ -13,6 +14,16 @@ def test_topic_links_broadcast_nothing(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_articles_without_bodies_join_no_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "Title\ntext", "src0", 10)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = models.articles(spark, str(tmp_path)).select("id", "title", "topics")
+    node = rows._jdf.queryExecution().optimizedPlan()
+    while "Join" not in node.nodeName():
+        node = node.children().apply(0)
+    assert "text#" not in node.children().apply(0).output().toString()
+
+
 def test_a_total_is_read_once(spark):
     rows = spark.createDataFrame([(1, "Totaling $5M: $1M and $2M")], "id int, text string")
     found = rows.where(money.total_mismatch(F.col("text"))).select("id")
