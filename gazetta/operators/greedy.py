@@ -102,7 +102,7 @@ def _met(today: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seeds.join(found.withColumn("n", best).where(F.col("n") <= most).select("scope", "id").distinct(), ["scope", "id"], "left_semi")
 
 
-def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: str | None = None, block: int = 100_000) -> DataFrame:
+def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: str | None = None, block: int = 20_000) -> DataFrame:
     """(id, seed), and ``scope`` where it is given: greedy clusters over topic overlap. articles: id, rank (total within a scope), topics.
 
     The rule: in rank order each free article seeds a cluster and takes the
