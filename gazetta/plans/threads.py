@@ -60,33 +60,71 @@ def changed(old: dict, story: dict, rules: Rules) -> bool:
 
 def nearest(vector: bytes | None, threads: dict[int, Thread], least: float) -> int | None:
     """The thread of greatest cosine, the smallest id on ties; none below ``least`` or at 0."""
-    if not vector:
-        return None
-    x = np.frombuffer(vector)
-    best, found = 0.0, None
-    for i in sorted(threads):
-        y = np.frombuffer(threads[i].vector or b"")
-        norm = np.linalg.norm(x) * np.linalg.norm(y)
-        near = round(float(x @ y / norm), 9) if len(x) == len(y) and norm > 0 else 0.0
-        if near > best:
-            best, found = near, i
-    return found if best >= least else None
-
-
-def one_run(threads: dict[int, Thread], at: int, stories: list[dict], rules: Rules) -> list[tuple]:
+    return Near(threads).best(vector, threads, least)
+
+
+class Near:
+    """The vectors of threads as a matrix for each length, so that a story is compared with all threads at once.
+
+    The product tells which few threads come near the greatest cosine; those are compared one by one, rounded to nine digits.
+    """
+
+    def __init__(self, threads: dict[int, Thread]):
+        self.sizes: dict[int, tuple[np.ndarray, list[int]]] = {}
+        self.places: dict[int, tuple[int, int]] = {}
+        for i, t in threads.items():
+            self.put(i, t.vector)
+
+    def put(self, i: int, vector: bytes | None) -> None:
+        """A thread's vector, in place of the one before."""
+        y = np.frombuffer(vector or b"")
+        norm = np.linalg.norm(y)
+        size, at = self.places.get(i, (-1, -1))
+        if size == len(y):
+            self.sizes[size][0][at] = y / norm if norm > 0 else 0
+            return
+        if size >= 0:
+            self.sizes[size][0][at] = 0
+        rows, ids = self.sizes.get(len(y), (np.zeros((16, len(y))), []))
+        if len(ids) == len(rows):
+            rows = np.concatenate([rows, np.zeros_like(rows)])
+        rows[len(ids)] = y / norm if norm > 0 else 0
+        self.places[i] = (len(y), len(ids))
+        ids.append(i)
+        self.sizes[len(y)] = (rows, ids)
+
+    def best(self, vector: bytes | None, threads: dict[int, Thread], least: float) -> int | None:
+        x = np.frombuffer(vector or b"")
+        length = np.linalg.norm(x)
+        if not length > 0 or len(x) not in self.sizes:
+            return None
+        rows, ids = self.sizes[len(x)]
+        rough = np.nan_to_num(rows[: len(ids)] @ (x / length))
+        best, found = 0.0, None
+        for i in sorted(ids[k] for k in np.flatnonzero(rough >= max(rough.max(), 0) - 1e-8) if self.places[ids[k]] == (len(x), k)):
+            y = np.frombuffer(threads[i].vector or b"")
+            norm = np.linalg.norm(x) * np.linalg.norm(y)
+            near = round(float(x @ y / norm), 9) if norm > 0 else 0.0
+            if near > best:
+                best, found = near, i
+        return found if best >= least else None
+
+
+def one_run(threads: dict[int, Thread], at: int, stories: list[dict], rules: Rules, near: Near | None = None) -> list[tuple]:
     """A run's points, and ``threads`` as they are after it.
 
     A live run sees the threads that it began with: two stories may meet one
     thread, both compare with its point of before, and both points are kept.
     """
     seen = threads if rules.replay else {i: Thread(t.label, t.vector, list(t.points)) for i, t in threads.items()}
+    near = near or Near(seen)
     out, checked, noted = [], 0, 0
     for s in stories:
         if not rules.replay and (checked >= rules.most_checked or noted >= rules.most_noted):
             break
         if rules.replay and not s["many"]:
             continue
-        match = nearest(s["vector"], seen, rules.similarity)
+        match = near.best(s["vector"], seen, rules.similarity)
         if match is None and not s["many"]:
             continue
         checked += 1
@@ -103,6 +141,8 @@ def one_run(threads: dict[int, Thread], at: int, stories: list[dict], rules: Rul
             kept = threads[thread]
             kept.points = [*kept.points, point][-max(1, rules.points) :]
             kept.vector = s["vector"] or kept.vector
+        if rules.replay:
+            near.put(thread, threads[thread].vector)
         since, before = (old["at"], old) if delta else (None, None)
         out.append((at, s["place"], s["story_id"], thread, delta, since, before and before["value"], s["value"] if delta else None, (s["unit"] or before["unit"]) if delta else None, before and before["ids"], s["ids"] if delta else None, len(threads[thread].points)))
     return out
@@ -165,12 +205,13 @@ def track(stories: DataFrame, rules: Rules | None = None, delay: str = "1 hour")
 
     def walk(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         out, threads = [], {}
+        near = Near(threads) if rules.replay else None
         found = found.astype(object).where(found.notna(), None)
         for at, run in sorted(found.groupby("at"), key=lambda x: x[0]):
             stories = run.sort_values(["place", "story_id"]).to_dict("records")
             for s in stories:
                 s["ids"] = [int(i) for i in s["ids"]] if s["ids"] is not None else []
-            out += [(*key, *r) for r in one_run(threads, int(at), stories, rules)]
+            out += [(*key, *r) for r in one_run(threads, int(at), stories, rules, near)]
         return pd.DataFrame(out, columns=["account", "week", *[c.split()[0] for c in POINT.split(", ")]], dtype=object)
 
     return rows.withColumn("at", F.unix_millis("ts")).groupBy("account", "week").applyInPandas(walk, Tracker.out)

@@ -123,3 +123,28 @@ def test_stream_is_the_table(spark, tmp_path):
 
 def test_no_stories(spark):
     assert track(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_long_replay_meets_all_threads_at_once():
+    """3,000 stories far apart, each a thread: compared one by one they took over ten seconds; the choices are the plain ones."""
+    import time
+
+    import numpy as np
+
+    from gazetta.plans.threads import Near, Thread, nearest, one_run
+
+    rng = np.random.default_rng(3)
+    rules = Rules(similarity=0.99, replay=True)
+    rows = [{"place": i, "story_id": i, "label": "", "vector": rng.normal(size=64).tobytes(), "many": True, "kind": "tally", "value": "1", "amount": 1.0, "unit": None, "confidence": None, "ids": []} for i in range(3000)]
+    start, threads = time.perf_counter(), {}
+    assert len(one_run(threads, 0, rows, rules)) == len(threads) == 3000 and time.perf_counter() - start < 5
+    few = {i: Thread("", v.tobytes(), []) for i, v in enumerate(rng.integers(-2, 3, size=(200, 4)).astype(float))} | {900: Thread("", None, []), 901: Thread("", np.ones(3).tobytes(), [])}
+    near = Near(few)
+    for i in range(0, 200, 3):
+        few[i].vector = rng.integers(-2, 3, size=3 + i % 2).astype(float).tobytes()
+        near.put(i, few[i].vector)
+    for x in rng.integers(-2, 3, size=(100, 4)).astype(float):
+        scores = [(cosine(list(x), list(np.frombuffer(t.vector or b""))), -i) for i, t in few.items()]
+        top = max(scores)
+        want = -top[1] if top[0] >= 0.3 else None
+        assert near.best(x.tobytes(), few, 0.3) == nearest(x.tobytes(), few, 0.3) == want
