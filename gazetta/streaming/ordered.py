@@ -55,15 +55,20 @@ class InOrder(StatefulProcessor):
     def forget(self) -> None:
         """Drop the machine's own state."""
 
+    def load(self) -> None:
+        """Take over what ``step`` needs of the state, once for all rows of a call."""
+
+    def save(self) -> None:
+        """Hand back what ``load`` took."""
+
     def step(self, key: tuple, at: int, rows: list[tuple]) -> list[tuple]:
         """The rows given for a key's rows of one time."""
         raise NotImplementedError
 
-    def _call_at(self, at: int) -> None:
-        if self.due.exists():
-            before = self.due.get()[0]
-            if before == at:
-                return
+    def _call_at(self, at: int, before: int | None = None) -> None:
+        if before == at:
+            return
+        if before is not None:
             self.handle.deleteTimer(before)
         self.handle.registerTimer(at)
         self.due.update((at,))
@@ -77,8 +82,9 @@ class InOrder(StatefulProcessor):
             self.waiting.appendList(came)
             first = min(r[0] for r in came)
             # The next call is for the first row that waits, or for the end of an idle state.
-            if not self.due.exists() or first < self.due.get()[0]:
-                self._call_at(first)
+            due = self.due.get()
+            if due is None or first < due[0]:
+                self._call_at(first, due and due[0])
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -90,9 +96,10 @@ class InOrder(StatefulProcessor):
             self.waiting.put(later)
         elif rows:
             self.waiting.clear()
-        self.due.clear()
-        last = self.last.get()[0] if self.last.exists() else None
+        last = self.last.get()
+        last = last and last[0]
         out = []
+        self.load()
         for at, same in itertools.groupby(ready, key=lambda r: r[0]):
             if last is not None and at - last > self.idle:
                 self.forget()
@@ -107,9 +114,12 @@ class InOrder(StatefulProcessor):
                 last = None
             else:
                 self.last.update((last,))
+        self.save()
         calls = [r[0] for r in later] + ([last + self.idle + 1] if last is not None else [])
         if calls:
             self._call_at(min(calls))
+        else:
+            self.due.clear()
         yield self._frame(out)
 
 
@@ -137,19 +147,27 @@ class MovedFacts(InOrder):
         self.fact = handle.getValueState("fact", "value double")
 
     def forget(self) -> None:
-        self.fact.clear()
+        self.old = None
+
+    def load(self) -> None:
+        # Each call of the state store takes longer than many steps.
+        found = self.fact.get()
+        self.stored = self.old = found and found[0]
+
+    def save(self) -> None:
+        if self.old is None and self.stored is not None:
+            self.fact.clear()
+        elif self.old != self.stored:
+            self.fact.update((self.old,))
 
     def step(self, key: tuple, at: int, rows: list[tuple]) -> list[tuple]:
         out = []
-        old = self.fact.get()[0] if self.fact.exists() else None
         for _, tie, value in rows:
             if value is None:
                 continue
-            if old is not None and is_material(old, value, self.relative, self.absolute):
-                out.append((key[0], at, tie, old, value))
-            old = value
-        if old is not None:
-            self.fact.update((old,))
+            if self.old is not None and is_material(self.old, value, self.relative, self.absolute):
+                out.append((key[0], at, tie, self.old, value))
+            self.old = value
         return out
 
 

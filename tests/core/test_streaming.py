@@ -217,3 +217,42 @@ def test_message_gate_stream_with_days_out_of_order(spark, tmp_path):
 def test_first_seen_batch_keeps_the_first(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, ts int")
     assert sorted(map(tuple, jobs.first_seen(df, "k", "ts").select("k", F.col("ts")).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_a_keys_rows_cost_no_state_call_each():
+    """A fact is read and written once a call, however many rows come due."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*x):
+                self.calls += 1
+                if name in ("update", "put"):
+                    self.value = x[0]
+                elif name == "clear":
+                    self.value = None
+                elif name == "exists":
+                    return self.value is not None
+                return self.value
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.made = {}
+
+        def __getattr__(self, name):
+            return lambda *x: self.made.setdefault(x[0], Held()) if name.startswith("get") else None
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10_000
+
+    machine, handle = ordered.MovedFacts(0.5, 9, 100_000), Handle()
+    machine.init(handle)
+    handle.made["waiting"].value = [(i, i, float(i % 2)) for i in range(1000)]
+    got = next(machine.handleExpiredTimer(("k",), Now(), None))
+    assert len(got) == 499 and handle.made["fact"].value == (1.0,)
+    assert sum(x.calls for x in handle.made.values()) < 20
