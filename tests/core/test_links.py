@@ -1,6 +1,7 @@
 """Links counted without pairs, against all pairs; links of listing pages; error texts."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,29 @@ def test_overlaps_are_those_of_all_pairs(spark, pairs_to):
     assert len(got) == len(want) and {(r.a, r.b, r.shared, r.scope) for r in got} == want
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_overlaps_of_copies_and_of_repeated_ids_are_those_of_the_join_by_topic(spark, block):
+    rng = random.Random(8)
+    base = [[], ["a"], ["a", "b"], ["a", "b", "c"], ["b", "c", "d", "e"], list("abcdefg")]
+    rows = [(i, rng.choice(base)) for i in range(90)]
+    rows += [(3, ["a", "b", "c"]), (3, ["a", "b", "c"]), (4, ["b", "c", "e"]), (4, ["c", "e", "f"]), (5, ["a"]), (5, ["a"]), (6, ["a"]), (6, ["b"]), (95, None)]
+    want = Counter((i, j, len(x), len(y)) for i, x in rows for j, y in rows if i < j and x and y for t in x if t in y)
+    want = sorted((i, j, s) for (i, j, n, m), s in want.items() if s >= 2 or n <= 2 or m <= 2)
+    df = spark.createDataFrame(rows, "id long, topics array<string>")
+    assert sorted(map(tuple, joins.topic_overlap(df, block=block, task_pairs=100).collect())) == want
+
+
+def test_overlaps_of_a_hot_set_are_not_shuffled(spark):
+    """Pairs are made after the last shuffle, in parts of like size, and none is grouped."""
+    alike = spark.range(5_000).select("id", F.array(F.lit("hot"), F.lit("day"), F.lit("new")).alias("topics"))
+    pairs = joins.topic_overlap(alike, task_pairs=1_000_000)
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    parts = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 5_000 * 4_999 // 2
+    assert max(r["count"] for r in parts) < 3_000_000
+    assert pairs.where("a >= b or shared <> 3").count() == 0
+
+
 def test_topic_links_of_a_hot_topic_and_of_nothing(spark):
     hot = spark.range(20_000).select("id", F.array(F.lit("hot"), F.concat(F.lit("x"), "id"), F.concat(F.lit("y"), "id")).alias("topics"))
     assert overlaps.topic_links(hot).agg(F.sum("links").alias("n")).first()["n"] == 0
