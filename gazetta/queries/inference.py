@@ -272,15 +272,17 @@ def digest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h05_representative_job", None)
 def representative_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of text copies, a confirm rule, then the representatives; clusters that aren't confirmed keep all."""
-    pairs = stash(graphs.text_copies(table(spark, sf_dir, "documents")))
-    parts = graphs.connected_components(pairs)
+    """Clusters of text copies, equal ones too, a confirm rule, then the representatives; clusters that aren't confirmed keep all."""
+    parts, pairs = graphs.copy_clusters(table(spark, sf_dir, "documents"))
+    parts = stash(parts)
     a = joins.with_source(models.articles(spark, sf_dir), models.sources(spark, sf_dir)).join(parts, "id")
     done = models.scores(spark, sf_dir).select(F.col("article_id").alias("id"))
     a = joins.unseen(a, done, "id").withColumn("lean", F.lower("bias"))
-    confirmed = pairs.join(parts, F.col("a") == F.col("id")).groupBy("cluster").agg(F.min(F.col("shared") / F.col("either")).alias("low")).where("low >= 0.86").select("cluster", F.lit(True).alias("same"))
+    # Equal sets overlap wholly, so only pairs of different ones can speak against a cluster.
+    low = pairs.join(parts, F.col("a") == F.col("id")).groupBy("cluster").agg(F.min(F.col("shared") / F.col("either")).alias("low"))
+    doubted = low.where("low < 0.86").select("cluster", F.lit(True).alias("doubted"))
     out = windows.representatives(a.select("cluster", "id", "published_at", "n_chars", "category", "lean"), 2)
-    return out.join(confirmed, "cluster", "left").select("cluster", "id", (F.col("keep") | F.col("same").isNull()).alias("keep"))
+    return out.join(doubted, "cluster", "left").select("cluster", "id", (F.col("keep") | F.col("doubted").isNotNull()).alias("keep"))
 
 
 def _fact_model(prompt: str) -> str:

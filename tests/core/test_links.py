@@ -157,3 +157,25 @@ def test_common_shingles_change_no_pair(spark, monkeypatch):
         monkeypatch.setattr(graphs, "_common_shingles", lambda *x, more=more: real(*x, **more))
         got.append(sorted(map(tuple, graphs.text_copies(df, 60).collect())))
     assert got[0] and all(x == got[0] for x in got)
+
+
+def test_equal_copies_are_in_the_clusters_of_representatives(spark, tmp_path):
+    """Equal shingles link documents without a near text beside them, and every copy of a class that a near text links is in the cluster."""
+    from gazetta.queries import QUERIES
+
+    far = [" ".join(f"{c}{k}" for k in range(100)) for c in "pqrs"]
+    swapped = lambda k, n: " ".join(f"x{j}" if k <= j < k + n else w for j, w in enumerate(far[3].split())) + " tail"
+    # 20 and 22 share 94 of 102 shingles, 24 and 25 share 91 of 106.
+    texts = {10: far[0], 11: far[0].upper(), 12: far[0] + "!", 13: far[1], 20: far[2], 21: far[2] + " ?", 22: far[2].replace("r50 r51", "x y"), 23: None, 26: "", 27: None, 24: far[3], 25: swapped(50, 5), 28: swapped(50, 5)}
+    spark.createDataFrame([(i, t, "en", "src0", len(t or "") + i) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i) for i in texts], "event_id long, t long").selectExpr("event_id", "timestamp_seconds(t) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    for name, rows, schema in [
+        ("supplier", [(1, 0, "S")], "s_suppkey long, s_nationkey long, s_name string"),
+        ("nation", [(0, 0)], "n_nationkey long, n_regionkey long"),
+        ("region", [(0, "ASIA")], "r_regionkey long, r_name string"),
+        ("labels", [(13, 1, 0)], "doc_id long, quality int, toxic int"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.cluster, r.id, r.keep) for r in QUERIES["h05_representative_job"](spark, str(tmp_path)).collect())
+    # Each cluster keeps its earliest and latest; the one with a pair under 0.86 keeps all.
+    assert got == [(10, 10, True), (10, 11, False), (10, 12, True), (20, 20, True), (20, 21, False), (20, 22, True), (24, 24, True), (24, 25, True), (24, 28, True)]
