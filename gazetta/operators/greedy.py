@@ -13,7 +13,7 @@ from gazetta.operators import windows
 from gazetta.session import stash
 
 
-SEED = "scope string, id long, rank long, topics array<string>, left int"
+SEED = "scope string, id long, rank long, topics array<string>, left int, total long"
 
 
 class OpenSeeds:
@@ -30,8 +30,8 @@ class OpenSeeds:
         self.small: dict[str, list] = {}
         self.all: list[list] = []
 
-    def add(self, seed: int, rank: int, topics: list[str], left: int) -> list:
-        row = [rank, seed, sorted(set(topics)), left]
+    def add(self, seed: int, rank: int, topics: list[str], left: int, total: int = 0) -> list:
+        row = [rank, seed, sorted(set(topics)), left, total]
         self.all.append(row)
         if left > 0:
             for t in row[2]:
@@ -41,8 +41,8 @@ class OpenSeeds:
             self.by_pair.update(dict.fromkeys(combinations(row[2], 2), row))
         return row
 
-    def take(self, topics: list[str]) -> int | None:
-        """The best open seed that overlaps ``topics``; it has a place less then."""
+    def take(self, topics: list[str], score: int = 0) -> int | None:
+        """The best open seed that overlaps ``topics``; it has a place less then, and the score more."""
         mine, found = sorted(set(topics)), []
         if len(mine) <= 2:
             for t in mine:
@@ -56,6 +56,7 @@ class OpenSeeds:
             return None
         best = min(found, key=lambda r: r[:2])
         best[3] -= 1
+        best[4] += score
         return best[1]
 
 
@@ -65,20 +66,20 @@ def _walk():
     def run(rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         held, out = OpenSeeds(), []
         if rows.empty:
-            return pd.DataFrame(columns=["scope", "id", "rank", "topics", "left", "seed"])
-        for seed, rank, topics, left in zip(*(seeds[c] for c in ("id", "rank", "topics", "left")), strict=True) if len(seeds) else ():
-            held.add(int(seed), int(rank), list(topics), int(left))
+            return pd.DataFrame(columns=["scope", "id", "rank", "topics", "left", "total", "seed"])
+        for seed, rank, topics, left, total in zip(*(seeds[c] for c in ("id", "rank", "topics", "left", "total")), strict=True) if len(seeds) else ():
+            held.add(int(seed), int(rank), list(topics), int(left), int(total))
         scope = rows["scope"].iloc[0]
         rows = rows.sort_values("rank")
-        for i, rank, topics, most in zip(*(rows[c] for c in ("id", "rank", "topics", "most")), strict=True):
-            seed = held.take(list(topics))
+        for i, rank, topics, most, score in zip(*(rows[c] for c in ("id", "rank", "topics", "most", "score")), strict=True):
+            seed = held.take(list(topics), int(score))
             if seed is None:
-                held.add(int(i), int(rank), list(topics), int(most) - 1 if len(topics) else 0)
+                held.add(int(i), int(rank), list(topics), int(most) - 1 if len(topics) else 0, int(score))
                 seed = i
-            out.append((scope, int(i), None, None, None, int(seed)))
+            out.append((scope, int(i), None, None, None, None, int(seed)))
         # What is known of the seeds now: a row without a seed of its own.
-        out += [(scope, r[1], r[0], r[2], r[3], None) for r in held.all]
-        return pd.DataFrame(out, columns=["scope", "id", "rank", "topics", "left", "seed"]).astype({"rank": "Int64", "left": "Int32", "seed": "Int64"})
+        out += [(scope, r[1], r[0], r[2], r[3], r[4], None) for r in held.all]
+        return pd.DataFrame(out, columns=["scope", "id", "rank", "topics", "left", "total", "seed"]).astype({"rank": "Int64", "left": "Int32", "total": "Int64", "seed": "Int64"})
 
     return run
 
@@ -102,7 +103,28 @@ def _met(today: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seeds.join(found.withColumn("n", best).where(F.col("n") <= most).select("scope", "id").distinct(), ["scope", "id"], "left_semi")
 
 
-def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: str | None = None, block: int = 20_000) -> DataFrame:
+def _ahead(rows: DataFrame) -> DataFrame:
+    """(scope, block, high, low, most, best): the bounds of the scores and limits of a block and of all after it in its scope."""
+    per = rows.groupBy("scope", "block").agg(F.max("score").alias("high"), F.min("score").alias("low"), F.max("most").alias("most"), F.max("best").alias("best"))
+    w = Window.partitionBy("scope").orderBy(F.desc("block"))
+    return per.select("scope", "block", F.max("high").over(w).alias("high"), F.min("low").over(w).alias("low"), F.max("most").over(w).alias("most"), F.max("best").over(w).alias("best"))
+
+
+def _unsettled(ahead: DataFrame, full: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Of ``ahead`` (one row a scope), the scopes in which what is ahead can change the first ``best`` clusters, as (full) seeds stand now.
+
+    They are settled once as many full clusters stand before any that the
+    highest score ahead could still make: of an open seed that fills up, or of a new one. The earlier of equal ones is before.
+    """
+    # A limit under one still leaves a seed its own score.
+    last = full.join(ahead, "scope").where("place = best").select(*ahead.columns, F.col("total").alias("bar"), F.col("rank").alias("bar_rank"))
+    safe = last.where("low >= 0 and greatest(1, most) * high <= bar")
+    could = F.col("total") + F.col("left") * F.col("high")
+    rivals = seeds.join(safe, "scope").where((could > F.col("bar")) | ((could == F.col("bar")) & (F.col("rank") < F.col("bar_rank")))).select("scope").distinct()
+    return ahead.join(safe.select("scope").join(rivals, "scope", "left_anti"), "scope", "left_anti")
+
+
+def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: str | None = None, block: int = 20_000, best: int | Column | None = None) -> DataFrame:
     """(id, seed), and ``scope`` where it is given: greedy clusters over topic overlap. articles: id, rank (total within a scope), topics.
 
     The rule: in rank order each free article seeds a cluster and takes the
@@ -111,23 +133,43 @@ def topic_themes(articles: DataFrame, max_per_theme: int | Column = 6, scope: st
     has a place left, and is a seed where there is none. So articles are worked
     off in blocks of a scope's ranks, all scopes at once; a task has one block
     and the open seeds that its articles can overlap, and no pairs are made. Null topics are none. The limit may be a column.
+
+    With ``best``, a number or a column, only a scope's first ``best`` clusters by the sum of
+    ``score`` (whole numbers), the earlier seed first, are wanted. They are returned whole; a scope
+    ends with the block after which no article left can change them, however its topics are, and what other clusters would have got is left out.
     """
     key = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
     topics = F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
-    rows = articles.select(key.alias("scope"), F.col("id").cast("long").alias("id"), F.col("rank").cast("long").alias("rank"), F.array_compact(topics).alias("topics"), (max_per_theme if isinstance(max_per_theme, Column) else F.lit(max_per_theme)).cast("int").alias("most"))
+    number = lambda x, kind: (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+    score = F.lit(0) if best is None else F.col("score")
+    rows = articles.select(key.alias("scope"), F.col("id").cast("long").alias("id"), F.col("rank").cast("long").alias("rank"), F.array_compact(topics).alias("topics"), number(max_per_theme, "int").alias("most"), score.cast("long").alias("score"), number(best, "int").alias("best"))
     rows = stash(windows.placed(rows, "scope", "rank").withColumn("block", F.floor((F.col("place") - 1) / block).cast("int")))
     last = rows.agg(F.max("block")).first()[0]
-    out, seeds = None, stash(rows.sparkSession.createDataFrame([], SEED))
+    out, seeds, full, live = None, stash(rows.sparkSession.createDataFrame([], SEED)), None, None
+    ahead = stash(_ahead(rows)) if best is not None else None
     for at in range((last or 0) + 1):
-        today = rows.where(F.col("block") == at).select("scope", "id", "rank", "topics", "most")
+        today = rows.where(F.col("block") == at).select("scope", "id", "rank", "topics", "most", "score")
+        if live is not None:
+            today = today.join(live.select("scope"), "scope", "left_semi")
         met = _met(today, seeds, block) if at else seeds
-        known = "scope string, id long, rank long, topics array<string>, left int, seed long"
+        known = "scope string, id long, rank long, topics array<string>, left int, total long, seed long"
         done = stash(today.groupBy("scope").cogroup(met.groupBy("scope")).applyInPandas(_walk(), known))
         part = done.where("seed is not null").select("scope", "id", "seed")
         out = part if out is None else out.unionByName(part)
         if at < (last or 0):
-            now = done.where("seed is null").select("scope", "id", "rank", "topics", "left")
+            now = done.where("seed is null").select("scope", "id", "rank", "topics", "left", "total")
             seeds = stash(seeds.join(now.select("scope", "id"), ["scope", "id"], "left_anti").unionByName(now).where("left > 0"))
+            if ahead is not None:
+                closed = now.where("left <= 0").select("scope", "id", "rank", "total")
+                closed = closed if full is None else closed.unionByName(full.drop("place"))
+                left = ahead.where(F.col("block") == at + 1)
+                left = left if live is None else left.join(live.select("scope"), "scope", "left_semi")
+                place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("total"), "rank"))
+                kept = closed.withColumn("place", place).join(left.select("scope", "best"), "scope").where("place <= best")
+                full = stash(kept.drop("best"))
+                live = stash(_unsettled(left, full, seeds))
+                if not live.limit(1).count():
+                    break
     return out.select(F.col("scope").alias(scope), "id", "seed") if scope else out.select("id", "seed")
 
 

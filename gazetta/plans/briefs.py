@@ -30,9 +30,12 @@ def without_delivered(rows: DataFrame, deliveries: DataFrame) -> DataFrame:
     return rows.join(had, ["account", "id"], "left_anti")
 
 
-def themed(rows: DataFrame, key: str, most: int | Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with their cluster's seed, one row a cluster: its size, score, category and rank); rows: key, id, rank, topics, category, score."""
-    rows = stash(rows.join(greedy.topic_themes(rows, most, scope=key), [key, "id"]))
+def themed(rows: DataFrame, key: str, most: int | Column, best: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their cluster's seed, one row a cluster: its size, score, category and rank); rows: key, id, rank, topics, category, score.
+
+    With ``best``, only the first ``best`` clusters and their rows are whole, and others may be missing.
+    """
+    rows = stash(rows.join(greedy.topic_themes(rows, most, scope=key, best=best), [key, "id"]))
     marked = rows.withColumn("_cluster", F.struct(key, "seed"))
     bundle = aggregates.cluster_category(marked, "_cluster", "category", "rank").select(F.col(f"_cluster.{key}").alias(key), F.col("_cluster.seed").alias("seed"), F.col("category").alias("bundle"))
     found = rows.groupBy(key, "seed").agg(F.count("*").alias("size"), F.sum("score").alias("score"), F.min("rank").alias("_at"))
@@ -135,12 +138,13 @@ def chat_selection(articles: DataFrame, chats: DataFrame, rules: DataFrame, leng
     fresh = rows.where(filters.in_window(F.col("published_at"), now, F.lit(fresh_hours)) & filters.entry_gate(F.col("relevance"), F.col("actionability"), F.col("floor")))
     both = rows.join(enough.select("plan", "id").union(fresh.select("plan", "id")).distinct(), ["plan", "id"], "left_semi")
     ranked = windows.placed(both, "plan", F.desc("score"), F.desc("published_at"), F.col("id")).withColumnRenamed("place", "rank")
-    themes, clusters = themed(stash(ranked), "plan", F.col("per_theme"))
+    ranked = stash(ranked)
+    themes, clusters = themed(ranked, "plan", F.col("per_theme"), F.col("max_themes"))
     most = plans.join(lengths, "length").select("plan", "max_themes")
     first = clusters.join(sized(most, 100_000), "plan").where(F.col("cluster_rank") <= F.col("max_themes"))
     chosen = stash(windows.demote(first, "plan", per_category).where("role = 'theme'").select("plan", "seed", F.row_number().over(Window.partitionBy("plan").orderBy("cluster_rank")).alias("group")))
     in_theme = stash(themes.join(chosen, ["plan", "seed"]))
-    lights = highlights(themes.join(in_theme.select("plan", "id"), ["plan", "id"], "left_anti"), in_theme, "plan", highlight_count, highlight_bar)
+    lights = highlights(ranked.join(in_theme.select("plan", "id"), ["plan", "id"], "left_anti"), in_theme, "plan", highlight_count, highlight_bar)
     parts = in_theme.select("plan", F.lit("theme").alias("role"), "group", F.col("rank").alias("at"), "id")
     parts = parts.unionByName(lights.select("plan", F.lit("highlight").alias("role"), F.lit(0).alias("group"), F.col("position").cast("long").alias("at"), "id"))
     return in_order(parts, "plan").join(chats.select("chat", "plan"), "plan").drop("plan")

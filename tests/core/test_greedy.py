@@ -197,3 +197,36 @@ def test_text_copies(spark):
     want = {(min(i, j), max(i, j)) for s, i in first.items() for u, j in first.items() if i != j and 100 * len(s & u) >= 85 * len(s | u)}
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows] + [(99, None)], "doc_id long, text string")
     assert {(r.a, r.b) for r in graphs.text_copies(df).collect()} == want
+
+
+@pytest.mark.parametrize(("seed", "block", "top"), [(1, 10, 145), (2, 25, 145), (3, 10, 20), (5, 10, 0)])
+def test_best_themes_are_those_of_all_articles(spark, seed, block, top):
+    """The first clusters by score are whole, though a scope ends before its last block; scopes whose later articles count end later or not at all."""
+    rng = random.Random(seed)
+    rows, most, best = [], {"x": 3, "y": 4, "z": 2}, {"x": 2, "y": 3, "z": 50}
+    for k, scope in enumerate(most):
+        scores = sorted((rng.choice([5, 10, top]) if n < 90 else rng.randint(-1 if scope == "y" and seed == 2 else 0, 9) for n in range(150)), reverse=True)
+        if seed == 3:
+            rng.shuffle(scores)  # the rank need not follow the score
+        rows += [(scope, 1000 * k + n, n, rng.choices("abcdefgh", k=rng.randint(0, 4)), s, most[scope], best[scope]) for n, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "s string, id long, rank int, topics array<string>, score int, most int, best int")
+    got = greedy.topic_themes(df, F.col("most"), scope="s", block=block, best=F.col("best")).collect()
+    for scope in most:
+        mine = [r for r in rows if r[0] == scope]
+        found = {}
+        for whole, pairs in ((True, themes([r[1:4] for r in mine], most[scope]).items()), (False, [(r.id, r.seed) for r in got if r.s == scope])):
+            groups = {}
+            for i, s in pairs:
+                groups.setdefault(s, []).append(mine[i % 1000])
+            order = sorted(groups.items(), key=lambda g: (-sum(r[4] for r in g[1]), g[0]))
+            found[whole] = [(s, sorted(r[1] for r in g)) for s, g in order][: best[scope]]
+        assert found[True] == found[False], scope
+    if top == 145:
+        assert len(got) < len(rows)
+
+
+def test_best_themes_end_where_nothing_can_change_them(spark):
+    """20 blocks, of which the first two hold the best clusters and what they take; the others are not walked."""
+    rows = [(i, i, [f"t{i % 7}", f"u{i % 7}"], 100 if i < 100 else 1) for i in range(1000)]
+    got = greedy.topic_themes(spark.createDataFrame(rows, "id long, rank int, topics array<string>, score int"), 4, block=50, best=5).collect()
+    assert len(got) <= 100 and {i: s for i, s in themes([r[:3] for r in rows], 4).items() if s < 5}.items() <= {r.id: r.seed for r in got}.items()
