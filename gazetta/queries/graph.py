@@ -53,7 +53,7 @@ c AS (SELECT id, min(far) AS cluster FROM r GROUP BY id)"""
 
 @query("h03_components", COMPONENTS + " SELECT id, cluster FROM c")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.connected_components(graphs.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4))
+    return graphs.similar_components(table(spark, sf_dir, "embeddings"), 0.4)
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
